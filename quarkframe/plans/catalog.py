@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import benchmark, oracle
+from . import benchmark, examples, oracle
 
 QUERIES = {}
 QUERIES.update(benchmark.QUERIES)
+QUERIES.update(examples.QUERIES)
 
 ORACLE_SQL = {}
 ORACLE_SQL.update(oracle.SQL)

@@ -29,6 +29,7 @@ p AS (
          CAST((l_suppkey % 97 - 48) / {_f(20.0)} + {_f(0.013)} AS FLOAT) AS eta,
          CAST((l_partkey % 127 - 63) / {_f(20.0)} + {_f(0.017)} AS FLOAT) AS phi,
          CAST(l_tax AS FLOAT) AS mass,
+         CAST(l_quantity AS FLOAT) AS vz,
          -13 * (CASE WHEN l_returnflag = 'A' THEN 1 ELSE -1 END) AS pdfId,
          1 AS status,
          CAST(l_suppkey % 4 AS INTEGER) AS kind
@@ -174,3 +175,70 @@ SQL: dict[str, str] = {
 }
 SQL["b5_count_eq2"] = SQL["b4_count_n_eq2"]
 SQL["b5_group_count_sum"] = SQL["b4_sum_of_group_counts"]
+
+
+# ------------------------------------------------------------------ examples
+
+def higgs_sql(a: str, b: str) -> str:
+    """Two-muon mass of the Higgs example (same operation order as Spark)."""
+    def comps(x):
+        pt, eta, phi = (f"CAST({x}.{c} AS DOUBLE)" for c in ("pt", "eta", "phi"))
+        return f"({pt} * cos({phi}))", f"({pt} * sin({phi}))", f"({pt} * sinh({eta}))"
+    px1, py1, pz1 = comps(a)
+    px2, py2, pz2 = comps(b)
+    m2 = _f(K.HIGGS_MUON_MASS * K.HIGGS_MUON_MASS)
+    en1 = f"({px1} * {px1} + {py1} * {py1} + {pz1} * {pz1} + {m2})"
+    en2 = f"({px2} * {px2} + {py2} * {py2} + {pz2} * {pz2} + {m2})"
+    s = (f"(({en1} + {en2}) * ({en1} + {en2}) - ({px1} + {px2}) * ({px1} + {px2}) "
+         f"- ({py1} + {py2}) * ({py1} + {py2}) - ({pz1} + {pz2}) * ({pz1} + {pz2}))")
+    return f"(CASE WHEN {s} >= 0 THEN sqrt({s}) WHEN {s} < 0 THEN CAST('nan' AS DOUBLE) END)"
+
+
+RANKS = """
+rm AS (SELECT evt, pt, eta, phi, row_number() OVER (PARTITION BY evt ORDER BY pt DESC, eta DESC, phi DESC) AS rn
+       FROM p),
+re AS (SELECT evt, pt, eta, phi, row_number() OVER (PARTITION BY evt ORDER BY pt DESC, eta DESC, phi DESC) AS rn
+       FROM p WHERE kind = 1),
+rg AS (SELECT evt, pt, eta, phi, row_number() OVER (PARTITION BY evt ORDER BY pt DESC, eta DESC, phi DESC) AS rn
+       FROM p WHERE kind = 0)"""
+
+HIGGS = f"""
+h AS (
+  SELECT e1.evt, e1.pt AS electron_pt, m1.pt AS muon_pt, m1.phi AS muon_phi, m1.eta AS muon_eta,
+         CASE WHEN m2.evt IS NULL THEN NULL ELSE {higgs_sql("m1", "m2")} END AS dimuon_mass
+  FROM re e1
+  LEFT JOIN rm m1 ON m1.evt = e1.evt AND m1.rn = 1
+  LEFT JOIN rm m2 ON m2.evt = e1.evt AND m2.rn = 2
+  WHERE e1.rn = 1
+)"""
+
+_COLL_KIND = {"photons": 0, "electrons": 1, "jets": 2, "met": 3}
+STRIP_SUMMARY = BASE + (
+    "SELECT evt, CAST(COUNT(*) AS INTEGER) AS n_muons, "
+    + ", ".join(f"CAST(COUNT(CASE WHEN kind = {k} THEN 1 END) AS INTEGER) AS n_{c}" for c, k in _COLL_KIND.items())
+    + ", round(SUM(CAST(pt AS DOUBLE)), 3) AS sum_pt_muons, "
+    + ", ".join(f"round(COALESCE(SUM(CASE WHEN kind = {k} THEN CAST(pt AS DOUBLE) END), 0), 3) AS sum_pt_{c}"
+                for c, k in _COLL_KIND.items())
+    + ", round(SUM(CAST(vz AS DOUBLE)), 3) AS sum_vz_muons "
+    "FROM p WHERE evt IN (SELECT evt FROM ev WHERE n >= 2) GROUP BY evt")
+
+from .examples import HIGGS_RANGES, PHOTON_RANGES  # noqa: E402
+
+SQL.update({
+    "reduction_pairs": with_(PARTICLES, P4, PAIRS) + (
+        "SELECT evt, " + ", ".join(f"round({c}, 4) AS {c}" for c in
+                                   ("e", "px", "py", "pz", "mass2", "pt", "phi", "eta")) + " FROM pq"),
+    "strip_events": STRIP_SUMMARY,
+    "sink_parquet_roundtrip": STRIP_SUMMARY,
+    "sink_hist_json": SQL["b6_muon_bundle"],
+    "higgs_lead_bundle": with_(PARTICLES, RANKS, HIGGS) + bundle_sql(
+        "h", [Bin(k, *HIGGS_RANGES[k], k) for k in HIGGS_RANGES]),
+    "photon_lead_bundle": with_(PARTICLES, RANKS) + bundle_sql(
+        "(SELECT * FROM rg WHERE rn = 1)", [Bin(k, *PHOTON_RANGES[k], k) for k in PHOTON_RANGES]),
+    "lead_pair_mass": with_(PARTICLES, P4, TOP2) + (
+        "SELECT a.evt, round(" + higgs_sql("a", "b") + ", 4) AS higgs_mass, "
+        "round(sqrt(greatest((a.e + b.e) * (a.e + b.e) - (a.px + b.px) * (a.px + b.px) "
+        "- (a.py + b.py) * (a.py + b.py) - (a.pz + b.pz) * (a.pz + b.pz), 0)), 6) AS inv_mass "
+        "FROM ranked a JOIN ranked b ON a.evt = b.evt AND a.rn = 1 AND b.rn = 2"),
+    "aod_path_sum_pt_lt10": SQL["b2_sum_pt_lt10"],
+})
