@@ -242,3 +242,93 @@ SQL.update({
         "FROM ranked a JOIN ranked b ON a.evt = b.evt AND a.rn = 1 AND b.rn = 2"),
     "aod_path_sum_pt_lt10": SQL["b2_sum_pt_lt10"],
 })
+
+
+# ------------------------------------------------------------------ metrics
+
+from ..operators.metrics import FIXED_EXECUTORS, FIXED_THREADS, SERIES, TOTALS  # noqa: E402
+
+_MS = "date_diff('millisecond', TIMESTAMP '1970-01-01 00:00:00', CAST({c} AS TIMESTAMP))"
+
+MTABLES = f"""
+jobs AS (
+  SELECT o_orderkey AS job_id, o_orderpriority AS group_id,
+         {_MS.format(c="o_orderdate")} AS start_ms,
+         {_MS.format(c="o_orderdate")} + CAST(floor(o_totalprice) AS BIGINT) AS end_ms,
+         CASE WHEN o_custkey % 2 = 0 THEN 14 ELSE 7 END AS n_exec,
+         CASE WHEN o_custkey % 3 = 0 THEN 70 ELSE 35 END AS n_thread
+  FROM orders
+),
+tasks AS (
+  SELECT l_orderkey AS job_id, CAST(l_linenumber AS BIGINT) AS stage_id, l_partkey AS task_id,
+         CAST(l_suppkey AS VARCHAR) AS executor_id,
+         CAST(floor(l_extendedprice) AS BIGINT) AS duration,
+         {_MS.format(c="l_shipdate")} AS launch,
+         {_MS.format(c="l_shipdate")} + CAST(floor(l_extendedprice) AS BIGINT) AS finish,
+         CAST(floor(l_discount * 100) AS BIGINT) AS getting_result,
+         CAST(floor(CAST(floor(l_extendedprice) AS BIGINT) * (1 - l_tax)) AS BIGINT) AS run_ms,
+         CAST(floor(CAST(floor(l_extendedprice) AS BIGINT) * (1 - l_discount) * {_f(1e6)}) AS BIGINT) AS cpu_ns,
+         CAST(floor(l_tax * CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS gc_ms,
+         CAST(floor(l_quantity) AS BIGINT) AS deser_ms,
+         CAST(floor(l_quantity * (1 - l_discount) * {_f(1e6)}) AS BIGINT) AS deser_cpu_ns,
+         CAST(l_linenumber AS BIGINT) AS ser_ms
+  FROM lineitem
+),
+stages AS (
+  SELECT s.job_id, s.stage_id, s.num_tasks,
+         j.start_ms + 1000 * s.stage_id AS submission,
+         j.start_ms + 1000 * s.stage_id + s.q AS completion
+  FROM (SELECT l_orderkey AS job_id, CAST(l_linenumber AS BIGINT) AS stage_id,
+               CAST(COUNT(*) AS INTEGER) AS num_tasks, CAST(floor(SUM(l_quantity)) AS BIGINT) AS q
+        FROM lineitem GROUP BY l_orderkey, l_linenumber) s
+  JOIN jobs j ON j.job_id = s.job_id
+),
+sub AS (
+  SELECT 'threads' AS subset, * FROM jobs WHERE group_id <> '' AND n_exec = {FIXED_EXECUTORS}
+  UNION ALL
+  SELECT 'executors' AS subset, * FROM jobs WHERE group_id <> '' AND n_thread = {FIXED_THREADS}
+),
+jt AS (
+  SELECT job_id, {", ".join(f"CAST(SUM({c}) AS DOUBLE) AS {c}" for c in sorted({c for c, _ in TOTALS.values()}))}
+  FROM tasks GROUP BY job_id
+),
+so AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY job_id ORDER BY stage_id) - 1 AS INTEGER) AS ordinal FROM stages
+)"""
+
+_SERIES_SQL = {
+    "duration": ("duration", 1e3), "finish_launch": ("(finish - launch)", 1e3),
+    "getting_result": ("getting_result", 1e3), "exe_run": ("run_ms", 1e3), "cpu": ("cpu_ns", 1e9),
+    "deser_cpu": ("deser_cpu_ns", 1e9), "deser": ("deser_ms", 1e3), "gc": ("gc_ms", 1e3),
+}
+assert list(_SERIES_SQL) == list(SERIES)
+
+_MW = with_(MTABLES)
+SQL.update({
+    "k_job_time": _MW + (
+        "SELECT subset, group_id, job_id, n_exec * n_thread AS parallelism, "
+        "round((end_ms - start_ms) / 1000.0, 3) AS seconds FROM sub"),
+    "k_cpu_efficiency": _MW + (
+        "SELECT subset, group_id, sub.job_id, n_exec * n_thread AS parallelism, "
+        f"round((cpu_ns / {_f(1e9)}) / NULLIF(duration / {_f(1e3)}, 0), 6) AS cpu_eff "
+        "FROM sub JOIN jt ON jt.job_id = sub.job_id"),
+    "k_totals": _MW + (
+        "SELECT subset, group_id, sub.job_id, n_exec * n_thread AS parallelism, "
+        + ", ".join(f"round({c} / {_f(d)}, 6) AS {name}" for name, (c, d) in TOTALS.items())
+        + " FROM sub JOIN jt ON jt.job_id = sub.job_id"),
+    "k_stage_time_by_ordinal": _MW + (
+        "SELECT subset, group_id, sub.job_id, n_exec * n_thread AS parallelism, ordinal, stage_id, "
+        "round((completion - submission) / 1000.0, 3) AS seconds FROM sub JOIN so ON so.job_id = sub.job_id"),
+    "k_task_series": _MW + "\nUNION ALL\n".join(
+        f"SELECT group_id, t.job_id, n_exec, n_thread, ordinal, executor_id, t.task_id, '{name}' AS series, "
+        f"round(CAST({expr} AS DOUBLE) / {_f(d)}, 6) AS seconds "
+        "FROM tasks t JOIN sub ON sub.job_id = t.job_id AND sub.subset = 'executors' "
+        "JOIN so ON so.job_id = t.job_id AND so.stage_id = t.stage_id"
+        for name, (expr, d) in _SERIES_SQL.items()),
+    "k_stage_summary": _MW + (
+        "SELECT s.job_id, s.stage_id, CAST(c.n_stages AS INTEGER) AS n_stages, s.num_tasks, "
+        "COALESCE(o.n_tasks, 0) AS n_tasks FROM stages s "
+        "JOIN (SELECT job_id, COUNT(*) AS n_stages FROM stages GROUP BY job_id) c ON c.job_id = s.job_id "
+        "LEFT JOIN (SELECT job_id, stage_id, COUNT(*) AS n_tasks FROM tasks GROUP BY job_id, stage_id) o "
+        "ON o.job_id = s.job_id AND o.stage_id = s.stage_id"),
+})
