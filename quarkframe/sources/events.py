@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -43,7 +43,7 @@ log = logging.getLogger(__name__)
 
 CHUNK = 4096                 # max particles of one collection kept in one row
 HOT_BROADCAST_LIMIT = 1_000_000   # broadcast the hot-event map only below this many entries
-STORE_VERSION = "v1"
+STORE_VERSION = "v2"
 
 _KIND_OF = {"photons": 0, "electrons": 1, "jets": 2, "met": 3}
 
@@ -117,11 +117,22 @@ def build_event_table(orders: DataFrame, lineitem: DataFrame, chunk: int = CHUNK
         *[_sorted_collect(F.col("kind") == k).alias(c) for c, k in _KIND_OF.items()],
     )
     if n_hot:
-        frags = frags.join(hot_map, "evt", "left").select(
-            "evt", "frag",
-            F.coalesce("n_frag", F.lit(1)).alias("n_frag"),
-            *[F.coalesce(f"n_{c}", F.size(c)).cast("int").alias(f"n_{c}") for c in schemas.COLLECTIONS],
+        frags = frags.join(hot_map, "evt", "left")
+        cold = frags.where(F.col("n_frag").isNull()).select(
+            "evt", "frag", F.lit(1).alias("n_frag"),
+            *[F.size(c).cast("int").alias(f"n_{c}") for c in schemas.COLLECTIONS],
+            *schemas.COLLECTIONS)
+        # Renumber the fragments of split events densely (a hash may leave a
+        # slot empty) so that every event has a fragment 0. The window only
+        # sees the few fragment rows of hot events.
+        by_evt = Window.partitionBy("evt")
+        hot_rows = frags.where(F.col("n_frag").isNotNull()).select(
+            "evt",
+            (F.row_number().over(by_evt.orderBy("frag")) - 1).cast("int").alias("frag"),
+            F.count(F.lit(1)).over(by_evt).cast("int").alias("n_frag"),
+            *[F.col(f"n_{c}").cast("int").alias(f"n_{c}") for c in schemas.COLLECTIONS],
             *schemas.COLLECTIONS)
+        frags = cold.unionByName(hot_rows)
     else:
         frags = frags.select(
             "evt", "frag", F.lit(1).alias("n_frag"),
@@ -139,13 +150,14 @@ def build_event_table(orders: DataFrame, lineitem: DataFrame, chunk: int = CHUNK
     )
 
 
-def events(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, chunk: int | None = None) -> DataFrame:
     """Scan of the nested event store for ``sf_dir``, building it on first use.
 
     The store is keyed by the input files' identity and written with the
     Parquet committer, so a lost executor only re-runs its tasks and a
     finished store is reused by every later query.
     """
+    chunk = chunk or CHUNK
     srcs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "lineitem")]
     key = f"{STORE_VERSION}-{source_fingerprint(srcs)}-c{chunk}"
     path = derived_path(spark, "events", key)
