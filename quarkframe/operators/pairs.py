@@ -33,18 +33,27 @@ def _is_store(df: DataFrame) -> bool:
 
 def p4_array(coll: str, mass: float = K.MUON_MASS) -> Column:
     """Four-vectors of a collection, reading only its pt/eta/phi leaves."""
-    z = F.arrays_zip(leaf(coll, "pt").alias("pt"), leaf(coll, "eta").alias("eta"),
-                     leaf(coll, "phi").alias("phi"))
-    return F.transform(z, lambda x: K.p4(x["pt"], x["eta"], x["phi"], mass))
+    return F.transform(legs(coll), lambda x: K.p4(x["pt"], x["eta"], x["phi"], mass))
+
+
+def legs(coll: str) -> Column:
+    """``array<struct<pt, eta, phi>>`` of a collection (three leaves only)."""
+    return F.arrays_zip(leaf(coll, "pt").alias("pt"), leaf(coll, "eta").alias("eta"),
+                        leaf(coll, "phi").alias("phi"))
 
 
 def _explode_pairs(df: DataFrame, keep: Sequence[str], va: str, vb: str,
-                   fa: Column, fb: Column, unordered: bool) -> DataFrame:
+                   fa: Column, fb: Column, unordered: bool, mass: float) -> DataFrame:
+    # Two generators in a row; the four-vectors of both legs are computed in
+    # the generated code of the projection that follows (no lambda, which
+    # Spark would interpret row by row).
     a = df.select(*keep, fa.alias("fa"), fb.alias("fb"), vb, F.posexplode(va).alias("i", "a"))
     p = a.select(*keep, "fa", "fb", "i", "a", F.posexplode(vb).alias("j", "b"))
     if unordered:
         p = p.where(F.struct("fa", "i") < F.struct("fb", "j"))
-    return p.select(*keep, "fa", "i", "fb", "j", K.p4_add("a", "b").alias("pair"))
+    pa = K.p4(F.col("a.pt"), F.col("a.eta"), F.col("a.phi"), mass)
+    pb = K.p4(F.col("b.pt"), F.col("b.eta"), F.col("b.phi"), mass)
+    return p.select(*keep, "fa", "i", "fb", "j", K.p4_add(pa, pb).alias("pair"))
 
 
 def ordered_pairs(ev: DataFrame, coll: str = "muons", keep: Sequence[str] = ("evt",),
@@ -58,19 +67,19 @@ def ordered_pairs(ev: DataFrame, coll: str = "muons", keep: Sequence[str] = ("ev
     struct(e, px, py, pz).
     """
     keep = list(keep)
-    v = p4_array(coll, mass)
+    z = legs(coll)
     if not _is_store(ev):
-        base = ev.select(*keep, v.alias("va"), v.alias("vb"))
-        return _explode_pairs(base, keep, "va", "vb", F.lit(0), F.lit(0), unordered)
+        base = ev.select(*keep, z.alias("z"))
+        return _explode_pairs(base, keep, "z", "z", F.lit(0), F.lit(0), unordered, mass)
 
-    single = ev.where(F.col("n_frag") == 1).select(*keep, v.alias("va"), v.alias("vb"))
-    fast = _explode_pairs(single, keep, "va", "vb", F.lit(0), F.lit(0), unordered)
+    single = ev.where(F.col("n_frag") == 1).select(*keep, z.alias("z"))
+    fast = _explode_pairs(single, keep, "z", "z", F.lit(0), F.lit(0), unordered, mass)
 
-    hot = ev.where(F.col("n_frag") > 1).select(*keep, "frag", v.alias("v"))
-    left = hot.select(*keep, F.col("frag").alias("fa"), F.col("v").alias("va"))
-    right = hot.select(F.col("evt").alias("evt_r"), F.col("frag").alias("fb"), F.col("v").alias("vb"))
+    hot = ev.where(F.col("n_frag") > 1).select(*keep, "frag", z.alias("z"))
+    left = hot.select(*keep, F.col("frag").alias("fa"), F.col("z").alias("va"))
+    right = hot.select(F.col("evt").alias("evt_r"), F.col("frag").alias("fb"), F.col("z").alias("vb"))
     frag_pairs = left.join(right, F.col("evt") == F.col("evt_r")).drop("evt_r")
-    slow = _explode_pairs(frag_pairs, keep, "va", "vb", F.col("fa"), F.col("fb"), unordered)
+    slow = _explode_pairs(frag_pairs, keep, "va", "vb", F.col("fa"), F.col("fb"), unordered, mass)
     return fast.unionByName(slow)
 
 
