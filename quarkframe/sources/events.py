@@ -99,6 +99,8 @@ def build_event_table(orders: DataFrame, lineitem: DataFrame, chunk: int = CHUNK
     hot = (sizes.where(F.col("n_muons") > chunk)
            .withColumn("n_frag", F.ceil(F.col("n_muons") / F.lit(chunk)).cast("int")))
     n_hot = hot.count()
+    colls = [_sorted_collect(None).alias("muons"),
+             *[_sorted_collect(F.col("kind") == k).alias(c) for c, k in _KIND_OF.items()]]
     if n_hot:
         hot_map = hot.select("evt", "n_frag", *[f"n_{c}" for c in schemas.COLLECTIONS])
         if n_hot <= hot_broadcast_limit:
@@ -109,13 +111,13 @@ def build_event_table(orders: DataFrame, lineitem: DataFrame, chunk: int = CHUNK
             "frag",
             F.when(F.col("n_frag").isNull(), F.lit(0))
             .otherwise(F.pmod(F.xxhash64("c"), F.col("n_frag")).cast("int")))
+        # (evt, frag) spreads a hot event over many reducers
+        frags = parts.groupBy("evt", "frag").agg(*colls)
     else:
-        parts = parts.withColumn("frag", F.lit(0))
+        # no split event: group on the event key alone, so the result is
+        # already partitioned for the join with ``orders`` below
+        frags = parts.groupBy("evt").agg(*colls).withColumn("frag", F.lit(0))
 
-    frags = parts.groupBy("evt", "frag").agg(
-        _sorted_collect(None).alias("muons"),
-        *[_sorted_collect(F.col("kind") == k).alias(c) for c, k in _KIND_OF.items()],
-    )
     if n_hot:
         frags = frags.join(hot_map, "evt", "left")
         cold = frags.where(F.col("n_frag").isNull()).select(
