@@ -228,6 +228,10 @@ SQL.update({
     "reduction_pairs": with_(PARTICLES, P4, PAIRS) + (
         "SELECT evt, " + ", ".join(f"round({c}, 4) AS {c}" for c in
                                    ("e", "px", "py", "pz", "mass2", "pt", "phi", "eta")) + " FROM pq"),
+    "reduction_job": with_(PARTICLES, P4, PAIRS) + bundle_sql(
+        "(SELECT " + pair_derived() + " FROM (SELECT CAST(CAST(e AS FLOAT) AS DOUBLE) AS e, "
+        "CAST(CAST(px AS FLOAT) AS DOUBLE) AS px, CAST(CAST(py AS FLOAT) AS DOUBLE) AS py, "
+        "CAST(CAST(pz AS FLOAT) AS DOUBLE) AS pz FROM pairs) f)", PAIR_BINS),
     "strip_events": STRIP_SUMMARY,
     "sink_parquet_roundtrip": STRIP_SUMMARY,
     "sink_hist_json": SQL["b6_muon_bundle"],
