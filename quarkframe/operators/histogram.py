@@ -49,23 +49,28 @@ def _edges(bins: Sequence[Bin]) -> tuple[Column, Column]:
     return lo_e, hi_e
 
 
-def aggregate_items(items: DataFrame, bins: Sequence[Bin]) -> DataFrame:
-    """Count ``(label, bin)`` rows into the histogram table."""
+def aggregate_items(items: DataFrame, bins: Sequence[Bin], weight: str | None = None) -> DataFrame:
+    """Count ``(label, bin)`` rows (or sum their integer ``weight``) into the
+    histogram table."""
     lo_e, hi_e = _edges(bins)
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight).cast("long")
     return (items.where(F.col("bin").isNotNull())
-            .groupBy("label", "bin").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("label", "bin").agg(n.alias("n"))
             .select("label", "bin", lo_e.alias("lo"), hi_e.alias("hi"), "n"))
 
 
-def fill_bundle(df: DataFrame, bins: Sequence[Bin], element: str | Column | None = None) -> DataFrame:
+def fill_bundle(df: DataFrame, bins: Sequence[Bin], element: str | Column | None = None,
+                weight: str | None = None) -> DataFrame:
     """Fill every histogram of ``bins`` from the rows of ``df`` in one pass.
 
     ``element`` names a struct column whose fields the bins read (e.g. the
     exploded particle ``x``); without it bins read top-level columns.
+    ``weight`` names an integer column: each row then counts that many times.
     """
     el = F.col(element) if isinstance(element, str) else element
-    items = df.select(F.inline(bin_items(bins, el)))
-    return aggregate_items(items, bins)
+    cols = [F.col(weight).alias("_w")] if weight else []
+    items = df.select(*cols, F.inline(bin_items(bins, el)))
+    return aggregate_items(items, bins, "_w" if weight else None)
 
 
 def fill(df: DataFrame, b: Bin, element: str | Column | None = None) -> DataFrame:

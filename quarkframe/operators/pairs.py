@@ -83,6 +83,42 @@ def ordered_pairs(ev: DataFrame, coll: str = "muons", keep: Sequence[str] = ("ev
     return fast.unionByName(slow)
 
 
+def symmetric_pairs(ev: DataFrame, coll: str = "muons", keep: Sequence[str] = ("evt",),
+                    mass: float = K.MUON_MASS) -> DataFrame:
+    """J1 for symmetric uses: the pairs i <= j with a weight ``w``.
+
+    The pair sum is symmetric (``a + b == b + a`` exactly in IEEE
+    arithmetic), so any function of it over all n^2 ordered pairs equals the
+    weighted sum over i <= j with ``w = 1`` on the diagonal and ``w = 2``
+    off it. Histograms of pair quantities use this: half the pairs are
+    generated and evaluated, with identical counts.
+
+    Every row (ordinary event or fragment) pairs its own elements; fragments
+    of a split event are additionally paired across fragments (fa < fb),
+    through an equi-join restricted to split events.
+    """
+    keep = list(keep)
+    z = legs(coll)
+    base = ev.select(*keep, z.alias("z"))
+    a = base.select(*keep, "z", F.posexplode("z").alias("i", "a"))
+    tail = F.slice("z", F.col("i") + 1, F.size("z") - F.col("i"))
+    p = a.select(*keep, "a", F.posexplode(tail).alias("d", "b"))
+    w = F.when(F.col("d") == 0, F.lit(1)).otherwise(F.lit(2))
+    pa = K.p4(F.col("a.pt"), F.col("a.eta"), F.col("a.phi"), mass)
+    pb = K.p4(F.col("b.pt"), F.col("b.eta"), F.col("b.phi"), mass)
+    intra = p.select(*keep, K.p4_add(pa, pb).alias("pair"), w.alias("w"))
+    if not _is_store(ev):
+        return intra
+
+    hot = ev.where(F.col("n_frag") > 1).select(*keep, "frag", z.alias("z"))
+    left = hot.select(*keep, F.col("frag").alias("fa"), F.col("z").alias("va"))
+    right = hot.select(F.col("evt").alias("evt_r"), F.col("frag").alias("fb"), F.col("z").alias("vb"))
+    cross = (left.join(right, (F.col("evt") == F.col("evt_r")) & (F.col("fa") < F.col("fb")))
+             .drop("evt_r"))
+    c = _explode_pairs(cross, keep, "va", "vb", F.col("fa"), F.col("fb"), False, mass)
+    return intra.unionByName(c.select(*keep, "pair", F.lit(2).alias("w")))
+
+
 def _zip_sorted(coll: str, fields: Sequence[str]) -> Column:
     """Array of struct(fields...) sorted descending; ``fields[0]`` is the key."""
     z = F.arrays_zip(*[leaf(coll, f).alias(f) for f in fields])

@@ -187,12 +187,14 @@ def b5_muon_bundle_eq2(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
+    """All ordered pairs (self included) of events with >= 2 muons, as the
+    symmetric half with weights 1 (diagonal) / 2 (off-diagonal)."""
     ev = N.cut_size(_ev(spark, sf_dir), "muons", ">=", 2)
-    return P.ordered_pairs(ev, "muons").select("evt", "pair", *P.pair_columns("pair"))
+    return P.symmetric_pairs(ev, "muons").select("w", *P.pair_columns("pair"))
 
 
 def b5_pair_bundle(spark, sf_dir):
-    return fill_bundle(_pairs(spark, sf_dir), PAIR_BINS)
+    return fill_bundle(_pairs(spark, sf_dir), PAIR_BINS, weight="w")
 
 
 def b6_muon_bundle(spark, sf_dir):
@@ -200,11 +202,11 @@ def b6_muon_bundle(spark, sf_dir):
 
 
 def b6_pair_bundle(spark, sf_dir):
-    return fill_bundle(_pairs(spark, sf_dir), PAIR_BINS)
+    return fill_bundle(_pairs(spark, sf_dir), PAIR_BINS, weight="w")
 
 
 def pair_mass2_wide(spark, sf_dir):
-    return fill_bundle(_pairs(spark, sf_dir), [PAIR_MASS2_WIDE])
+    return fill_bundle(_pairs(spark, sf_dir), [PAIR_MASS2_WIDE], weight="w")
 
 
 QUERIES = {

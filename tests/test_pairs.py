@@ -74,3 +74,16 @@ def test_window_group_limit_in_split_top_k(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     # partial top-k before the shuffle: at most k rows per event and map task move
     assert "WindowGroupLimit" in plan
+
+
+def test_symmetric_weighted_pairs_equal_ordered(spark):
+    from quarkframe.functions.histogram import Bin
+    from quarkframe.operators.histogram import fill_bundle
+
+    bins = [Bin("m", 50, 0.0, 500.0, "mass2"), Bin("pt", 20, 0.0, 40.0, "pt")]
+    for split in (None, 2):
+        st = _as_store(spark, ROWS, split_evt=split)
+        full = fill_bundle(P.ordered_pairs(st).select(*P.pair_columns("pair")), bins)
+        half = fill_bundle(P.symmetric_pairs(st).select("w", *P.pair_columns("pair")), bins, weight="w")
+        assert sorted(map(tuple, full.collect())) == sorted(map(tuple, half.collect()))
+        assert P.symmetric_pairs(st).agg(F.sum("w")).first()[0] == sum(len(m) ** 2 for _, m in ROWS)
