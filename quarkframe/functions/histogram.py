@@ -14,7 +14,7 @@ NaN is tested first because Spark orders NaN above every number.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Callable, Union
+from typing import Union
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,8 +30,23 @@ def nan_bin(n: int) -> int:
     return n + 2
 
 
+def _d(x: float) -> str:
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def bin_index_sql(x: str, n: int, lo: float, hi: float) -> str:
+    """SQL text of the bin index of expression ``x``."""
+    x = f"CAST({x} AS DOUBLE)"
+    return (f"(CASE WHEN {x} IS NULL THEN CAST(NULL AS INT) WHEN isnan({x}) THEN {nan_bin(n)} "
+            f"WHEN {x} < {_d(lo)} THEN {UNDERFLOW} WHEN {x} >= {_d(hi)} THEN {overflow_bin(n)} "
+            f"ELSE CAST(floor({_d(n)} * ({x} - {_d(lo)}) / {_d(float(hi) - float(lo))}) AS INT) END)")
+
+
 def bin_index(x, n: int, lo: float, hi: float) -> Column:
-    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    """Bin index of ``x`` (SQL text / column name, or a Column)."""
+    if isinstance(x, str):
+        return F.expr(bin_index_sql(x, n, lo, hi))
+    x = x.cast("double")
     return (
         F.when(x.isNull(), F.lit(None).cast("int"))
         .when(F.isnan(x), F.lit(nan_bin(n)))
@@ -41,15 +56,14 @@ def bin_index(x, n: int, lo: float, hi: float) -> Column:
     )
 
 
-ValueFn = Union[str, Column, Callable[[Column], Column]]
+ValueFn = Union[str, Column]
 
 
 @dataclass(frozen=True)
 class Bin:
     """One 1-D fixed-width histogram: ``n`` bins over ``[lo, hi)`` of ``value``.
 
-    ``value`` is a column name, a Column, or a function of a struct Column
-    (the element being filled) returning a Column.
+    ``value`` is a SQL expression (usually a column name) or a Column.
     """
 
     label: str
@@ -58,10 +72,13 @@ class Bin:
     hi: float
     value: ValueFn
 
-    def expr(self, element: Column | None = None) -> Column:
-        v = self.value
-        if callable(v) and not isinstance(v, Column):
-            v = v(element)
-        elif isinstance(v, str):
-            v = element[v] if element is not None else F.col(v)
-        return bin_index(v, self.n, self.lo, self.hi)
+    def sql(self, element: str | None = None) -> str:
+        """SQL text of the bin index; ``element`` prefixes a struct column."""
+        assert isinstance(self.value, str)
+        v = f"{element}.{self.value}" if element else self.value
+        return bin_index_sql(v, self.n, self.lo, self.hi)
+
+    def expr(self, element: str | None = None) -> Column:
+        if isinstance(self.value, str):
+            return F.expr(self.sql(element))
+        return bin_index(self.value, self.n, self.lo, self.hi)

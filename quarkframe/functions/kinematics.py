@@ -1,4 +1,9 @@
-"""Kinematics as Column -> Column expressions (all JVM-side, codegen-friendly).
+"""Kinematics as Spark SQL expressions (all JVM-side, codegen-friendly).
+
+Inputs are SQL expression strings -- column names or paths such as
+``"a.pt"`` or ``"get(muons, 0).eta"`` -- and every function returns one
+``Column`` built from a single SQL expression, so building a query costs one
+round trip to the JVM per quantity rather than one per arithmetic node.
 
 Semantics follow the reference definitions, including its quirks, which are
 kept on purpose so that results agree:
@@ -17,8 +22,6 @@ sink.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,88 +31,118 @@ HIGGS_MUON_MASS = 0.105658367        # mass used by the two-muon Higgs formula
 PHI_AT_ZERO_PX = -3.14 / 2           # phi of a pair whose px is exactly zero
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def d(x: float) -> str:
+    """Double literal that parses back to exactly ``x``."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def _dbl(x: str) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+# ------------------------------------------------------------ SQL text builders
+
+def p4_sql(pt: str, eta: str, phi: str, mass: float = MUON_MASS) -> str:
+    """SQL struct(e, px, py, pz) of a candidate from (pt, eta, phi)."""
+    apt = f"abs({_dbl(pt)})"
+    px = f"({apt} * cos({_dbl(phi)}))"
+    py = f"({apt} * sin({_dbl(phi)}))"
+    pz = f"({apt} / tan({d(2.0)} * atan(exp(-{_dbl(eta)}))))"
+    e = f"sqrt({px} * {px} + {py} * {py} + {pz} * {pz} + {d(mass * mass)})"
+    return f"named_struct('e', {e}, 'px', {px}, 'py', {py}, 'pz', {pz})"
+
+
+def p4_add_sql(a: str, b: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', ({a}).{k} + ({b}).{k}" for k in ("e", "px", "py", "pz")) + ")"
+
+
+def mass2_sql(v: str) -> str:
+    return f"({v}.e * {v}.e - {v}.px * {v}.px - {v}.py * {v}.py - {v}.pz * {v}.pz)"
+
+
+def pt_sql(v: str) -> str:
+    return f"sqrt({v}.px * {v}.px + {v}.py * {v}.py)"
 
 
-def p4(pt, eta, phi, mass: float = MUON_MASS) -> Column:
+def phi_sql(v: str) -> str:
+    return f"(CASE WHEN {v}.px = 0 THEN {d(PHI_AT_ZERO_PX)} ELSE atan({v}.py / {v}.px) END)"
+
+
+def eta_sql(v: str) -> str:
+    num, den = f"({v}.e + {v}.pz)", f"({v}.e - {v}.pz)"
+    inf, ninf, nan = "CAST('Infinity' AS DOUBLE)", "CAST('-Infinity' AS DOUBLE)", "CAST('NaN' AS DOUBLE)"
+    return (f"(CASE WHEN {den} = 0 THEN (CASE WHEN {num} > 0 THEN {inf} WHEN {num} < 0 THEN {ninf} "
+            f"ELSE {nan} END) WHEN {num} / {den} = 0 THEN {ninf} WHEN {num} / {den} < 0 THEN {nan} "
+            f"ELSE {d(0.5)} * ln({num} / {den}) END)")
+
+
+def higgs_mass_sql(a: str, b: str) -> str:
+    """a, b: SQL structs with pt, eta, phi (the two muons)."""
+    def comps(x):
+        pt, eta, phi = (_dbl(f"{x}.{c}") for c in ("pt", "eta", "phi"))
+        return f"({pt} * cos({phi}))", f"({pt} * sin({phi}))", f"({pt} * sinh({eta}))"
+
+    px1, py1, pz1 = comps(a)
+    px2, py2, pz2 = comps(b)
+    m2 = d(HIGGS_MUON_MASS * HIGGS_MUON_MASS)
+    en1 = f"({px1} * {px1} + {py1} * {py1} + {pz1} * {pz1} + {m2})"
+    en2 = f"({px2} * {px2} + {py2} * {py2} + {pz2} * {pz2} + {m2})"
+    s = (f"(({en1} + {en2}) * ({en1} + {en2}) - ({px1} + {px2}) * ({px1} + {px2}) "
+         f"- ({py1} + {py2}) * ({py1} + {py2}) - ({pz1} + {pz2}) * ({pz1} + {pz2}))")
+    return f"(CASE WHEN {s} >= 0 THEN sqrt({s}) WHEN {s} < 0 THEN CAST('NaN' AS DOUBLE) END)"
+
+
+# ------------------------------------------------------------------- Columns
+
+def p4(pt: str, eta: str, phi: str, mass: float = MUON_MASS) -> Column:
     """Four-vector struct(e, px, py, pz) of a candidate from (pt, eta, phi)."""
-    pt_ = F.abs(_c(pt).cast("double"))
-    eta_ = _c(eta).cast("double")
-    phi_ = _c(phi).cast("double")
-    theta = F.lit(2.0) * F.atan(F.exp(-eta_))
-    px = pt_ * F.cos(phi_)
-    py = pt_ * F.sin(phi_)
-    pz = pt_ / F.tan(theta)
-    e = F.sqrt(px * px + py * py + pz * pz + F.lit(mass * mass))
-    return F.struct(e.alias("e"), px.alias("px"), py.alias("py"), pz.alias("pz"))
+    return F.expr(p4_sql(pt, eta, phi, mass))
 
 
-def p4_add(a, b) -> Column:
-    a, b = _c(a), _c(b)
-    return F.struct(*[(a[k] + b[k]).alias(k) for k in ("e", "px", "py", "pz")])
+def p4_add(a: str, b: str) -> Column:
+    """Component-wise sum of two four-vector structs (SQL texts)."""
+    return F.expr(p4_add_sql(a, b))
 
 
-def pair_mass2(v) -> Column:
-    v = _c(v)
-    return v["e"] * v["e"] - v["px"] * v["px"] - v["py"] * v["py"] - v["pz"] * v["pz"]
+def pair_mass2(v: str) -> Column:
+    return F.expr(mass2_sql(v))
 
 
-def pair_mass(v) -> Column:
+def pair_mass(v: str) -> Column:
     """Proper invariant mass: sqrt of the (clamped) squared mass."""
-    return F.sqrt(F.greatest(pair_mass2(v), F.lit(0.0)))
+    return F.expr(f"sqrt(greatest({mass2_sql(v)}, {d(0.0)}))")
 
 
-def pair_pt(v) -> Column:
-    v = _c(v)
-    return F.sqrt(v["px"] * v["px"] + v["py"] * v["py"])
+def pair_pt(v: str) -> Column:
+    return F.expr(pt_sql(v))
 
 
-def pair_phi(v) -> Column:
-    v = _c(v)
-    return F.when(v["px"] == 0, F.lit(PHI_AT_ZERO_PX)).otherwise(F.atan(v["py"] / v["px"]))
+def pair_phi(v: str) -> Column:
+    return F.expr(phi_sql(v))
 
 
-def pair_phi_atan2(v) -> Column:
-    v = _c(v)
-    return F.atan2(v["py"], v["px"])
+def pair_phi_atan2(v: str) -> Column:
+    return F.expr(f"atan2({v}.py, {v}.px)")
 
 
-def pair_eta(v) -> Column:
+def pair_eta(v: str) -> Column:
     """Rapidity 0.5*ln((e+pz)/(e-pz)) with IEEE results at the edges."""
-    v = _c(v)
-    num, den = v["e"] + v["pz"], v["e"] - v["pz"]
-    ratio = num / den
-    return (
-        F.when(den == 0, F.when(num > 0, F.lit(math.inf)).when(num < 0, F.lit(-math.inf))
-               .otherwise(F.lit(math.nan)))
-        .when(ratio == 0, F.lit(-math.inf))
-        .when(ratio < 0, F.lit(math.nan))
-        .otherwise(F.lit(0.5) * F.ln(ratio))
-    )
-
-
-def higgs_dimuon_mass(pt1, eta1, phi1, pt2, eta2, phi2) -> Column:
+    return F.expr(eta_sql(v))
+
+
+def higgs_dimuon_mass(a: str, b: str) -> Column:
     """Two-muon mass exactly as the Higgs example defines it.
 
-    Note the reference's "energy" is ``p^2 + m^2`` without a square root; the
-    result is kept as defined so histograms agree. ``invariant_mass`` below is
-    the physically correct variant. NULL inputs (missing muon) give NULL.
+    ``a``/``b`` are SQL structs with ``pt, eta, phi``. The reference's
+    "energy" is ``p^2 + m^2`` without a square root; the result is kept as
+    defined so histograms agree. ``invariant_mass`` is the physically correct
+    variant. A missing muon (NULL) gives NULL.
     """
-    def comps(pt, eta, phi):
-        pt, eta, phi = (_c(x).cast("double") for x in (pt, eta, phi))
-        return pt * F.cos(phi), pt * F.sin(phi), pt * F.sinh(eta)
-
-    px1, py1, pz1 = comps(pt1, eta1, phi1)
-    px2, py2, pz2 = comps(pt2, eta2, phi2)
-    m2 = F.lit(HIGGS_MUON_MASS * HIGGS_MUON_MASS)
-    en1 = px1 * px1 + py1 * py1 + pz1 * pz1 + m2
-    en2 = px2 * px2 + py2 * py2 + pz2 * pz2 + m2
-    s = ((en1 + en2) * (en1 + en2) - (px1 + px2) * (px1 + px2)
-         - (py1 + py2) * (py1 + py2) - (pz1 + pz2) * (pz1 + pz2))
-    return F.when(s >= 0, F.sqrt(s)).when(s < 0, F.lit(math.nan))
-
-
-def invariant_mass(pt1, eta1, phi1, pt2, eta2, phi2, mass: float = MUON_MASS) -> Column:
-    """Correct two-body invariant mass from (pt, eta, phi) of both legs."""
-    return pair_mass(p4_add(p4(pt1, eta1, phi1, mass), p4(pt2, eta2, phi2, mass)))
+    return F.expr(higgs_mass_sql(a, b))
+
+
+def invariant_mass(a: str, b: str, mass: float = MUON_MASS) -> Column:
+    """Correct two-body invariant mass of two (pt, eta, phi) structs."""
+    v = p4_add_sql(p4_sql(f"{a}.pt", f"{a}.eta", f"{a}.phi", mass),
+                   p4_sql(f"{b}.pt", f"{b}.eta", f"{b}.phi", mass))
+    return F.expr(f"sqrt(greatest({mass2_sql('(' + v + ')')}, {d(0.0)}))")

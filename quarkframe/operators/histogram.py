@@ -21,32 +21,33 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.histogram import UNDERFLOW, Bin, nan_bin, overflow_bin
+from ..functions.histogram import UNDERFLOW, Bin, _d, nan_bin, overflow_bin
 
 
-def bin_items(bins: Sequence[Bin], element: Column | None = None) -> Column:
+def bin_items(bins: Sequence[Bin], element: str | None = None) -> Column:
     """``array<struct<label, bin>>`` with one item per histogram."""
+    if all(isinstance(b.value, str) for b in bins):
+        return F.expr("array(" + ", ".join(
+            f"named_struct('label', '{b.label}', 'bin', {b.sql(element)})" for b in bins) + ")")
     return F.array(*[
         F.struct(F.lit(b.label).alias("label"), b.expr(element).alias("bin")) for b in bins
     ])
 
 
 def _edges(bins: Sequence[Bin]) -> tuple[Column, Column]:
-    lo_e = hi_e = None
+    """Bin edges (rounded to 6 places) as two SQL CASE expressions."""
+    lo_cases, hi_cases = [], []
     for b in bins:
-        width = (float(b.hi) - float(b.lo)) / float(b.n)
-        binc = F.col("bin")
-        lo_b = (F.when(binc == UNDERFLOW, F.lit(None).cast("double"))
-                .when(binc == overflow_bin(b.n), F.lit(float(b.hi)))
-                .when(binc == nan_bin(b.n), F.lit(None).cast("double"))
-                .otherwise(F.round(F.lit(float(b.lo)) + binc * F.lit(width), 6)))
-        hi_b = (F.when(binc == UNDERFLOW, F.lit(float(b.lo)))
-                .when(binc >= overflow_bin(b.n), F.lit(None).cast("double"))
-                .otherwise(F.round(F.lit(float(b.lo)) + (binc + 1) * F.lit(width), 6)))
-        cond = F.col("label") == b.label
-        lo_e = F.when(cond, lo_b) if lo_e is None else lo_e.when(cond, lo_b)
-        hi_e = F.when(cond, hi_b) if hi_e is None else hi_e.when(cond, hi_b)
-    return lo_e, hi_e
+        w = _d((float(b.hi) - float(b.lo)) / float(b.n))
+        lo_cases.append(
+            f"WHEN label = '{b.label}' THEN (CASE WHEN bin = {UNDERFLOW} THEN CAST(NULL AS DOUBLE) "
+            f"WHEN bin = {overflow_bin(b.n)} THEN {_d(b.hi)} WHEN bin = {nan_bin(b.n)} THEN CAST(NULL AS DOUBLE) "
+            f"ELSE round({_d(b.lo)} + bin * {w}, 6) END)")
+        hi_cases.append(
+            f"WHEN label = '{b.label}' THEN (CASE WHEN bin = {UNDERFLOW} THEN {_d(b.lo)} "
+            f"WHEN bin >= {overflow_bin(b.n)} THEN CAST(NULL AS DOUBLE) "
+            f"ELSE round({_d(b.lo)} + (bin + 1) * {w}, 6) END)")
+    return F.expr("CASE " + " ".join(lo_cases) + " END"), F.expr("CASE " + " ".join(hi_cases) + " END")
 
 
 def aggregate_items(items: DataFrame, bins: Sequence[Bin], weight: str | None = None) -> DataFrame:
@@ -59,7 +60,7 @@ def aggregate_items(items: DataFrame, bins: Sequence[Bin], weight: str | None =
             .select("label", "bin", lo_e.alias("lo"), hi_e.alias("hi"), "n"))
 
 
-def fill_bundle(df: DataFrame, bins: Sequence[Bin], element: str | Column | None = None,
+def fill_bundle(df: DataFrame, bins: Sequence[Bin], element: str | None = None,
                 weight: str | None = None) -> DataFrame:
     """Fill every histogram of ``bins`` from the rows of ``df`` in one pass.
 
@@ -67,9 +68,8 @@ def fill_bundle(df: DataFrame, bins: Sequence[Bin], element: str | Column | None
     exploded particle ``x``); without it bins read top-level columns.
     ``weight`` names an integer column: each row then counts that many times.
     """
-    el = F.col(element) if isinstance(element, str) else element
     cols = [F.col(weight).alias("_w")] if weight else []
-    items = df.select(*cols, F.inline(bin_items(bins, el)))
+    items = df.select(*cols, F.inline(bin_items(bins, element)))
     return aggregate_items(items, bins, "_w" if weight else None)
 
 

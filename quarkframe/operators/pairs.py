@@ -31,11 +31,6 @@ def _is_store(df: DataFrame) -> bool:
     return "n_frag" in df.columns
 
 
-def p4_array(coll: str, mass: float = K.MUON_MASS) -> Column:
-    """Four-vectors of a collection, reading only its pt/eta/phi leaves."""
-    return F.transform(legs(coll), lambda x: K.p4(x["pt"], x["eta"], x["phi"], mass))
-
-
 def legs(coll: str) -> Column:
     """``array<struct<pt, eta, phi>>`` of a collection (three leaves only)."""
     return F.arrays_zip(leaf(coll, "pt").alias("pt"), leaf(coll, "eta").alias("eta"),
@@ -51,9 +46,13 @@ def _explode_pairs(df: DataFrame, keep: Sequence[str], va: str, vb: str,
     p = a.select(*keep, "fa", "fb", "i", "a", F.posexplode(vb).alias("j", "b"))
     if unordered:
         p = p.where(F.struct("fa", "i") < F.struct("fb", "j"))
-    pa = K.p4(F.col("a.pt"), F.col("a.eta"), F.col("a.phi"), mass)
-    pb = K.p4(F.col("b.pt"), F.col("b.eta"), F.col("b.phi"), mass)
-    return p.select(*keep, "fa", "i", "fb", "j", K.p4_add(pa, pb).alias("pair"))
+    return p.select(*keep, "fa", "i", "fb", "j", _pair_sum(mass).alias("pair"))
+
+
+def _pair_sum(mass: float, a: str = "a", b: str = "b") -> Column:
+    """Sum of the four-vectors of the (pt, eta, phi) structs ``a`` and ``b``."""
+    return K.p4_add(K.p4_sql(f"{a}.pt", f"{a}.eta", f"{a}.phi", mass),
+                    K.p4_sql(f"{b}.pt", f"{b}.eta", f"{b}.phi", mass))
 
 
 def ordered_pairs(ev: DataFrame, coll: str = "muons", keep: Sequence[str] = ("evt",),
@@ -104,9 +103,7 @@ def symmetric_pairs(ev: DataFrame, coll: str = "muons", keep: Sequence[str] = ("
     tail = F.slice("z", F.col("i") + 1, F.size("z") - F.col("i"))
     p = a.select(*keep, "a", F.posexplode(tail).alias("d", "b"))
     w = F.when(F.col("d") == 0, F.lit(1)).otherwise(F.lit(2))
-    pa = K.p4(F.col("a.pt"), F.col("a.eta"), F.col("a.phi"), mass)
-    pb = K.p4(F.col("b.pt"), F.col("b.eta"), F.col("b.phi"), mass)
-    intra = p.select(*keep, K.p4_add(pa, pb).alias("pair"), w.alias("w"))
+    intra = p.select(*keep, _pair_sum(mass).alias("pair"), w.alias("w"))
     if not _is_store(ev):
         return intra
 
@@ -165,14 +162,12 @@ def top2_pair(ev: DataFrame, coll: str = "muons", keep: Sequence[str] = ("evt",)
     reference does.
     """
     t = event_top_k(ev, {coll: 2}, ("pt", "eta", "phi"), keep)
-    a, b = F.col(coll)[0], F.col(coll)[1]
     return (t.where(F.size(coll) >= 2)
-            .select(*keep, K.p4_add(K.p4(a["pt"], a["eta"], a["phi"], mass),
-                                    K.p4(b["pt"], b["eta"], b["phi"], mass)).alias("pair")))
+            .select(*keep, _pair_sum(mass, f"get({coll}, 0)", f"get({coll}, 1)").alias("pair")))
 
 
 def pair_columns(pair: str = "pair") -> list[Column]:
     """Derived pair quantities (M2-M5) as named columns."""
-    p = F.col(pair)
+    p = pair
     return [K.pair_mass2(p).alias("mass2"), K.pair_pt(p).alias("pt"),
             K.pair_phi(p).alias("phi"), K.pair_eta(p).alias("eta")]

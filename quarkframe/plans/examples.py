@@ -125,11 +125,11 @@ def higgs_lead_bundle(spark, sf_dir):
     Events with a single muon leave ``dimuon_mass`` unfilled (NULL)."""
     ev = N.cut_size(events(spark, sf_dir), "electrons", "!=", 0)
     t = _lead(ev, {"muons": 2, "electrons": 1})
-    m0, m1, e0 = N.element("muons", 0), N.element("muons", 1), N.element("electrons", 0)
+    m0, e0 = N.element("muons", 0), N.element("electrons", 0)
     vals = {
         "electron_pt": e0["pt"],
         "muon_pt": m0["pt"],
-        "dimuon_mass": K.higgs_dimuon_mass(m0["pt"], m0["eta"], m0["phi"], m1["pt"], m1["eta"], m1["phi"]),
+        "dimuon_mass": K.higgs_dimuon_mass("get(muons, 0)", "get(muons, 1)"),
         "muon_phi": m0["phi"],
         "muon_eta": m0["eta"],
     }
@@ -151,11 +151,11 @@ def lead_pair_mass(spark, sf_dir):
     example's formula and as the proper invariant mass."""
     ev = N.cut_size(events(spark, sf_dir), "muons", ">=", 2)
     t = _lead(ev, {"muons": 2})
-    a, b = N.element("muons", 0), N.element("muons", 1)
+    a, b = "get(muons, 0)", "get(muons, 1)"
     return t.select(
         "evt",
-        _r(K.higgs_dimuon_mass(a["pt"], a["eta"], a["phi"], b["pt"], b["eta"], b["phi"]), 4).alias("higgs_mass"),
-        _r(K.invariant_mass(a["pt"], a["eta"], a["phi"], b["pt"], b["eta"], b["phi"]), 6).alias("inv_mass"),
+        _r(K.higgs_dimuon_mass(a, b), 4).alias("higgs_mass"),
+        _r(K.invariant_mass(a, b), 6).alias("inv_mass"),
     )
 
 

@@ -46,9 +46,9 @@ def test_phi_guard_and_rapidity_edges(spark):
 
 def test_self_pair_of_built_candidate(spark):
     df = spark.createDataFrame([(10.0, 0.5, 1.0)], "pt float, eta float, phi float")
-    v = K.p4("pt", "eta", "phi")
-    r = df.select(K.pair_mass2(K.p4_add(v, v)).alias("m2"),
-                  K.pair_mass(K.p4_add(v, v)).alias("m")).first()
+    v = K.p4_sql("pt", "eta", "phi")
+    r = df.select(K.p4_add(v, v).alias("s")).select(
+        K.pair_mass2("s").alias("m2"), K.pair_mass("s").alias("m")).first()
     assert r.m2 == pytest.approx(4 * K.MUON_MASS ** 2, rel=1e-6)
     assert r.m == pytest.approx(2 * K.MUON_MASS, rel=1e-6)
 
@@ -60,15 +60,15 @@ def test_abs_pt_in_pair_builder(spark):
 
 
 def test_higgs_mass_missing_leg_is_null(spark):
-    df = spark.createDataFrame([(10.0, 0.1, 0.2, None, None, None)],
-                               "a float, b float, c float, d float, e float, f float")
-    r = df.select(K.higgs_dimuon_mass("a", "b", "c", "d", "e", "f").alias("m")).first()
+    df = spark.createDataFrame([((10.0, 0.1, 0.2), None)],
+                               "a struct<pt:float,eta:float,phi:float>, b struct<pt:float,eta:float,phi:float>")
+    r = df.select(K.higgs_dimuon_mass("a", "b").alias("m")).first()
     assert r.m is None
 
 
 def test_invariant_mass_back_to_back(spark):
     # two massless-ish legs back to back in phi at eta 0: m ~ 2 pt
-    df = spark.createDataFrame([(50.0, 0.0, 0.0, 50.0, 0.0, math.pi)],
-                               "a double, b double, c double, d double, e double, f double")
-    r = df.select(K.invariant_mass("a", "b", "c", "d", "e", "f").alias("m")).first()
+    df = spark.createDataFrame([((50.0, 0.0, 0.0), (50.0, 0.0, math.pi))],
+                               "a struct<pt:double,eta:double,phi:double>, b struct<pt:double,eta:double,phi:double>")
+    r = df.select(K.invariant_mass("a", "b").alias("m")).first()
     assert r.m == pytest.approx(100.0, rel=1e-4)
