@@ -85,9 +85,13 @@ def _event_summary(st: DataFrame) -> DataFrame:
                        .alias(f"sum_pt_{c}"))
     per_row.append(F.aggregate(F.col("muons.vertex.cs.z"), F.lit(0.0), lambda a, x: a + x.cast("double"))
                    .alias("sum_vz_muons"))
-    rows = st.select("evt", "frag", "n_frag", *[f"n_{c}" for c in schemas.COLLECTIONS], *per_row)
+    split = "n_frag" in st.columns
+    frag_cols = ["frag", "n_frag"] if split else []
+    rows = st.select("evt", *frag_cols, *[f"n_{c}" for c in schemas.COLLECTIONS], *per_row)
     sums = [f"sum_pt_{c}" for c in schemas.COLLECTIONS] + ["sum_vz_muons"]
     out = [F.col(f"n_{c}") for c in schemas.COLLECTIONS]
+    if not split:
+        return rows.select("evt", *out, *[_r(s, 3).alias(s) for s in sums])
     fast = rows.where(F.col("n_frag") == 1).select("evt", *out, *[_r(s, 3).alias(s) for s in sums])
     hot = (rows.where(F.col("n_frag") > 1)
            .groupBy("evt", *[f"n_{c}" for c in schemas.COLLECTIONS])
@@ -102,8 +106,9 @@ def strip_events(spark, sf_dir):
 
 def sink_parquet_roundtrip(spark, sf_dir):
     """Write the stripped events to a fresh folder, read them back."""
-    path = sinks.write_parquet(stripped_events(events(spark, sf_dir)), sinks.fresh_output(spark, "stripped"))
-    return _event_summary(spark.read.schema(schemas.EVENT_TABLE).parquet(path))
+    st = stripped_events(events(spark, sf_dir))
+    path = sinks.write_parquet(st, sinks.fresh_output(spark, "stripped"))
+    return _event_summary(spark.read.schema(st.schema).parquet(path))
 
 
 def sink_hist_json(spark, sf_dir):

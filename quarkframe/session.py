@@ -75,6 +75,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Create an empty marker file through Hadoop FS."""
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.create(jpath, True).close()
+
+
 def source_fingerprint(paths: list[str]) -> str:
     """Cheap identity of input files (size + mtime) to key derived tables."""
     import hashlib

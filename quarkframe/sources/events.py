@@ -37,13 +37,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..session import derived_path, path_exists, source_fingerprint
+from ..session import derived_path, path_exists, source_fingerprint, touch
 
 log = logging.getLogger(__name__)
 
 CHUNK = 4096                 # max particles of one collection kept in one row
 HOT_BROADCAST_LIMIT = 1_000_000   # broadcast the hot-event map only below this many entries
-STORE_VERSION = "v2"
+STORE_VERSION = "v3"
+NO_SPLIT_MARKER = "_NO_SPLIT_EVENTS"   # written when no event needed splitting
 
 _KIND_OF = {"photons": 0, "electrons": 1, "jets": 2, "met": 3}
 
@@ -88,8 +89,11 @@ def _sorted_collect(cond: Column | None) -> Column:
 
 
 def build_event_table(orders: DataFrame, lineitem: DataFrame, chunk: int = CHUNK,
-                      hot_broadcast_limit: int = HOT_BROADCAST_LIMIT) -> DataFrame:
-    """Nested event fragments from the flat tables (lazy except one count)."""
+                      hot_broadcast_limit: int = HOT_BROADCAST_LIMIT,
+                      stats: dict | None = None) -> DataFrame:
+    """Nested event fragments from the flat tables (lazy except one count).
+
+    ``stats``, if given, receives ``n_split``: the number of split events."""
     parts = particles(lineitem)
     size_cols = [F.count(F.lit(1)).cast("int").alias("n_muons")] + [
         F.count_if(F.col("kind") == k).cast("int").alias(f"n_{c}") for c, k in _KIND_OF.items()
@@ -99,6 +103,8 @@ def build_event_table(orders: DataFrame, lineitem: DataFrame, chunk: int = CHUNK
     hot = (sizes.where(F.col("n_muons") > chunk)
            .withColumn("n_frag", F.ceil(F.col("n_muons") / F.lit(chunk)).cast("int")))
     n_hot = hot.count()
+    if stats is not None:
+        stats["n_split"] = n_hot
     colls = [_sorted_collect(None).alias("muons"),
              *[_sorted_collect(F.col("kind") == k).alias(c) for c, k in _KIND_OF.items()]]
     if n_hot:
@@ -155,6 +161,9 @@ def build_event_table(orders: DataFrame, lineitem: DataFrame, chunk: int = CHUNK
 def events(spark: SparkSession, sf_dir: str, chunk: int | None = None) -> DataFrame:
     """Scan of the nested event store for ``sf_dir``, building it on first use.
 
+    When the store holds no split event, the fragment columns are dropped
+    and the result is a plain one-row-per-event table.
+
     The store is keyed by the input files' identity and written with the
     Parquet committer, so a lost executor only re-runs its tasks and a
     finished store is reused by every later query.
@@ -164,9 +173,18 @@ def events(spark: SparkSession, sf_dir: str, chunk: int | None = None) -> DataFr
     key = f"{STORE_VERSION}-{source_fingerprint(srcs)}-c{chunk}"
     path = derived_path(spark, "events", key)
     if not path_exists(spark, path + "/_SUCCESS"):
-        ev = build_event_table(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), chunk)
+        stats: dict = {}
+        ev = build_event_table(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), chunk,
+                               stats=stats)
         ev.write.mode("overwrite").parquet(path)
-    return read_events(spark, path)
+        if stats.get("n_split") == 0:
+            touch(spark, path + "/" + NO_SPLIT_MARKER)
+    ev = read_events(spark, path)
+    if path_exists(spark, path + "/" + NO_SPLIT_MARKER):
+        # Every row is a whole event: serve a plain nested event table, so
+        # operators take only their row-local path.
+        return ev.drop("frag", "n_frag")
+    return ev
 
 
 def read_events(spark: SparkSession, path: str, schema: str = schemas.EVENT_TABLE) -> DataFrame:

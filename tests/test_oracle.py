@@ -63,6 +63,13 @@ def test_split_store_really_splits(spark, monkeypatch):
     assert per_ev.where(F.col("s") != F.col("n_muons")).count() == 0
 
 
+def test_unsplit_store_is_plain_event_table(spark):
+    ev = ev_src.events(spark, SF_SMALL)
+    assert "n_frag" not in ev.columns and "frag" not in ev.columns
+    assert ev.count() == ev.select("evt").distinct().count()
+    assert "n_frag" in ev_src.events(spark, SF_SMALL, chunk=3).columns
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["label", "bin", "lo", "hi", "n"]

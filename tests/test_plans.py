@@ -38,5 +38,5 @@ def test_pair_bundle_reads_three_leaves(spark):
 def test_size_cut_reads_no_collection(spark):
     plan = _plan(E.queries()["b4_count_n_eq2"](spark, SF_SMALL))
     schema = [ln for ln in plan.splitlines() if "ReadSchema" in ln][0].split("ReadSchema:")[1]
-    assert schema.strip() == "struct<frag:int,n_muons:int>"
+    assert schema.strip() == "struct<n_muons:int>"
     assert "PushedFilters" in plan and "EqualTo(n_muons,2)" in plan
