@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_to
+
 # The run labels the reference's two scaling sweeps hold fixed.
 FIXED_EXECUTORS = 14
 FIXED_THREADS = 70
@@ -31,16 +33,16 @@ TOTALS = {
     "duration_s": ("duration", 1e3),
 }
 
-# per-task series of the distribution charts: name -> (Column builder, divisor)
+# per-task series of the distribution charts: name -> (SQL expression, divisor)
 SERIES = {
-    "duration": (lambda: F.col("duration"), 1e3),
-    "finish_launch": (lambda: F.col("finish") - F.col("launch"), 1e3),
-    "getting_result": (lambda: F.col("getting_result"), 1e3),
-    "exe_run": (lambda: F.col("run_ms"), 1e3),
-    "cpu": (lambda: F.col("cpu_ns"), 1e9),
-    "deser_cpu": (lambda: F.col("deser_cpu_ns"), 1e9),
-    "deser": (lambda: F.col("deser_ms"), 1e3),
-    "gc": (lambda: F.col("gc_ms"), 1e3),
+    "duration": ("duration", 1e3),
+    "finish_launch": ("finish - launch", 1e3),
+    "getting_result": ("getting_result", 1e3),
+    "exe_run": ("run_ms", 1e3),
+    "cpu": ("cpu_ns", 1e9),
+    "deser_cpu": ("deser_cpu_ns", 1e9),
+    "deser": ("deser_ms", 1e3),
+    "gc": ("gc_ms", 1e3),
 }
 
 KEY = ["run", "job_id"]
@@ -134,7 +136,8 @@ def task_series(jobs: DataFrame, stages: DataFrame, tasks: DataFrame, subset: st
     j = sweep_subsets(jobs).where(F.col("subset") == subset).select("group_id", *KEY, "n_exec", "n_thread")
     so = stage_ordinals(stages).select(*KEY, "stage_id", "ordinal")
     t = tasks.select(*KEY, "stage_id", "executor_id", "task_id",
-                     *[F.round(c().cast("double") / F.lit(d), 6).alias(n) for n, (c, d) in SERIES.items()])
+                     *[round_to(f"CAST({c} AS DOUBLE) / CAST('{d!r}' AS DOUBLE)", 6).alias(n)
+                       for n, (c, d) in SERIES.items()])
     wide = t.join(j, KEY).join(so, KEY + ["stage_id"])
     long = wide.unpivot(["group_id", "job_id", "n_exec", "n_thread", "ordinal", "executor_id", "task_id"],
                         list(SERIES), "series", "seconds")

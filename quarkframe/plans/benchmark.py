@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.histogram import Bin
+from ..functions.rounding import round_to
 from ..operators import aggregate as A
 from ..operators import nested as N
 from ..operators import pairs as P
@@ -108,6 +109,9 @@ def b4_sum_of_group_counts(spark, sf_dir):
     return A.sum_of_group_counts(A.size_histogram(_ev(spark, sf_dir), "muons"))
 
 
+_PT_SQ = "CAST(x.pt AS DOUBLE) * CAST(x.pt AS DOUBLE)"
+
+
 def _muons_of_pairs_events(spark, sf_dir):
     ev = N.cut_size(_ev(spark, sf_dir), "muons", "==", 2)
     return N.flatten(ev, "muons", "x", keep=["evt"])
@@ -127,16 +131,14 @@ def b4_max_pt_particle(spark, sf_dir):
 def b4_foreach_eq2(spark, sf_dir):
     """B4.Q7: the per-particle computation the reference runs for effect."""
     x = _muons_of_pairs_events(spark, sf_dir)
-    pt = F.col("x.pt").cast("double")
-    return x.select("evt", F.col("x.pt").alias("pt"), F.round(pt * pt, 4).alias("pt_sq"))
+    return x.select("evt", F.col("x.pt").alias("pt"), round_to(_PT_SQ, 4).alias("pt_sq"))
 
 
 def b4_cut_particles(spark, sf_dir):
     """B4.Q8: element cut ``pt > 10 && eta < 2.4`` inside size-2 events."""
     x = _muons_of_pairs_events(spark, sf_dir).where((F.col("x.pt") > 10.0) & (F.col("x.eta") < 2.4))
-    pt = F.col("x.pt").cast("double")
     return x.select("evt", F.col("x.pt").alias("pt"), F.col("x.eta").alias("eta"),
-                    F.round(pt * pt, 4).alias("pt_sq"))
+                    round_to(_PT_SQ, 4).alias("pt_sq"))
 
 
 def _top2_pairs(spark, sf_dir):
@@ -152,8 +154,8 @@ def b4_max_pair_mass2(spark, sf_dir):
 def b4_top2_pair_products(spark, sf_dir):
     """B4.Q10: per event leading pair and the product mass^2 * e."""
     t = _top2_pairs(spark, sf_dir)
-    return t.select("evt", F.round("pair.e", 4).alias("e"), F.round("mass2", 4).alias("mass2"),
-                    F.round(F.col("mass2") * F.col("pair.e"), 2).alias("mass_e"))
+    return t.select("evt", round_to("pair.e", 4).alias("e"), round_to("mass2", 4).alias("mass2"),
+                    round_to("mass2 * pair.e", 2).alias("mass_e"))
 
 
 # ---------------------------------------------------------------------- B5/B6

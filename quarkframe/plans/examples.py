@@ -6,12 +6,13 @@ Each is ``(spark, sf_dir) -> DataFrame`` over the nested event store.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import kinematics as K
 from ..functions.histogram import Bin
+from ..functions.rounding import round_to
 from ..operators import nested as N
 from ..operators import pairs as P
 from ..operators.histogram import fill_bundle
@@ -34,18 +35,14 @@ PHOTON_RANGES = {
 }
 
 
-def _r(c, d=4) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, d)
-
-
 # ------------------------------------------------------------------ reduction
 
 def reduction_pairs(spark, sf_dir):
     """All ordered muon pairs (self included) of events with >= 2 muons."""
     ev = N.cut_size(events(spark, sf_dir), "muons", ">=", 2)
     p = P.ordered_pairs(ev, "muons").select("evt", "pair", *P.pair_columns("pair"))
-    return p.select("evt", *[_r(F.col("pair")[c]).alias(c) for c in ("e", "px", "py", "pz")],
-                    *[_r(c).alias(c) for c in ("mass2", "pt", "phi", "eta")])
+    return p.select("evt", *[round_to(f"pair.{c}", 4).alias(c) for c in ("e", "px", "py", "pz")],
+                    *[round_to(c, 4).alias(c) for c in ("mass2", "pt", "phi", "eta")])
 
 
 def reduced_pair_table(ev: DataFrame) -> DataFrame:
@@ -90,12 +87,14 @@ def _event_summary(st: DataFrame) -> DataFrame:
     rows = st.select("evt", *frag_cols, *[f"n_{c}" for c in schemas.COLLECTIONS], *per_row)
     sums = [f"sum_pt_{c}" for c in schemas.COLLECTIONS] + ["sum_vz_muons"]
     out = [F.col(f"n_{c}") for c in schemas.COLLECTIONS]
+    rounded = [round_to(s, 3).alias(s) for s in sums]
     if not split:
-        return rows.select("evt", *out, *[_r(s, 3).alias(s) for s in sums])
-    fast = rows.where(F.col("n_frag") == 1).select("evt", *out, *[_r(s, 3).alias(s) for s in sums])
+        return rows.select("evt", *out, *rounded)
+    fast = rows.where(F.col("n_frag") == 1).select("evt", *out, *rounded)
     hot = (rows.where(F.col("n_frag") > 1)
            .groupBy("evt", *[f"n_{c}" for c in schemas.COLLECTIONS])
-           .agg(*[_r(F.sum(s), 3).alias(s) for s in sums]))
+           .agg(*[F.sum(s).alias(s) for s in sums])
+           .select("evt", *out, *rounded))
     return fast.unionByName(hot)
 
 
@@ -157,11 +156,8 @@ def lead_pair_mass(spark, sf_dir):
     ev = N.cut_size(events(spark, sf_dir), "muons", ">=", 2)
     t = _lead(ev, {"muons": 2})
     a, b = "get(muons, 0)", "get(muons, 1)"
-    return t.select(
-        "evt",
-        _r(K.higgs_dimuon_mass(a, b), 4).alias("higgs_mass"),
-        _r(K.invariant_mass(a, b), 6).alias("inv_mass"),
-    )
+    return t.select("evt", K.higgs_dimuon_mass(a, b).alias("h"), K.invariant_mass(a, b).alias("m")).select(
+        "evt", round_to("h", 4).alias("higgs_mass"), round_to("m", 6).alias("inv_mass"))
 
 
 # ---------------------------------------------------------- nested-path ingest

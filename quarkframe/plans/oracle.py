@@ -97,6 +97,14 @@ def bundle_sql(source: str, bins: list[Bin]) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def fround(x: str, digits: int) -> str:
+    """Same rounding as functions.rounding (floor(x*10^d + 0.5)/10^d)."""
+    s = _f(10.0 ** digits)
+    v = f"CAST({x} AS DOUBLE)"
+    return (f"(CASE WHEN isnan({v}) OR abs({v}) = CAST('inf' AS DOUBLE) THEN {v} "
+            f"ELSE floor({v} * {s} + {_f(0.5)}) / {s} END)")
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 
@@ -156,14 +164,15 @@ SQL: dict[str, str] = {
         "WHERE evt IN (SELECT evt FROM ev WHERE n = 2) "
         "ORDER BY pt DESC, eta DESC, phi DESC, evt DESC LIMIT 1"),
     "b4_foreach_eq2": BASE + (
-        "SELECT evt, pt, round(CAST(pt AS DOUBLE) * CAST(pt AS DOUBLE), 4) AS pt_sq FROM p "
+        f"SELECT evt, pt, {fround('CAST(pt AS DOUBLE) * CAST(pt AS DOUBLE)', 4)} AS pt_sq FROM p "
         "WHERE evt IN (SELECT evt FROM ev WHERE n = 2)"),
     "b4_cut_particles": BASE + (
-        "SELECT evt, pt, eta, round(CAST(pt AS DOUBLE) * CAST(pt AS DOUBLE), 4) AS pt_sq FROM p "
+        f"SELECT evt, pt, eta, {fround('CAST(pt AS DOUBLE) * CAST(pt AS DOUBLE)', 4)} AS pt_sq FROM p "
         f"WHERE evt IN (SELECT evt FROM ev WHERE n = 2) AND pt > {_f(10.0)} AND eta < {_f(2.4)}"),
     "b4_max_pair_mass2": with_(PARTICLES, P4, TOP2) + "SELECT round(MAX(mass2), 4) AS max_mass2 FROM t2",
     "b4_top2_pair_products": with_(PARTICLES, P4, TOP2) + (
-        "SELECT evt, round(e, 4) AS e, round(mass2, 4) AS mass2, round(mass2 * e, 2) AS mass_e FROM t2"),
+        f"SELECT evt, {fround('e', 4)} AS e, {fround('mass2', 4)} AS mass2, "
+        f"{fround('mass2 * e', 2)} AS mass_e FROM t2"),
     "b5_count_events": "SELECT COUNT(*) AS n_events FROM orders",
     "b5_muon_bundle_gt0": BASE + bundle_sql("p", CANDIDATE_BINS),
     "b5_muon_bundle_eq2": BASE + bundle_sql("(SELECT * FROM p WHERE evt IN (SELECT evt FROM ev WHERE n = 2))",
@@ -216,17 +225,17 @@ _COLL_KIND = {"photons": 0, "electrons": 1, "jets": 2, "met": 3}
 STRIP_SUMMARY = BASE + (
     "SELECT evt, CAST(COUNT(*) AS INTEGER) AS n_muons, "
     + ", ".join(f"CAST(COUNT(CASE WHEN kind = {k} THEN 1 END) AS INTEGER) AS n_{c}" for c, k in _COLL_KIND.items())
-    + ", round(SUM(CAST(pt AS DOUBLE)), 3) AS sum_pt_muons, "
-    + ", ".join(f"round(COALESCE(SUM(CASE WHEN kind = {k} THEN CAST(pt AS DOUBLE) END), 0), 3) AS sum_pt_{c}"
+    + f", {fround('SUM(CAST(pt AS DOUBLE))', 3)} AS sum_pt_muons, "
+    + ", ".join(f"{fround(f'COALESCE(SUM(CASE WHEN kind = {k} THEN CAST(pt AS DOUBLE) END), 0)', 3)} AS sum_pt_{c}"
                 for c, k in _COLL_KIND.items())
-    + ", round(SUM(CAST(vz AS DOUBLE)), 3) AS sum_vz_muons "
+    + f", {fround('SUM(CAST(vz AS DOUBLE))', 3)} AS sum_vz_muons "
     "FROM p WHERE evt IN (SELECT evt FROM ev WHERE n >= 2) GROUP BY evt")
 
 from .examples import HIGGS_RANGES, PHOTON_RANGES  # noqa: E402
 
 SQL.update({
     "reduction_pairs": with_(PARTICLES, P4, PAIRS) + (
-        "SELECT evt, " + ", ".join(f"round({c}, 4) AS {c}" for c in
+        "SELECT evt, " + ", ".join(f"{fround(c, 4)} AS {c}" for c in
                                    ("e", "px", "py", "pz", "mass2", "pt", "phi", "eta")) + " FROM pq"),
     "reduction_job": with_(PARTICLES, P4, PAIRS) + bundle_sql(
         "(SELECT " + pair_derived() + " FROM (SELECT CAST(CAST(e AS FLOAT) AS DOUBLE) AS e, "
@@ -240,9 +249,9 @@ SQL.update({
     "photon_lead_bundle": with_(PARTICLES, RANKS) + bundle_sql(
         "(SELECT * FROM rg WHERE rn = 1)", [Bin(k, *PHOTON_RANGES[k], k) for k in PHOTON_RANGES]),
     "lead_pair_mass": with_(PARTICLES, P4, TOP2) + (
-        "SELECT a.evt, round(" + higgs_sql("a", "b") + ", 4) AS higgs_mass, "
-        "round(sqrt(greatest((a.e + b.e) * (a.e + b.e) - (a.px + b.px) * (a.px + b.px) "
-        "- (a.py + b.py) * (a.py + b.py) - (a.pz + b.pz) * (a.pz + b.pz), 0)), 6) AS inv_mass "
+        "SELECT a.evt, " + fround(higgs_sql("a", "b"), 4) + " AS higgs_mass, "
+        + fround("sqrt(greatest((a.e + b.e) * (a.e + b.e) - (a.px + b.px) * (a.px + b.px) "
+                 "- (a.py + b.py) * (a.py + b.py) - (a.pz + b.pz) * (a.pz + b.pz), 0))", 6) + " AS inv_mass "
         "FROM ranked a JOIN ranked b ON a.evt = b.evt AND a.rn = 1 AND b.rn = 2"),
     "aod_path_sum_pt_lt10": SQL["b2_sum_pt_lt10"],
 })
@@ -325,7 +334,7 @@ SQL.update({
         "round((completion - submission) / 1000.0, 3) AS seconds FROM sub JOIN so ON so.job_id = sub.job_id"),
     "k_task_series": _MW + "\nUNION ALL\n".join(
         f"SELECT group_id, t.job_id, n_exec, n_thread, ordinal, executor_id, t.task_id, '{name}' AS series, "
-        f"round(CAST({expr} AS DOUBLE) / {_f(d)}, 6) AS seconds "
+        f"{fround(f'CAST({expr} AS DOUBLE) / {_f(d)}', 6)} AS seconds "
         "FROM tasks t JOIN sub ON sub.job_id = t.job_id AND sub.subset = 'executors' "
         "JOIN so ON so.job_id = t.job_id AND so.stage_id = t.stage_id"
         for name, (expr, d) in _SERIES_SQL.items()),

@@ -72,3 +72,20 @@ def test_invariant_mass_back_to_back(spark):
                                "a struct<pt:double,eta:double,phi:double>, b struct<pt:double,eta:double,phi:double>")
     r = df.select(K.invariant_mass("a", "b").alias("m")).first()
     assert r.m == pytest.approx(100.0, rel=1e-4)
+
+
+def test_round_to_matches_floor_half_up(spark):
+    from quarkframe.functions.rounding import round_to
+    vals = [1.23456, -1.23456, 2.5e-5, -2.5e-5, 0.0, 1e6 + 0.12345, float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(round_to("x", 4)).collect()]
+    import math
+    for v, g in zip(vals, got):
+        if v is None:
+            assert g is None
+        elif math.isnan(v):
+            assert math.isnan(g)
+        elif math.isinf(v):
+            assert g == v
+        else:
+            assert g == math.floor(v * 1e4 + 0.5) / 1e4
