@@ -43,7 +43,7 @@ log = logging.getLogger(__name__)
 
 CHUNK = 4096                 # max particles of one collection kept in one row
 HOT_BROADCAST_LIMIT = 1_000_000   # broadcast the hot-event map only below this many entries
-STORE_VERSION = "v3"
+STORE_VERSION = "v4"
 NO_SPLIT_MARKER = "_NO_SPLIT_EVENTS"   # written when no event needed splitting
 
 _KIND_OF = {"photons": 0, "electrons": 1, "jets": 2, "met": 3}
@@ -81,11 +81,23 @@ def particles(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def _sorted_collect(cond: Column | None) -> Column:
-    item = F.struct(F.col("c.pt").alias("k"), F.col("c").alias("c"))
-    if cond is not None:
-        item = F.when(cond, item)
-    return F.transform(F.sort_array(F.collect_list(item), asc=False), lambda s: s["c"])
+def _sorted_particles() -> Column:
+    """One list per group of ``(k=pt, c, kind)``, sorted by pt descending."""
+    item = F.struct(F.col("c.pt").alias("k"), F.col("c").alias("c"), F.col("kind").alias("kind"))
+    return F.sort_array(F.collect_list(item), asc=False).alias("s")
+
+
+def _of_kind(k: int):
+    return lambda x: x["kind"] == F.lit(k)
+
+
+def _collections(grouped: DataFrame, keys: list[str]) -> DataFrame:
+    """Split the sorted particle list into the five collections. Filtering a
+    sorted list keeps its order, so one collect and one sort serve all five."""
+    return grouped.select(
+        *keys,
+        F.transform("s", lambda x: x["c"]).alias("muons"),
+        *[F.transform(F.filter("s", _of_kind(k)), lambda x: x["c"]).alias(c) for c, k in _KIND_OF.items()])
 
 
 def build_event_table(orders: DataFrame, lineitem: DataFrame, chunk: int = CHUNK,
@@ -105,8 +117,6 @@ def build_event_table(orders: DataFrame, lineitem: DataFrame, chunk: int = CHUNK
     n_hot = hot.count()
     if stats is not None:
         stats["n_split"] = n_hot
-    colls = [_sorted_collect(None).alias("muons"),
-             *[_sorted_collect(F.col("kind") == k).alias(c) for c, k in _KIND_OF.items()]]
     if n_hot:
         hot_map = hot.select("evt", "n_frag", *[f"n_{c}" for c in schemas.COLLECTIONS])
         if n_hot <= hot_broadcast_limit:
@@ -118,11 +128,11 @@ def build_event_table(orders: DataFrame, lineitem: DataFrame, chunk: int = CHUNK
             F.when(F.col("n_frag").isNull(), F.lit(0))
             .otherwise(F.pmod(F.xxhash64("c"), F.col("n_frag")).cast("int")))
         # (evt, frag) spreads a hot event over many reducers
-        frags = parts.groupBy("evt", "frag").agg(*colls)
+        frags = _collections(parts.groupBy("evt", "frag").agg(_sorted_particles()), ["evt", "frag"])
     else:
         # no split event: group on the event key alone, so the result is
         # already partitioned for the join with ``orders`` below
-        frags = parts.groupBy("evt").agg(*colls).withColumn("frag", F.lit(0))
+        frags = _collections(parts.groupBy("evt").agg(_sorted_particles()), ["evt"]).withColumn("frag", F.lit(0))
 
     if n_hot:
         frags = frags.join(hot_map, "evt", "left")
