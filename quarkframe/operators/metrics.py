@@ -46,6 +46,7 @@ SERIES = {
 }
 
 KEY = ["run", "job_id"]
+ORDINAL_BUCKET = 4096   # stage ids per window partition of the ordinal
 
 
 def parallelism() -> Column:
@@ -108,14 +109,24 @@ def totals(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
             .select("subset", "group_id", "job_id", parallelism(), *TOTALS.keys()))
 
 
-def stage_ordinals(stages: DataFrame) -> DataFrame:
+def stage_ordinals(stages: DataFrame, bucket: int = ORDINAL_BUCKET) -> DataFrame:
     """Ordinal of each stage inside its job, by stage id, from 0.
 
-    The window holds the *stages* of one job (a job's DAG size), never its
-    tasks.
+    Exact, and safe when one job holds a large share of all stages: stage
+    ids are cut into ranges of ``bucket`` consecutive ids; a partial
+    aggregate counts the stages of every (job, range), a window over those
+    counts (one row per range) gives each range's offset, and
+    ``row_number`` runs only inside one (job, range). No window partition
+    holds more than ``bucket`` stage ids.
     """
-    w = Window.partitionBy(*KEY).orderBy("stage_id")
-    return stages.withColumn("ordinal", (F.row_number().over(w) - 1).cast("int"))
+    s = stages.withColumn("_b", F.floor(F.col("stage_id") / F.lit(bucket)))
+    before = Window.partitionBy(*KEY).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (s.groupBy(*KEY, "_b").agg(F.count(F.lit(1)).alias("_n"))
+               .select(*KEY, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    w = Window.partitionBy(*KEY, "_b").orderBy("stage_id")
+    return (s.join(offsets, KEY + ["_b"])
+            .withColumn("ordinal", (F.col("_off") + F.row_number().over(w) - 1).cast("int"))
+            .drop("_b", "_off"))
 
 
 def stage_time_by_ordinal(jobs: DataFrame, stages: DataFrame) -> DataFrame:
