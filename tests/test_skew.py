@@ -21,7 +21,8 @@ from conftest import SF_SMALL
 QUERIES = [
     "b2_count_pt", "b4_size_histogram", "b4_count_n_gt2", "b4_max_pair_mass2", "b4_top2_pair_products",
     "b5_muon_bundle_gt0", "b5_pair_bundle", "pair_mass2_wide", "higgs_lead_bundle", "photon_lead_bundle",
-    "lead_pair_mass", "strip_events", "k_totals", "k_stage_summary",
+    "lead_pair_mass", "strip_events", "k_totals", "k_stage_summary", "k_stage_time_by_ordinal", "k_task_series",
+    "k_cpu_efficiency", "reduction_job",
 ]
 
 
@@ -69,3 +70,25 @@ def test_queries_on_skewed_tables(spark, skewed_dir, name, monkeypatch):
     assert sorted(cols) == sorted(rel.columns)
     assert len(rows) == len(orows)
     assert _key(cols, rows) == _key(rel.columns, orows)
+
+
+def test_reduction_pairs_on_skewed_tables(spark, skewed_dir, monkeypatch):
+    """All ordered pairs of the hot event (millions of rows): compared by
+    per-event count, min and max of every column, computed on both sides."""
+    monkeypatch.setattr(ev_src, "CHUNK", 256)
+    name = "reduction_pairs"
+    df = E.queries()[name](spark, skewed_dir)
+    vals = [c for c in df.columns if c != "evt"]
+    aggs = [F.count(F.lit(1)).alias("n")] + [f(c).alias(f"{p}_{c}") for c in vals
+                                             for p, f in (("lo", F.min), ("hi", F.max))]
+    got = df.groupBy("evt").agg(*aggs)
+    rows, cols = got.collect(), got.columns
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{skewed_dir}/{t}.parquet/*.parquet')")
+    sel = ", ".join(["COUNT(*) AS n"] + [f"{p}({c}) AS {q}_{c}" for c in vals
+                                         for q, p in (("lo", "MIN"), ("hi", "MAX"))])
+    rel = con.sql(f"SELECT evt, {sel} FROM ({E.oracle_sql()[name]}) GROUP BY evt")
+    orows = rel.fetchall()
+    assert max(r.n for r in rows) > 1_000_000          # the hot event's pairs are all there
+    assert _key(cols, rows) == _key(rel.columns, orows)
