@@ -43,7 +43,7 @@ log = logging.getLogger(__name__)
 
 CHUNK = 4096                 # max particles of one collection kept in one row
 HOT_BROADCAST_LIMIT = 1_000_000   # broadcast the hot-event map only below this many entries
-STORE_VERSION = "v4"
+STORE_VERSION = "v5"
 NO_SPLIT_MARKER = "_NO_SPLIT_EVENTS"   # written when no event needed splitting
 
 _KIND_OF = {"photons": 0, "electrons": 1, "jets": 2, "met": 3}
@@ -158,7 +158,22 @@ def build_event_table(orders: DataFrame, lineitem: DataFrame, chunk: int = CHUNK
             *schemas.COLLECTIONS)
 
     empty = F.array().cast(f"array<{schemas.CANDIDATE}>")
-    ev = orders.select(F.col("o_orderkey").alias("evt")).join(frags, "evt", "left")
+    keys = orders.select(F.col("o_orderkey").alias("evt"))
+    if n_hot:
+        # A hot event's fragments share one key: an outer join with
+        # ``orders`` would pull all of them into one task, and AQE cannot
+        # split the non-preserved side of an outer join. A semi join keeps
+        # the fragments on the splittable side; orders without particles
+        # come from an anti join on the per-event sizes (one row per event).
+        kept = frags.join(keys, "evt", "left_semi")
+        bare = keys.join(sizes.select("evt"), "evt", "left_anti").select(
+            "evt", F.lit(0).alias("frag"), F.lit(1).alias("n_frag"),
+            *[F.lit(0).alias(f"n_{c}") for c in schemas.COLLECTIONS],
+            *[empty.alias(c) for c in schemas.COLLECTIONS])
+        ev = kept.unionByName(bare)
+    else:
+        # every event fits one row: the join with ``orders`` is one to one
+        ev = keys.join(frags, "evt", "left")
     return ev.select(
         "evt",
         F.coalesce("frag", F.lit(0)).cast("int").alias("frag"),
