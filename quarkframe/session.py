@@ -44,16 +44,20 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a temporary one only if unset."""
+    """Return the shared checkpoint folder; set a temporary one only if unset.
+
+    The cluster's ``spark.checkpoint.dir`` comes first: it is the shared base
+    folder itself, so derived tables keyed by their inputs are found again by
+    later applications. (``getCheckpointDir`` adds a per-application
+    subfolder.)"""
     global _LOCAL_CKPT
     sc = spark.sparkContext
-    d = None
-    try:
-        d = sc.getCheckpointDir()
-    except Exception:  # pragma: no cover - older API
-        d = None
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        try:
+            d = sc.getCheckpointDir()
+        except Exception:  # pragma: no cover - older API
+            d = None
     if not d:
         if _LOCAL_CKPT is None:
             _LOCAL_CKPT = tempfile.mkdtemp(prefix="quarkframe-ckpt-")
@@ -83,16 +87,26 @@ def touch(spark: SparkSession, path: str) -> None:
     fs.create(jpath, True).close()
 
 
-def source_fingerprint(paths: list[str]) -> str:
-    """Cheap identity of input files (size + mtime) to key derived tables."""
+def source_fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Identity of input files (name, size, modification time of every file
+    under each path), listed through Hadoop FS so it works on any shared
+    store; keys derived tables so that changed inputs are rebuilt."""
     import hashlib
 
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     h = hashlib.sha1()
     for p in sorted(paths):
         h.update(p.encode())
-        try:
-            st = os.stat(p)
-            h.update(f"{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            pass
+        jpath = jvm.org.apache.hadoop.fs.Path(p)
+        fs = jpath.getFileSystem(conf)
+        if not fs.exists(jpath):
+            continue
+        it = fs.listFiles(jpath, True)
+        files = []
+        while it.hasNext():
+            st = it.next()
+            files.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
+        for f in sorted(files):
+            h.update(f.encode())
     return h.hexdigest()[:16]

@@ -45,6 +45,7 @@ CHUNK = 4096                 # max particles of one collection kept in one row
 HOT_BROADCAST_LIMIT = 1_000_000   # broadcast the hot-event map only below this many entries
 STORE_VERSION = "v5"
 NO_SPLIT_MARKER = "_NO_SPLIT_EVENTS"   # written when no event needed splitting
+STORE_TAG = ""               # extra key part; set by a caller that wants its own store (bench)
 
 _KIND_OF = {"photons": 0, "electrons": 1, "jets": 2, "met": 3}
 
@@ -195,7 +196,7 @@ def events(spark: SparkSession, sf_dir: str, chunk: int | None = None) -> DataFr
     """
     chunk = chunk or CHUNK
     srcs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "lineitem")]
-    key = f"{STORE_VERSION}-{source_fingerprint(srcs)}-c{chunk}"
+    key = f"{STORE_VERSION}-{source_fingerprint(spark, srcs)}-c{chunk}{STORE_TAG}"
     path = derived_path(spark, "events", key)
     if not path_exists(spark, path + "/_SUCCESS"):
         stats: dict = {}

@@ -52,3 +52,25 @@ def test_split_path_plan_has_no_outer_join_on_fragments(spark):
     li = spark.createDataFrame([_line(1, i) for i in range(40)], LI)
     plan = E.build_event_table(orders, li, chunk=4)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "LeftAnti" in plan
+
+
+def test_source_fingerprint_follows_file_changes(spark, tmp_path):
+    from quarkframe.session import source_fingerprint
+
+    d = str(tmp_path / "t.parquet")
+    spark.range(10).write.parquet(d)
+    a = source_fingerprint(spark, [d])
+    assert source_fingerprint(spark, [d]) == a
+    spark.range(5).write.mode("append").parquet(d)
+    assert source_fingerprint(spark, [d]) != a
+
+
+def test_derived_tables_use_the_configured_shared_folder(spark):
+    from quarkframe.session import derived_path
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    p = derived_path(spark, "events", "k")
+    if base:
+        assert p == base.rstrip("/") + "/quarkframe/events/k"
+    else:
+        assert p.endswith("/quarkframe/events/k")
