@@ -87,6 +87,19 @@ def touch(spark: SparkSession, path: str) -> None:
     fs.create(jpath, True).close()
 
 
+def publish(spark: SparkSession, tmp: str, path: str) -> None:
+    """Move a finished folder ``tmp`` to ``path`` (one rename). If another
+    application published ``path`` first, keep theirs and drop ``tmp``."""
+    jvm = spark.sparkContext._jvm
+    src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(dst.getParent())
+    if fs.exists(dst) or not fs.rename(src, dst):
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
+            raise RuntimeError(f"could not publish {tmp} to {path}")
+        fs.delete(src, True)
+
+
 def source_fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """Identity of input files (name, size, modification time of every file
     under each path), listed through Hadoop FS so it works on any shared

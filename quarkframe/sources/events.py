@@ -32,18 +32,19 @@ or a fragment-level join that only ever touches the split (hot) events.
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..session import derived_path, path_exists, source_fingerprint, touch
+from ..session import derived_path, path_exists, publish, source_fingerprint, touch
 
 log = logging.getLogger(__name__)
 
 CHUNK = 4096                 # max particles of one collection kept in one row
 HOT_BROADCAST_LIMIT = 1_000_000   # broadcast the hot-event map only below this many entries
-STORE_VERSION = "v5"
+STORE_VERSION = "v6"
 NO_SPLIT_MARKER = "_NO_SPLIT_EVENTS"   # written when no event needed splitting
 STORE_TAG = ""               # extra key part; set by a caller that wants its own store (bench)
 
@@ -192,7 +193,9 @@ def events(spark: SparkSession, sf_dir: str, chunk: int | None = None) -> DataFr
 
     The store is keyed by the input files' identity and written with the
     Parquet committer, so a lost executor only re-runs its tasks and a
-    finished store is reused by every later query.
+    finished store is reused by every later query (and application). It is
+    written to a private folder and renamed into place when complete, so
+    concurrent builders never see or clobber a half-written store.
     """
     chunk = chunk or CHUNK
     srcs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "lineitem")]
@@ -202,9 +205,13 @@ def events(spark: SparkSession, sf_dir: str, chunk: int | None = None) -> DataFr
         stats: dict = {}
         ev = build_event_table(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), chunk,
                                stats=stats)
-        ev.write.mode("overwrite").parquet(path)
+        # leading "_": hidden from Spark's file listing wherever it ends up
+        parent, name = path.rsplit("/", 1)
+        tmp = f"{parent}/_building-{name}-{uuid.uuid4().hex[:12]}"
+        ev.write.mode("errorifexists").parquet(tmp)
         if stats.get("n_split") == 0:
-            touch(spark, path + "/" + NO_SPLIT_MARKER)
+            touch(spark, tmp + "/" + NO_SPLIT_MARKER)
+        publish(spark, tmp, path)
     ev = read_events(spark, path)
     if path_exists(spark, path + "/" + NO_SPLIT_MARKER):
         # Every row is a whole event: serve a plain nested event table, so

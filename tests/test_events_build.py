@@ -74,3 +74,16 @@ def test_derived_tables_use_the_configured_shared_folder(spark):
         assert p == base.rstrip("/") + "/quarkframe/events/k"
     else:
         assert p.endswith("/quarkframe/events/k")
+
+
+def test_publish_keeps_the_first_store(spark, tmp_path):
+    from quarkframe.session import publish
+
+    base = str(tmp_path)
+    spark.range(3).write.parquet(base + "/_a")
+    spark.range(7).write.parquet(base + "/_b")
+    publish(spark, base + "/_a", base + "/store")
+    publish(spark, base + "/_b", base + "/store")      # second builder loses, keeps the first
+    assert spark.read.parquet(base + "/store").count() == 3
+    import os
+    assert not os.path.exists(base + "/_b") and not os.path.exists(base + "/_a")
