@@ -198,6 +198,24 @@ def events(spark: SparkSession, sf_dir: str, chunk: int | None = None) -> DataFr
     concurrent builders never see or clobber a half-written store.
     """
     chunk = chunk or CHUNK
+    memo = (id(spark), derived_path(spark, "events"), sf_dir, chunk, STORE_TAG, STORE_VERSION)
+    if memo not in _RESOLVED:
+        _RESOLVED[memo] = _resolve(spark, sf_dir, chunk)
+    path, plain = _RESOLVED[memo]
+    ev = read_events(spark, path)
+    # Every row is a whole event: serve a plain nested event table, so
+    # operators take only their row-local path.
+    return ev.drop("frag", "n_frag") if plain else ev
+
+
+# (session, store folder, inputs, chunk, tag, version) -> (store path, no split event).
+# Listing the inputs for their fingerprint is done once per session, not per query.
+_RESOLVED: dict[tuple, tuple[str, bool]] = {}
+
+
+def _resolve(spark: SparkSession, sf_dir: str, chunk: int) -> tuple[str, bool]:
+    """Find (or build) the store for ``sf_dir``; return its path and whether
+    it holds no split event."""
     srcs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "lineitem")]
     key = f"{STORE_VERSION}-{source_fingerprint(spark, srcs)}-c{chunk}{STORE_TAG}"
     path = derived_path(spark, "events", key)
@@ -212,12 +230,7 @@ def events(spark: SparkSession, sf_dir: str, chunk: int | None = None) -> DataFr
         if stats.get("n_split") == 0:
             touch(spark, tmp + "/" + NO_SPLIT_MARKER)
         publish(spark, tmp, path)
-    ev = read_events(spark, path)
-    if path_exists(spark, path + "/" + NO_SPLIT_MARKER):
-        # Every row is a whole event: serve a plain nested event table, so
-        # operators take only their row-local path.
-        return ev.drop("frag", "n_frag")
-    return ev
+    return path, path_exists(spark, path + "/" + NO_SPLIT_MARKER)
 
 
 def read_events(spark: SparkSession, path: str, schema: str = schemas.EVENT_TABLE) -> DataFrame:
