@@ -44,7 +44,7 @@ log = logging.getLogger(__name__)
 
 CHUNK = 4096                 # max particles of one collection kept in one row
 HOT_BROADCAST_LIMIT = 1_000_000   # broadcast the hot-event map only below this many entries
-STORE_VERSION = "v6"
+STORE_VERSION = "v7"
 NO_SPLIT_MARKER = "_NO_SPLIT_EVENTS"   # written when no event needed splitting
 STORE_TAG = ""               # extra key part; set by a caller that wants its own store (bench)
 
@@ -84,7 +84,13 @@ def particles(lineitem: DataFrame) -> DataFrame:
 
 
 def _sorted_particles() -> Column:
-    """One list per group of ``(k=pt, c, kind)``, sorted by pt descending."""
+    """One list per group of ``(k=pt, c, kind)``, sorted by pt descending.
+
+    Callers shuffle by the group key first (``repartition``), so the whole
+    collect runs after the exchange: a map-side partial ``collect_list``
+    would build and sort object buffers for every key of a map task (the
+    object hash aggregate falls back to sorting beyond 128 keys) only to
+    ship the same particles."""
     item = F.struct(F.col("c.pt").alias("k"), F.col("c").alias("c"), F.col("kind").alias("kind"))
     return F.sort_array(F.collect_list(item), asc=False).alias("s")
 
@@ -130,11 +136,13 @@ def build_event_table(orders: DataFrame, lineitem: DataFrame, chunk: int = CHUNK
             F.when(F.col("n_frag").isNull(), F.lit(0))
             .otherwise(F.pmod(F.xxhash64("c"), F.col("n_frag")).cast("int")))
         # (evt, frag) spreads a hot event over many reducers
-        frags = _collections(parts.groupBy("evt", "frag").agg(_sorted_particles()), ["evt", "frag"])
+        frags = _collections(parts.repartition("evt", "frag").groupBy("evt", "frag").agg(_sorted_particles()),
+                             ["evt", "frag"])
     else:
         # no split event: group on the event key alone, so the result is
         # already partitioned for the join with ``orders`` below
-        frags = _collections(parts.groupBy("evt").agg(_sorted_particles()), ["evt"]).withColumn("frag", F.lit(0))
+        frags = _collections(parts.repartition("evt").groupBy("evt").agg(_sorted_particles()),
+                             ["evt"]).withColumn("frag", F.lit(0))
 
     if n_hot:
         frags = frags.join(hot_map, "evt", "left")
