@@ -87,3 +87,18 @@ def test_publish_keeps_the_first_store(spark, tmp_path):
     assert spark.read.parquet(base + "/store").count() == 3
     import os
     assert not os.path.exists(base + "/_b") and not os.path.exists(base + "/_a")
+
+
+@pytest.mark.parametrize("chunk", [4, 1000])
+def test_build_collects_after_the_shuffle(spark, chunk):
+    """The particles cross one exchange keyed by event (or event, fragment);
+    the collect runs after it, never as a map-side partial buffer."""
+    orders = spark.createDataFrame([(1,), (2,)], "o_orderkey long")
+    li = spark.createDataFrame([_line(1, i) for i in range(40)] + [_line(2, 0)], LI)
+    plan = E.build_event_table(orders, li, chunk=chunk)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    partial = [i for i, ln in enumerate(lines) if "partial_collect_list" in ln]
+    repart = [i for i, ln in enumerate(lines) if "REPARTITION_BY_COL" in ln]
+    assert partial and repart
+    # the plan prints parents first: every partial collect sits above (after) a repartition
+    assert all(any(r > p for r in repart) for p in partial)
