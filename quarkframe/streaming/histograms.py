@@ -38,7 +38,11 @@ def bundle_stream(events: DataFrame, bins: Sequence[Bin],
 
 def start_bundle_query(hist: DataFrame, name: str, sink: str = "memory",
                        checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Start the running-count query (complete output: the whole bundle)."""
+    """Start the running-count query (complete output: the whole bundle).
+
+    The default checkpoint is ``<spark.checkpoint.dir>/quarkframe/streams/<name>``:
+    stable per query name, so a restarted application resumes the query
+    from its offsets and state instead of recounting (or double counting)."""
     spark = hist.sparkSession
     w = (hist.writeStream.outputMode("complete").format(sink).queryName(name)
          .option("checkpointLocation", checkpoint or derived_path(spark, "streams", name)))
