@@ -18,7 +18,7 @@ from ..operators import pairs as P
 from ..operators.histogram import fill_bundle
 from ..sources import sinks
 from ..sources.events import events
-from .benchmark import CANDIDATE_BINS, PAIR_BINS, b6_muon_bundle
+from .benchmark import PAIR_BINS, b6_muon_bundle
 
 # Histogram ranges of the Higgs and photon examples.
 HIGGS_RANGES = {
