@@ -102,3 +102,18 @@ def test_build_collects_after_the_shuffle(spark, chunk):
     assert partial and repart
     # the plan prints parents first: every partial collect sits above (after) a repartition
     assert all(any(r > p for r in repart) for p in partial)
+
+
+def test_published_store_is_reused_not_rebuilt(spark, monkeypatch):
+    from conftest import SF_SMALL
+
+    monkeypatch.setattr(E, "STORE_TAG", "-reuse-test")
+    n = E.events(spark, SF_SMALL).count()
+    # a later application: nothing memoised, the store is found on disk
+    monkeypatch.setattr(E, "_RESOLVED", {})
+
+    def no_build(*a, **k):
+        raise AssertionError("store rebuilt")
+
+    monkeypatch.setattr(E, "build_event_table", no_build)
+    assert E.events(spark, SF_SMALL).count() == n
