@@ -117,3 +117,18 @@ def test_published_store_is_reused_not_rebuilt(spark, monkeypatch):
 
     monkeypatch.setattr(E, "build_event_table", no_build)
     assert E.events(spark, SF_SMALL).count() == n
+
+
+def test_hot_map_broadcast_only_below_limit(spark):
+    """Above the limit the hot-event map is joined by shuffle; both ways give
+    the same store."""
+    orders = spark.createDataFrame([(k,) for k in range(1, 8)], "o_orderkey long")
+    lines = [_line(k, i) for k in range(1, 7) for i in range(12 * k)]
+    li = spark.createDataFrame(lines, LI)
+    small = E.build_event_table(orders, li, chunk=8, hot_broadcast_limit=100)
+    large = E.build_event_table(orders, li, chunk=8, hot_broadcast_limit=1)
+    with_hint = small._jdf.queryExecution().optimizedPlan().toString()
+    without = large._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in with_hint.lower() and "broadcast" not in without.lower()
+    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+    assert small.count() > 7   # hot events were split into several rows
