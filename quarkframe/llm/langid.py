@@ -30,9 +30,11 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample_by_hash
+
 SAMPLE = 400       # training documents per language, about
 EXCERPT = 400      # characters taken from each
 LEVEL = 3          # zstandard level
@@ -41,25 +43,11 @@ MARGIN = 0.01      # relative difference of sizes below which a verdict is rejec
 UNDETERMINED = "und"
 
 
-def sample_by_hash(rows: DataFrame, group: Column, k: int) -> DataFrame:
-    """About ``k`` rows of each group (all of a smaller one): those whose
-    content hash lies below a threshold that the group's count sets. Groups
-    are few (languages, labels); their counts are the only thing collected."""
-    counts = rows.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()
-    h = F.pmod(F.xxhash64(F.lit(17), F.col("text")), F.lit(1 << 40))
-    # a spread of 4 standard deviations above k, so that a group rarely gets fewer
-    share = lambda n: min(1.0, (k + 4 * math.sqrt(k)) / n)
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | (group.eqNullSafe(F.lit(r["g"])) & (h < int(share(r["n"]) * (1 << 40))))
-    return rows.where(keep)
-
-
 def fit(labelled: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT) -> dict[str, bytes]:
     """Raw dictionary content per language from rows (text, lang)."""
     rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - excerpt, F.lit(1))).cast("int") + 1
-    got = (sample_by_hash(rows, F.col("lang"), sample)
+    got = (sample_by_hash(rows, F.col("lang"), sample, F.col("text"))
            .select("lang", F.lower(F.substring(F.col("text"), start, F.lit(excerpt))).alias("x"))
            .groupBy("lang").agg(F.array_join(F.sort_array(F.collect_set("x")), " ").alias("x")).collect())
     return {r["lang"]: r["x"].encode() for r in got}

@@ -3,13 +3,37 @@ operator, with production parameters, to the whole ``documents`` table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality_rules
+from . import bpe, brown, langid, merkle, mixing, neardup, quality_mil, quality_rules, substring, toxicity
 from .common import doc_mod, documents
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    """A null doc_id is not held out."""
+    return F.coalesce(doc_mod(modulus) == remainder, F.lit(False))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+
+
+def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = _held_out(7, 2)
+    model, counts = brown.fit(docs.where(~held_out))
+    return brown.score(docs, model, counts, held_out).withColumnRenamed("extra", "held_out")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(documents(spark, sf_dir))
+
+
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(documents(spark, sf_dir))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -24,16 +48,43 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir).select("doc_id", "text"), _held_out(5, 0)
+    model = toxicity.fit(docs, _labels(spark, sf_dir).where(~held_out))
+    return toxicity.score(docs, model, held_out).withColumnRenamed("extra", "held_out")
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(documents(spark, sf_dir))
+
+
+def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir).select("doc_id", "text"), _held_out(4, 2)
+    model = quality_mil.fit(docs, _labels(spark, sf_dir).where(~held_out))
+    return quality_mil.score(docs, model, held_out).withColumnRenamed("extra", "held_out")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    held_out = F.coalesce(doc_mod(3) == 1, F.lit(False))
+    held_out = _held_out(3, 1)
     model = langid.fit(docs.where(~held_out))
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
 QUERIES = {
+    "op1_brown": op1_brown,
+    "op2_mixing": op2_mixing,
+    "op3_substring": op3_substring,
     "op4_bpe": op4_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
+    "op7_minhash": op7_minhash,
+    "op8_merkle": op8_merkle,
+    "op9_quality_mil": op9_quality_mil,
     "op10_language_id": op10_language_id,
 }
 
