@@ -56,26 +56,28 @@ def doc_mod(m: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(m)
 
 
-def sample_by_hash(rows: DataFrame, group: Column, k: int, by: Column) -> DataFrame:
-    """About ``k`` rows of each group (all of a smaller one): those whose
+def sample_by_hash(rows: DataFrame, group: Column, k: int | dict, by: Column) -> DataFrame:
+    """About ``k`` rows of each group (all of a smaller one; a dict gives the
+    number by group): those whose
     hash (of ``by``) lies below a threshold that the group's count sets. Groups
     are few (languages, labels); their counts are the only thing collected."""
     counts = rows.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()
     h = F.pmod(F.xxhash64(F.lit(17), by), F.lit(1 << 40))
     # a spread of 4 standard deviations above k, so that a group rarely gets fewer
-    share = lambda n: min(1.0, (k + 4 * math.sqrt(k)) / n)
+    size = lambda g: k[g] if isinstance(k, dict) else k
+    share = lambda g, n: min(1.0, (size(g) + 4 * math.sqrt(size(g))) / n)
     keep = F.lit(False)
     for r in counts:
-        keep = keep | (group.eqNullSafe(F.lit(r["g"])) & (h < int(share(r["n"]) * (1 << 40))))
+        keep = keep | (group.eqNullSafe(F.lit(r["g"])) & (h < int(share(r["g"], r["n"]) * (1 << 40))))
     return rows.where(keep)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, k: int) -> tuple[DataFrame, dict[int, int]]:
-    """About ``k`` rows (text, y) of each value of ``label`` among the labelled
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, k: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """About ``k[y]`` rows (text, y) of each value y of ``label`` (0, 1) among the labelled
     ``docs`` (doc_id, text), and how many labelled rows each value has.
 
-    The sample is drawn from the narrow label table, so at most about 2 * k
-    rows (k is a fixed parameter) are broadcast to the scan of the texts."""
+    The sample is drawn from the narrow label table, so at most about k[0] + k[1]
+    rows (fixed parameters) are broadcast to the scan of the texts."""
     rows = labels.select("doc_id", F.col(label).alias("y")).where("doc_id is not null and y in (0, 1)").distinct()
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = sample_by_hash(rows, F.col("y"), k, F.col("doc_id"))

@@ -150,7 +150,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, importance: np.ndarray, steps:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit to labels (doc_id, quality) on a bounded sample of ``docs``."""
-    sample, totals = labelled_sample(docs, labels, "quality", SAMPLE)
+    sample, totals = labelled_sample(docs, labels, "quality", {0: SAMPLE, 1: SAMPLE})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@ operator, with production parameters, to the whole ``documents`` table."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_brown": op1_brown,
     "op2_mixing": op2_mixing,
     "op3_substring": op3_substring,
@@ -89,3 +91,5 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -16,8 +16,8 @@ a logistic model scores them. Its pattern weights start from the grammar's own
 (``PRIOR``: reported or negated clauses count less, aimed ones more) and are
 fitted to labels with a pull towards these. The lexicon starts from the seeds
 below and learns words and stems that occur in toxic and hardly in other
-texts. Both are fitted on a bounded sample, about ``SAMPLE`` labelled texts of
-each class; the lexicon has at most ``ENTRIES`` learned entries.
+texts. Both are fitted on a bounded sample of labelled texts, about ``SAMPLE`` by
+label; the lexicon has at most ``ENTRIES`` learned entries.
 
 Style: Arrow batches; an Aho-Corasick automaton finds the entries in the whole
 text and only clauses around a hit are read further. Unit counts of the sample
@@ -42,10 +42,10 @@ from pyspark.sql import functions as F
 
 from .common import labelled_sample
 
-SAMPLE = 2500        # labelled texts of each class used to fit
+SAMPLE = {0: 10_000, 1: 2_500}        # labelled texts, by label, used to fit (about)
 ENTRIES = 500        # learned lexicon entries
-STEM = (4, 8)        # lengths of stems that are tried
-SUPPORT = 4          # toxic texts of the sample an entry needs
+STEM = (3, 8)        # lengths of stems that are tried
+SUPPORT = 5          # toxic texts of the sample an entry needs
 PURITY = 0.02        # non-toxic per toxic occurrence an entry may have
 REACH = 3            # words a negation reaches
 CLAUSE = 400         # characters to each side within which a clause mark is looked for
@@ -64,7 +64,7 @@ KINDS = 2                                  # insult, threat
 PATTERNS = KINDS * 8                       # kind, target, negation, report
 PRIOR = np.array([4.0 + 0.5 * bool(p & 4) - 1.0 * bool(p & 2) - 1.0 * bool(p & 1)
                   for p in range(8)] * KINDS + [-2.0])   # pattern = kind * 8 + target * 4 + negation * 2 + report
-PULL = 0.5                                 # strength of the prior
+PULL = 0.1                                 # strength of the prior
 
 MARK = ".,;:!?\n|()\"«»“”"
 
@@ -144,7 +144,7 @@ def _units(text: str, find) -> set[str]:  # noqa: ANN001
     """Words ("w word") and stems ("s stem") of a text, to be counted."""
     out = set()
     for w in set(find(text.lower())):
-        if len(w) >= STEM[0]:
+        if len(w) > STEM[0]:
             out.add("w " + w)
             out.update("s " + w[:k] for k in range(STEM[0], min(STEM[1], len(w) - 1) + 1))
     return out
@@ -176,20 +176,20 @@ def learn_lexicon(sample: DataFrame) -> dict[str, tuple[bool, int, float]]:
            .orderBy(F.desc("toxic"), "unit").limit(20 * ENTRIES).collect())
     n = {r["unit"]: r["toxic"] for r in got}
     stems = {u[2:]: c for u, c in n.items() if u[0] == "s"}
+    beyond: Counter = Counter()             # stem -> support of the best entry that extends it
+    for u, c in n.items():
+        for k in range(STEM[0], len(u) - 1 if u[0] == "w" else len(u) - 2):
+            beyond[u[2:2 + k]] = max(beyond[u[2:2 + k]], c)
     chosen: dict[str, int] = {}
     for u, c in n.items():
         body = u[2:]
         shorter = max((stems.get(body[:k], 0) for k in range(STEM[0], len(body))), default=0)
-        if shorter > 1.05 * c:
-            continue                        # a stem of it says more
-        longer = u[0] == "s" and max((x for v, x in n.items() if v[2:] != body and v[2:].startswith(body)
-                                      or v == "w " + body), default=0)
-        if longer and longer >= 0.95 * c:
-            continue                        # a more specific entry says as much
-        chosen[u] = c
+        # left out: a stem of it says more, or a more specific entry as much
+        if shorter <= 1.05 * c and (u[0] == "w" or beyond[body] < 0.95 * c):
+            chosen[u] = c
     best = sorted(chosen, key=lambda u: (-chosen[u], u))[:ENTRIES]
     # an entry seen in few texts weighs less
-    return {u[2:]: (u[0] == "w", 0, min(1.0, 0.5 + chosen[u] / 40)) for u in best}
+    return {u[2:]: (u[0] == "w", 0, min(1.0, 0.7 + chosen[u] / 100)) for u in best}
 
 
 def _fit_weights(x: np.ndarray, y: np.ndarray, importance: np.ndarray) -> np.ndarray:
