@@ -16,8 +16,10 @@ kept on purpose so that results agree:
   instead of Spark's NULL, so such pairs land in the histogram flows.
 * The four-vector uses ``abs(pt)``; polar angle from ``2*atan(exp(-eta))``.
 
-Everything is computed in double precision; storage casts to float only at a
-sink.
+Four-vectors are computed in double precision; the pair record holds their
+sums as float, and its mass^2, pt, phi and rapidity mix float products and
+quotients with double functions, as the reference's record does. So rows read
+back from a stored pair table give the same derived values.
 """
 
 from __future__ import annotations
@@ -53,9 +55,16 @@ def p4_sql(pt: str, eta: str, phi: str, mass: float = MUON_MASS) -> str:
 
 
 def p4_add_sql(a: str, b: str) -> str:
+    """Sum in double precision."""
     return "named_struct(" + ", ".join(f"'{k}', ({a}).{k} + ({b}).{k}" for k in ("e", "px", "py", "pz")) + ")"
 
 
+def pair_sql(a: str, b: str) -> str:
+    """The pair record: the four sums, stored as float."""
+    return "named_struct(" + ", ".join(f"'{k}', CAST(({a}).{k} + ({b}).{k} AS FLOAT)"
+                                       for k in ("e", "px", "py", "pz")) + ")"
+
+
 def mass2_sql(v: str) -> str:
     return f"({v}.e * {v}.e - {v}.px * {v}.px - {v}.py * {v}.py - {v}.pz * {v}.pz)"
 
@@ -64,16 +73,23 @@ def pt_sql(v: str) -> str:
     return f"sqrt({v}.px * {v}.px + {v}.py * {v}.py)"
 
 
+def _quotient(num: str, den: str) -> str:
+    """Float quotient: Spark divides floats as doubles; rounding that result
+    to float is the correctly rounded float quotient."""
+    return f"CAST({num} / {den} AS FLOAT)"
+
+
 def phi_sql(v: str) -> str:
-    return f"(CASE WHEN {v}.px = 0 THEN {d(PHI_AT_ZERO_PX)} ELSE atan({v}.py / {v}.px) END)"
+    return f"(CASE WHEN {v}.px = 0 THEN {d(PHI_AT_ZERO_PX)} ELSE atan({_quotient(f'{v}.py', f'{v}.px')}) END)"
 
 
 def eta_sql(v: str) -> str:
     num, den = f"({v}.e + {v}.pz)", f"({v}.e - {v}.pz)"
+    q = _quotient(num, den)
     inf, ninf, nan = "CAST('Infinity' AS DOUBLE)", "CAST('-Infinity' AS DOUBLE)", "CAST('NaN' AS DOUBLE)"
     return (f"(CASE WHEN {den} = 0 THEN (CASE WHEN {num} > 0 THEN {inf} WHEN {num} < 0 THEN {ninf} "
-            f"ELSE {nan} END) WHEN {num} / {den} = 0 THEN {ninf} WHEN {num} / {den} < 0 THEN {nan} "
-            f"ELSE {d(0.5)} * ln({num} / {den}) END)")
+            f"ELSE {nan} END) WHEN {q} = 0 THEN {ninf} WHEN {q} < 0 THEN {nan} "
+            f"ELSE {d(0.5)} * ln({q}) END)")
 
 
 def higgs_mass_sql(a: str, b: str) -> str:
@@ -99,9 +115,9 @@ def p4(pt: str, eta: str, phi: str, mass: float = MUON_MASS) -> Column:
     return F.expr(p4_sql(pt, eta, phi, mass))
 
 
-def p4_add(a: str, b: str) -> Column:
-    """Component-wise sum of two four-vector structs (SQL texts)."""
-    return F.expr(p4_add_sql(a, b))
+def pair_record(a: str, b: str) -> Column:
+    """Pair struct(e, px, py, pz) of floats from two four-vectors (SQL texts)."""
+    return F.expr(pair_sql(a, b))
 
 
 def pair_mass2(v: str) -> Column:

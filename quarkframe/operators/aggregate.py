@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from .nested import first_fragment, size_of
 
 
+SUM_SCALE = 9     # decimal places that sums keep
+
+
 def count_rows(df: DataFrame, alias: str = "n") -> DataFrame:
     """A1/A2: row count (apply the filter first for A2)."""
     return df.agg(F.count(F.lit(1)).alias(alias))
@@ -27,8 +30,11 @@ def count_events(ev: DataFrame, alias: str = "n_events") -> DataFrame:
 
 
 def sums(df: DataFrame, cols: Sequence[str], digits: int = 3, prefix: str = "sum_") -> DataFrame:
-    """A3/A4: sums in double precision (empty input -> NULL), rounded."""
-    return df.agg(*[F.round(F.sum(F.col(c).cast("double")), digits).alias(prefix + c) for c in cols])
+    """A3/A4: sums (empty input -> NULL), rounded. Values are summed as
+    DECIMAL with ``SUM_SCALE`` places, so the sum does not depend on the order
+    of the rows."""
+    exact = lambda c: F.sum(F.col(c).cast("double").cast(f"decimal(28,{SUM_SCALE})"))
+    return df.agg(*[F.round(exact(c), digits).cast("double").alias(prefix + c) for c in cols])
 
 
 def describe(df: DataFrame, col: str, digits: int = 6) -> DataFrame:

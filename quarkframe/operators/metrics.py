@@ -59,54 +59,80 @@ def sweep_subsets(jobs: DataFrame, fixed_executors: int = FIXED_EXECUTORS,
     """F7 + F8 + A18: jobs with a group label, in the two sweeps.
 
     ``subset = 'threads'``: executors fixed, threads vary; ``'executors'``:
-    threads fixed. The sweeps overlap, so a job may appear in both.
+    threads fixed. The sweeps overlap, so a job may appear in both: its
+    labels are exploded from one scan.
     """
-    j = jobs.where(F.col("group_id") != "")
-    a = j.where(F.col("n_exec") == fixed_executors).withColumn("subset", F.lit("threads"))
-    b = j.where(F.col("n_thread") == fixed_threads).withColumn("subset", F.lit("executors"))
-    return a.unionByName(b)
+    labels = F.array_compact(F.array(
+        F.when(F.col("n_exec") == fixed_executors, F.lit("threads")),
+        F.when(F.col("n_thread") == fixed_threads, F.lit("executors"))))
+    return jobs.where(F.col("group_id") != "").withColumn("subset", F.explode(labels))
 
 
-def stage_totals(tasks: DataFrame) -> DataFrame:
-    """Per stage, sums of every task metric and the observed task count."""
-    cols = sorted({c for c, _ in TOTALS.values()})
-    return (tasks.groupBy("run", "job_id", "stage_id")
-            .agg(F.count(F.lit(1)).alias("n_tasks"), *[F.sum(c).alias(c) for c in cols]))
+def _sums(cols: list[str]) -> list[Column]:
+    """Integer sums that cannot overflow: DECIMAL(30, 0)."""
+    return [F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in cols]
 
 
-def job_totals(tasks: DataFrame, digits: int = 6) -> DataFrame:
-    """Per job, totals in seconds.
+_METRICS = sorted({c for c, _ in TOTALS.values()})
+
+
+def _seconds(digits: int) -> list[Column]:
+    """Every total in seconds; 0 without tasks."""
+    return [F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / F.lit(d), digits).alias(name)
+            for name, (c, d) in TOTALS.items()]
+
+
+def stage_sums(tasks: DataFrame) -> DataFrame:
+    """Per stage attempt, sums of every task metric and the task count."""
+    return (tasks.groupBy(*KEY, "stage_id", "attempt")
+            .agg(F.count(F.lit(1)).alias("n_tasks"), *_sums(_METRICS)))
+
+
+def stage_totals(tasks: DataFrame, digits: int = 6) -> DataFrame:
+    """Per stage (all its attempts), totals in seconds and task count."""
+    s = tasks.groupBy(*KEY, "stage_id").agg(F.count(F.lit(1)).alias("n_tasks"), *_sums(_METRICS))
+    return s.select(*KEY, "stage_id", "n_tasks", *_seconds(digits))
+
+
+def job_sums(tasks: DataFrame) -> DataFrame:
+    """Per job, sums of every task metric.
 
     The reference sums tasks per stage, then stages per job; integer sums do
     not depend on the grouping, so one partial/final aggregation per job
     gives the same numbers with one shuffle fewer."""
-    cols = sorted({c for c, _ in TOTALS.values()})
-    raw = tasks.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in cols])
-    return raw.select(*KEY, *[F.round(F.col(c) / F.lit(d), digits).alias(name)
-                              for name, (c, d) in TOTALS.items()],
-                      *[F.col(c).alias(f"_{c}") for c in cols])
+    return tasks.groupBy(*KEY).agg(*_sums(_METRICS))
 
 
 def job_time(jobs: DataFrame) -> DataFrame:
     """K1/K2: job wall time (s) against parallelism, both sweeps."""
     s = sweep_subsets(jobs)
-    return s.select("subset", "group_id", "job_id", parallelism(),
+    return s.select("run", "subset", "group_id", "job_id", parallelism(),
                     F.round((F.col("end") - F.col("start")) / F.lit(1000.0), 3).alias("seconds"))
 
 
 def cpu_efficiency(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Total CPU time over total task duration, per job."""
-    t = job_totals(tasks)
-    eff = F.try_divide(F.col("_cpu_ns") / F.lit(1e9), F.col("_duration") / F.lit(1e3))
-    return (sweep_subsets(jobs).join(t, KEY)
-            .select("subset", "group_id", "job_id", parallelism(), F.round(eff, 6).alias("cpu_eff")))
+    """Total CPU time over total task duration, per job; NULL for a
+    job without tasks or without task time."""
+    eff = F.try_divide(F.col("cpu_ns").cast("double") / F.lit(1e9), F.col("duration").cast("double") / F.lit(1e3))
+    return (sweep_subsets(jobs).join(job_sums(tasks), KEY, "left")
+            .select("run", "subset", "group_id", "job_id", parallelism(), F.round(eff, 6).alias("cpu_eff")))
 
 
 def totals(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Per-job totals of every metric (s), both sweeps."""
-    t = job_totals(tasks)
-    return (sweep_subsets(jobs).join(t, KEY)
-            .select("subset", "group_id", "job_id", parallelism(), *TOTALS.keys()))
+    """Per-job totals of every metric (s), both sweeps; a job
+    without tasks has zeros."""
+    return (sweep_subsets(jobs).join(job_sums(tasks), KEY, "left")
+            .select("run", "subset", "group_id", "job_id", parallelism(), *_seconds(6)))
+
+
+def last_attempts(stages: DataFrame) -> DataFrame:
+    """One row per stage id: its last attempt (tables without attempts have
+    one row per stage already)."""
+    if "attempt" not in stages.columns:
+        return stages
+    rest = [c for c in stages.columns if c not in (*KEY, "stage_id")]
+    return (stages.groupBy(*KEY, "stage_id")
+            .agg(F.max_by(F.struct(*rest), "attempt").alias("last")).select(*KEY, "stage_id", "last.*"))
 
 
 def stage_ordinals(stages: DataFrame, bucket: int = ORDINAL_BUCKET) -> DataFrame:
@@ -117,8 +143,10 @@ def stage_ordinals(stages: DataFrame, bucket: int = ORDINAL_BUCKET) -> DataFrame
     aggregate counts the stages of every (job, range), a window over those
     counts (one row per range) gives each range's offset, and
     ``row_number`` runs only inside one (job, range). No window partition
-    holds more than ``bucket`` stage ids.
+    holds more than ``bucket`` stage ids. A stage that was retried counts
+    once (its last attempt).
     """
+    stages = last_attempts(stages)
     s = stages.withColumn("_b", F.floor(F.col("stage_id") / F.lit(bucket)))
     before = Window.partitionBy(*KEY).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (s.groupBy(*KEY, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -134,7 +162,7 @@ def stage_time_by_ordinal(jobs: DataFrame, stages: DataFrame) -> DataFrame:
     so = stage_ordinals(stages)
     return (sweep_subsets(jobs).select("subset", "group_id", *KEY, parallelism())
             .join(so, KEY)
-            .select("subset", "group_id", "job_id", "parallelism", "ordinal", "stage_id",
+            .select("run", "subset", "group_id", "job_id", "parallelism", "ordinal", "stage_id",
                     F.round((F.col("completion") - F.col("submission")) / F.lit(1000.0), 3).alias("seconds")))
 
 
@@ -150,16 +178,18 @@ def task_series(jobs: DataFrame, stages: DataFrame, tasks: DataFrame, subset: st
                      *[round_to(f"CAST({c} AS DOUBLE) / CAST('{d!r}' AS DOUBLE)", 6).alias(n)
                        for n, (c, d) in SERIES.items()])
     wide = t.join(j, KEY).join(so, KEY + ["stage_id"])
-    long = wide.unpivot(["group_id", "job_id", "n_exec", "n_thread", "ordinal", "executor_id", "task_id"],
+    long = wide.unpivot(["run", "group_id", "job_id", "n_exec", "n_thread", "ordinal", "executor_id", "task_id"],
                         list(SERIES), "series", "seconds")
-    return long.select("group_id", "job_id", "n_exec", "n_thread", "ordinal", "executor_id", "task_id",
+    return long.select("run", "group_id", "job_id", "n_exec", "n_thread", "ordinal", "executor_id", "task_id",
                        "series", "seconds")
 
 
-def stage_summary(stages: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Stages per job, declared vs observed tasks per stage."""
-    obs = stage_totals(tasks).select("run", "job_id", "stage_id", "n_tasks")
-    per_job = stages.groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("n_stages"))
-    return (stages.join(per_job, KEY).join(obs, KEY + ["stage_id"], "left")
-            .select("job_id", "stage_id", "n_stages", "num_tasks",
+def stage_summary(jobs: DataFrame, stages: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Group, stages per job, name, declared vs observed tasks of every
+    stage attempt. A retried stage counts once among its job's stages."""
+    obs = tasks.groupBy(*KEY, "stage_id", "attempt").agg(F.count(F.lit(1)).alias("n_tasks"))
+    per_job = (stages.groupBy(*KEY, "stage_id").agg(F.lit(1).alias("one")).groupBy(*KEY)
+               .agg(F.count(F.lit(1)).cast("int").alias("n_stages")).join(jobs.select(*KEY, "group_id"), KEY))
+    return (stages.join(obs, KEY + ["stage_id", "attempt"], "left").join(per_job, KEY)
+            .select("run", "group_id", "job_id", "stage_id", "attempt", "name", "n_stages", "num_tasks",
                     F.coalesce("n_tasks", F.lit(0)).alias("n_tasks")))

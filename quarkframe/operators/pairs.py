@@ -7,10 +7,11 @@ each other.
 * Fast path, ``n_frag == 1`` (every ordinary event): pairs and top-k are row
   local -- two ``posexplode`` generators, or a sort of a small array -- with
   no shuffle at all.
-* Hot path, ``n_frag > 1``: fragments of the same event are paired by an
-  equi-join on ``evt`` that touches only hot events; every joined row holds
-  two bounded arrays, so the quadratic work of a huge event is spread over
-  ``n_frag^2`` independent, bounded tasks instead of one. Top-k merges use a
+* Hot path, ``n_frag > 1``: every fragment is repeated for each block
+  (fa, fb) it takes part in, and fragments are joined on (evt, fa, fb), one
+  row per block with two bounded arrays. No exchange is keyed by the event
+  alone, so the ``n_frag^2`` blocks of a huge event spread over all tasks.
+  Top-k merges use a
   ``row_number() <= k`` window, which Spark plans with a partial
   ``WindowGroupLimit`` before the shuffle (at most k rows per event and map
   task cross the network).
@@ -50,9 +51,28 @@ def _explode_pairs(df: DataFrame, keep: Sequence[str], va: str, vb: str,
 
 
 def _pair_sum(mass: float, a: str = "a", b: str = "b") -> Column:
-    """Sum of the four-vectors of the (pt, eta, phi) structs ``a`` and ``b``."""
-    return K.p4_add(K.p4_sql(f"{a}.pt", f"{a}.eta", f"{a}.phi", mass),
-                    K.p4_sql(f"{b}.pt", f"{b}.eta", f"{b}.phi", mass))
+    """Pair record of the (pt, eta, phi) structs ``a`` and ``b``."""
+    return K.pair_record(K.p4_sql(f"{a}.pt", f"{a}.eta", f"{a}.phi", mass),
+                         K.p4_sql(f"{b}.pt", f"{b}.eta", f"{b}.phi", mass))
+
+
+def _split(ev: DataFrame, keep: Sequence[str], z: Column) -> DataFrame:
+    """Fragments of split events: ``keep``, evt, frag, n_frag and legs ``z``."""
+    return ev.where(F.col("n_frag") > 1).select(
+        *keep, *[c for c in ("evt",) if c not in keep], "frag", "n_frag", z.alias("z"))
+
+
+def _blocks(hot: DataFrame, keep: Sequence[str], upper: bool) -> DataFrame:
+    """One row per block (fa, fb) of fragments of a split event, with both
+    fragments' legs ``va`` and ``vb``; ``upper``: only fa < fb."""
+    last = F.col("n_frag") - 1
+    others = F.explode(F.sequence(F.col("frag") + 1, last) if upper else F.sequence(F.lit(0), last))
+    left = (hot.where(F.col("frag") < last) if upper else hot).select(
+        *keep, F.col("evt").alias("_evt"), F.col("frag").alias("fa"), others.alias("fb"), F.col("z").alias("va"))
+    others = F.explode(F.sequence(F.lit(0), F.col("frag") - 1) if upper else F.sequence(F.lit(0), last))
+    right = (hot.where(F.col("frag") > 0) if upper else hot).select(
+        F.col("evt").alias("_evt"), others.alias("fa"), F.col("frag").alias("fb"), F.col("z").alias("vb"))
+    return left.join(right, ["_evt", "fa", "fb"]).drop("_evt")
 
 
 def ordered_pairs(ev: DataFrame, coll: str = "muons", keep: Sequence[str] = ("evt",),
@@ -74,11 +94,8 @@ def ordered_pairs(ev: DataFrame, coll: str = "muons", keep: Sequence[str] = ("ev
     single = ev.where(F.col("n_frag") == 1).select(*keep, z.alias("z"))
     fast = _explode_pairs(single, keep, "z", "z", F.lit(0), F.lit(0), unordered, mass)
 
-    hot = ev.where(F.col("n_frag") > 1).select(*keep, "frag", z.alias("z"))
-    left = hot.select(*keep, F.col("frag").alias("fa"), F.col("z").alias("va"))
-    right = hot.select(F.col("evt").alias("evt_r"), F.col("frag").alias("fb"), F.col("z").alias("vb"))
-    frag_pairs = left.join(right, F.col("evt") == F.col("evt_r")).drop("evt_r")
-    slow = _explode_pairs(frag_pairs, keep, "va", "vb", F.col("fa"), F.col("fb"), unordered, mass)
+    slow = _explode_pairs(_blocks(_split(ev, keep, z), keep, False), keep, "va", "vb",
+                          F.col("fa"), F.col("fb"), unordered, mass)
     return fast.unionByName(slow)
 
 
@@ -94,7 +111,7 @@ def symmetric_pairs(ev: DataFrame, coll: str = "muons", keep: Sequence[str] = ("
 
     Every row (ordinary event or fragment) pairs its own elements; fragments
     of a split event are additionally paired across fragments (fa < fb),
-    through an equi-join restricted to split events.
+    one block (fa, fb) per row.
     """
     keep = list(keep)
     z = legs(coll)
@@ -107,12 +124,7 @@ def symmetric_pairs(ev: DataFrame, coll: str = "muons", keep: Sequence[str] = ("
     if not _is_store(ev):
         return intra
 
-    hot = ev.where(F.col("n_frag") > 1).select(*keep, "frag", z.alias("z"))
-    left = hot.select(*keep, F.col("frag").alias("fa"), F.col("z").alias("va"))
-    right = hot.select(F.col("evt").alias("evt_r"), F.col("frag").alias("fb"), F.col("z").alias("vb"))
-    cross = (left.join(right, (F.col("evt") == F.col("evt_r")) & (F.col("fa") < F.col("fb")))
-             .drop("evt_r"))
-    c = _explode_pairs(cross, keep, "va", "vb", F.col("fa"), F.col("fb"), False, mass)
+    c = _explode_pairs(_blocks(_split(ev, keep, z), keep, True), keep, "va", "vb", F.col("fa"), F.col("fb"), False, mass)
     return intra.unionByName(c.select(*keep, "pair", F.lit(2).alias("w")))
 
 

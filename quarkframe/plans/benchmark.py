@@ -65,6 +65,10 @@ def _pt_eta_phi(spark, sf_dir):
     return N.zip_flatten(_ev(spark, sf_dir), "muons", ["pt", "eta", "phi"])
 
 
+def _pt_phi(spark, sf_dir):
+    return N.zip_flatten(_ev(spark, sf_dir), "muons", ["pt", "phi"])
+
+
 def b3_sum_triple_eta_neg(spark, sf_dir):
     return A.sums(_pt_eta_phi(spark, sf_dir).where("eta < 0"), ["pt", "eta", "phi"])
 
@@ -74,12 +78,12 @@ def b3_sum_triple_phi_pos(spark, sf_dir):
 
 
 def b3_sum_sqrt_pt(spark, sf_dir):
-    s = _pt_eta_phi(spark, sf_dir).where("phi > 0").select(F.sqrt("pt").alias("sqrt_pt"))
+    s = _pt_phi(spark, sf_dir).where("phi > 0").select(F.sqrt("pt").alias("sqrt_pt"))
     return A.sums(s, ["sqrt_pt"])
 
 
 def b3_describe_sqrt_pt(spark, sf_dir):
-    s = _pt_eta_phi(spark, sf_dir).where("phi > 0").select(F.sqrt("pt").alias("something"))
+    s = _pt_phi(spark, sf_dir).where("phi > 0").select(F.sqrt("pt").alias("something"))
     return A.describe(s, "something")
 
 
@@ -109,12 +113,13 @@ def b4_sum_of_group_counts(spark, sf_dir):
     return A.sum_of_group_counts(A.size_histogram(_ev(spark, sf_dir), "muons"))
 
 
-_PT_SQ = "CAST(x.pt AS DOUBLE) * CAST(x.pt AS DOUBLE)"
+_PT_SQ = "CAST(pt AS DOUBLE) * CAST(pt AS DOUBLE)"
 
 
-def _muons_of_pairs_events(spark, sf_dir):
+def _muons_of_pairs_events(spark, sf_dir, fields):
+    """The named leaves of the muons of size-2 events: only these are read."""
     ev = N.cut_size(_ev(spark, sf_dir), "muons", "==", 2)
-    return N.flatten(ev, "muons", "x", keep=["evt"])
+    return N.zip_flatten(ev, "muons", fields, keep=["evt"])
 
 
 def b4_count_particles_eq2(spark, sf_dir):
@@ -123,22 +128,20 @@ def b4_count_particles_eq2(spark, sf_dir):
 
 
 def b4_max_pt_particle(spark, sf_dir):
-    x = _muons_of_pairs_events(spark, sf_dir)
-    rec = F.struct("evt", "x.qx3", "x.pt", "x.eta", "x.phi", "x.mass", "x.pdfId", "x.status")
-    return A.argmax(x, rec, [F.col("x.pt"), F.col("x.eta"), F.col("x.phi"), F.col("evt")])
+    fields = ["qx3", "pt", "eta", "phi", "mass", "pdfId", "status"]
+    x = _muons_of_pairs_events(spark, sf_dir, fields)
+    return A.argmax(x, F.struct("evt", *fields), [F.col(c) for c in ("pt", "eta", "phi", "evt")])
 
 
 def b4_foreach_eq2(spark, sf_dir):
     """B4.Q7: the per-particle computation the reference runs for effect."""
-    x = _muons_of_pairs_events(spark, sf_dir)
-    return x.select("evt", F.col("x.pt").alias("pt"), round_to(_PT_SQ, 4).alias("pt_sq"))
+    return _muons_of_pairs_events(spark, sf_dir, ["pt"]).select("evt", "pt", round_to(_PT_SQ, 4).alias("pt_sq"))
 
 
 def b4_cut_particles(spark, sf_dir):
     """B4.Q8: element cut ``pt > 10 && eta < 2.4`` inside size-2 events."""
-    x = _muons_of_pairs_events(spark, sf_dir).where((F.col("x.pt") > 10.0) & (F.col("x.eta") < 2.4))
-    return x.select("evt", F.col("x.pt").alias("pt"), F.col("x.eta").alias("eta"),
-                    round_to(_PT_SQ, 4).alias("pt_sq"))
+    x = _muons_of_pairs_events(spark, sf_dir, ["pt", "eta"]).where((F.col("pt") > 10.0) & (F.col("eta") < 2.4))
+    return x.select("evt", "pt", "eta", round_to(_PT_SQ, 4).alias("pt_sq"))
 
 
 def _top2_pairs(spark, sf_dir):
@@ -148,7 +151,7 @@ def _top2_pairs(spark, sf_dir):
 
 def b4_max_pair_mass2(spark, sf_dir):
     """B4.Q9: largest mass^2 of the leading-two-muon pair over all events."""
-    return _top2_pairs(spark, sf_dir).agg(F.round(F.max("mass2"), 4).alias("max_mass2"))
+    return _top2_pairs(spark, sf_dir).agg(F.max("mass2").alias("m")).select(round_to("m", 4).alias("max_mass2"))
 
 
 def b4_top2_pair_products(spark, sf_dir):

@@ -48,7 +48,7 @@ def reduction_pairs(spark, sf_dir):
 def reduced_pair_table(ev: DataFrame) -> DataFrame:
     """The reduction job's stored rows: pair components as float."""
     p = P.ordered_pairs(N.cut_size(ev, "muons", ">=", 2), "muons")
-    return p.select(*[F.col("pair")[c].cast("float").alias(c) for c in ("e", "px", "py", "pz")])
+    return p.select("pair.e", "pair.px", "pair.py", "pair.pz")
 
 
 def reduction_job(spark, sf_dir, out: str | None = None):
@@ -60,8 +60,7 @@ def reduction_job(spark, sf_dir, out: str | None = None):
     out = out or sinks.fresh_output(spark, "reduced_pairs")
     sinks.write_parquet(reduced_pair_table(events(spark, sf_dir)), out)
     stored = spark.read.schema("e float, px float, py float, pz float").parquet(out)
-    pair = F.struct(*[F.col(c).cast("double").alias(c) for c in ("e", "px", "py", "pz")])
-    return fill_bundle(stored.select(pair.alias("pair")).select(*P.pair_columns("pair")), PAIR_BINS)
+    return fill_bundle(stored.select(F.struct("e", "px", "py", "pz").alias("pair")).select(*P.pair_columns("pair")), PAIR_BINS)
 
 
 # ---------------------------------------------------------------------- strip
@@ -82,14 +81,10 @@ def _event_summary(st: DataFrame) -> DataFrame:
                        .alias(f"sum_pt_{c}"))
     per_row.append(F.aggregate(F.col("muons.vertex.cs.z"), F.lit(0.0), lambda a, x: a + x.cast("double"))
                    .alias("sum_vz_muons"))
-    split = "n_frag" in st.columns
-    frag_cols = ["frag", "n_frag"] if split else []
-    rows = st.select("evt", *frag_cols, *[f"n_{c}" for c in schemas.COLLECTIONS], *per_row)
+    rows = st.select("evt", "frag", "n_frag", *[f"n_{c}" for c in schemas.COLLECTIONS], *per_row)
     sums = [f"sum_pt_{c}" for c in schemas.COLLECTIONS] + ["sum_vz_muons"]
     out = [F.col(f"n_{c}") for c in schemas.COLLECTIONS]
     rounded = [round_to(s, 3).alias(s) for s in sums]
-    if not split:
-        return rows.select("evt", *out, *rounded)
     fast = rows.where(F.col("n_frag") == 1).select("evt", *out, *rounded)
     hot = (rows.where(F.col("n_frag") > 1)
            .groupBy("evt", *[f"n_{c}" for c in schemas.COLLECTIONS])

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from ..functions import kinematics as K
 from ..functions.histogram import Bin, nan_bin
+from ..functions.rounding import EXACT
 from .benchmark import CANDIDATE_BINS, PAIR_BINS, PAIR_MASS2_WIDE
 
 
@@ -60,14 +61,16 @@ v AS (
 def pair_derived(prefix: str = "") -> str:
     e, px, py, pz = (f"{prefix}{c}" for c in ("e", "px", "py", "pz"))
     mass2 = f"({e} * {e} - {px} * {px} - {py} * {py} - {pz} * {pz})"
-    pt = f"sqrt({px} * {px} + {py} * {py})"
-    phi = f"(CASE WHEN {px} = 0 THEN {_f(K.PHI_AT_ZERO_PX)} ELSE atan({py} / {px}) END)"
+    pt = f"sqrt(CAST({px} * {px} + {py} * {py} AS DOUBLE))"
+    quotient = lambda a, b: f"CAST(CAST(CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) AS FLOAT) AS DOUBLE)"
+    phi = f"(CASE WHEN {px} = 0 THEN {_f(K.PHI_AT_ZERO_PX)} ELSE atan({quotient(py, px)}) END)"
     num, den = f"({e} + {pz})", f"({e} - {pz})"
+    q = quotient(num, den)
     eta = (f"(CASE WHEN {den} = 0 THEN (CASE WHEN {num} > 0 THEN CAST('inf' AS DOUBLE) "
            f"WHEN {num} < 0 THEN CAST('-inf' AS DOUBLE) ELSE CAST('nan' AS DOUBLE) END) "
-           f"WHEN {num} / {den} = 0 THEN CAST('-inf' AS DOUBLE) "
-           f"WHEN {num} / {den} < 0 THEN CAST('nan' AS DOUBLE) "
-           f"ELSE {_f(0.5)} * ln({num} / {den}) END)")
+           f"WHEN {q} = 0 THEN CAST('-inf' AS DOUBLE) "
+           f"WHEN {q} < 0 THEN CAST('nan' AS DOUBLE) "
+           f"ELSE {_f(0.5)} * ln({q}) END)")
     return f"{mass2} AS mass2, {pt} AS pt, {phi} AS phi, {eta} AS eta"
 
 
@@ -98,11 +101,10 @@ def bundle_sql(source: str, bins: list[Bin]) -> str:
 
 
 def fround(x: str, digits: int) -> str:
-    """Same rounding as functions.rounding (floor(x*10^d + 0.5)/10^d)."""
+    """Same rounding as functions.rounding (floor(x*10^d + 0.5)/10^d below EXACT/10^d)."""
     s = _f(10.0 ** digits)
     v = f"CAST({x} AS DOUBLE)"
-    return (f"(CASE WHEN isnan({v}) OR abs({v}) = CAST('inf' AS DOUBLE) THEN {v} "
-            f"ELSE floor({v} * {s} + {_f(0.5)}) / {s} END)")
+    return f"(CASE WHEN abs({v}) < {_f(EXACT / 10 ** digits)} THEN floor({v} * {s} + {_f(0.5)}) / {s} ELSE {v} END)"
 
 
 def with_(*ctes: str) -> str:
@@ -111,7 +113,8 @@ def with_(*ctes: str) -> str:
 
 PAIRS = f"""
 pairs AS (
-  SELECT a.evt, a.e + b.e AS e, a.px + b.px AS px, a.py + b.py AS py, a.pz + b.pz AS pz
+  SELECT a.evt, CAST(a.e + b.e AS FLOAT) AS e, CAST(a.px + b.px AS FLOAT) AS px,
+         CAST(a.py + b.py AS FLOAT) AS py, CAST(a.pz + b.pz AS FLOAT) AS pz
   FROM v a JOIN v b ON a.evt = b.evt
   WHERE a.evt IN (SELECT evt FROM ev WHERE n >= 2)
 ),
@@ -124,7 +127,8 @@ ranked AS (
   FROM v WHERE evt IN (SELECT evt FROM ev WHERE n >= 2)
 ),
 top2 AS (
-  SELECT a.evt, a.e + b.e AS e, a.px + b.px AS px, a.py + b.py AS py, a.pz + b.pz AS pz
+  SELECT a.evt, CAST(a.e + b.e AS FLOAT) AS e, CAST(a.px + b.px AS FLOAT) AS px,
+         CAST(a.py + b.py AS FLOAT) AS py, CAST(a.pz + b.pz AS FLOAT) AS pz
   FROM ranked a JOIN ranked b ON a.evt = b.evt AND a.rn = 1 AND b.rn = 2
 ),
 t2 AS (SELECT evt, e, px, py, pz, {pair_derived()} FROM top2)"""
@@ -169,7 +173,7 @@ SQL: dict[str, str] = {
     "b4_cut_particles": BASE + (
         f"SELECT evt, pt, eta, {fround('CAST(pt AS DOUBLE) * CAST(pt AS DOUBLE)', 4)} AS pt_sq FROM p "
         f"WHERE evt IN (SELECT evt FROM ev WHERE n = 2) AND pt > {_f(10.0)} AND eta < {_f(2.4)}"),
-    "b4_max_pair_mass2": with_(PARTICLES, P4, TOP2) + "SELECT round(MAX(mass2), 4) AS max_mass2 FROM t2",
+    "b4_max_pair_mass2": with_(PARTICLES, P4, TOP2) + f"SELECT {fround('MAX(mass2)', 4)} AS max_mass2 FROM t2",
     "b4_top2_pair_products": with_(PARTICLES, P4, TOP2) + (
         f"SELECT evt, {fround('e', 4)} AS e, {fround('mass2', 4)} AS mass2, "
         f"{fround('mass2 * e', 2)} AS mass_e FROM t2"),
@@ -237,10 +241,7 @@ SQL.update({
     "reduction_pairs": with_(PARTICLES, P4, PAIRS) + (
         "SELECT evt, " + ", ".join(f"{fround(c, 4)} AS {c}" for c in
                                    ("e", "px", "py", "pz", "mass2", "pt", "phi", "eta")) + " FROM pq"),
-    "reduction_job": with_(PARTICLES, P4, PAIRS) + bundle_sql(
-        "(SELECT " + pair_derived() + " FROM (SELECT CAST(CAST(e AS FLOAT) AS DOUBLE) AS e, "
-        "CAST(CAST(px AS FLOAT) AS DOUBLE) AS px, CAST(CAST(py AS FLOAT) AS DOUBLE) AS py, "
-        "CAST(CAST(pz AS FLOAT) AS DOUBLE) AS pz FROM pairs) f)", PAIR_BINS),
+    "reduction_job": with_(PARTICLES, P4, PAIRS) + bundle_sql("pq", PAIR_BINS),
     "strip_events": STRIP_SUMMARY,
     "sink_parquet_roundtrip": STRIP_SUMMARY,
     "sink_hist_json": SQL["b6_muon_bundle"],
@@ -265,7 +266,7 @@ _MS = "date_diff('millisecond', TIMESTAMP '1970-01-01 00:00:00', CAST({c} AS TIM
 
 MTABLES = f"""
 jobs AS (
-  SELECT o_orderkey AS job_id, o_orderpriority AS group_id,
+  SELECT 'tables' AS run, o_orderkey AS job_id, o_orderpriority AS group_id,
          {_MS.format(c="o_orderdate")} AS start_ms,
          {_MS.format(c="o_orderdate")} + CAST(floor(o_totalprice) AS BIGINT) AS end_ms,
          CASE WHEN o_custkey % 2 = 0 THEN 14 ELSE 7 END AS n_exec,
@@ -319,29 +320,34 @@ assert list(_SERIES_SQL) == list(SERIES)
 _MW = with_(MTABLES)
 SQL.update({
     "k_job_time": _MW + (
-        "SELECT subset, group_id, job_id, n_exec * n_thread AS parallelism, "
+        "SELECT run, subset, group_id, job_id, n_exec * n_thread AS parallelism, "
         "round((end_ms - start_ms) / 1000.0, 3) AS seconds FROM sub"),
     "k_cpu_efficiency": _MW + (
-        "SELECT subset, group_id, sub.job_id, n_exec * n_thread AS parallelism, "
+        "SELECT run, subset, group_id, sub.job_id, n_exec * n_thread AS parallelism, "
         f"round((cpu_ns / {_f(1e9)}) / NULLIF(duration / {_f(1e3)}, 0), 6) AS cpu_eff "
-        "FROM sub JOIN jt ON jt.job_id = sub.job_id"),
+        "FROM sub LEFT JOIN jt ON jt.job_id = sub.job_id"),
     "k_totals": _MW + (
-        "SELECT subset, group_id, sub.job_id, n_exec * n_thread AS parallelism, "
-        + ", ".join(f"round({c} / {_f(d)}, 6) AS {name}" for name, (c, d) in TOTALS.items())
-        + " FROM sub JOIN jt ON jt.job_id = sub.job_id"),
+        "SELECT run, subset, group_id, sub.job_id, n_exec * n_thread AS parallelism, "
+        + ", ".join(f"round(COALESCE({c}, 0) / {_f(d)}, 6) AS {name}" for name, (c, d) in TOTALS.items())
+        + " FROM sub LEFT JOIN jt ON jt.job_id = sub.job_id"),
     "k_stage_time_by_ordinal": _MW + (
-        "SELECT subset, group_id, sub.job_id, n_exec * n_thread AS parallelism, ordinal, stage_id, "
+        "SELECT run, subset, group_id, sub.job_id, n_exec * n_thread AS parallelism, ordinal, stage_id, "
         "round((completion - submission) / 1000.0, 3) AS seconds FROM sub JOIN so ON so.job_id = sub.job_id"),
     "k_task_series": _MW + "\nUNION ALL\n".join(
-        f"SELECT group_id, t.job_id, n_exec, n_thread, ordinal, executor_id, t.task_id, '{name}' AS series, "
+        f"SELECT sub.run, group_id, t.job_id, n_exec, n_thread, ordinal, executor_id, t.task_id, '{name}' AS series, "
         f"{fround(f'CAST({expr} AS DOUBLE) / {_f(d)}', 6)} AS seconds "
         "FROM tasks t JOIN sub ON sub.job_id = t.job_id AND sub.subset = 'executors' "
         "JOIN so ON so.job_id = t.job_id AND so.stage_id = t.stage_id"
         for name, (expr, d) in _SERIES_SQL.items()),
     "k_stage_summary": _MW + (
-        "SELECT s.job_id, s.stage_id, CAST(c.n_stages AS INTEGER) AS n_stages, s.num_tasks, "
-        "COALESCE(o.n_tasks, 0) AS n_tasks FROM stages s "
+        "SELECT j.run, j.group_id, s.job_id, s.stage_id, CAST(0 AS BIGINT) AS attempt, "
+        "'stage-' || CAST(s.stage_id AS VARCHAR) AS name, CAST(c.n_stages AS INTEGER) AS n_stages, s.num_tasks, "
+        "COALESCE(o.n_tasks, 0) AS n_tasks FROM stages s JOIN jobs j ON j.job_id = s.job_id "
         "JOIN (SELECT job_id, COUNT(*) AS n_stages FROM stages GROUP BY job_id) c ON c.job_id = s.job_id "
         "LEFT JOIN (SELECT job_id, stage_id, COUNT(*) AS n_tasks FROM tasks GROUP BY job_id, stage_id) o "
         "ON o.job_id = s.job_id AND o.stage_id = s.stage_id"),
+    "k_stage_totals": _MW + (
+        "SELECT 'tables' AS run, job_id, stage_id, COUNT(*) AS n_tasks, "
+        + ", ".join(f"round(CAST(SUM({c}) AS DOUBLE) / {_f(d)}, 6) AS {name}" for name, (c, d) in TOTALS.items())
+        + " FROM tasks GROUP BY job_id, stage_id"),
 })

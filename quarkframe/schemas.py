@@ -6,14 +6,12 @@ stored in Parquet and are therefore absent from the stored schema; the
 ``strip`` operator removes them from in-memory data before writing.
 """
 
+# Field names and types of the event records.
 CANDIDATE = (
     "struct<qx3:int,pt:float,eta:float,phi:float,mass:float,"
     "vertex:struct<cs:struct<x:float,y:float,z:float>>,pdfId:int,status:int>"
 )
 
-# Field names of the stripped candidate, in storage order.
-CANDIDATE_FIELDS = ["qx3", "pt", "eta", "phi", "mass", "vertex", "pdfId", "status"]
-
 COLLECTIONS = ["muons", "photons", "electrons", "jets", "met"]
 
 # Stored nested event table: one row per event fragment. ``n_<collection>`` are
@@ -24,22 +22,4 @@ EVENT_TABLE = ", ".join(
     + [f"{c} array<{CANDIDATE}>" for c in COLLECTIONS]
 )
 
-# Four-vector sum of two candidates (pair record).
-PAIR = "struct<e:double,px:double,py:double,pz:double>"
-
 HISTOGRAM = "label string, bin int, lo double, hi double, n bigint"
-
-TRACK = "struct<charge:int,pt:float,pterr:float,eta:float,phi:float>"
-GEN_PARTICLE = "struct<parent:int,pdfId:int,status:int,pt:float,eta:float,phi:float,mass:float,y:float>"
-
-JOBS = ("job_id bigint, group_id string, desc string, start bigint, end bigint, "
-        "n_exec int, n_thread int")
-STAGES = ("job_id bigint, stage_id bigint, name string, num_tasks int, "
-          "submission bigint, completion bigint")
-TASKS = (
-    "job_id bigint, stage_id bigint, task_id bigint, host string, executor_id string, "
-    "duration bigint, task_type string, launch bigint, finish bigint, getting_result bigint, "
-    "run_ms bigint, cpu_ns bigint, gc_ms bigint, deser_ms bigint, deser_cpu_ns bigint, "
-    "ser_ms bigint, result_size bigint, disk_spill bigint, mem_spill bigint, bytes_read bigint, "
-    "records_read bigint, bytes_written bigint, records_written bigint"
-)

@@ -59,6 +59,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - older API
             d = None
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: "
+                               "a machine-local folder would lose the other executors' part files")
         if _LOCAL_CKPT is None:
             _LOCAL_CKPT = tempfile.mkdtemp(prefix="quarkframe-ckpt-")
         d = _LOCAL_CKPT
@@ -79,12 +82,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-def touch(spark: SparkSession, path: str) -> None:
-    """Create an empty marker file through Hadoop FS."""
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.create(jpath, True).close()
+def delete_on_exit(spark: SparkSession, path: str) -> str:
+    """Have ``path`` removed when the driver's JVM ends; returns ``path``."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
 
 
 def publish(spark: SparkSession, tmp: str, path: str) -> None:
@@ -101,25 +103,21 @@ def publish(spark: SparkSession, tmp: str, path: str) -> None:
 
 
 def source_fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    """Identity of input files (name, size, modification time of every file
-    under each path), listed through Hadoop FS so it works on any shared
-    store; keys derived tables so that changed inputs are rebuilt."""
+    """Identity of input tables: bytes, number of files and time of the last
+    change of each path, by two Hadoop-FS calls a table (whatever its number
+    of files); keys derived tables so that changed inputs are rebuilt."""
     import hashlib
 
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     h = hashlib.sha1()
     for p in sorted(paths):
-        h.update(p.encode())
         jpath = jvm.org.apache.hadoop.fs.Path(p)
         fs = jpath.getFileSystem(conf)
         if not fs.exists(jpath):
+            h.update(p.encode())
             continue
-        it = fs.listFiles(jpath, True)
-        files = []
-        while it.hasNext():
-            st = it.next()
-            files.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
-        for f in sorted(files):
-            h.update(f.encode())
+        total = fs.getContentSummary(jpath)
+        changed = fs.getFileStatus(jpath).getModificationTime()
+        h.update(f"{p}:{total.getLength()}:{total.getFileCount()}:{changed}".encode())
     return h.hexdigest()[:16]

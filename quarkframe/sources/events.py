@@ -21,31 +21,32 @@ rows; orders without lines become events with empty collections):
     order   = pt descending inside every collection
 
 Skew: a single event may hold a large share of all particles. No event is
-ever collected into one row: events larger than ``chunk`` particles are split
-into ``ceil(n / chunk)`` fragments by a hash of the particle, each fragment a
-row of the store (``frag``, ``n_frag``); ``n_<collection>`` always carries
-the whole-event size, so size cuts stay row-local. Operators that need the
-whole event (leading objects, pairs) merge fragments with keyed aggregation
-or a fragment-level join that only ever touches the split (hot) events.
+ever collected into one row: an event of n particles has ``ceil(n / chunk)``
+fragments (at least one), a particle's fragment being a hash of it; each
+fragment is a row of the store (``frag``, ``n_frag``). A fragment that no
+particle fell into is a row with empty collections. ``n_<collection>`` always
+carries the whole-event size, so size cuts stay row-local. Operators that need
+the whole event (leading objects, pairs) merge fragments with keyed
+aggregation or a block join of fragments that only touches split events.
+
+The build decides everything per event on narrow rows (``event_sizes``), and
+particles cross exchanges keyed by (event, salt) and (event, fragment) only:
+no window, join or exchange of particles is keyed by the event alone.
 """
 
 from __future__ import annotations
 
-import logging
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..session import derived_path, path_exists, publish, source_fingerprint, touch
+from ..session import delete_on_exit, derived_path, path_exists, publish, source_fingerprint
 
-log = logging.getLogger(__name__)
-
-CHUNK = 4096                 # max particles of one collection kept in one row
-HOT_BROADCAST_LIMIT = 1_000_000   # broadcast the hot-event map only below this many entries
-STORE_VERSION = "v7"
-NO_SPLIT_MARKER = "_NO_SPLIT_EVENTS"   # written when no event needed splitting
+CHUNK = 4096                 # particles per fragment, about
+SALTS = 64                   # parts of an event when its fragment count is joined to its particles
+STORE_VERSION = "v8"
 STORE_TAG = ""               # extra key part; set by a caller that wants its own store (bench)
 
 _KIND_OF = {"photons": 0, "electrons": 1, "jets": 2, "met": 3}
@@ -108,137 +109,67 @@ def _collections(grouped: DataFrame, keys: list[str]) -> DataFrame:
         *[F.transform(F.filter("s", _of_kind(k)), lambda x: x["c"]).alias(c) for c, k in _KIND_OF.items()])
 
 
-def build_event_table(orders: DataFrame, lineitem: DataFrame, chunk: int = CHUNK,
-                      hot_broadcast_limit: int = HOT_BROADCAST_LIMIT,
-                      stats: dict | None = None) -> DataFrame:
-    """Nested event fragments from the flat tables (lazy except one count).
+def event_sizes(orders: DataFrame, lineitem: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One narrow row per event: evt, n_frag and the sizes of its collections.
 
-    ``stats``, if given, receives ``n_split``: the number of split events."""
-    parts = particles(lineitem)
+    The particle counts are partially aggregated, so a hot event costs one row
+    per map task; the join with ``orders`` drops particles without an event and
+    keeps events without particles."""
     size_cols = [F.count(F.lit(1)).cast("int").alias("n_muons")] + [
         F.count_if(F.col("kind") == k).cast("int").alias(f"n_{c}") for c, k in _KIND_OF.items()
     ]
-    # Partial (map-side) aggregation: a hot event costs one row per map task.
-    sizes = parts.groupBy("evt").agg(*size_cols)
-    hot = (sizes.where(F.col("n_muons") > chunk)
-           .withColumn("n_frag", F.ceil(F.col("n_muons") / F.lit(chunk)).cast("int")))
-    n_hot = hot.count()
-    if stats is not None:
-        stats["n_split"] = n_hot
-    if n_hot:
-        hot_map = hot.select("evt", "n_frag", *[f"n_{c}" for c in schemas.COLLECTIONS])
-        if n_hot <= hot_broadcast_limit:
-            hot_map = F.broadcast(hot_map)   # size proven by the count above
-        else:
-            log.warning("%d hot events: joining the hot map by shuffle", n_hot)
-        parts = parts.join(hot_map.select("evt", "n_frag"), "evt", "left").withColumn(
-            "frag",
-            F.when(F.col("n_frag").isNull(), F.lit(0))
-            .otherwise(F.pmod(F.xxhash64("c"), F.col("n_frag")).cast("int")))
-        # (evt, frag) spreads a hot event over many reducers
-        frags = _collections(parts.repartition("evt", "frag").groupBy("evt", "frag").agg(_sorted_particles()),
-                             ["evt", "frag"])
-    else:
-        # no split event: group on the event key alone, so the result is
-        # already partitioned for the join with ``orders`` below
-        frags = _collections(parts.repartition("evt").groupBy("evt").agg(_sorted_particles()),
-                             ["evt"]).withColumn("frag", F.lit(0))
-
-    if n_hot:
-        frags = frags.join(hot_map, "evt", "left")
-        cold = frags.where(F.col("n_frag").isNull()).select(
-            "evt", "frag", F.lit(1).alias("n_frag"),
-            *[F.size(c).cast("int").alias(f"n_{c}") for c in schemas.COLLECTIONS],
-            *schemas.COLLECTIONS)
-        # Renumber the fragments of split events densely (a hash may leave a
-        # slot empty) so that every event has a fragment 0. The window only
-        # sees the few fragment rows of hot events.
-        by_evt = Window.partitionBy("evt")
-        hot_rows = frags.where(F.col("n_frag").isNotNull()).select(
-            "evt",
-            (F.row_number().over(by_evt.orderBy("frag")) - 1).cast("int").alias("frag"),
-            F.count(F.lit(1)).over(by_evt).cast("int").alias("n_frag"),
-            *[F.col(f"n_{c}").cast("int").alias(f"n_{c}") for c in schemas.COLLECTIONS],
-            *schemas.COLLECTIONS)
-        frags = cold.unionByName(hot_rows)
-    else:
-        frags = frags.select(
-            "evt", "frag", F.lit(1).alias("n_frag"),
-            *[F.size(c).cast("int").alias(f"n_{c}") for c in schemas.COLLECTIONS],
-            *schemas.COLLECTIONS)
-
+    sizes = particles(lineitem).drop("c").groupBy("evt").agg(*size_cols)
+    ev = orders.select(F.col("o_orderkey").alias("evt")).join(sizes, "evt", "left")
+    n = [F.coalesce(f"n_{c}", F.lit(0)).alias(f"n_{c}") for c in schemas.COLLECTIONS]
+    return ev.select("evt", *n).withColumn(
+        "n_frag", F.greatest(F.ceil(F.col("n_muons") / F.lit(chunk)), F.lit(1)).cast("int"))
+
+
+def build_event_table(sizes: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Nested event fragments from ``event_sizes`` (a written table, read
+    several times here) and the particles."""
+    # fragment counts of split events, repeated per salt: few rows, so Spark
+    # broadcasts them by their file size or joins them on (evt, salt)
+    split = (sizes.where("n_frag > 1").select("evt", "n_frag")
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    h = F.xxhash64("c")
+    parts = (particles(lineitem).withColumn("salt", F.pmod(h, F.lit(SALTS)).cast("int"))
+             .join(split, ["evt", "salt"], "left")
+             .withColumn("frag", F.pmod(F.shiftrightunsigned(h, 8), F.coalesce("n_frag", F.lit(1))).cast("int")))
+    frags = _collections(parts.select("evt", "frag", "kind", "c").repartition("evt", "frag")
+                         .groupBy("evt", "frag").agg(_sorted_particles()), ["evt", "frag"])
+    every = sizes.withColumn("frag", F.explode(F.sequence(F.lit(0), F.col("n_frag") - 1)))
     empty = F.array().cast(f"array<{schemas.CANDIDATE}>")
-    keys = orders.select(F.col("o_orderkey").alias("evt"))
-    if n_hot:
-        # A hot event's fragments share one key: an outer join with
-        # ``orders`` would pull all of them into one task, and AQE cannot
-        # split the non-preserved side of an outer join. A semi join keeps
-        # the fragments on the splittable side; orders without particles
-        # come from an anti join on the per-event sizes (one row per event).
-        kept = frags.join(keys, "evt", "left_semi")
-        bare = keys.join(sizes.select("evt"), "evt", "left_anti").select(
-            "evt", F.lit(0).alias("frag"), F.lit(1).alias("n_frag"),
-            *[F.lit(0).alias(f"n_{c}") for c in schemas.COLLECTIONS],
-            *[empty.alias(c) for c in schemas.COLLECTIONS])
-        ev = kept.unionByName(bare)
-    else:
-        # every event fits one row: the join with ``orders`` is one to one
-        ev = keys.join(frags, "evt", "left")
-    return ev.select(
-        "evt",
-        F.coalesce("frag", F.lit(0)).cast("int").alias("frag"),
-        F.coalesce("n_frag", F.lit(1)).cast("int").alias("n_frag"),
-        *[F.coalesce(f"n_{c}", F.lit(0)).cast("int").alias(f"n_{c}") for c in schemas.COLLECTIONS],
-        *[F.coalesce(c, empty).alias(c) for c in schemas.COLLECTIONS],
-    )
+    return every.join(frags, ["evt", "frag"], "left").select(
+        "evt", "frag", "n_frag", *[f"n_{c}" for c in schemas.COLLECTIONS],
+        *[F.coalesce(c, empty).alias(c) for c in schemas.COLLECTIONS])
 
 
 def events(spark: SparkSession, sf_dir: str, chunk: int | None = None) -> DataFrame:
     """Scan of the nested event store for ``sf_dir``, building it on first use.
 
-    When the store holds no split event, the fragment columns are dropped
-    and the result is a plain one-row-per-event table.
-
-    The store is keyed by the input files' identity and written with the
-    Parquet committer, so a lost executor only re-runs its tasks and a
-    finished store is reused by every later query (and application). It is
-    written to a private folder and renamed into place when complete, so
-    concurrent builders never see or clobber a half-written store.
+    The store is keyed by the identity of its input tables, looked up at every
+    call (so changed inputs are seen), and written with the Parquet committer,
+    so a lost executor only re-runs its tasks and a finished store is reused by
+    every later query and application. It is written to a private folder and
+    renamed into place when complete, so concurrent builders never see or
+    clobber a half-written store.
     """
     chunk = chunk or CHUNK
-    memo = (id(spark), derived_path(spark, "events"), sf_dir, chunk, STORE_TAG, STORE_VERSION)
-    if memo not in _RESOLVED:
-        _RESOLVED[memo] = _resolve(spark, sf_dir, chunk)
-    path, plain = _RESOLVED[memo]
-    ev = read_events(spark, path)
-    # Every row is a whole event: serve a plain nested event table, so
-    # operators take only their row-local path.
-    return ev.drop("frag", "n_frag") if plain else ev
-
-
-# (session, store folder, inputs, chunk, tag, version) -> (store path, no split event).
-# Listing the inputs for their fingerprint is done once per session, not per query.
-_RESOLVED: dict[tuple, tuple[str, bool]] = {}
-
-
-def _resolve(spark: SparkSession, sf_dir: str, chunk: int) -> tuple[str, bool]:
-    """Find (or build) the store for ``sf_dir``; return its path and whether
-    it holds no split event."""
     srcs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "lineitem")]
     key = f"{STORE_VERSION}-{source_fingerprint(spark, srcs)}-c{chunk}{STORE_TAG}"
     path = derived_path(spark, "events", key)
     if not path_exists(spark, path + "/_SUCCESS"):
-        stats: dict = {}
-        ev = build_event_table(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), chunk,
-                               stats=stats)
         # leading "_": hidden from Spark's file listing wherever it ends up
         parent, name = path.rsplit("/", 1)
         tmp = f"{parent}/_building-{name}-{uuid.uuid4().hex[:12]}"
-        ev.write.mode("errorifexists").parquet(tmp)
-        if stats.get("n_split") == 0:
-            touch(spark, tmp + "/" + NO_SPLIT_MARKER)
+        narrow = delete_on_exit(spark, tmp + "-sizes")
+        sizes = event_sizes(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), chunk)
+        sizes.write.parquet(narrow)
+        sizes = spark.read.schema(sizes.schema).parquet(narrow)
+        build_event_table(sizes, table(spark, sf_dir, "lineitem")).write.parquet(tmp)
         publish(spark, tmp, path)
-    return path, path_exists(spark, path + "/" + NO_SPLIT_MARKER)
+    return read_events(spark, path)
 
 
 def read_events(spark: SparkSession, path: str, schema: str = schemas.EVENT_TABLE) -> DataFrame:

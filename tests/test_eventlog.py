@@ -53,7 +53,7 @@ def test_event_log_tables(spark, tmp_path):
     assert tasks.where(F.col("cpu_ns") <= 0).count() == 0
 
     # declared and observed task counts agree for every completed stage
-    s = M.stage_summary(t["stages"], tasks)
+    s = M.stage_summary(t["jobs"], t["stages"], tasks)
     assert s.where(F.col("num_tasks") != F.col("n_tasks")).count() == 0
 
     # reports run on event-log tables; the unlabelled job is dropped
@@ -68,3 +68,39 @@ def test_event_log_tables(spark, tmp_path):
     assert so and min(r.ordinal for r in so) == 0
     ser = M.task_series(t["jobs"], t["stages"], tasks).collect()
     assert len({r.series for r in ser}) == 8
+
+
+ADAPTIVE = """
+from pyspark.sql import SparkSession, functions as F
+s = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+     .config("spark.sql.shuffle.partitions", "4").config("spark.eventLog.enabled", "true")
+     .config("spark.eventLog.dir", {logdir!r}).getOrCreate())
+s.sparkContext.setJobGroup("Q", "joined")
+a = s.range(5000).groupBy((F.col("id") % 97).alias("k")).count()
+b = s.range(3000).groupBy((F.col("id") % 89).alias("k")).count()
+a.join(b.withColumnRenamed("count", "n"), "k").groupBy("n").count().collect()
+s.stop()
+"""
+
+
+def test_default_logs_of_an_adaptive_query(spark, tmp_path):
+    """Spark's defaults (rolled, compressed) below a common folder; the jobs
+    that adaptive execution starts for one query are one job."""
+    logdir = tmp_path / "logs"
+    logdir.mkdir()
+    subprocess.run([sys.executable, "-c", ADAPTIVE.format(logdir=str(logdir))], check=True, timeout=600,
+                   capture_output=True)
+    t = metrics_tables(read_event_log(spark, str(tmp_path)))
+    (job,) = t["jobs"].where("group_id = 'Q'").collect()
+    assert not job.run.startswith("eventlog_v2_") and job.end > job.start
+    ordinals = {r.ordinal for r in M.stage_ordinals(t["stages"].where(F.col("job_id") == job.job_id)).collect()}
+    assert len(ordinals) >= 2 and ordinals == set(range(len(ordinals)))
+    assert t["tasks"].where(F.col("job_id").isNull()).count() == 0
+
+
+def test_a_folder_without_events_is_an_error(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "notes.json").write_text("not a log\n")
+    with pytest.raises(ValueError, match="no scheduler event"):
+        read_event_log(spark, str(tmp_path))

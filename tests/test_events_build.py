@@ -15,28 +15,28 @@ def _line(order, i):
             datetime.date(1995, 1, 1))
 
 
+def _build(orders, li, chunk):
+    return E.build_event_table(E.event_sizes(orders, li, chunk), li)
+
+
 @pytest.mark.parametrize("chunk", [4, 1000])
-def test_build_split_and_plain_paths(spark, chunk):
+def test_build_with_and_without_split_events(spark, chunk):
     """Order 1 has 40 lines (split when chunk=4), order 2 has 3, order 3 none;
     the orphan line of order 9 (not in orders) is not an event."""
     orders = spark.createDataFrame([(1,), (2,), (3,)], "o_orderkey long")
     lines = [_line(1, i) for i in range(40)] + [_line(2, i) for i in range(3)] + [_line(9, 0)]
     li = spark.createDataFrame(lines, LI)
-    stats = {}
-    ev = E.build_event_table(orders, li, chunk=chunk, stats=stats)
-    assert stats["n_split"] == (1 if chunk == 4 else 0)
-    rows = ev.collect()
+    ev = _build(orders, li, chunk)
+    assert {"frag", "n_frag"} < set(ev.columns)
     by_evt = {}
-    for r in rows:
+    for r in ev.collect():
         by_evt.setdefault(r.evt, []).append(r)
     assert sorted(by_evt) == [1, 2, 3]
     hot = by_evt[1]
     assert {r.n_muons for r in hot} == {40}
     assert sum(len(r.muons) for r in hot) == 40
-    assert sorted(r.frag for r in hot) == list(range(len(hot)))
+    assert sorted(r.frag for r in hot) == list(range(10 if chunk == 4 else 1))
     assert {r.n_frag for r in hot} == {len(hot)}
-    if chunk == 4:
-        assert len(hot) > 1
     for r in hot:
         pts = [m.pt for m in r.muons]
         assert pts == sorted(pts, reverse=True)
@@ -47,11 +47,45 @@ def test_build_split_and_plain_paths(spark, chunk):
     assert two.n_muons == 3 and len(two.muons) == 3
 
 
-def test_split_path_plan_has_no_outer_join_on_fragments(spark):
-    orders = spark.createDataFrame([(1,), (2,)], "o_orderkey long")
-    li = spark.createDataFrame([_line(1, i) for i in range(40)], LI)
-    plan = E.build_event_table(orders, li, chunk=4)._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftSemi" in plan and "LeftAnti" in plan
+def test_a_hot_event_is_spread_over_tasks(spark):
+    """Neither the particles of the store build nor the pairs of a hot event
+    gather in one task (broadcast off, as at large scale)."""
+    from pyspark.sql import functions as F
+
+    from quarkframe.operators.pairs import ordered_pairs, symmetric_pairs
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(k, v)
+    try:
+        orders = spark.createDataFrame([(1,), (2,)], "o_orderkey long")
+        li = spark.createDataFrame([_line(1, i) for i in range(640)] + [_line(2, 0)], LI)
+        ev = _build(orders, li, 20)
+        assert ev.where("evt = 1").count() == 32
+
+        def largest_share(df, weight=F.lit(1)):
+            df = df.where("evt = 1").select(F.spark_partition_id().alias("p"), weight.alias("w"))
+            n = [r[1] for r in df.groupBy("p").agg(F.sum("w")).collect()]
+            return max(n) / sum(n), sum(n)
+
+        share, n = largest_share(ev, F.size("muons"))
+        assert share < 0.4 and n == 640
+        for pairs, total in ((ordered_pairs(ev), 640 ** 2), (symmetric_pairs(ev), None)):
+            share, n = largest_share(pairs, F.when(F.col("pair").isNotNull(), 1))
+            assert share < 0.35 and (total is None or n == total)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_appended_rows_are_seen_in_the_same_session(spark, tmp_path):
+    orders = spark.createDataFrame([(k,) for k in range(5)], "o_orderkey long")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([_line(1, 0)], LI).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert E.events(spark, str(tmp_path)).count() == 5
+    spark.createDataFrame([(k,) for k in range(5, 9)], "o_orderkey long").write.mode("append").parquet(
+        str(tmp_path / "orders.parquet"))
+    assert E.events(spark, str(tmp_path)).count() == 9
 
 
 def test_source_fingerprint_follows_file_changes(spark, tmp_path):
@@ -95,7 +129,7 @@ def test_build_collects_after_the_shuffle(spark, chunk):
     the collect runs after it, never as a map-side partial buffer."""
     orders = spark.createDataFrame([(1,), (2,)], "o_orderkey long")
     li = spark.createDataFrame([_line(1, i) for i in range(40)] + [_line(2, 0)], LI)
-    plan = E.build_event_table(orders, li, chunk=chunk)._jdf.queryExecution().executedPlan().toString()
+    plan = _build(orders, li, chunk)._jdf.queryExecution().executedPlan().toString()
     lines = plan.splitlines()
     partial = [i for i, ln in enumerate(lines) if "partial_collect_list" in ln]
     repart = [i for i, ln in enumerate(lines) if "REPARTITION_BY_COL" in ln]
@@ -109,26 +143,9 @@ def test_published_store_is_reused_not_rebuilt(spark, monkeypatch):
 
     monkeypatch.setattr(E, "STORE_TAG", "-reuse-test")
     n = E.events(spark, SF_SMALL).count()
-    # a later application: nothing memoised, the store is found on disk
-    monkeypatch.setattr(E, "_RESOLVED", {})
 
     def no_build(*a, **k):
         raise AssertionError("store rebuilt")
 
     monkeypatch.setattr(E, "build_event_table", no_build)
     assert E.events(spark, SF_SMALL).count() == n
-
-
-def test_hot_map_broadcast_only_below_limit(spark):
-    """Above the limit the hot-event map is joined by shuffle; both ways give
-    the same store."""
-    orders = spark.createDataFrame([(k,) for k in range(1, 8)], "o_orderkey long")
-    lines = [_line(k, i) for k in range(1, 7) for i in range(12 * k)]
-    li = spark.createDataFrame(lines, LI)
-    small = E.build_event_table(orders, li, chunk=8, hot_broadcast_limit=100)
-    large = E.build_event_table(orders, li, chunk=8, hot_broadcast_limit=1)
-    with_hint = small._jdf.queryExecution().optimizedPlan().toString()
-    without = large._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in with_hint.lower() and "broadcast" not in without.lower()
-    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
-    assert small.count() > 7   # hot events were split into several rows
