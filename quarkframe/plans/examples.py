@@ -13,10 +13,12 @@ from .. import schemas
 from ..functions import kinematics as K
 from ..functions.histogram import Bin
 from ..functions.rounding import round_to
+from ..operators import aggregate as A
 from ..operators import nested as N
 from ..operators import pairs as P
 from ..operators.histogram import fill_bundle
 from ..sources import sinks
+from ..sources.aod import AOD_PATHS, aod_events, lead
 from ..sources.events import events
 from .benchmark import PAIR_BINS, b6_muon_bundle
 
@@ -65,42 +67,47 @@ def reduction_job(spark, sf_dir, out: str | None = None):
 
 # ---------------------------------------------------------------------- strip
 
-def stripped_events(ev: DataFrame) -> DataFrame:
-    """P9 + F1: events with >= 2 muons, every collection stripped to the
-    stored candidate fields (empty structs removed)."""
-    ev = N.cut_size(ev, "muons", ">=", 2)
-    keep = [c for c in ev.columns if c not in schemas.COLLECTIONS]
-    return ev.select(*keep, *[N.strip(c, [f for f in N.non_empty_fields(ev, c)]).alias(c)
-                              for c in schemas.COLLECTIONS])
+def stripped_events(aod: DataFrame) -> DataFrame:
+    """Events with >= 2 muons of the original-layout files; the
+    five collections' records selected through their ``::`` paths, renamed,
+    bound to the candidate record by position and stripped of what it lacks."""
+    aod = N.cut_size(aod, "muons", ">=", 2)
+    kept = ["evt", "frag", "n_frag", *[f"n_{c}" for c in schemas.COLLECTIONS]]
+    raw = N.rename(N.select_paths(aod, *kept, *AOD_PATHS.values()), *kept, *AOD_PATHS)
+    fields = [f.name for f in raw.schema["muons"].dataType.elementType.fields if f.name != "cache_"]
+    return raw.select(*kept, *[N.bind(N.strip(c, fields), f"array<{schemas.CANDIDATE}>").alias(c) for c in AOD_PATHS])
+
+
+#: Leaves of the candidate record that the summary adds up.
+_LEAVES = ["qx3", "pt", "eta", "phi", "mass", "vertex.cs.x", "vertex.cs.y", "vertex.cs.z", "pdfId", "status"]
 
 
 def _event_summary(st: DataFrame) -> DataFrame:
-    per_row = []
-    for c in schemas.COLLECTIONS:
-        per_row.append(F.aggregate(F.col(f"{c}.pt"), F.lit(0.0), lambda a, x: a + x.cast("double"))
-                       .alias(f"sum_pt_{c}"))
-    per_row.append(F.aggregate(F.col("muons.vertex.cs.z"), F.lit(0.0), lambda a, x: a + x.cast("double"))
-                   .alias("sum_vz_muons"))
-    rows = st.select("evt", "frag", "n_frag", *[f"n_{c}" for c in schemas.COLLECTIONS], *per_row)
-    sums = [f"sum_pt_{c}" for c in schemas.COLLECTIONS] + ["sum_vz_muons"]
+    """Per event the sums of every kept leaf of the muons and of the other
+    collections' pt; fragments of a split event are added up."""
+    leaves = {f"sum_{x.rsplit('.', 1)[-1]}_muons": f"muons.{x}" for x in _LEAVES}
+    leaves |= {f"sum_pt_{c}": f"{c}.pt" for c in schemas.COLLECTIONS if c != "muons"}
+    rows = st.select("evt", "n_frag", *[f"n_{c}" for c in schemas.COLLECTIONS], *[
+        F.aggregate(F.col(path), F.lit(0.0), lambda a, x: a + x.cast("double")).alias(k)
+        for k, path in leaves.items()])
     out = [F.col(f"n_{c}") for c in schemas.COLLECTIONS]
-    rounded = [round_to(s, 3).alias(s) for s in sums]
+    rounded = [round_to(s, 3).alias(s) for s in leaves]
     fast = rows.where(F.col("n_frag") == 1).select("evt", *out, *rounded)
     hot = (rows.where(F.col("n_frag") > 1)
            .groupBy("evt", *[f"n_{c}" for c in schemas.COLLECTIONS])
-           .agg(*[F.sum(s).alias(s) for s in sums])
+           .agg(*[F.sum(s).alias(s) for s in leaves])
            .select("evt", *out, *rounded))
     return fast.unionByName(hot)
 
 
 def strip_events(spark, sf_dir):
     """Strip job (five collections), summarised per event for checking."""
-    return _event_summary(stripped_events(events(spark, sf_dir)))
+    return _event_summary(stripped_events(aod_events(spark, sf_dir)))
 
 
 def sink_parquet_roundtrip(spark, sf_dir):
     """Write the stripped events to a fresh folder, read them back."""
-    st = stripped_events(events(spark, sf_dir))
+    st = stripped_events(aod_events(spark, sf_dir))
     path = sinks.write_parquet(st, sinks.fresh_output(spark, "stripped"))
     return _event_summary(spark.read.schema(st.schema).parquet(path))
 
@@ -113,17 +120,14 @@ def sink_hist_json(spark, sf_dir):
 
 # ----------------------------------------------------------------- lead objects
 
-def _lead(ev: DataFrame, colls: dict) -> DataFrame:
-    return P.event_top_k(ev, colls, ("pt", "eta", "phi"), keep=["evt"])
-
-
 def higgs_lead_bundle(spark, sf_dir):
-    """Higgs example: events with an electron; leading electron/muon pt, the
-    leading-two-muon mass (reference formula) and leading muon phi/eta.
+    """Higgs example: events with an electron; first electron/muon pt, the
+    mass of the first two muons (reference formula) and first muon phi/eta,
+    in stored order.
 
     Events with a single muon leave ``dimuon_mass`` unfilled (NULL)."""
-    ev = N.cut_size(events(spark, sf_dir), "electrons", "!=", 0)
-    t = _lead(ev, {"muons": 2, "electrons": 1})
+    ev = N.cut_size(aod_events(spark, sf_dir), "electrons", "!=", 0)
+    t = lead(ev, {"muons": (2, ["pt", "eta", "phi"]), "electrons": (1, ["pt"])}, ["evt"])
     m0, e0 = N.element("muons", 0), N.element("electrons", 0)
     vals = {
         "electron_pt": e0["pt"],
@@ -137,19 +141,20 @@ def higgs_lead_bundle(spark, sf_dir):
 
 
 def photon_lead_bundle(spark, sf_dir):
-    """Photon example: events with a photon; leading photon pt/phi/eta."""
-    ev = N.cut_size(events(spark, sf_dir), "photons", "!=", 0)
-    t = _lead(ev, {"photons": 1})
+    """Photon example: events with a photon; first photon pt/phi/eta, in
+    stored order."""
+    ev = N.cut_size(aod_events(spark, sf_dir), "photons", "!=", 0)
+    t = lead(ev, {"photons": (1, ["pt", "phi", "eta"])}, ["evt"])
     g = N.element("photons", 0)
     cols = t.select(g["pt"].alias("pt"), g["phi"].alias("phi"), g["eta"].alias("eta"))
     return fill_bundle(cols, [Bin(k, *PHOTON_RANGES[k], k) for k in PHOTON_RANGES])
 
 
 def lead_pair_mass(spark, sf_dir):
-    """J2 + M6: per event the mass of the two leading muons, by the Higgs
+    """J2 + M6: per event the mass of the two muons of largest pt, by the Higgs
     example's formula and as the proper invariant mass."""
     ev = N.cut_size(events(spark, sf_dir), "muons", ">=", 2)
-    t = _lead(ev, {"muons": 2})
+    t = P.event_top_k(ev, {"muons": 2}, ("pt", "eta", "phi"), keep=["evt"])
     a, b = "get(muons, 0)", "get(muons, 1)"
     return t.select("evt", K.higgs_dimuon_mass(a, b).alias("h"), K.invariant_mass(a, b).alias("m")).select(
         "evt", round_to("h", 4).alias("higgs_mass"), round_to("m", 6).alias("inv_mass"))
@@ -157,28 +162,12 @@ def lead_pair_mass(spark, sf_dir):
 
 # ---------------------------------------------------------- nested-path ingest
 
-AOD_MUONS = "recoMuons_muons__RECO_.recoMuons_muons__RECO_obj.reco::RecoCandidate.reco::LeafCandidate"
-
-
-def aod_layout(ev: DataFrame) -> DataFrame:
-    """Re-nest the muons the way the original event files lay them out:
-    a branch struct holding an array of objects whose leaf record sits two
-    struct levels down and whose leaves carry a trailing underscore."""
-    obj = F.transform("muons", lambda m: F.struct(F.struct(F.struct(
-        m["qx3"].alias("qx3_"), m["pt"].alias("pt_"), m["eta"].alias("eta_"), m["phi"].alias("phi_"),
-    ).alias("reco::LeafCandidate")).alias("reco::RecoCandidate")))
-    return ev.select("evt", F.struct(obj.alias("recoMuons_muons__RECO_obj")).alias("recoMuons_muons__RECO_"))
-
-
 def aod_path_sum_pt_lt10(spark, sf_dir):
-    """P1 + P2 + P3: select the leaf record through a ``::`` path, rename
-    the column, bind it positionally to the candidate type (``pt_`` ->
-    ``pt``), then B2.Q1 on it."""
-    raw = N.select_paths(aod_layout(events(spark, sf_dir)), AOD_MUONS)
-    muons = N.rename(raw, "muons").select(
-        N.bind("muons", "array<struct<qx3:int,pt:float,eta:float,phi:float>>").alias("muons"))
-    pt = N.flatten_leaf(muons, "muons", "pt").where("pt < 10")
-    return pt.agg(F.round(F.sum(F.col("pt").cast("double")), 3).alias("sum_pt"))
+    """P1 + P2 + B2.Q1: the pt leaf of the muon record through its ``::`` path
+    (the only leaf that is read), flattened and renamed."""
+    pt = N.select_paths(aod_events(spark, sf_dir), AOD_PATHS["muons"] + ".pt_")
+    pt = N.rename(pt.select(F.explode(pt.columns[0])), "pt").where("pt < 10")
+    return A.sums(pt, ["pt"])
 
 
 QUERIES = {

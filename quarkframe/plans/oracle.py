@@ -30,7 +30,7 @@ p AS (
          CAST((l_suppkey % 97 - 48) / {_f(20.0)} + {_f(0.013)} AS FLOAT) AS eta,
          CAST((l_partkey % 127 - 63) / {_f(20.0)} + {_f(0.017)} AS FLOAT) AS phi,
          CAST(l_tax AS FLOAT) AS mass,
-         CAST(l_quantity AS FLOAT) AS vz,
+         CAST(l_discount AS FLOAT) AS vx, CAST(l_tax AS FLOAT) AS vy, CAST(l_quantity AS FLOAT) AS vz,
          -13 * (CASE WHEN l_returnflag = 'A' THEN 1 ELSE -1 END) AS pdfId,
          1 AS status,
          CAST(l_suppkey % 4 AS INTEGER) AS kind
@@ -207,13 +207,10 @@ def higgs_sql(a: str, b: str) -> str:
     return f"(CASE WHEN {s} >= 0 THEN sqrt({s}) WHEN {s} < 0 THEN CAST('nan' AS DOUBLE) END)"
 
 
-RANKS = """
-rm AS (SELECT evt, pt, eta, phi, row_number() OVER (PARTITION BY evt ORDER BY pt DESC, eta DESC, phi DESC) AS rn
-       FROM p),
-re AS (SELECT evt, pt, eta, phi, row_number() OVER (PARTITION BY evt ORDER BY pt DESC, eta DESC, phi DESC) AS rn
-       FROM p WHERE kind = 1),
-rg AS (SELECT evt, pt, eta, phi, row_number() OVER (PARTITION BY evt ORDER BY pt DESC, eta DESC, phi DESC) AS rn
-       FROM p WHERE kind = 0)"""
+# first elements in stored order (eta, phi, pt descending) of all, electrons, photons
+RANKS = "\n," .join(f"""
+{name} AS (SELECT evt, pt, eta, phi, row_number() OVER (PARTITION BY evt ORDER BY eta DESC, phi DESC, pt DESC) AS rn
+       FROM p{where})""" for name, where in (("rm", ""), ("re", " WHERE kind = 1"), ("rg", " WHERE kind = 0")))
 
 HIGGS = f"""
 h AS (
@@ -226,14 +223,16 @@ h AS (
 )"""
 
 _COLL_KIND = {"photons": 0, "electrons": 1, "jets": 2, "met": 3}
+_STRIPPED = {"qx3": "qx3", "pt": "pt", "eta": "eta", "phi": "phi", "mass": "mass", "x": "vx", "y": "vy", "z": "vz",
+             "pdfId": "pdfId", "status": "status"}
 STRIP_SUMMARY = BASE + (
     "SELECT evt, CAST(COUNT(*) AS INTEGER) AS n_muons, "
     + ", ".join(f"CAST(COUNT(CASE WHEN kind = {k} THEN 1 END) AS INTEGER) AS n_{c}" for c, k in _COLL_KIND.items())
-    + f", {fround('SUM(CAST(pt AS DOUBLE))', 3)} AS sum_pt_muons, "
-    + ", ".join(f"{fround(f'COALESCE(SUM(CASE WHEN kind = {k} THEN CAST(pt AS DOUBLE) END), 0)', 3)} AS sum_pt_{c}"
-                for c, k in _COLL_KIND.items())
-    + f", {fround('SUM(CAST(vz AS DOUBLE))', 3)} AS sum_vz_muons "
-    "FROM p WHERE evt IN (SELECT evt FROM ev WHERE n >= 2) GROUP BY evt")
+    + ", " + ", ".join(f"{fround(f'SUM(CAST({c} AS DOUBLE))', 3)} AS sum_{n}_muons" for n, c in _STRIPPED.items())
+    + ", " + ", ".join(
+        f"{fround(f'COALESCE(SUM(CASE WHEN kind = {k} THEN CAST(pt AS DOUBLE) END), 0)', 3)} AS sum_pt_{c}"
+        for c, k in _COLL_KIND.items())
+    + " FROM p WHERE evt IN (SELECT evt FROM ev WHERE n >= 2) GROUP BY evt")
 
 from .examples import HIGGS_RANGES, PHOTON_RANGES  # noqa: E402
 

@@ -145,6 +145,12 @@ def build_event_table(sizes: DataFrame, lineitem: DataFrame) -> DataFrame:
         *[F.coalesce(c, empty).alias(c) for c in schemas.COLLECTIONS])
 
 
+def store_key(spark: SparkSession, sf_dir: str, chunk: int | None = None) -> str:
+    """Names a store derived from the tables of ``sf_dir`` as they are now."""
+    srcs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "lineitem")]
+    return f"{STORE_VERSION}-{source_fingerprint(spark, srcs)}-c{chunk or CHUNK}{STORE_TAG}"
+
+
 def events(spark: SparkSession, sf_dir: str, chunk: int | None = None) -> DataFrame:
     """Scan of the nested event store for ``sf_dir``, building it on first use.
 
@@ -156,9 +162,7 @@ def events(spark: SparkSession, sf_dir: str, chunk: int | None = None) -> DataFr
     clobber a half-written store.
     """
     chunk = chunk or CHUNK
-    srcs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "lineitem")]
-    key = f"{STORE_VERSION}-{source_fingerprint(spark, srcs)}-c{chunk}{STORE_TAG}"
-    path = derived_path(spark, "events", key)
+    path = derived_path(spark, "events", store_key(spark, sf_dir, chunk))
     if not path_exists(spark, path + "/_SUCCESS"):
         # leading "_": hidden from Spark's file listing wherever it ends up
         parent, name = path.rsplit("/", 1)

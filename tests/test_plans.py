@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from quarkframe.plans.catalog import QUERIES
 
 from conftest import SF_SMALL
 
@@ -14,7 +15,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_or_cartesian(spark, name):
     plan = _plan(E.queries()[name](spark, SF_SMALL))
     for bad in FORBIDDEN:
@@ -40,3 +41,22 @@ def test_size_cut_reads_no_collection(spark):
     schema = [ln for ln in plan.splitlines() if "ReadSchema" in ln][0].split("ReadSchema:")[1]
     assert schema.strip() == "struct<frag:int,n_muons:int>"
     assert "PushedFilters" in plan and "EqualTo(n_muons,2)" in plan
+
+
+# queries that keep whole records; every other query reads only the leaves it uses
+WHOLE = {"strip_events", "sink_parquet_roundtrip"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WHOLE))
+def test_scans_read_only_the_leaves_in_use(spark, name):
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
+    for ln in plan.splitlines():
+        if "ReadSchema" in ln:
+            schema = ln.split("ReadSchema:")[1]
+            assert "vertex" not in schema and "cache_" not in schema and "key_" not in schema, schema
+
+
+def test_path_query_reads_one_leaf_of_the_original_layout(spark):
+    plan = _plan(QUERIES["aod_path_sum_pt_lt10"](spark, SF_SMALL))
+    (scan,) = [ln for ln in plan.splitlines() if "ReadSchema" in ln]
+    assert scan.count("pt_:float") == 1 and scan.split("ReadSchema:")[1].count("float") == 1
