@@ -350,3 +350,32 @@ SQL.update({
         + ", ".join(f"round(CAST(SUM({c}) AS DOUBLE) / {_f(d)}, 6) AS {name}" for name, (c, d) in TOTALS.items())
         + " FROM tasks GROUP BY job_id, stage_id"),
 })
+
+# the same reports read back from event logs: runs by label, some jobs without
+# group (dropped by the sweeps) or without completion time (-1)
+_LW = with_(MTABLES, f"""
+ljobs AS (
+  SELECT CAST(j.n_exec AS VARCHAR) || '_' || CAST(j.n_thread AS VARCHAR) || '__tables' AS run, j.job_id,
+         CASE WHEN o.o_custkey % 7 = 0 THEN '' ELSE j.group_id END AS group_id, j.start_ms,
+         CASE WHEN o.o_custkey % 11 = 0 THEN -1 ELSE j.end_ms END AS end_ms, j.n_exec, j.n_thread
+  FROM jobs j JOIN orders o ON o.o_orderkey = j.job_id
+),
+lsub AS (
+  SELECT 'threads' AS subset, * FROM ljobs WHERE group_id <> '' AND n_exec = {FIXED_EXECUTORS}
+  UNION ALL
+  SELECT 'executors' AS subset, * FROM ljobs WHERE group_id <> '' AND n_thread = {FIXED_THREADS}
+)""")
+SQL.update({
+    "k_log_job_time": _LW + (
+        "SELECT run, subset, group_id, job_id, n_exec * n_thread AS parallelism, "
+        "round((end_ms - start_ms) / 1000.0, 3) AS seconds FROM lsub"),
+    "k_log_totals": _LW + (
+        "SELECT run, subset, group_id, lsub.job_id, n_exec * n_thread AS parallelism, "
+        + ", ".join(f"round(COALESCE({c}, 0) / {_f(d)}, 6) AS {name}" for name, (c, d) in TOTALS.items())
+        + " FROM lsub LEFT JOIN jt ON jt.job_id = lsub.job_id"),
+    "k_log_stage_summary": _LW + (
+        "SELECT j.run, j.group_id, s.job_id, 8 * s.job_id + s.stage_id AS stage_id, CAST(0 AS BIGINT) AS attempt, "
+        "'stage-' || CAST(s.stage_id AS VARCHAR) AS name, CAST(c.n_stages AS INTEGER) AS n_stages, s.num_tasks, "
+        "CAST(s.num_tasks AS BIGINT) AS n_tasks FROM stages s JOIN ljobs j ON j.job_id = s.job_id "
+        "JOIN (SELECT job_id, COUNT(*) AS n_stages FROM stages GROUP BY job_id) c ON c.job_id = s.job_id"),
+})

@@ -89,7 +89,7 @@ def delete_on_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
-def publish(spark: SparkSession, tmp: str, path: str) -> None:
+def publish(spark: SparkSession, tmp: str, path: str, marker: str = "_SUCCESS") -> None:
     """Move a finished folder ``tmp`` to ``path`` (one rename). If another
     application published ``path`` first, keep theirs and drop ``tmp``."""
     jvm = spark.sparkContext._jvm
@@ -97,7 +97,7 @@ def publish(spark: SparkSession, tmp: str, path: str) -> None:
     fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(dst.getParent())
     if fs.exists(dst) or not fs.rename(src, dst):
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/" + marker)):
             raise RuntimeError(f"could not publish {tmp} to {path}")
         fs.delete(src, True)
 

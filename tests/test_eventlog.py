@@ -104,3 +104,46 @@ def test_a_folder_without_events_is_an_error(spark, tmp_path):
     (tmp_path / "notes.json").write_text("not a log\n")
     with pytest.raises(ValueError, match="no scheduler event"):
         read_event_log(spark, str(tmp_path))
+
+
+def test_nested_metrics_files(spark, tmp_path):
+    """Maps of stages and tasks become rows; labels come from the file name,
+    missing group and times are "" and -1, other suffixes are not read."""
+    import json
+
+    from quarkframe.sources.metrics_json import read_nested_metrics
+
+    def task(k):
+        return {"id": k, "host": "h", "executorId": str(k % 2), "duration": 1000, "taskType": "ResultTask",
+                "launchTime": 5, "finishTime": 1005, "gettingResultTime": 0,
+                "metrics": {"exeRunTime": 900, "exeCpuTime": 10**9 * k, "jvmGCTime": 1, "exeDeserializeTime": 2,
+                            "exeDeserializeCpuTime": 3, "resultSerializationTime": 4, "resultSize": 5}}
+
+    def stage(i, n):
+        return {"id": i, "name": f"s{i}", "numTasks": n, "submissionTime": 0, "completionTime": 10,
+                "tasks": {str(k): task(k) for k in range(n)}}
+
+    jobs = [{"id": 0, "groupId": "q", "desc": "d", "startTime": 1, "endTime": 9,
+             "stages": {"0": stage(0, 2), "1": stage(1, 3)}},
+            {"id": 1, "startTime": 4, "stages": {}}]
+    for name in ("14_70__a.json", "7_70__b.json", "notes.txt"):
+        (tmp_path / name).write_text(json.dumps(jobs) + "\n")
+    t = read_nested_metrics(spark, str(tmp_path))
+    got = {(r.run, r.job_id): (r.group_id, r.start, r.end, r.n_exec, r.n_thread) for r in t["jobs"].collect()}
+    assert got == {(f, j): (("q", 1, 9) if j == 0 else ("", 4, -1)) + (n, 70)
+                   for f, n in (("14_70__a.json", 14), ("7_70__b.json", 7)) for j in (0, 1)}
+    s = M.stage_summary(t["jobs"], t["stages"], t["tasks"]).collect()
+    assert {(r.run, r.stage_id, r.n_stages, r.num_tasks, r.n_tasks) for r in s} == {
+        (f, i, 2, n, n) for f in ("14_70__a.json", "7_70__b.json") for i, n in ((0, 2), (1, 3))}
+    cpu = {(r.run, r.stage_id): r.cpu_s for r in M.stage_totals(t["tasks"]).collect()}
+    assert cpu["14_70__a.json", 0] == 1.0 and cpu["7_70__b.json", 1] == 3.0
+
+
+def test_preview_and_run_for_effect(spark, capsys):
+    from quarkframe.sources.sinks import preview, run_for_effect
+
+    preview(spark.range(3), 2)
+    assert "only showing top 2 rows" in capsys.readouterr().out
+    seen = spark.sparkContext.accumulator(0)
+    run_for_effect(spark.range(10).rdd.map(lambda r: (seen.add(1), r)[1]).toDF("id long"))
+    assert seen.value == 10
