@@ -12,6 +12,7 @@ from itertools import combinations
 import pytest
 
 import __spark_entry__ as entry
+from llm_tables import edge_dir, empty_dir  # noqa: F401  fixtures
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
