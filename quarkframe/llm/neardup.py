@@ -42,13 +42,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import fresh, store
 from .wordhash import mix, scan, sequence_hashes, window_starts
 
 SHINGLE = 5
 BANDS, ROWS = 26, 5
 BINS = BANDS * ROWS
 PERCENT = 85
+LAST = (1 << 63) - 1          # stands for a null doc_id in joins
+GROWTH = 8          # times as many stars in each further round
+STEPS = 2           # large-star and small-star steps between two written tables
 FAN = 256           # members of one star that share a copy of the centre's set
 
 
@@ -141,7 +144,24 @@ def _confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
     both = F.size(F.array_intersect("sa", "sb"))
     return (member.join(centre, ["a", "salt"]).withColumn("both", both)
             .where(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * PERCENT)
-            .select("a", "b"))
+            .select("a", "b").distinct())
+
+
+def _large_star(e: DataFrame) -> DataFrame:
+    """Each node's larger neighbours point to its least neighbour."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return (both.join(least, "u").where(F.col("v") > F.col("u"))
+            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours point to the least of these."""
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    return (e.join(least, "u").select(
+        F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
+                          F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        .select("x.u", "x.v").where("u > v").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -152,16 +172,9 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda t: t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(e)
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.join(least, "u").where(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").select(
-            F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
-                              F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-            .select("x.u", "x.v").where("u > v").distinct())
-        e = store(small, "cc")
+        for _ in range(STEPS):
+            e = _small_star(_large_star(e))
+        e = store(e, "cc")
         now = mark(e)
         if now == before:
             break
@@ -196,9 +209,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = store(_confirm(edges, sets), "neardup-links")
 
     seen, used = edges, shared.select("key", F.col("a").alias("cid"))
-    stars, label = 1, None
+    stars, label = 1, store(components(links), "neardup-components")
     while True:
-        label = store(components(links), "neardup-components")
         open_ = members.select("key", "cid", "n").join(label, "cid", "left").withColumn(
             "comp", F.coalesce("comp", "cid"))
         unresolved = (open_.join(used, ["key", "cid"], "left_anti").groupBy("key")
@@ -206,7 +218,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         unresolved = store(unresolved, "neardup-unresolved")
         if unresolved.isEmpty():
             break
-        stars *= 2
+        stars *= GROWTH
         degree = (links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid")))
                   .groupBy("cid").agg(F.count(F.lit(1)).alias("degree")))
         rest = store(open_.join(unresolved, "key").join(degree, "cid", "left")
@@ -222,7 +234,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         new = store(found.join(before, ["x", "y"], "left_anti").select("a", "b"), "neardup-edges")
         seen = seen.unionByName(new)
         used = used.unionByName(centres.select("key", F.col("a").alias("cid")))
-        links = links.unionByName(store(_confirm(new, sets), "neardup-links"))
+        found = store(_confirm(new, sets), "neardup-links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            label = store(components(links), "neardup-components")
 
     n_links = (links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid")))
                .groupBy("cid").agg(F.count(F.lit(1)).alias("n_links")))
@@ -243,14 +258,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates, with all its columns: a row
     whose doc_id is its component's; of rows that repeat a doc_id, the one with
     the least text hash. Empty texts are all kept."""
-    from .common import fresh
-
-    kept = near_duplicates(docs).where("kept").select(
-        F.col("doc_id").alias("kept_id"), (F.col("n_shingles") == 0).alias("kept_empty")).distinct()
-    (r,) = fresh(docs, "kept_row")
-    i, e = fresh(docs, "kept_id", "kept_empty")
-    kept = kept.select(F.col("kept_id").alias(i), F.col("kept_empty").alias(e))
+    k, w, r = fresh(docs, "kept_id", "kept_words", "kept_row")
+    result = near_duplicates(docs).where("kept")
+    kept = result.select(F.coalesce("doc_id", F.lit(LAST)).alias(k), (F.col("n_shingles") > 0).alias(w)).distinct()
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    got = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(i)) & (has_words != F.col(e))).drop(i)
-    one = Window.partitionBy("doc_id", e).orderBy(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    got = docs.withColumn(k, F.coalesce("doc_id", F.lit(LAST))).withColumn(w, has_words).join(kept, [k, w])
+    # the joined rows lie by (k, w) already: the window moves nothing
+    one = Window.partitionBy(k, w).orderBy(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
     return got.withColumn(r, F.row_number().over(one)).where(F.col(r) == 1).select(*docs.columns)
