@@ -40,7 +40,8 @@ WEIGHTS = (5.0, 2.0, 1.0)    # of the sources in order, repeating
 TOTAL = 1.5                  # words of the mix per word of input
 MOST = 2.0                   # times a source may be taken
 BLOCK, LEAST_BLOCKS = 128, 64
-SHARD = 16_384               # slots of an output shard
+SHARD = 8192                 # slots of an output shard
+TASK_SLOTS = 32_768          # slots expanded by one task
 BUCKETS = 4096               # parts of a source's stream
 ROUNDS = 20                  # of swap-or-not
 SEED = 2024
@@ -109,10 +110,11 @@ def draws(sources: DataFrame) -> DataFrame:
         "shard", "s", "from_slot", "n", "blocks")
 
 
-def taken_blocks(drawn: DataFrame) -> DataFrame:
+def taken_blocks(drawn: DataFrame, slots: int) -> DataFrame:
     """(s, block, times): how often the mix takes each block that it takes.
-    Slots beyond MOST epochs of a source (rounding) stay empty."""
-    slots = (drawn.where("n > 0").repartition("shard", "s")
+    Slots beyond MOST epochs of a source (rounding) stay empty. ``slots``:
+    about how many there are; they are dealt to tasks of ``TASK_SLOTS``."""
+    slots = (drawn.where("n > 0").repartition(slots // TASK_SLOTS + 1, "shard", "s")
              .select("s", "blocks", F.explode(F.sequence("from_slot", F.col("from_slot") + F.col("n") - 1)).alias("slot"))
              .withColumn("epoch", F.floor(F.col("slot") / F.col("blocks"))).where(F.col("epoch") < MOST))
     return (slots.select("s", permute(F.pmod("slot", F.col("blocks")), F.col("blocks"), F.col("s"), F.col("epoch")).alias("block"))
@@ -141,7 +143,9 @@ def pieces(at: DataFrame, blocks: DataFrame) -> DataFrame:
         F.floor(F.col("start") / F.col("len")), F.floor((F.col("start") + F.col("size") - 1) / F.col("len")))).alias("block"))
         .select("rid", "s", "block", (lo(F.col("block")) - F.col("start")).alias("first"),
                 (F.least((F.col("block") + 1) * F.col("len"), F.col("start") + F.col("size")) - lo(F.col("block"))).alias("n")))
-    return cut.join(blocks, ["s", "block"]).select("rid", "first", "n", "times")
+    # Spark takes the expanded slots for as small as the sources they come from
+    # and would broadcast the blocks, which grow with the corpus
+    return cut.join(blocks.hint("merge"), ["s", "block"]).select("rid", "first", "n", "times")
 
 
 def _rows(docs: DataFrame, rid: Column) -> DataFrame:
@@ -153,7 +157,8 @@ def _plan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The placed rows and the pieces the mix takes of them."""
     sources = store(targets(rows), "mixing-sources")
     at = store(placed(rows, sources), "mixing-placed")
-    return at, pieces(at, taken_blocks(draws(sources)))
+    slots = sources.agg(F.sum(F.col("target") / F.col("len"))).first()[0] or 0
+    return at, pieces(at, taken_blocks(draws(sources), int(slots)))
 
 
 def shares(docs: DataFrame) -> DataFrame:
