@@ -9,8 +9,10 @@ densification, banded buckets, star-shaped candidate edges.
 2. Texts with equal sets are one class; only classes go on, so copies of a
    text cost one row whatever their number.
 3. In each bucket with two or more classes one class is the star's centre, and
-   the others are its candidate edges: no more edges than members. Candidates
-   are confirmed on the full sets: 100 * intersection >= 85 * union.
+   the others are its candidate edges: no more edges than members. A sketch of
+   element parities rules out, without error, most edges whose sets differ too
+   much; the others are confirmed on the full sets: 100 * intersection >=
+   85 * union.
 4. Links give connected components (alternating large-star and small-star
    steps). A bucket whose members all lie in one component is resolved. The
    others get further stars: centres that were used leave the bucket, the next
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, store
@@ -50,6 +52,7 @@ BANDS, ROWS = 26, 5
 BINS = BANDS * ROWS
 PERCENT = 85
 LAST = (1 << 63) - 1          # stands for a null doc_id in joins
+ODD_BITS = 2048     # of the sketch that rules out pairs before their sets are read
 GROWTH = 8          # times as many stars in each further round
 STEPS = 2           # large-star and small-star steps between two written tables
 FAN = 256           # members of one star that share a copy of the centre's set
@@ -94,22 +97,38 @@ def band_keys(u: np.ndarray) -> np.ndarray:
     return key
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """ODD_BITS bits, each the parity of the elements that fall on it."""
+    bits = np.bincount((hashes & np.uint64(ODD_BITS - 1)).astype(np.int64), minlength=ODD_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(x: str, y: str, n: str, m: str) -> Column:
+    """False only for sets (odd sketches ``x``, ``y``, sizes ``n``, ``m``) that
+    cannot be similar enough: every bit in which the sketches differ needs an
+    element that only one of the sets has, and similar sets have few of those."""
+    differ = " + ".join(f"bit_count(get({x}, {i}) ^ get({y}, {i}))" for i in range(ODD_BITS // 64))
+    return F.expr(f"({differ}) * {100 + PERCENT} <= ({n} + {m}) * {100 - PERCENT}")
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), k1, k2 (128-bit set hash), bands of every text."""
-    schema = "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
+    schema = "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, odd array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k, bands = [], [], []
+            n, k, bands, odd = [], [], [], []
             for u in shingle_sets(batch.column(1)):
                 n.append(len(u))
                 m = mix(u)
                 k.append((m.sum(dtype=np.uint64), mix(m + np.uint64(1)).sum(dtype=np.uint64)))
                 bands.append(band_keys(u).view(np.int64) if len(u) else np.zeros(0, np.int64))
+                odd.append(odd_sketch(m))
             k = np.array(k, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]),
-                 pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "k1", "k2", "bands"])
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "k1", "k2", "bands", "odd"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -189,7 +208,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sig = store(_signatures(docs), "neardup-signatures")
     classes = store(sig.where("n > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+        F.first("odd").alias("odd"))
         .withColumn("cid", F.monotonically_increasing_id()), "neardup-classes")
 
     rows = classes.select("cid", "n", F.explode("bands").alias("key"))
@@ -198,8 +218,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                    "neardup-buckets")
     members = store(rows.join(shared, "key"), "neardup-members")
     fits = "least(n, na) * 100 >= greatest(n, na) * " + str(PERCENT)
-    edges = store(members.where("cid <> a").where(fits).select("a", F.col("cid").alias("b")).distinct(),
-                  "neardup-edges")
+    odd = classes.select("cid", "odd")
+    edges = members.where("cid <> a").where(fits).select("a", "na", F.col("cid").alias("b"), F.col("n").alias("nb"))
+    edges = (edges.distinct().join(odd.withColumnsRenamed({"cid": "b", "odd": "ob"}), "b")
+             .join(odd.withColumnsRenamed({"cid": "a", "odd": "oa"}), "a")
+             .where(_may_link("oa", "ob", "na", "nb")).select("a", "b"))
+    edges = store(edges, "neardup-edges")
     # sets of every class that shares a bucket; one text for each (the joined
     # rows already lie by doc_id, so dropping repeated rows moves nothing)
     involved = members.select("cid").distinct().join(classes.select("cid", "k1", "rep"), "cid")
@@ -222,12 +246,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         degree = (links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid")))
                   .groupBy("cid").agg(F.count(F.lit(1)).alias("degree")))
         rest = store(open_.join(unresolved, "key").join(degree, "cid", "left")
-                     .join(used.withColumn("done", F.lit(True)), ["key", "cid"], "left"), "neardup-open")
+                     .join(used.withColumn("done", F.lit(True)), ["key", "cid"], "left").join(odd, "cid"),
+                     "neardup-open")
         best = Window.partitionBy("key").orderBy(F.desc_nulls_last("degree"), F.xxhash64("cid"))
         centres = store(rest.where("done is null").withColumn("r", F.row_number().over(best)).where(F.col("r") <= stars)
-                        .select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")),
+                        .select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"),
+                                F.col("odd").alias("oa")),
                         "neardup-centres")
-        found = (rest.join(centres, "key").where("comp <> ca").where(fits)
+        found = (rest.join(centres, "key").where("comp <> ca").where(fits).where(_may_link("oa", "odd", "na", "n"))
                  .select(F.least("a", "cid").alias("x"), F.greatest("a", "cid").alias("y"),
                          "a", F.col("cid").alias("b")).dropDuplicates(["x", "y"]))
         before = seen.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
