@@ -10,6 +10,15 @@ from conftest import SF_SMALL
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")
 
 
+@pytest.fixture(scope="module", autouse=True)
+def whole_schemas(spark):
+    """Plans print read schemas whole, not their first 100 characters."""
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    yield
+    spark.conf.set("spark.sql.maxMetadataStringLength", old)
+
+
 def _plan(df):
     df.collect()  # final adaptive plan
     return df._jdf.queryExecution().executedPlan().toString()
