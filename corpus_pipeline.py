@@ -16,6 +16,7 @@ from quarkframe.llm import bpe, mixing, neardup, quality_rules, substring
 from quarkframe.llm.common import documents, store
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+NEAR_PERCENT = 80      # least similarity of near duplicates (op7_minhash: 85)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return neardup.keep_one(docs)
+    """One document of each group of near duplicates (similarity 0.8 or more)."""
+    return neardup.keep_one(docs, NEAR_PERCENT)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

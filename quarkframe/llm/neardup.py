@@ -12,7 +12,8 @@ densification, banded buckets, star-shaped candidate edges.
    the others are its candidate edges: no more edges than members. A sketch of
    element parities rules out, without error, most edges whose sets differ too
    much; the others are confirmed on the full sets: 100 * intersection >=
-   85 * union.
+   percent * union. ``percent`` is the caller's: 85 for the query op7_minhash
+   (``PERCENT``), 80 for the pipeline's stage.
 4. Links give connected components (alternating large-star and small-star
    steps). A bucket whose members all lie in one component is resolved. The
    others get further stars: centres that were used leave the bucket, the next
@@ -20,8 +21,8 @@ densification, banded buckets, star-shaped candidate edges.
    round, until all buckets are resolved. So no link between classes that
    share a bucket is lost, and a bucket whose members resemble each other
    (where all pairs would be many) ends with its first or second star. Pairs at
-   similarity 0.85 share a bucket with probability 1 - 2.4e-7, more similar
-   ones more surely.
+   similarity 0.85 share a bucket with probability 1 - 2.4e-7, pairs at 0.8
+   with 1 - 3.3e-5, more similar ones more surely.
 
 Style: Arrow batches compute the sets; joins and aggregations are DataFrame
 operations. Tables that later steps read again are written to the shared
@@ -50,7 +51,7 @@ from .wordhash import mix, scan, sequence_hashes, window_starts
 SHINGLE = 5
 BANDS, ROWS = 26, 5
 BINS = BANDS * ROWS
-PERCENT = 85
+PERCENT = 85        # least similarity of a link, unless the caller gives another
 LAST = (1 << 63) - 1          # stands for a null doc_id in joins
 ODD_BITS = 2048     # of the sketch that rules out pairs before their sets are read
 GROWTH = 8          # times as many stars in each further round
@@ -103,12 +104,12 @@ def odd_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _may_link(x: str, y: str, n: str, m: str) -> Column:
+def _may_link(x: str, y: str, n: str, m: str, percent: int) -> Column:
     """False only for sets (odd sketches ``x``, ``y``, sizes ``n``, ``m``) that
     cannot be similar enough: every bit in which the sketches differ needs an
     element that only one of the sets has, and similar sets have few of those."""
     differ = " + ".join(f"bit_count(get({x}, {i}) ^ get({y}, {i}))" for i in range(ODD_BITS // 64))
-    return F.expr(f"({differ}) * {100 + PERCENT} <= ({n} + {m}) * {100 - PERCENT}")
+    return F.expr(f"({differ}) * {100 + percent} <= ({n} + {m}) * {100 - percent}")
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -152,7 +153,7 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.select("cid", "k1", "text").mapInArrow(run, schema)
 
 
-def _confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those edges (a, b) whose sets are similar enough. a: the star's centre."""
     fan = edges.groupBy("a").agg((F.floor(F.count(F.lit(1)) / FAN) + 1).alias("fan"))
     centre = (fan.join(sets.withColumnRenamed("cid", "a"), "a")
@@ -162,7 +163,7 @@ def _confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
               .join(sets.withColumnRenamed("cid", "b").withColumnRenamed("shingles", "sb"), "b"))
     both = F.size(F.array_intersect("sa", "sb"))
     return (member.join(centre, ["a", "salt"]).withColumn("both", both)
-            .where(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * PERCENT)
+            .where(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * percent)
             .select("a", "b").distinct())
 
 
@@ -202,7 +203,7 @@ def components(links: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("cid"), F.col("v").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_links (links of the document's
     class that were confirmed) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -217,12 +218,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                    .where("members > 1").select("key", F.col("c.cid").alias("a"), F.col("c.n").alias("na")),
                    "neardup-buckets")
     members = store(rows.join(shared, "key"), "neardup-members")
-    fits = "least(n, na) * 100 >= greatest(n, na) * " + str(PERCENT)
+    fits = "least(n, na) * 100 >= greatest(n, na) * " + str(percent)
     odd = classes.select("cid", "odd")
     edges = members.where("cid <> a").where(fits).select("a", "na", F.col("cid").alias("b"), F.col("n").alias("nb"))
     edges = (edges.distinct().join(odd.withColumnsRenamed({"cid": "b", "odd": "ob"}), "b")
              .join(odd.withColumnsRenamed({"cid": "a", "odd": "oa"}), "a")
-             .where(_may_link("oa", "ob", "na", "nb")).select("a", "b"))
+             .where(_may_link("oa", "ob", "na", "nb", percent)).select("a", "b"))
     edges = store(edges, "neardup-edges")
     # sets of every class that shares a bucket; one text for each (the joined
     # rows already lie by doc_id, so dropping repeated rows moves nothing)
@@ -230,7 +231,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = (docs.join(involved, F.col("doc_id").eqNullSafe(F.col("rep")))
              .withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "cid", "h"]))
     sets = store(_sets(texts), "neardup-sets")
-    links = store(_confirm(edges, sets), "neardup-links")
+    links = store(_confirm(edges, sets, percent), "neardup-links")
 
     seen, used = edges, shared.select("key", F.col("a").alias("cid"))
     stars, label = 1, store(components(links), "neardup-components")
@@ -253,14 +254,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                         .select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"),
                                 F.col("odd").alias("oa")),
                         "neardup-centres")
-        found = (rest.join(centres, "key").where("comp <> ca").where(fits).where(_may_link("oa", "odd", "na", "n"))
+        found = (rest.join(centres, "key").where("comp <> ca").where(fits).where(_may_link("oa", "odd", "na", "n", percent))
                  .select(F.least("a", "cid").alias("x"), F.greatest("a", "cid").alias("y"),
                          "a", F.col("cid").alias("b")).dropDuplicates(["x", "y"]))
         before = seen.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         new = store(found.join(before, ["x", "y"], "left_anti").select("a", "b"), "neardup-edges")
         seen = seen.unionByName(new)
         used = used.unionByName(centres.select("key", F.col("a").alias("cid")))
-        found = store(_confirm(new, sets), "neardup-links")
+        found = store(_confirm(new, sets, percent), "neardup-links")
         if not found.isEmpty():
             links = links.unionByName(found)
             label = store(components(links), "neardup-components")
@@ -280,12 +281,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each group of near duplicates, with all its columns: a row
     whose doc_id is its component's; of rows that repeat a doc_id, the one with
     the least text hash. Empty texts are all kept."""
     k, w, r = fresh(docs, "kept_id", "kept_words", "kept_row")
-    result = near_duplicates(docs).where("kept")
+    result = near_duplicates(docs, percent).where("kept")
     kept = result.select(F.coalesce("doc_id", F.lit(LAST)).alias(k), (F.col("n_shingles") > 0).alias(w)).distinct()
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     got = docs.withColumn(k, F.coalesce("doc_id", F.lit(LAST))).withColumn(w, has_words).join(kept, [k, w])

@@ -308,6 +308,27 @@ def test_op7_keep_one_row_of_each_group(spark, edge_dir, result):
     assert sorted(full, key=str) == sorted(want, key=str) and got[0].asDict().keys() == dict(docs.dtypes).keys()
 
 
+def test_pipeline_near_dedup_stage_links_at_80_percent(spark):
+    import corpus_pipeline
+
+    def edited(k, n):                     # n distinct words, every 40th of the first k * 40 replaced
+        w = [f"d{k}w{i}" for i in range(n)]
+        return " ".join(w), " ".join(f"d{k}x{i}" if i % 40 == 20 and i < k * 40 else x for i, x in enumerate(w))
+
+    rows, sets = [], {}
+    for k in range(1, 9):                 # similarities from below to above 0.8 and 0.85
+        for j, t in enumerate(edited(k, 260)):
+            rows.append((10 * k + j, t))
+            w = t.split()
+            sets[10 * k + j] = {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    same = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    near = {k: same(10 * k, 10 * k + 1) for k in range(1, 9)}
+    assert any(0.8 <= x < 0.85 for x in near.values()) and any(x < 0.8 for x in near.values())
+    want = {10 * k + j for k in near for j in (0, 1) if j == 0 or near[k] < 0.8}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("where", ["edge", SMALL])
 def test_op8_edits_and_fingerprints(result, docs, where):
     rows = result("op8_merkle", where)
