@@ -10,10 +10,17 @@ per (lang, source):
   partial aggregation, and the sketches of a language and of the whole corpus
   are sums of those of its (lang, source) groups. It is exact about counts
   and does not depend on how rows are dealt out, so reruns agree.
-* A fence is ``q75 + FENCE * max(q75 - q25, spread)`` of the group. The
-  group is (lang, source) if it has ``MIN_GROUP`` documents, else the
-  language, else all documents. ``spread`` (per measure, ``MEASURES``) keeps
-  a group without any variation from rejecting its first varied document.
+* The sketches hold the documents that pass the base rules. A fence is
+  Tukey's, on the sketch's own logarithmic scale: ``FENCE`` times the distance
+  of the quartiles' bins above the upper one, a distance counting at least
+  ``ERROR_BINS`` (the sketch's error). If the lower quartile is zero, it is
+  ``q75 + FENCE * q75``. If both are, the fence is the quantile that
+  ``MEASURES`` names: the upper quartile itself for symbols, so that a group
+  that hardly has any tolerates hardly any, and for repeated lines and words
+  the one that a further document of the group exceeds with probability
+  ``1 - TAIL`` at most. No fence is below ``FENCE * LEAST``, values under
+  ``LEAST`` being one bin. The group is (lang, source) if it has
+  ``MIN_GROUP`` documents, else the language, else all documents.
 * Documents then join the small table of fences by (lang, source),
   null-safely, and those above a fence are rejected.
 
@@ -37,13 +44,15 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-GAMMA = 1.05          # bin width of the quantile sketch
+GAMMA = 1.01          # bin width of the quantile sketch
 LEAST = 1e-3          # values up to this share bin 0
 FENCE = 3.0           # Tukey's outer fence
+ERROR_BINS = 2        # error of a distance of two quantiles
+TAIL = 0.99
 MIN_GROUP = 50        # documents a (lang, source) or language needs for fences of its own
 
-#: measure -> least spread counted between its quartiles
-MEASURES = {"symbols": 0.02, "capitals": 0.05, "dup_lines": 0.2, "repeats": 0.08, "word_length": 0.8}
+#: measure -> quantile that is its fence in a group whose quartiles are zero
+MEASURES = {"symbols": 0.75, "capitals": 0.75, "dup_lines": TAIL, "repeats": TAIL, "word_length": 0.75}
 
 
 def _repeat_words(w: str, h: str, s: str, p: str) -> list[tuple[str, Column]]:
@@ -111,9 +120,10 @@ def _value(b: Column) -> Column:
 
 def sketches(measured: DataFrame, name: str) -> DataFrame:
     """Counts per (lang, source, measure, bin): one mergeable quantile sketch
-    for each (lang, source, measure). Partially aggregated before the shuffle."""
+    for each (lang, source, measure), of the documents that pass the base rules.
+    Partially aggregated before the shuffle."""
     q = F.col(name)
-    return (measured.where(q["n_words"] > 0)
+    return (measured.where(~q["base_failed"])
             .select("lang", "source", F.posexplode(F.transform(q["m"], _bin)).alias("k", "b"))
             .groupBy("lang", "source", "k", "b").agg(F.count(F.lit(1)).alias("n")))
 
@@ -126,10 +136,18 @@ def fences(sketch: DataFrame) -> DataFrame:
         by = Window.partitionBy(*keys, "k")
         cum = t.select(*keys, "k", "b", F.sum("n").over(by).alias("total"),
                        F.sum("n").over(by.orderBy("b")).alias("cum"))
-        at = lambda x: _value(F.min(F.when(F.col("cum") >= x * F.col("total"), F.col("b"))))
-        spread = F.element_at(F.array(*[F.lit(x) for x in MEASURES.values()]), F.col("k") + 1)
-        return (cum.groupBy(*keys, "k").agg(F.max("total").alias("total"), at(0.25).alias("lo"), at(0.75).alias("hi"))
-                .withColumn("fence", F.col("hi") + FENCE * F.greatest(F.col("hi") - F.col("lo"), spread))
+        at = lambda rank: F.min(F.when(F.col("cum") >= rank, F.col("b")))
+        level = F.element_at(F.array(*[F.lit(x) for x in MEASURES.values()]), F.col("k") + 1)
+        further = F.when(level == TAIL, 1).otherwise(0)      # the document to come counts as one more
+        rank = F.least(F.ceil(level * (F.col("total") + further)), F.col("total"))
+        lo, hi = F.col("lo"), F.col("hi")
+        edge = lambda b: LEAST * F.pow(F.lit(GAMMA), b)
+        fence = (F.when(lo > 0, edge(hi + FENCE * F.greatest(hi - lo, F.lit(ERROR_BINS))))
+                 .when(hi > 0, edge(hi) * (1 + FENCE)).otherwise(edge(F.col("tail"))))
+        return (cum.groupBy(*keys, "k").agg(F.max("total").alias("total"), at(0.25 * F.col("total")).alias("lo"),
+                                            at(0.75 * F.col("total")).alias("hi"), at(rank).alias("tail"))
+                # a value on its bin's edge is not above it
+                .withColumn("fence", F.greatest(fence, F.lit(FENCE * LEAST)) * (1 + 1e-9))
                 .groupBy(*keys).agg(F.max("total").alias(f"n_{tag}"),
                                     F.transform(F.array_sort(F.collect_list(F.struct("k", "fence"))),
                                                 lambda x: x["fence"]).alias(f"f_{tag}")))

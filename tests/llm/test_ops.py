@@ -233,6 +233,24 @@ def test_op5_keeps_good_and_rejects_bad_documents(spark, result):
     assert sum(r.kept for r in good) >= 0.98 * len(good) and sum(r.kept for r in bad) <= 0.1 * len(bad)
 
 
+def test_op5_a_groups_own_distribution_moves_each_of_its_fences(spark):
+    from pyspark.sql import functions as F
+
+    from quarkframe.llm import quality_rules as Q
+
+    rows = []
+    for source, scale in (("a", 1.0), ("b", 2.0)):
+        for i in range(200):
+            rows.append(("en", source, [scale * x for x in (
+                0.004 * (i % 10 < 3), 0.01 + 0.0001 * (i % 20), 0.06 * (i % 40 == 0), 0.05 * (i % 40 == 1), 4 + 0.01 * (i % 50))]))
+    m = spark.createDataFrame(rows, "lang string, source string, m array<double>")
+    m = m.select("lang", "source", F.struct(F.lit(False).alias("base_failed"), F.lit(99).alias("n_words"), "m").alias("q"))
+    f = {r.source: r.fence for r in Q.fences(Q.sketches(m, "q")).collect()}
+    assert len(f["a"]) == len(Q.MEASURES) == 5
+    for x, y, most in zip(f["a"], f["b"], (0.02, 0.02, 0.07, 0.06, 6.5)):
+        assert 1.9 < y / x < 2.1 and x < most        # twice the values, twice the fence
+
+
 def test_op5_sketch_quantiles_are_within_their_error(spark):
     from pyspark.sql import functions as F
 
