@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (similarity 0.8 or more)."""
-    return neardup.keep_one(docs, NEAR_PERCENT)
+    return neardup.one_of_each(docs, NEAR_PERCENT)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

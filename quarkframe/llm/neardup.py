@@ -32,7 +32,8 @@ repeated per ``FAN`` members). Nothing but counts reaches the driver.
 Edge cases: a text with fewer than five words has its whole sequence as its
 only shingle; without words or text the set is empty, it links with nothing
 and is its own component; a null doc_id never is a component's id unless the
-component has no other; repeated rows get equal answers; an empty table gives
+component has no other; one_of_each keeps one row of each component whatever
+its doc_ids; repeated rows get equal answers; an empty table gives
 an empty result; other columns are not read.
 """
 
@@ -113,8 +114,10 @@ def _may_link(x: str, y: str, n: str, m: str, percent: int) -> Column:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), k1, k2 (128-bit set hash), bands of every text."""
-    schema = "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, odd array<bigint>"
+    """doc_id, n (set size), k1, k2 (128-bit set hash), bands of every text,
+    and t1, t2 (128-bit text hash)."""
+    schema = ("doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, odd array<bigint>, "
+              "t1 bigint, t2 bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,10 +131,15 @@ def _signatures(docs: DataFrame) -> DataFrame:
             k = np.array(k, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "k1", "k2", "bands", "odd"])
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())),
+                 batch.column(2), batch.column(3)],
+                names=["doc_id", "n", "k1", "k2", "bands", "odd", "t1", "t2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *_text_hash()).mapInArrow(run, schema)
+
+
+def _text_hash() -> list[Column]:
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -203,9 +211,9 @@ def components(links: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("cid"), F.col("v").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links (links of the document's
-    class that were confirmed) of every row of ``docs`` (doc_id, text)."""
+def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of every row of ``docs`` (doc_id, text), and k1, k2, comp
+    (number of the component), component_id, n_links of every set."""
     docs = docs.select("doc_id", "text")
     sig = store(_signatures(docs), "neardup-signatures")
     classes = store(sig.where("n > 0").groupBy("k1", "k2").agg(
@@ -272,7 +280,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "comp", F.coalesce("comp", "cid"))
     ids = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = store(of.join(ids, "comp").join(n_links, "cid", "left")
-               .select("k1", "k2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "neardup-result")
+               .select("k1", "k2", "comp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")),
+               "neardup-result")
+    return sig, of
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, n_links (links of the document's
+    class that were confirmed) of every row of ``docs`` (doc_id, text)."""
+    sig, of = _grouped(docs, percent)
     empty = F.col("n") == 0
     return (sig.join(of, ["k1", "k2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
@@ -281,15 +297,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links")))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of each group of near duplicates, with all its columns: a row
-    whose doc_id is its component's; of rows that repeat a doc_id, the one with
-    the least text hash. Empty texts are all kept."""
-    k, w, r = fresh(docs, "kept_id", "kept_words", "kept_row")
-    result = near_duplicates(docs, percent).where("kept")
-    kept = result.select(F.coalesce("doc_id", F.lit(LAST)).alias(k), (F.col("n_shingles") > 0).alias(w)).distinct()
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Exactly one row of each component of near duplicates, with all its
+    columns: that of the least doc_id (null last), then of the least hashes.
+    Unrelated texts are all kept, also without doc_id or under the same one,
+    and so is every row without words."""
+    key = fresh(docs, "kept_null", "kept_id", "kept_t1", "kept_t2")
+    r, = fresh(docs, "kept_row")
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    got = docs.withColumn(k, F.coalesce("doc_id", F.lit(LAST))).withColumn(w, has_words).join(kept, [k, w])
-    # the joined rows lie by (k, w) already: the window moves nothing
-    one = Window.partitionBy(k, w).orderBy(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
-    return got.withColumn(r, F.row_number().over(one)).where(F.col(r) == 1).select(*docs.columns)
+    sig, of = _grouped(docs, percent)
+    row = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "t1", "t2")
+    first = (sig.where("n > 0").join(of.select("k1", "k2", "comp"), ["k1", "k2"])
+             .groupBy("comp").agg(F.min(row).alias("x")).select("x.*").toDF(*key))
+    full = docs.where(has_words)
+    for name, how in zip(key, [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), *_text_hash()]):
+        full = full.withColumn(name, how)
+    # equal rows are reduced to one before and after the exchange, by whose keys the join lies too
+    one = Window.partitionBy(*key).orderBy(F.lit(0))
+    full = full.withColumn(r, F.row_number().over(one)).where(F.col(r) == 1)
+    return full.join(first, key).select(*docs.columns).unionByName(docs.where(~has_words))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``one_of_each``, for tables whose doc_id names a document: of its rows
+    that repeat a doc_id (null is none) only the one with the least text hash."""
+    d, t, least = fresh(docs, "kept_id", "kept_hash", "kept_least")
+    rows = one_of_each(docs, percent)
+    full = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
+    rows = store(rows.withColumn(d, F.when(full, F.col("doc_id"))).withColumn(t, F.xxhash64("text")), "neardup-kept")
+    by_id = rows.where(F.col(d).isNotNull()).groupBy(d).agg(F.min(t).alias(least))
+    return (rows.join(by_id, d, "left").where(F.col(d).isNull() | (F.col(t) == F.col(least)))
+            .select(*docs.columns))

@@ -347,6 +347,23 @@ def test_pipeline_near_dedup_stage_links_at_80_percent(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == sorted(want)
 
 
+def test_pipeline_near_dedup_keeps_unrelated_texts_without_or_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    say = lambda name, n=120: " ".join(f"{name}{i}" for i in range(n))
+    near = say("a") + " more"
+    rows = [(1, say("a")), (7, near), (7, say("b")), (7, say("c")), (None, say("d")), (None, say("e")), (None, say("e")),
+            (None, say("f")), (None, near), (None, say("g")), (9, say("g")), (None, ""), (None, None), (None, ""),
+            (3, " "), (3, " "), (4, say("h")), (4, say("h"))]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, kept_id int")
+    got = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, say("a")), (7, say("b")), (7, say("c")), (None, say("d")), (None, say("e")), (None, say("f")),
+            (9, say("g")), (None, ""), (None, None), (None, ""), (3, " "), (3, " "), (4, say("h"))]
+    key = lambda t: tuple((x is None, x) for x in t)
+    assert rows_of(got.collect(), "doc_id", "text") == sorted(want, key=key)
+
+
 @pytest.mark.parametrize("where", ["edge", SMALL])
 def test_op8_edits_and_fingerprints(result, docs, where):
     rows = result("op8_merkle", where)
