@@ -23,7 +23,8 @@ Style: Arrow batches; an Aho-Corasick automaton finds the entries in the whole
 text and only clauses around a hit are read further. Unit counts of the sample
 are summed by Spark; there is no shuffle of texts.
 
-Edge cases: null or empty text: no clause, the model's base score; very long
+Edge cases: an entry may follow an apostrophe within a word (elision, single
+quotes); null or empty text: no clause, the model's base score; very long
 texts are read whole; a lexicon without training labels is the seeds; rows
 that repeat are scored alike; an empty table gives an empty result; other
 columns are not read.
@@ -96,7 +97,8 @@ class Grammar:
         self.word = regex.compile(r"[\p{L}\p{M}']+").finditer
 
     def hits(self, text: str) -> dict[int, tuple[int, float]]:
-        """Start of a word -> (kind, weight) of the heaviest entry it matches."""
+        """Start of a word or of a part of it after an apostrophe -> (kind,
+        weight) of the heaviest entry it matches."""
         out: dict[int, tuple[int, float]] = {}
         for last, entry in self.find.iter(text):
             start = last - len(entry) + 1
@@ -128,13 +130,14 @@ class Grammar:
         target = report = False
         negated, out = 0, []
         for m in self.word(text, begin, end):
-            word = m.group()
-            if m.start() in hits:
-                kind, weight = hits[m.start()]
-                out.append((kind * 8 + 2 * (negated > 0) + report, weight))
-            elif word in TARGETS:
+            word, first = m.group(), m.start()
+            starts = [first, *(first + i + 1 for i, c in enumerate(word) if c == "'")] if "'" in word else [first]
+            found = [hits[at] for at in starts if at in hits]     # also elided or quoted: "l'idiot", "'idiot'"
+            word = word.strip("'")
+            out.extend((kind * 8 + 2 * (negated > 0) + report, weight) for kind, weight in found)
+            if word in TARGETS and not found:
                 target = True
-            elif word in REPORTS:
+            elif word in REPORTS and not found:
                 report = True
             negated = REACH + 1 if word in NEGATIONS else max(negated - 1, 0)
         return [(p + 4 * target, w) for p, w in out]     # a target may also follow: "idiots like you"

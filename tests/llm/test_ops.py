@@ -286,6 +286,17 @@ def test_op6_clauses_not_words():
     assert np.count_nonzero(g.features("no, idiot. he said: idiot")) == 1     # marks end clauses
 
 
+@pytest.mark.parametrize("text, same", [
+    ("c'est l'idiot", "c'est l idiot"), ("tu n'es qu'un tas d'idiots et d'idiot", "tu n'es qu'un tas d idiots et d idiot"),
+    ("you 'idiot'", "you idiot"), ("'you idiot'", "you idiot"), ("they said 'not idiot'", "they said not idiot"),
+    ("l'idiot d'imbecile", "l idiot d imbecile"), ("you aren't 'stupid'", "you aren't stupid"), ("can't, 'kill'", "kill")])
+def test_op6_elided_and_quoted_insults_count(text, same):
+    from quarkframe.llm.toxicity import Grammar, seeds
+
+    g = Grammar(seeds())
+    assert g.features(text).any() and (g.features(text) == g.features(same)).all()
+
+
 @pytest.mark.parametrize("where", ["edge", SMALL])
 def test_op7_against_brute_force(result, docs, where):
     sets, ids = [], []
