@@ -1,5 +1,5 @@
 """The registered queries of the training-data operators: each applies its
-operator, with production parameters, to the whole ``documents`` table."""
+operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, langid, merkle, mixing, neardup, quality_mil, quality_rules, substring, toxicity
+from . import (bpe, brown, conversations, langid, merkle, mixing, neardup, quality_mil, quality_rules, secrets, substring,
+               toxicity, whitening)
 from .common import doc_mod, documents
 
 
@@ -76,6 +77,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    fixed = conversations.repair(conversations.damaged(rows))
+    sha = conversations.digests(fixed.turns).withColumnRenamed("conv_id", "of")
+    return fixed.report.join(sha, F.col("conv_id").eqNullSafe(F.col("of"))).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] != "entropy")
+    n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"),
+                        F.sha2(secrets.listing(base), 256).alias("base_sha256"),
+                        secrets.listing(F.col("secrets")).alias("spans"), n("entropy"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_brown": op1_brown,
@@ -88,6 +110,9 @@ QUERIES = {
     "op8_merkle": op8_merkle,
     "op9_quality_mil": op9_quality_mil,
     "op10_language_id": op10_language_id,
+    "op11_conversations": op11_conversations,
+    "op12_whitening": op12_whitening,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
