@@ -70,9 +70,10 @@ THRESHOLDS = (
 LIMIT = [next(t for c, t in THRESHOLDS if not bits & ~c) for bits in range(64)]
 _TERM = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
+_WORD = r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)\d{0,4}|\d{1,4})"
 #: Whole candidates that are harmless.
 ALLOWED = tuple(re.compile(p) for p in (
-    r"[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4})(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4}))*[+/_=-]*",
+    rf"[+/_=-]*{_WORD}(?:[+/_=-]+{_WORD})*[+/_=-]*",
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"(?i:(?:sha-?\d+|md5)[-_=].*)",
     r"(?i:.*(?:example|sample|placeholder|dummy|changeme|x{6}|0{8}).*)",

@@ -171,7 +171,7 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     """Rows of long lists as a matrix of d columns, missing entries 0."""
     flat = np.asarray(column.flatten(), np.int64)
     lengths = np.asarray(column.value_lengths(), np.int64) if len(column) else np.zeros(0, np.int64)
-    if len(column) and (lengths == d).all():
+    if d and (lengths == d).all():
         return flat.reshape(-1, d)
     out = np.zeros((len(column), d), np.int64)
     row = np.repeat(np.arange(len(column)), lengths)
