@@ -1,10 +1,10 @@
 """Repair of the structure of conversations.
 
-A conversation's rows, in order of turn (nulls first; then role, then text, by
-code point), get an edit each: Keep, Rerole (to user or assistant), Delete, and
-empty-text user or assistant rows may be Inserted anywhere. Blank rows and rows
-whose role and text an earlier row has must go; a truncated row that stays
-costs extra. The repair is the cheapest sequence of edits whose roles' initials
+A conversation's rows, in order of turn (nulls first; then role, the text's
+first 64 characters, its hash), get an edit each: Keep, Rerole (to user or
+assistant), Delete, and empty-text user or assistant rows may be Inserted
+anywhere. Blank rows and rows whose role and text an earlier row has must go; a
+truncated row that stays costs extra. The repair is the cheapest sequence of edits whose roles' initials
 read ``(s?(ua)+)?``; of equally cheap ones, the one whose initials are least in
 ASCII (the audit).
 
@@ -16,11 +16,11 @@ each node keeps the least (cost, audit) that reached it, which rules out every
 other prefix there. The search ends when the stack is empty: optimality is
 proved.
 
-Scale. Rows are counted per (conversation, turn, role, text) before anything
-else, so repeated rows travel once; the first of equal texts is found by a
-partial aggregate. The rows are then dealt out by ranges of (conversation,
-turn, role, text), not by conversation, so a conversation with a third of all
-rows spreads over as many tasks as it needs. A conversation that lies inside
+Scale. The first of equal texts is found by a partial aggregate over hashes,
+whose result is a mark that sorts before its row. Rows and marks are dealt out
+by ranges of (conversation, turn, role, text, chance), not by conversation, so
+a conversation, or a row, that makes a third of all rows spreads over as many
+tasks as it needs, and texts cross one shuffle. A conversation that lies inside
 one task, of ``SEGMENT`` rows or ``SEGMENT_CHARS`` characters at most, is
 solved there. All others are cut into segments of that size; each segment is
 searched once for each pair of states at its ends, and a walk over the
@@ -34,7 +34,7 @@ order, which one task must read as a stream, a segment at a time.
 
 Edge cases: null roles and texts count as one space; a null conv_id is a
 conversation of its own; a null turn comes first and counts for no gap; rows of
-equal turn follow each other by role and text; a conversation without rows
+equal turn follow each other by role and text (see above); a conversation without rows
 (all copies 0) gives zeros, an empty audit and no turns; repeated rows are
 duplicates; roles that start with none of s, u, a cannot be kept; very long
 texts make a segment of their own; an empty table gives an empty result; other
@@ -196,7 +196,10 @@ class Piece:
             self.steps.append((0, initial, truncated))
             self.rows.append((role, text, 0))
             self.chars += len(text)
-        if gone:
+        if gone and self.steps and self.steps[-1][0]:
+            gone += self.steps.pop()[0]
+            self.rows.pop()
+        if gone:       # rows in succession that must go are one step: insertions between them are never least
             self.steps.append((gone, "", False))
             self.rows.append((None, None, gone))
 
@@ -258,7 +261,7 @@ def _walk(segment: int, segment_chars: int, emit):  # noqa: ANN001, ANN202
                 out, size = [], 0
 
         for batch in batches:
-            for conv, task, turn, role, text, n, first, blank, truncated in zip(*[c.to_pylist() for c in batch.columns]):
+            for conv, task, turn, role, text, n, mark, blank, truncated in zip(*[c.to_pylist() for c in batch.columns]):
                 if now != (conv,):
                     if now:
                         # the first conversation of a task may have begun in the one before
@@ -267,7 +270,7 @@ def _walk(segment: int, segment_chars: int, emit):  # noqa: ANN001, ANN202
                     else:
                         edge = True
                     now, p, of, marked = (conv,), Piece(), task, False
-                if first:                      # the mark of the row that comes next
+                if mark:                       # of the row that comes next
                     marked = True
                     continue
                 if role is None:               # names its conversation
@@ -359,20 +362,24 @@ def repair(rows: DataFrame, segment: int = SEGMENT, segment_chars: int = SEGMENT
     many copies of the row there are; rows of 0 copies only name their conv_id)."""
     conv = dict(rows.dtypes)["conv_id"]
     space, there = F.lit(" "), F.col("copies") > 0
-    counted = (rows.select("conv_id", F.when(there, F.col("turn").cast("long")).alias("turn"),
-                           F.when(there, F.coalesce("role", space)).alias("role"),
-                           F.when(there, F.coalesce("text", space)).alias("text"), F.col("copies").cast("long"))
-               .groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("n")))
-    # of equal role and text, the first row; nulls come first
-    firsts = (counted.where("role is not null").groupBy("conv_id", "role", "text")
-              .agg(F.min(F.struct(F.col("turn").isNotNull().alias("late"), "turn"))["turn"].alias("turn"),
-                   F.sum("n").alias("n")))
-    both = counted.withColumn("first", F.lit(False)).unionByName(firsts.withColumn("first", F.lit(True)))
+    text = F.when(there, F.coalesce("text", space))
     bare = F.rtrim(F.col("text"), F.lit(WHITE))
-    keys = ["conv_id", "turn", "role", F.substring("text", 1, PREFIX)]
-    dealt = (both.withColumn("blank", bare == "").withColumn("truncated", ~F.right(bare, F.lit(1)).isin(".", "!", "?"))
-             .repartitionByRange(*keys).sortWithinPartitions("conv_id", "turn", "role", "text", F.desc("first"))
-             .select("conv_id", F.spark_partition_id().alias("task"), "turn", "role", "text", "n", "first", "blank",
+    each = (rows.select("conv_id", F.when(there, F.col("turn").cast("long")).alias("turn"),
+                        F.when(there, F.coalesce("role", space)).alias("role"), text.alias("text"),
+                        F.unhex(F.md5(text)).alias("h"), F.col("copies").cast("long").alias("n"))
+            .withColumn("blank", bare == "")
+            .withColumn("truncated", ~F.right(bare, F.lit(1)).isin(".", "!", "?")))
+    start = F.substring("text", 1, PREFIX)
+    # of equal role and text, the first row; nulls come first
+    turn = F.min(F.struct(F.col("turn").isNotNull().alias("late"), "turn"))["turn"]
+    firsts = (each.where("n > 0").groupBy("conv_id", "role", "h").agg(turn.alias("turn"), F.min(start).alias("text")))
+    both = each.withColumn("mark", F.lit(False)).unionByName(
+        firsts.withColumn("mark", F.lit(True)), allowMissingColumns=True)
+    keys = ["conv_id", "turn", "role", start, "h"]
+    # a random last key parts equal rows, however many there are
+    dealt = (both.repartitionByRange(*keys, F.desc("mark"), F.when(~F.col("mark"), F.rand(1)))
+             .sortWithinPartitions(*keys, F.desc("mark"))
+             .select("conv_id", F.spark_partition_id().alias("task"), "turn", "role", "text", "n", "mark", "blank",
                      "truncated"))
     ddl = _pieces_schema(conv)
     pieces = store(dealt.mapInArrow(_walk(segment, segment_chars, _emitter(ddl)), ddl), "conversations")
