@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_to
+from .skew import PART_ROWS, join_in_parts, key_parts
 
 # The run labels the reference's two scaling sweeps hold fixed.
 FIXED_EXECUTORS = 14
@@ -46,7 +47,7 @@ SERIES = {
 }
 
 KEY = ["run", "job_id"]
-ORDINAL_BUCKET = 4096   # stage ids per window partition of the ordinal
+ORDINAL_BUCKET = 4096   # stage ids per range of the ordinal's prefix sum
 
 
 def parallelism() -> Column:
@@ -125,36 +126,29 @@ def totals(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
             .select("run", "subset", "group_id", "job_id", parallelism(), *_seconds(6)))
 
 
-def last_attempts(stages: DataFrame) -> DataFrame:
-    """One row per stage id: its last attempt (tables without attempts have
-    one row per stage already)."""
-    if "attempt" not in stages.columns:
-        return stages
-    rest = [c for c in stages.columns if c not in (*KEY, "stage_id")]
-    return (stages.groupBy(*KEY, "stage_id")
-            .agg(F.max_by(F.struct(*rest), "attempt").alias("last")).select(*KEY, "stage_id", "last.*"))
-
-
 def stage_ordinals(stages: DataFrame, bucket: int = ORDINAL_BUCKET) -> DataFrame:
     """Ordinal of each stage inside its job, by stage id, from 0.
 
-    Exact, and safe when one job holds a large share of all stages: stage
-    ids are cut into ranges of ``bucket`` consecutive ids; a partial
-    aggregate counts the stages of every (job, range), a window over those
-    counts (one row per range) gives each range's offset, and
-    ``row_number`` runs only inside one (job, range). No window partition
-    holds more than ``bucket`` stage ids. A stage that was retried counts
-    once (its last attempt).
+    A prefix sum over ranges of stage ids, with no join of the stage table to
+    itself: the stages of each (job, range of ``bucket`` ids) are collected in
+    order; a window over a job's ranges (one row each, with its number of
+    stages) adds up those before; the position in the range is added to that.
+    No list holds more than ``bucket`` stage ids, and a window row stands for a
+    whole range. A stage that was retried counts once (its last attempt).
     """
-    stages = last_attempts(stages)
-    s = stages.withColumn("_b", F.floor(F.col("stage_id") / F.lit(bucket)))
+    rest = [c for c in stages.columns if c not in (*KEY, "stage_id", "attempt")]
+    attempt = F.col("attempt") if "attempt" in stages.columns else F.lit(0).cast("long").alias("attempt")
+    ranges = (stages.select(*KEY, F.floor(F.col("stage_id") / F.lit(bucket)).alias("_b"),
+                            F.struct("stage_id", attempt, *rest).alias("_s"))
+              .groupBy(*KEY, "_b").agg(F.sort_array(F.collect_list("_s")).alias("_all")))
+    last = F.filter("_all", lambda s, i: ~F.coalesce(F.get(F.col("_all"), i + 1)["stage_id"] == s["stage_id"], F.lit(False)))
     before = Window.partitionBy(*KEY).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (s.groupBy(*KEY, "_b").agg(F.count(F.lit(1)).alias("_n"))
-               .select(*KEY, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
-    w = Window.partitionBy(*KEY, "_b").orderBy("stage_id")
-    return (s.join(offsets, KEY + ["_b"])
-            .withColumn("ordinal", (F.col("_off") + F.row_number().over(w) - 1).cast("int"))
-            .drop("_b", "_off"))
+    placed = (ranges.select(*KEY, "_b", last.alias("_last"))
+              .withColumn("_off", F.coalesce(F.sum(F.size("_last")).over(before), F.lit(0))))
+    cols = [F.col(f"_s.{c}").alias(c) for c in stages.columns if c not in KEY]
+    out = placed.select(*KEY, "_off", F.posexplode("_last").alias("_pos", "_s")).select(
+        *KEY, *cols, (F.col("_off") + F.col("_pos")).cast("int").alias("ordinal"))
+    return out.select(*stages.columns, "ordinal")
 
 
 def stage_time_by_ordinal(jobs: DataFrame, stages: DataFrame) -> DataFrame:
@@ -166,18 +160,23 @@ def stage_time_by_ordinal(jobs: DataFrame, stages: DataFrame) -> DataFrame:
                     F.round((F.col("completion") - F.col("submission")) / F.lit(1000.0), 3).alias("seconds")))
 
 
-def task_series(jobs: DataFrame, stages: DataFrame, tasks: DataFrame, subset: str = "executors") -> DataFrame:
+def task_series(jobs: DataFrame, stages: DataFrame, tasks: DataFrame, subset: str = "executors",
+                most: int = PART_ROWS) -> DataFrame:
     """Eight per-task time series (s), keyed by executor and task id.
 
     One row per (task, series), i.e. the long form of the distribution
-    charts; ``unpivot`` keeps it a single narrow projection.
+    charts; ``unpivot`` keeps it a single narrow projection. Tasks are joined
+    once, to a row per stage that has its job's labels; a stage of more than
+    ``most`` tasks (as declared) is met in parts.
     """
     j = sweep_subsets(jobs).where(F.col("subset") == subset).select("group_id", *KEY, "n_exec", "n_thread")
-    so = stage_ordinals(stages).select(*KEY, "stage_id", "ordinal")
-    t = tasks.select(*KEY, "stage_id", "executor_id", "task_id",
+    key = [*KEY, "stage_id"]
+    of_stage = stage_ordinals(stages.select(*key, *[c for c in stages.columns if c == "attempt"])).join(j, KEY).drop("attempt")
+    hot = key_parts(stages.groupBy(*key).agg(F.sum("num_tasks").alias("n")), "n", most)
+    t = tasks.select(*key, "executor_id", "task_id", "launch",
                      *[round_to(f"CAST({c} AS DOUBLE) / CAST('{d!r}' AS DOUBLE)", 6).alias(n)
                        for n, (c, d) in SERIES.items()])
-    wide = t.join(j, KEY).join(so, KEY + ["stage_id"])
+    wide = join_in_parts(t, of_stage, key, hot, ["executor_id", "task_id", "launch"])
     long = wide.unpivot(["run", "group_id", "job_id", "n_exec", "n_thread", "ordinal", "executor_id", "task_id"],
                         list(SERIES), "series", "seconds")
     return long.select("run", "group_id", "job_id", "n_exec", "n_thread", "ordinal", "executor_id", "task_id",

@@ -379,3 +379,8 @@ SQL.update({
         "CAST(s.num_tasks AS BIGINT) AS n_tasks FROM stages s JOIN ljobs j ON j.job_id = s.job_id "
         "JOIN (SELECT job_id, COUNT(*) AS n_stages FROM stages GROUP BY job_id) c ON c.job_id = s.job_id"),
 })
+
+# read back from nested metrics files: runs by label, nothing missing
+_RUN = "CAST(n_exec AS VARCHAR) || '_' || CAST(n_thread AS VARCHAR) || '__tables' AS run"
+SQL["k_json_totals"] = SQL["k_totals"].replace("SELECT run, subset", f"SELECT {_RUN}, subset")
+SQL["k_json_stage_summary"] = SQL["k_stage_summary"].replace("SELECT j.run, ", f"SELECT {_RUN}, ")

@@ -1,8 +1,10 @@
 """Metrics files with nested job -> stage -> task maps.
 
-A file holds a JSON array of jobs (on one line); a job maps stage ids to
-stages, a stage maps task ids to tasks. The maps' values become rows of the
-same three tables that event logs give. One run per file, labelled by its name
+A job maps stage ids to stages, a stage maps task ids to tasks. Files hold a
+JSON array of jobs on one line, the same array with its jobs on lines of their
+own (so that no line and no task holds a whole run), or one job per line, which
+is what ``write_nested_metrics`` writes. Reading gives the same three tables
+that event logs give. One run per file or folder, labelled by its name
 (``<execs>_<threads>``); files with another suffix are not read.
 """
 
@@ -13,8 +15,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import deal_parts, key_parts
 from .eventlog import run_label
 
+PIECE_TASKS = 10_000     # tasks of a stage, or stages of a job, per written record
+
 
 def _fields(ddl: str) -> str:
     """Column DDL as struct field DDL (name: type)."""
@@ -29,36 +34,104 @@ TASK = ("id bigint, host string, executorId string, duration bigint, taskType st
         f"finishTime bigint, gettingResultTime bigint, metrics struct<{_fields(TASK_METRICS)}>")
 STAGE = ("id bigint, name string, numTasks int, submissionTime bigint, completionTime bigint, "
          f"tasks map<string, struct<{_fields(TASK)}>>")
-JOB = ("id bigint, groupId string, `desc` string, startTime bigint, endTime bigint, "
-       f"stages map<string, struct<{_fields(STAGE)}>>")
+_TOP = (("id", "bigint"), ("groupId", "string"), ("`desc`", "string"), ("startTime", "bigint"), ("endTime", "bigint"),
+        ("stages", f"map<string, struct<{_fields(STAGE)}>>"))
+
+
+_TASK_COLUMNS = {
+    "diskBytesSpilled": "disk_spill", "exeDeserializeTime": "deser_ms", "exeDeserializeCpuTime": "deser_cpu_ns",
+    "exeRunTime": "run_ms", "exeCpuTime": "cpu_ns", "bytesRead": "bytes_read", "recordsRead": "records_read",
+    "jvmGCTime": "gc_ms", "memoryBytesSpilled": "mem_spill", "bytesWritten": "bytes_written",
+    "recordsWritten": "records_written", "resultSerializationTime": "ser_ms", "resultSize": "result_size"}
+_KEY = ["run", "job_id"]
+
+
+def _counted(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    return key_parts(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "n", most)
+
+
+def nested_jobs(tables: dict[str, DataFrame], most: int = PIECE_TASKS) -> DataFrame:
+    """The tables as nested records, one row per job (run, id, groupId,
+    desc, startTime, endTime, stages: map of stages with maps of tasks).
+
+    A stage of more than ``most`` tasks, and a job of more than ``most`` stages,
+    comes in several pieces (rows that repeat the job with other stages or
+    tasks), so that no map grows without bound. Map keys are ids; a retried
+    stage's key is ``id.attempt``, a further piece's ``id.attempt.piece``, a
+    repeated task id's ``id.position``. Tasks of a stage without a record are
+    left out, as a listener that records completed stages leaves them out."""
+    key = [*_KEY, "stage_id", "attempt"]
+    rows = tables["tasks"]
+    task = F.struct(
+        F.col("task_id").alias("id"), "host", F.col("executor_id").alias("executorId"), "duration",
+        F.col("task_type").alias("taskType"), F.col("launch").alias("launchTime"), F.col("finish").alias("finishTime"),
+        F.col("getting_result").alias("gettingResultTime"),
+        F.struct(*[F.col(c).alias(n) for n, c in _TASK_COLUMNS.items()]).alias("metrics"))
+    before = lambda i: F.get(F.col("all"), i - 1)["id"]
+    entries = F.transform("all", lambda t, i: F.struct(
+        F.when((i > 0) & (before(i) == t["id"]), F.concat_ws(".", t["id"], i)).otherwise(t["id"].cast("string")), t))
+    pieces = (deal_parts(rows.select(*key, "task_id", "launch", task.alias("t")), key, _counted(rows, key, most),
+                         ["task_id", "launch"])
+              .groupBy(*key, "_part").agg(F.sort_array(F.collect_list("t")).alias("all"))
+              .select(*key, F.col("_part").alias("piece"), F.map_from_entries(entries).alias("tasks")))
+    none = F.create_map().cast(f"map<string, struct<{_fields(TASK)}>>")
+    stages = tables["stages"].join(pieces, key, "left").withColumn("piece", F.coalesce("piece", F.lit(0)))
+    name = (F.when(F.col("piece") > 0, F.concat_ws(".", "stage_id", "attempt", "piece"))
+            .when(F.col("attempt") > 0, F.concat_ws(".", "stage_id", "attempt"))
+            .otherwise(F.col("stage_id").cast("string")))
+    stage = F.struct(F.col("stage_id").alias("id"), "name", F.col("num_tasks").alias("numTasks"),
+                     F.col("submission").alias("submissionTime"), F.col("completion").alias("completionTime"),
+                     F.coalesce("tasks", none).alias("tasks"))
+    of_job = (deal_parts(stages, _KEY, _counted(tables["stages"], _KEY, most), ["stage_id", "attempt", "piece"])
+              .groupBy(*_KEY, "_part").agg(F.collect_list(F.struct(name.alias("k"), stage.alias("v"))).alias("s"))
+              .select(*_KEY, F.map_from_entries("s").alias("stages")))
+    none = F.create_map().cast(f"map<string, struct<{_fields(STAGE)}>>")
+    return tables["jobs"].join(of_job, _KEY, "left").select(
+        "run", F.col("job_id").alias("id"), F.col("group_id").alias("groupId"), "desc", F.col("start").alias("startTime"),
+        F.col("end").alias("endTime"), F.coalesce("stages", none).alias("stages"))
+
+
+def write_nested_metrics(tables: dict[str, DataFrame], path: str, most: int = PIECE_TASKS) -> str:
+    """Write the tables as nested JSON, a job (or piece of one) per line, below
+    a folder ``run=<label>`` for each run."""
+    nested_jobs(tables, most).write.partitionBy("run").json(path)
+    return path
+
+
+def _jobs(lines: DataFrame) -> DataFrame:
+    """Jobs of text lines: whole arrays, single records, or an array spread
+    over lines with its brackets and commas at their ends."""
+    body = F.regexp_replace(F.regexp_replace("value", r"\A[\s\[,]+", ""), r"[\s\],]+\z", "")
+    record = ", ".join(f"{n}: {t}" for n, t in _TOP)
+    each = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<struct<{record}>>")
+    return lines.where(F.length(body) > 0).select("run", F.explode(each).alias("j")).select("run", "j.*").where(
+        "id is not null")
 
 
 def read_nested_metrics(spark: SparkSession, path: str, glob: str = "*.json") -> dict[str, DataFrame]:
-    """``jobs``, ``stages`` and ``tasks`` of all metrics files below ``path``."""
-    raw = (spark.read.schema(JOB).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-           .json(path).withColumn("run", F.col("_metadata.file_name")).where("id is not null"))
-    jobs = raw.select(
-        "run", F.col("id").alias("job_id"), F.coalesce("groupId", F.lit("")).alias("group_id"),
-        F.coalesce("desc", F.lit("")).alias("desc"), F.coalesce("startTime", F.lit(-1)).alias("start"),
-        F.coalesce("endTime", F.lit(-1)).alias("end"), *run_label())
-    stage = raw.select("run", F.col("id").alias("job_id"), F.explode(F.map_values("stages")).alias("s"))
-    stages = stage.select(
-        "run", "job_id", F.col("s.id").alias("stage_id"), F.lit(0).cast("long").alias("attempt"), "s.name",
-        F.col("s.numTasks").alias("num_tasks"), F.coalesce("s.submissionTime", F.lit(-1)).alias("submission"),
-        F.coalesce("s.completionTime", F.lit(-1)).alias("completion"))
-    t = stage.select("run", "job_id", F.col("s.id").alias("stage_id"), F.explode(F.map_values("s.tasks")).alias("t"))
+    """``jobs``, ``stages`` and ``tasks`` of all metrics files below ``path``
+    whose names match ``glob``; pieces of a job or stage are put together. The
+    run is the folder ``run=<label>`` a file lies in, else the file's name."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/run=([^/]+)/[^/]+\z", 1)
+    raw = _jobs(lines.select("value", F.when(folder != "", folder).otherwise(F.col("_metadata.file_name")).alias("run")))
+    jobs = (raw.groupBy("run", F.col("id").alias("job_id")).agg(
+        *[F.max(c).alias(c) for c in ("groupId", "desc", "startTime", "endTime")])
+        .select("run", "job_id", F.coalesce("groupId", F.lit("")).alias("group_id"),
+                F.coalesce("desc", F.lit("")).alias("desc"), F.coalesce("startTime", F.lit(-1)).alias("start"),
+                F.coalesce("endTime", F.lit(-1)).alias("end"), *run_label()))
+    attempt = F.coalesce(F.get(F.split("k", r"\."), F.lit(1)).cast("long"), F.lit(0).cast("long"))
+    stage = (raw.select("run", F.col("id").alias("job_id"), F.explode("stages").alias("k", "s"))
+             .select("run", "job_id", F.col("s.id").alias("stage_id"), attempt.alias("attempt"), "s"))
+    key = ["run", "job_id", "stage_id", "attempt"]
+    stages = (stage.groupBy(*key).agg(*[F.max(f"s.{c}").alias(c) for c in ("name", "numTasks", "submissionTime", "completionTime")])
+              .select(*key, "name", F.col("numTasks").alias("num_tasks"),
+                      F.coalesce("submissionTime", F.lit(-1)).alias("submission"),
+                      F.coalesce("completionTime", F.lit(-1)).alias("completion")))
+    t = stage.select(*key, F.explode(F.map_values("s.tasks")).alias("t"))
     tasks = t.select(
-        "run", "job_id", "stage_id", F.lit(0).cast("long").alias("attempt"), F.col("t.id").alias("task_id"), "t.host",
-        F.col("t.executorId").alias("executor_id"), "t.duration", F.col("t.taskType").alias("task_type"),
-        F.col("t.launchTime").alias("launch"), F.col("t.finishTime").alias("finish"),
-        F.col("t.gettingResultTime").alias("getting_result"), F.col("t.metrics.exeRunTime").alias("run_ms"),
-        F.col("t.metrics.exeCpuTime").alias("cpu_ns"), F.col("t.metrics.jvmGCTime").alias("gc_ms"),
-        F.col("t.metrics.exeDeserializeTime").alias("deser_ms"),
-        F.col("t.metrics.exeDeserializeCpuTime").alias("deser_cpu_ns"),
-        F.col("t.metrics.resultSerializationTime").alias("ser_ms"),
-        F.col("t.metrics.resultSize").alias("result_size"), F.col("t.metrics.diskBytesSpilled").alias("disk_spill"),
-        F.col("t.metrics.memoryBytesSpilled").alias("mem_spill"), F.col("t.metrics.bytesRead").alias("bytes_read"),
-        F.col("t.metrics.recordsRead").alias("records_read"),
-        F.col("t.metrics.bytesWritten").alias("bytes_written"),
-        F.col("t.metrics.recordsWritten").alias("records_written"))
+        *key, F.col("t.id").alias("task_id"), "t.host", F.col("t.executorId").alias("executor_id"), "t.duration",
+        F.col("t.taskType").alias("task_type"), F.col("t.launchTime").alias("launch"),
+        F.col("t.finishTime").alias("finish"), F.col("t.gettingResultTime").alias("getting_result"),
+        *[F.col(f"t.metrics.{n}").alias(c) for n, c in _TASK_COLUMNS.items()])
     return {"jobs": jobs, "stages": stages, "tasks": tasks}

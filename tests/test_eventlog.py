@@ -147,3 +147,113 @@ def test_preview_and_run_for_effect(spark, capsys):
     seen = spark.sparkContext.accumulator(0)
     run_for_effect(spark.range(10).rdd.map(lambda r: (seen.add(1), r)[1]).toDF("id long"))
     assert seen.value == 10
+
+
+def _metric_rows(spark):
+    """Labelled tables with a hot job, a retried stage, jobs without stages and stages without tasks."""
+    jobs = [("14_70__a", j, f"g{j}", "d", 10 * j, 10 * j + 5, 14, 70) for j in range(4)] + [("7_35__b", 0, "", "", 1, -1, 7, 35)]
+    stages, tasks = [], []
+    for run, job, *_ in jobs[:3] + jobs[4:]:
+        for st in range(30 if job == 1 else 2):
+            for attempt in range(2 if (job, st) == (0, 1) else 1):
+                n = 57 if job == 1 and st == 3 else 0 if st == 7 else 3
+                stages.append((run, job, st, attempt, f"s{st}", n, st, st + 9))
+                tasks += [(run, job, st, attempt, t // 2 if st == 1 else t, "h", str(t % 3), 5, "ResultTask", t, t + 5, 0,
+                           *range(t, t + 13)) for t in range(n)]
+    metrics = ["run_ms", "cpu_ns", "gc_ms", "deser_ms", "deser_cpu_ns", "ser_ms", "result_size", "disk_spill", "mem_spill",
+               "bytes_read", "records_read", "bytes_written", "records_written"]
+    return {
+        "jobs": spark.createDataFrame(jobs, "run string, job_id bigint, group_id string, `desc` string, start bigint, "
+                                            "`end` bigint, n_exec int, n_thread int"),
+        "stages": spark.createDataFrame(stages, "run string, job_id bigint, stage_id bigint, attempt bigint, name string, "
+                                                "num_tasks int, submission bigint, completion bigint"),
+        "tasks": spark.createDataFrame(tasks, "run string, job_id bigint, stage_id bigint, attempt bigint, task_id bigint, "
+                                              "host string, executor_id string, duration bigint, task_type string, "
+                                              "launch bigint, finish bigint, getting_result bigint, "
+                                              + ", ".join(f"{m} bigint" for m in metrics))}
+
+
+def test_nested_metrics_round_trip_in_pieces(spark, tmp_path):
+    """Pieces hold a bounded number of tasks and stages and read back as the same tables."""
+    from quarkframe.sources.metrics_json import nested_jobs, read_nested_metrics, write_nested_metrics
+
+    tables = _metric_rows(spark)
+    for most in (10_000, 5):
+        rows = nested_jobs(tables, most).collect()
+        assert len([r for r in rows if r.run == "14_70__a" and r.id == 1]) > (1 if most == 5 else 0)
+        largest = max(len(s.tasks) for r in rows for s in r.stages.values())
+        assert largest == 57 if most == 10_000 else largest < 25
+        path = write_nested_metrics(tables, str(tmp_path / f"m{most}"), most)
+        (tmp_path / f"m{most}" / "other.txt").write_text('[{"id": 99}]')
+        got = read_nested_metrics(spark, path)
+        for t, want in tables.items():
+            assert sorted(got[t].select(want.columns).collect()) == sorted(want.collect()), (t, most)
+
+
+def test_nested_metrics_arrays_over_many_lines(spark, tmp_path):
+    from quarkframe.sources.metrics_json import read_nested_metrics
+
+    (tmp_path / "14_70__a.json").write_text('[\n {"id": 1, "groupId": "a]"},\n {"id": 2, "groupId": "[,b"}\n,{"id": 3}\n]\n')
+    (tmp_path / "7_70__b.json").write_text('[{"id": 1}, {"id": 2}]')
+    (tmp_path / "7_35__c.json").write_text('[{"id": 1},\n{"id": 2}]\n\n[]\n')
+    (tmp_path / "1_1__d.json").write_text("")
+    jobs = read_nested_metrics(spark, str(tmp_path))["jobs"].collect()
+    assert {(r.run, r.job_id, r.group_id) for r in jobs} == {
+        ("14_70__a.json", 1, "a]"), ("14_70__a.json", 2, "[,b"), ("14_70__a.json", 3, ""), ("7_70__b.json", 1, ""),
+        ("7_70__b.json", 2, ""), ("7_35__c.json", 1, ""), ("7_35__c.json", 2, "")}
+
+
+def test_ingest_partitions_records_and_sees_changed_logs(spark, tmp_path):
+    import json
+
+    import zstandard
+
+    def lines(n):
+        return "".join(json.dumps(x) + "\n" for x in (
+            [{"Event": "SparkListenerLogStart"}, {"Event": "SparkListenerJobStart", "Job ID": 0, "Stage IDs": [0]}]
+            + [{"Event": "SparkListenerTaskEnd", "Stage ID": 0, "Stage Attempt ID": 0, "Task Info": {"Task ID": i}}
+               for i in range(n)])).encode()
+
+    logs = tmp_path / "logs"
+    (logs / "eventlog_v2_2_3__app").mkdir(parents=True)
+    (logs / "eventlog_v2_2_3__app" / "events_1.zstd").write_bytes(
+        zstandard.compress(lines(3)) + zstandard.compress(lines(0)[:0]))
+    (logs / "14_70__plain").write_bytes(lines(2))
+    records = read_event_log(spark, str(logs))
+    assert {(r.event, r.run) for r in records.select("event", "run").distinct().collect()} == {
+        (e, run) for e in ("job_start", "task") for run in ("2_3__app", "14_70__plain")}
+    assert metrics_tables(records)["tasks"].where("job_id = 0").count() == 5
+    (logs / "14_70__plain").write_bytes(lines(4))
+    assert metrics_tables(read_event_log(spark, str(logs)))["tasks"].count() == 7
+
+
+def test_a_hot_job_reaches_several_tasks(spark):
+    """J4 without broadcast joins and without adaptive skew joins: a stage with a third of all tasks is joined in parts."""
+    from quarkframe.operators.skew import join_in_parts, key_parts
+
+    jobs = spark.range(200).selectExpr("'r' AS run", "id AS job_id", "'g' AS group_id", "14 AS n_exec", "70 AS n_thread",
+                                       "1L AS start", "2L AS `end`")
+    hot = spark.range(6000).selectExpr("0L AS job_id", "0L AS stage_id", "id AS task_id")
+    rest = spark.range(12000).selectExpr("1 + id % 199 AS job_id", "id % 3 AS stage_id", "id AS task_id")
+    tasks = hot.unionByName(rest).selectExpr(
+        "'r' AS run", "job_id", "stage_id", "0L AS attempt", "task_id", "'e' AS executor_id", "1L AS launch", "2L AS finish",
+        *[f"1L AS {c}" for c in ("duration", "getting_result", "run_ms", "cpu_ns", "deser_cpu_ns", "deser_ms", "gc_ms", "ser_ms")])
+    stages = tasks.groupBy("run", "job_id", "stage_id", "attempt").agg(F.count("*").cast("int").alias("num_tasks"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.enabled",
+                                          "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        series = M.task_series(jobs, stages, tasks, most=500).withColumn("p", F.spark_partition_id())
+        by = {r.p: r.n for r in series.where("job_id = 0").groupBy("p").agg(F.count("*").alias("n")).collect()}
+        assert sum(by.values()) == 6000 * 8 and len(by) >= 6 and max(by.values()) < 0.4 * sum(by.values())
+        key = ["run", "job_id", "stage_id"]
+        parts = key_parts(stages.select(*key, F.col("num_tasks").alias("n")), "n", 500)
+        joined = join_in_parts(tasks, jobs.select("run", "job_id").distinct().withColumn("stage_id", F.lit(0).cast("long")),
+                               key, parts, ["task_id"], "left").withColumn("p", F.spark_partition_id())
+        assert joined.count() == tasks.count()
+        assert joined.where("job_id = 0").select("p").distinct().count() >= 6
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -24,11 +24,14 @@ def test_stage_ordinals_hot_job_and_sparse_ids(spark):
 
 
 def test_stage_ordinals_window_partitions_bounded(spark):
-    """The row_number window is partitioned by (job, id range), not by job."""
+    """The window adds up list sizes, one row per (job, id range); no list is longer than a range."""
     st = spark.createDataFrame([("r", 1, i) for i in range(100)], "run string, job_id long, stage_id long")
-    plan = M.stage_ordinals(st, bucket=16)._jdf.queryExecution().executedPlan().toString()
-    windows = [ln for ln in plan.splitlines() if "row_number()" in ln]
-    assert windows and all("_b" in ln for ln in windows)
+    out = M.stage_ordinals(st, bucket=16)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    windows = [ln for ln in plan.splitlines() if "Window [" in ln]
+    assert len(windows) == 1 and "sum(" in windows[0] and "_b" in windows[0] and "row_number" not in plan
+    assert "Join" not in plan
+    assert {r.ordinal: r.stage_id for r in out.collect()} == {i: i for i in range(100)}
 
 
 def _job(job_id, group="g", execs=14, threads=70):

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as E
+from quarkframe.plans import catalog
 from quarkframe.sources import events as ev_src
 
 from conftest import SF_SMALL
@@ -38,7 +39,8 @@ NAMES = sorted(E.oracle_sql())
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
+    assert set(catalog.QUERIES) <= set(E.queries()) and set(catalog.ORACLE_SQL) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -63,11 +65,11 @@ def test_split_store_really_splits(spark, monkeypatch):
     assert per_ev.where(F.col("s") != F.col("n_muons")).count() == 0
 
 
-def test_unsplit_store_is_plain_event_table(spark):
+def test_unsplit_store_has_one_fragment_per_event(spark):
     ev = ev_src.events(spark, SF_SMALL)
-    assert "n_frag" not in ev.columns and "frag" not in ev.columns
+    assert ev.where("n_frag <> 1 OR frag <> 0").count() == 0
     assert ev.count() == ev.select("evt").distinct().count()
-    assert "n_frag" in ev_src.events(spark, SF_SMALL, chunk=3).columns
+    assert ev.columns == ev_src.events(spark, SF_SMALL, chunk=3).columns
 
 
 def test_entry_smoke(spark):

@@ -7,7 +7,8 @@ from quarkframe.plans.catalog import QUERIES
 
 from conftest import SF_SMALL
 
-FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")
+FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "MapInArrow", "MapInPandas", "CartesianProduct",
+             "BroadcastNestedLoopJoin")
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -69,3 +70,26 @@ def test_path_query_reads_one_leaf_of_the_original_layout(spark):
     plan = _plan(QUERIES["aod_path_sum_pt_lt10"](spark, SF_SMALL))
     schemas = {ln.split("ReadSchema:")[1].strip() for ln in plan.splitlines() if "ReadSchema" in ln}
     assert schemas and all(x.count("pt_:float") == 1 and x.count("float") == 1 for x in schemas)
+
+
+@pytest.mark.parametrize("name", ["k_log_job_time", "k_log_totals", "k_log_stage_summary"])
+def test_log_reports_read_ingested_records_of_the_events_they_need(spark, name):
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
+    scans = [ln for ln in plan.splitlines() if "FileScan" in ln]
+    assert scans and not any("FileScan json" in ln or "FileScan text" in ln for ln in scans)
+    assert all("PartitionFilters: [isnotnull(event" in ln for ln in scans)
+    if name == "k_log_job_time":
+        assert not any("= task)" in ln for ln in scans)
+
+
+def test_nested_metrics_are_parsed_once_for_jobs_and_once_for_tasks(spark):
+    plan = _plan(QUERIES["k_json_totals"](spark, SF_SMALL)).split("Initial Plan")[0]
+    scans = [ln for ln in plan.splitlines() if "FileScan" in ln]
+    assert scans and all("FileScan text" in ln for ln in scans) and len(scans) <= 2
+
+
+def test_stage_ordinals_scan_the_stages_once(spark):
+    plan = _plan(QUERIES["k_stage_time_by_ordinal"](spark, SF_SMALL))
+    final = plan.split("Initial Plan")[0]
+    assert sum("FileScan" in ln for ln in final.splitlines()) == 2      # stages and jobs
+    assert sum(" Exchange " in ln or "- Exchange" in ln for ln in final.splitlines()) <= 4
