@@ -16,6 +16,7 @@ range edge on their finite side and NULL on the other (NaN bin: both NULL).
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -78,6 +79,21 @@ def fill(df: DataFrame, b: Bin, element: str | Column | None = None) -> DataFram
     return fill_bundle(df, [b], element)
 
 
+def merge_histograms(bins: Sequence[Bin], *tables: DataFrame) -> DataFrame:
+    """Combine filled bundles (tables label, bin, lo, hi, n, for instance stored
+    ones) of disjoint rows: counts are added. Every row's label and edges must
+    be those of ``bins``; a table filled with other definitions fails the query."""
+    lo_e, hi_e = _edges(bins)
+    known = F.col("label").isin([b.label for b in bins])
+    same = known & F.col("lo").eqNullSafe(lo_e) & F.col("hi").eqNullSafe(hi_e)
+    clash = F.concat(F.lit("histogram definitions differ: "), F.coalesce("label", F.lit("null")), F.lit(" bin "),
+                     F.coalesce(F.col("bin").cast("string"), F.lit("null")))
+    rows = reduce(DataFrame.unionByName, [t.select("label", "bin", "lo", "hi", "n") for t in tables])
+    checked = rows.select("label", "bin", F.when(F.coalesce(same, F.lit(False)), F.col("n")).otherwise(
+        F.raise_error(clash).cast("bigint")).alias("n"))
+    return aggregate_items(checked, bins, "n")
+
+
 def densify(hist: DataFrame, bins: Sequence[Bin]) -> DataFrame:
     """Add zero rows for empty regular bins (bins x labels rows, tiny)."""
     spark = hist.sparkSession

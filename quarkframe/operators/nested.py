@@ -12,7 +12,7 @@ from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 # ---------------------------------------------------------------- projections
@@ -47,6 +47,45 @@ def bind(col: str | Column, ddl: str) -> Column:
     return c.cast(ddl)
 
 
+_WIDER = {  # casts that keep every value
+    "tinyint": {"smallint", "int", "bigint", "float", "double"}, "smallint": {"int", "bigint", "float", "double"},
+    "int": {"bigint", "double"}, "float": {"double"}, "date": {"timestamp"}}
+
+
+def _check(have: DataType, want: DataType, at: str) -> None:
+    if isinstance(want, StructType):
+        if not isinstance(have, StructType):
+            raise TypeError(f"{at}: {have.simpleString()} is not a record")
+        if len(have.fields) != len(want.fields):
+            raise TypeError(f"{at}: {len(have.fields)} fields for {len(want.fields)}: "
+                            f"{have.names} against {want.names}")
+        for h, w in zip(have.fields, want.fields):
+            _check(h.dataType, w.dataType, f"{at}.{w.name}")
+    elif isinstance(want, ArrayType):
+        if not isinstance(have, ArrayType):
+            raise TypeError(f"{at}: {have.simpleString()} is not an array")
+        _check(have.elementType, want.elementType, at)
+    elif isinstance(want, MapType):
+        if not isinstance(have, MapType):
+            raise TypeError(f"{at}: {have.simpleString()} is not a map")
+        _check(have.keyType, want.keyType, at + ".key")
+        _check(have.valueType, want.valueType, at + ".value")
+    else:
+        h, w = have.simpleString(), want.simpleString()
+        if h != w and h != "void" and w not in _WIDER.get(h, ()):
+            raise TypeError(f"{at}: {h} does not fit into {w} without loss")
+
+
+def checked_bind(df: DataFrame, col: str, ddl: str) -> Column:
+    """``bind`` that first compares the column's type with the record's, by
+    position and at any depth: another number of fields, another kind of type or
+    a cast that may lose values (double to float, bigint to int, string to a
+    number) is a TypeError."""
+    want = StructType.fromDDL(f"r {ddl}")["r"].dataType
+    _check(df.schema[col].dataType, want, col)
+    return bind(col, ddl)
+
+
 def leaf(coll: str, field: str) -> Column:
     """P5: ``array<field>`` of one leaf of an array of structs."""
     return F.col(f"{coll}.{field}")
@@ -98,6 +137,53 @@ def strip_empty(df: DataFrame, colls: Iterable[str]) -> DataFrame:
                        for c in df.columns])
 
 
+def _without_empty(c: Column, kind: DataType) -> Column | None:
+    """The value without empty structs at any depth; None if nothing is left."""
+    if isinstance(kind, StructType):
+        parts = [(f.name, _without_empty(c[f.name], f.dataType)) for f in kind.fields]
+        kept = [p.alias(n) for n, p in parts if p is not None]
+        return F.when(c.isNotNull(), F.struct(*kept)) if kept else None
+    if isinstance(kind, ArrayType) and _holds_empty(kind.elementType):
+        if _hollow(kind.elementType):
+            return None
+        return F.transform(c, lambda x: _without_empty(x, kind.elementType))
+    if isinstance(kind, MapType) and _holds_empty(kind.valueType):
+        if _hollow(kind.valueType):
+            return None
+        return F.transform_values(c, lambda _, x: _without_empty(x, kind.valueType))
+    return c
+
+
+def _hollow(kind: DataType) -> bool:
+    """Made of empty structs only."""
+    if isinstance(kind, StructType):
+        return all(_hollow(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _hollow(kind.elementType)
+    return isinstance(kind, MapType) and _hollow(kind.valueType)
+
+
+def _holds_empty(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return not kind.fields or any(_holds_empty(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _holds_empty(kind.elementType)
+    return isinstance(kind, MapType) and _holds_empty(kind.valueType)
+
+
+def drop_empty(df: DataFrame) -> DataFrame:
+    """P9 by schema: every column without the empty structs that lie in it at
+    any depth (in structs, arrays of structs and map values); a column of
+    nothing else goes. Columns without empty structs are passed as they are."""
+    cols = []
+    for f in df.schema.fields:
+        if _hollow(f.dataType):
+            continue
+        c = F.col(f"`{f.name}`")
+        cols.append(_without_empty(c, f.dataType).alias(f.name) if _holds_empty(f.dataType) else c)
+    return df.select(*cols)
+
+
 def element(coll: str | Column, k: int) -> Column:
     """P10: element ``k`` (0-based); NULL when the collection is shorter."""
     c = F.col(coll) if isinstance(coll, str) else coll

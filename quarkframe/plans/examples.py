@@ -16,11 +16,12 @@ from ..functions.rounding import round_to
 from ..operators import aggregate as A
 from ..operators import nested as N
 from ..operators import pairs as P
-from ..operators.histogram import fill_bundle
+from ..operators.histogram import densify, fill_bundle, merge_histograms
 from ..sources import sinks
 from ..sources.aod import AOD_PATHS, aod_events, lead
 from ..sources.events import events
-from .benchmark import PAIR_BINS, b6_muon_bundle
+from ..sources.ntuples import ntuple_events
+from .benchmark import CANDIDATE_BINS, PAIR_BINS, b6_muon_bundle
 
 # Histogram ranges of the Higgs and photon examples.
 HIGGS_RANGES = {
@@ -75,7 +76,8 @@ def stripped_events(aod: DataFrame) -> DataFrame:
     kept = ["evt", "frag", "n_frag", *[f"n_{c}" for c in schemas.COLLECTIONS]]
     raw = N.rename(N.select_paths(aod, *kept, *AOD_PATHS.values()), *kept, *AOD_PATHS)
     fields = [f.name for f in raw.schema["muons"].dataType.elementType.fields if f.name != "cache_"]
-    return raw.select(*kept, *[N.bind(N.strip(c, fields), f"array<{schemas.CANDIDATE}>").alias(c) for c in AOD_PATHS])
+    bare = raw.select(*kept, *[N.strip(c, fields).alias(c) for c in AOD_PATHS])
+    return bare.select(*kept, *[N.checked_bind(bare, c, f"array<{schemas.CANDIDATE}>").alias(c) for c in AOD_PATHS])
 
 
 #: Leaves of the candidate record that the summary adds up.
@@ -118,6 +120,27 @@ def sink_hist_json(spark, sf_dir):
     return sinks.read_histograms_json(spark, path)
 
 
+def hist_merge(spark, sf_dir):
+    """A11 / A12 combined: muon bundles of two disjoint sets of events, each
+    filled and written on its own (S3), merged and densified."""
+    ev = events(spark, sf_dir)
+    parts = []
+    for k, half in enumerate((F.col("evt") % 2 == 0, F.col("evt") % 2 != 0)):
+        filled = fill_bundle(N.flatten(ev.where(half), "muons"), CANDIDATE_BINS, "x")
+        out = sinks.write_histograms_json(filled, sinks.fresh_output(spark, f"bundle-{k}"))
+        parts.append(sinks.read_histograms_json(spark, out))
+    return densify(merge_histograms(CANDIDATE_BINS, *parts), CANDIDATE_BINS)
+
+
+def preview_pairs(spark, sf_dir):
+    """Every reduced pair is evaluated (no-op sink), and the first 20
+    by event and components are returned."""
+    p = P.ordered_pairs(N.cut_size(events(spark, sf_dir), "muons", ">=", 2), "muons").select("evt", "pair.*")
+    sinks.run_for_effect(p)
+    first = sinks.first_rows(p, ["evt", "e", "px", "py", "pz"], 20)
+    return first.select("evt", *[round_to(c, 4).alias(c) for c in ("e", "px", "py", "pz")])
+
+
 # ----------------------------------------------------------------- lead objects
 
 def higgs_lead_bundle(spark, sf_dir):
@@ -125,9 +148,11 @@ def higgs_lead_bundle(spark, sf_dir):
     mass of the first two muons (reference formula) and first muon phi/eta,
     in stored order.
 
-    Events with a single muon leave ``dimuon_mass`` unfilled (NULL)."""
-    ev = N.cut_size(aod_events(spark, sf_dir), "electrons", "!=", 0)
-    t = lead(ev, {"muons": (2, ["pt", "eta", "phi"]), "electrons": (1, ["pt"])}, ["evt"])
+    Events with a single muon leave ``dimuon_mass`` unfilled (NULL). Files in
+    the example's own layout, kinematics in ``baseTrack``."""
+    ev = N.cut_size(ntuple_events(spark, sf_dir, "higgs"), "electrons", "!=", 0)
+    track = {f: f"baseTrack.{f}" for f in ("pt", "eta", "phi")}
+    t = lead(ev, {"muons": (2, "muons", ["pt", "eta", "phi"], track), "electrons": (1, "electrons", ["pt"], track)}, ["evt"])
     m0, e0 = N.element("muons", 0), N.element("electrons", 0)
     vals = {
         "electron_pt": e0["pt"],
@@ -142,9 +167,10 @@ def higgs_lead_bundle(spark, sf_dir):
 
 def photon_lead_bundle(spark, sf_dir):
     """Photon example: events with a photon; first photon pt/phi/eta, in
-    stored order."""
-    ev = N.cut_size(aod_events(spark, sf_dir), "photons", "!=", 0)
-    t = lead(ev, {"photons": (1, ["pt", "phi", "eta"])}, ["evt"])
+    stored order; files in the example's own layout, generated particles and
+    photons in one event."""
+    ev = N.cut_size(ntuple_events(spark, sf_dir, "bacon"), "photons", "!=", 0)
+    t = lead(ev, {"photons": (1, "Photon", ["pt", "phi", "eta"], {f: f for f in ("pt", "phi", "eta")})}, ["evt"])
     g = N.element("photons", 0)
     cols = t.select(g["pt"].alias("pt"), g["phi"].alias("phi"), g["eta"].alias("eta"))
     return fill_bundle(cols, [Bin(k, *PHOTON_RANGES[k], k) for k in PHOTON_RANGES])
@@ -176,6 +202,8 @@ QUERIES = {
     "strip_events": strip_events,
     "sink_parquet_roundtrip": sink_parquet_roundtrip,
     "sink_hist_json": sink_hist_json,
+    "hist_merge": hist_merge,
+    "preview_pairs": preview_pairs,
     "higgs_lead_bundle": higgs_lead_bundle,
     "photon_lead_bundle": photon_lead_bundle,
     "lead_pair_mass": lead_pair_mass,

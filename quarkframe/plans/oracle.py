@@ -384,3 +384,16 @@ SQL.update({
 _RUN = "CAST(n_exec AS VARCHAR) || '_' || CAST(n_thread AS VARCHAR) || '__tables' AS run"
 SQL["k_json_totals"] = SQL["k_totals"].replace("SELECT run, subset", f"SELECT {_RUN}, subset")
 SQL["k_json_stage_summary"] = SQL["k_stage_summary"].replace("SELECT j.run, ", f"SELECT {_RUN}, ")
+
+# a merged bundle: every regular bin of each definition, zero or not, and the flow rows in use
+_GRID = "\nUNION ALL\n".join(
+    f"SELECT '{b.label}' AS label, CAST(bin AS INTEGER) AS bin, {edges_sql(b)} FROM range({b.n}) g(bin)" for b in CANDIDATE_BINS)
+SQL["hist_merge"] = (
+    f"WITH filled AS ({BASE}{bundle_sql('p', CANDIDATE_BINS)}), grid AS ({_GRID}) "
+    "SELECT grid.label, grid.bin, grid.lo, grid.hi, COALESCE(f.n, 0) AS n FROM grid "
+    "LEFT JOIN filled f ON f.label = grid.label AND f.bin = grid.bin UNION ALL "
+    "SELECT label, bin, lo, hi, n FROM filled f "
+    "WHERE NOT EXISTS (SELECT 1 FROM grid WHERE grid.label = f.label AND grid.bin = f.bin)")
+SQL["preview_pairs"] = with_(PARTICLES, P4, PAIRS) + (
+    "SELECT evt, " + ", ".join(f"{fround(c, 4)} AS {c}" for c in ("e", "px", "py", "pz"))
+    + " FROM (SELECT evt, e, px, py, pz FROM pairs ORDER BY evt, e, px, py, pz LIMIT 20) t")

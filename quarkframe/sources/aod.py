@@ -69,35 +69,57 @@ def aod_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def lead(ev: DataFrame, want: dict[str, tuple[int, list[str]]], keep: list[str]) -> DataFrame:
+def lead(ev: DataFrame, want: dict[str, tuple[int, str, list[str], dict[str, str]]], keep: list[str]) -> DataFrame:
     """P10 in stored order: ``keep`` and, per collection, an array of its first
-    k records, reduced to the named leaves (only these are read).
+    k records, reduced to the named fields (only their leaves are read).
 
-    Rows of unsplit events take the elements as they are stored; fragments of
-    split events are merged by the stored order, at most k of each."""
+    ``want``: collection -> (k, path of its array of records, fields wanted,
+    field -> path of its leaf in the record). Rows of unsplit events take the
+    elements as they are stored. The first elements of all collections of a
+    split event's fragments are merged together by the stored order (eta, phi,
+    pt): the best k of each (event, collection), then one row per event."""
     from ..operators.nested import leaf
 
-    def first(c: str, k: int, fields: list[str]) -> Column:
-        return F.slice(F.arrays_zip(*[leaf(_quoted(AOD_PATHS[c]), f"{f}_").alias(f) for f in fields]), 1, k)
+    order = ["eta", "phi", "pt"]
 
-    fast = ev.where("n_frag = 1").select(*keep, *[first(c, k, f).alias(c) for c, (k, f) in want.items()])
-    split = ev.where("n_frag > 1")
-    merged = split.where("frag = 0").select(*keep)
-    for c, (k, fields) in want.items():
-        order = list(dict.fromkeys(["eta", "phi", "pt", *fields]))
-        each = split.select("evt", F.explode(first(c, k, order)).alias("x"))
-        by = Window.partitionBy("evt").orderBy(F.desc("x"))
-        best = (each.withColumn("i", F.row_number().over(by)).where(F.col("i") <= k).groupBy("evt")
-                .agg(F.sort_array(F.collect_list("x"), asc=False).alias(c)))
-        cut = F.transform(c, _only(fields))
-        merged = merged.join(best.select("evt", cut.alias(c)), "evt", "left").withColumn(
-            c, F.coalesce(c, F.array().cast(dict(fast.dtypes)[c])))
-    return fast.unionByName(merged)
+    def first(c: str, fields: list[str]) -> Column:
+        k, path, _, leaves = want[c]
+        return F.slice(F.arrays_zip(*[leaf(path, leaves[f]).alias(f) for f in fields]), 1, k)
 
+    fast = ev.where("n_frag = 1").select(*keep, *[first(c, fields).alias(c) for c, (_, _, fields, _) in want.items()])
+    rest = sorted({f for _, _, fields, _ in want.values() for f in fields} - set(order))
+    kinds = {f: t for c in want for f, t in _leaf_types(ev, want[c])}
 
-def _only(fields: list[str]):  # noqa: ANN202
-    return lambda x: F.struct(*[x[f].alias(f) for f in fields])
+    def tagged(i: int, leaves: dict[str, str]):  # noqa: ANN202
+        value = lambda x, f: x[f] if f in leaves else F.lit(None).cast(kinds[f])
+        return lambda x: F.struct(F.lit(i).alias("c"),
+                                  F.struct(*[value(x, f).alias(f) for f in order + rest]).alias("x"))
 
+    # one list of (collection, element) per fragment, and an entry for the event itself
+    items = [F.transform(first(c, [f for f in order + rest if f in leaves]), tagged(i, leaves))
+             for i, (c, (_, _, _, leaves)) in enumerate(want.items())]
+    element = "struct<" + ",".join(f"{f}:{kinds[f]}" for f in order + rest) + ">"
+    itself = F.array(F.struct(F.lit(-1).alias("c"), F.lit(None).cast(element).alias("x")))
+    split = ev.where("n_frag > 1").select(*keep, F.explode(F.concat(itself, *items)).alias("i")).select(*keep, "i.*")
+    by = Window.partitionBy(*keep, "c").orderBy(F.desc("x"))
+    most = max(k for k, _, _, _ in want.values())
+    best = (split.withColumn("r", F.row_number().over(by)).where(F.col("r") <= most)
+            .groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("c", "x")), asc=False).alias("all")))
 
-def _quoted(path: str) -> str:
-    return ".".join(f"`{s}`" for s in path.split("."))
+    def of(i: int):  # noqa: ANN202
+        return lambda e: e["c"] == i
+
+    def only(fields: list[str]):  # noqa: ANN202
+        return lambda e: F.struct(*[e["x"][f].alias(f) for f in fields])
+
+    cut = [F.slice(F.transform(F.filter("all", of(i)), only(fields)), 1, k).alias(c)
+           for i, (c, (k, _, fields, _)) in enumerate(want.items())]
+    return fast.unionByName(best.select(*keep, *cut))
+
+
+def _leaf_types(ev: DataFrame, spec: tuple) -> list[tuple[str, str]]:
+    from ..operators.nested import leaf
+
+    _, path, _, leaves = spec
+    got = ev.select(*[leaf(path, p).alias(f) for f, p in leaves.items()]).schema
+    return [(f.name, f.dataType.elementType.simpleString()) for f in got.fields]

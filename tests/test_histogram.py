@@ -47,3 +47,21 @@ def test_densify(spark):
     regular = sorted((r.bin, r.n) for r in d if 0 <= r.bin < 4)
     assert regular == [(0, 1), (1, 0), (2, 1), (3, 0)]
     assert [(r.bin, r.n) for r in d if r.bin == 4] == [(4, 1)]
+
+
+def test_merge_adds_counts_and_refuses_other_definitions(spark):
+    import pytest
+
+    from quarkframe.functions.histogram import Bin
+    from quarkframe.operators.histogram import densify, fill_bundle, merge_histograms
+
+    bins = [Bin("a", 4, 0.0, 4.0, "x"), Bin("b", 3, -1.0, 2.0, "x")]
+    rows = [0.5, 1.5, 1.6, 9.0, -3.0, float("nan"), None, 3.9]
+    df = lambda v: spark.createDataFrame([(x,) for x in v], "x double")
+    whole = densify(fill_bundle(df(rows), bins), bins)
+    parts = [fill_bundle(df(rows[i::3]), bins) for i in range(3)]
+    got = densify(merge_histograms(bins, *parts), bins)
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+    for other in ([Bin("a", 8, 0.0, 4.0, "x")], [Bin("a", 4, 0.0, 5.0, "x")], [Bin("c", 4, 0.0, 4.0, "x")]):
+        with pytest.raises(Exception, match="histogram definitions differ"):
+            merge_histograms(bins, parts[0], fill_bundle(df(rows), other)).collect()

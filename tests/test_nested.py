@@ -83,3 +83,42 @@ def test_flatten_struct_keeps_pruning(spark, tmp_path):
     df = spark.read.parquet(path)
     plan = N.flatten_leaf(df, "muons", "pt")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<muons:array<struct<pt:float>>>" in plan
+
+
+def test_drop_empty_removes_empty_structs_at_any_depth(spark, tmp_path):
+    from pyspark.sql.types import StructType as S
+
+    schema = S.fromDDL(
+        "evt bigint, muons array<struct<baseTrack:struct<obj:struct<>,charge:int,pt:float>,flags:array<boolean>,"
+        "inner:struct<a:struct<>,b:struct<c:struct<>>>>>, tracks map<string,struct<obj:struct<>,v:int>>, "
+        "hollow array<struct<o:struct<>>>, top struct<>, plain struct<x:int>")
+    row = (1, [(((), 1, 2.5), [True, False], ((), ((),))), None], {"k": ((), 7), "n": None}, [((),)], (), (3,))
+    out = N.drop_empty(spark.createDataFrame([row], schema))
+    assert out.schema.simpleString() == (
+        "struct<evt:bigint,muons:array<struct<baseTrack:struct<charge:int,pt:float>,flags:array<boolean>>>,"
+        "tracks:map<string,struct<v:int>>,plain:struct<x:int>>")
+    out.write.parquet(str(tmp_path / "o"))
+    got = spark.read.parquet(str(tmp_path / "o")).first()
+    assert got.muons[0].baseTrack.pt == 2.5 and got.muons[0].flags == [True, False] and got.muons[1] is None
+    assert got.tracks["k"].v == 7 and got.tracks["n"] is None and got.plain.x == 3
+
+
+@pytest.mark.parametrize("have, want, why", [
+    ("array<struct<a_:int,b_:double>>", "array<struct<a:int,b:float>>", "double does not fit"),
+    ("array<struct<a_:int>>", "array<struct<a:int,b:float>>", "1 fields for 2"),
+    ("struct<a_:bigint>", "struct<a:int>", "bigint does not fit"),
+    ("struct<a_:string>", "struct<a:int>", "string does not fit"),
+    ("struct<v_:struct<x_:float,y_:float>>", "struct<v:struct<x:float>>", "2 fields for 1"),
+    ("array<int>", "struct<a:int>", "is not a record"), ("struct<a:int>", "array<int>", "is not an array"),
+    ("map<string,double>", "map<string,float>", "double does not fit"),
+])
+def test_checked_bind_refuses_what_would_lose_values(spark, have, want, why):
+    df = spark.createDataFrame([], f"c {have}")
+    with pytest.raises(TypeError, match=why):
+        N.checked_bind(df, "c", want)
+
+
+def test_checked_bind_widens_and_renames(spark):
+    df = spark.createDataFrame([([(1, 2.5)],)], "c array<struct<a_:int,b_:float>>")
+    got = df.select(N.checked_bind(df, "c", "array<struct<a:bigint,b:double>>").alias("c"))
+    assert got.schema.simpleString() == "struct<c:array<struct<a:bigint,b:double>>>" and got.first().c[0].b == 2.5

@@ -93,3 +93,27 @@ def test_stage_ordinals_scan_the_stages_once(spark):
     final = plan.split("Initial Plan")[0]
     assert sum("FileScan" in ln for ln in final.splitlines()) == 2      # stages and jobs
     assert sum(" Exchange " in ln or "- Exchange" in ln for ln in final.splitlines()) <= 4
+
+
+def _schemas(spark, name):
+    return [ln.split("ReadSchema:")[1].strip() for ln in _plan(QUERIES[name](spark, SF_SMALL)).splitlines() if "ReadSchema" in ln]
+
+
+def test_lead_bundles_read_the_leaves_of_the_nested_track_only(spark):
+    for schema in _schemas(spark, "higgs_lead_bundle"):
+        assert schema.count("baseTrack") == 2 and "charge" not in schema and "isPF" not in schema and "ids" not in schema
+    assert any("electrons:array<struct<baseTrack:struct<pt:float>>>" in x for x in _schemas(spark, "higgs_lead_bundle"))
+    for schema in _schemas(spark, "photon_lead_bundle"):
+        assert "GenParticle" not in schema and "Photon:array<struct<pt:float,eta:float,phi:float>>" in schema
+
+
+def test_one_leaf_of_a_nested_record_is_one_column_of_the_scan(spark):
+    from quarkframe.operators import nested as N
+    from quarkframe.sources.ntuples import ntuple_events
+
+    plan = N.flatten_leaf(ntuple_events(spark, SF_SMALL, "higgs"), "muons.baseTrack", "pt")
+    assert "ReadSchema: struct<muons:array<struct<baseTrack:struct<pt:float>>>>" in _plan(plan)
+
+
+def test_preview_keeps_a_few_rows_per_task(spark):
+    assert "TakeOrderedAndProject(limit=20" in _plan(QUERIES["preview_pairs"](spark, SF_SMALL))
