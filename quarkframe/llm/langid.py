@@ -7,7 +7,8 @@ shares letter sequences with the dictionary compresses best. When the two
 smallest sizes are within ``MARGIN`` of each other (relative), the verdict is
 rejected as too narrow.
 
-Letters are lower-cased on both sides, so that capitals share the dictionary.
+On both sides letters are lower-cased and anything between them is one space, so
+that capitals, digits, signs and markup neither break nor make matches.
 Texts are compressed whole, in pieces of ``PIECE`` bytes, so that the
 dictionary counts for the later parts of a long text as much as for the
 first; sizes are summed over the pieces.
@@ -41,14 +42,16 @@ LEVEL = 3          # zstandard level
 PIECE = 8192       # bytes compressed at a time
 MARGIN = 0.01      # relative difference of sizes below which a verdict is rejected
 UNDETERMINED = "und"
+NOT_LETTERS = r"[^\p{L}\p{M}]+"     # a run of these counts as one space
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT) -> dict[str, bytes]:
     """Raw dictionary content per language from rows (text, lang)."""
     rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
-    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - excerpt, F.lit(1))).cast("int") + 1
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("x") - excerpt, F.lit(1))).cast("int") + 1
     got = (sample_by_hash(rows, F.col("lang"), sample, F.col("text"))
-           .select("lang", F.lower(F.substring(F.col("text"), start, F.lit(excerpt))).alias("x"))
+           .select("lang", "text", F.trim(F.regexp_replace(F.lower("text"), NOT_LETTERS, " ")).alias("x"))
+           .select("lang", F.substring(F.col("x"), start, F.lit(excerpt)).alias("x")).where("x <> ''")
            .groupBy("lang").agg(F.array_join(F.sort_array(F.collect_set("x")), " ").alias("x")).collect())
     return {r["lang"]: r["x"].encode() for r in got}
 
@@ -59,6 +62,7 @@ class Classifier:
         import zstandard as z
 
         self.letter = regex.compile(r"\p{L}").search
+        self.words = regex.compile(NOT_LETTERS).sub
         self.models = []
         for lang in sorted(dictionaries, key=lambda s: s.encode()):
             d = z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
@@ -68,7 +72,7 @@ class Classifier:
         self.overhead = {lang: len(f(b"")) for lang, f in self.models}
 
     def sizes(self, text: str) -> list[tuple[int, str]]:
-        data = text.lower().encode()
+        data = self.words(" ", text.lower()).strip().encode()
         pieces = [data[i:i + PIECE] for i in range(0, len(data), PIECE)]
         return [(sum(len(f(p)) - self.overhead[lang] for p in pieces), lang) for lang, f in self.models]
 
