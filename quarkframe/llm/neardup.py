@@ -56,7 +56,6 @@ PERCENT = 85        # least similarity of a link, unless the caller gives anothe
 LAST = (1 << 63) - 1          # stands for a null doc_id in joins
 ODD_BITS = 2048     # of the sketch that rules out pairs before their sets are read
 GROWTH = 8          # times as many stars in each further round
-STEPS = 2           # large-star and small-star steps between two written tables
 FAN = 256           # members of one star that share a copy of the centre's set
 
 
@@ -200,9 +199,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda t: t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(e)
     while True:
-        for _ in range(STEPS):
-            e = _small_star(_large_star(e))
-        e = store(e, "cc")
+        # a table after each half: a step reads its input several times, so longer plans grow by powers
+        e = store(_small_star(store(_large_star(e), "cc")), "cc")
         now = mark(e)
         if now == before:
             break
@@ -211,13 +209,29 @@ def components(links: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("cid"), F.col("v").alias("comp")).distinct())
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``label`` (cid, comp) after new links (a, b): the links are
+    taken between components, whose number falls from round to round."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    label = store(label.unionByName(ends.join(label, "cid", "left_anti").withColumn("comp", F.col("cid"))),
+                  "neardup-labels")
+    of = lambda end: label.withColumnsRenamed({"cid": end, "comp": "c" + end})
+    between = (links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
+               .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    moved = components(between).select(F.col("cid").alias("comp"), F.col("comp").alias("to"))
+    return store(label.join(moved, "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp")),
+                 "neardup-components")
+
+
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Signatures of every row of ``docs`` (doc_id, text), and k1, k2, comp
     (number of the component), component_id, n_links of every set."""
     docs = docs.select("doc_id", "text")
     sig = store(_signatures(docs), "neardup-signatures")
+    # whose text stands for a class: the least doc_id's (null last), then the least hash's
+    text = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "t1", "t2")
     classes = store(sig.where("n > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+        F.min("doc_id").alias("rep"), F.min(text).alias("text"), F.first("n").alias("n"), F.first("bands").alias("bands"),
         F.first("odd").alias("odd"))
         .withColumn("cid", F.monotonically_increasing_id()), "neardup-classes")
 
@@ -233,11 +247,12 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
              .join(odd.withColumnsRenamed({"cid": "a", "odd": "oa"}), "a")
              .where(_may_link("oa", "ob", "na", "nb", percent)).select("a", "b"))
     edges = store(edges, "neardup-edges")
-    # sets of every class that shares a bucket; one text for each (the joined
-    # rows already lie by doc_id, so dropping repeated rows moves nothing)
-    involved = members.select("cid").distinct().join(classes.select("cid", "k1", "rep"), "cid")
-    texts = (docs.join(involved, F.col("doc_id").eqNullSafe(F.col("rep")))
-             .withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "cid", "h"]))
+    # sets of every class that shares a bucket, from one text each; rows meet by doc_id and text hash, so
+    # that texts without or with a repeated doc_id meet their own class only
+    involved = members.select("cid").distinct().join(classes.select("cid", "k1", "text.*"), "cid")
+    texts = (docs.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("t1", _text_hash()[0])
+             .withColumn("t2", _text_hash()[1]).join(involved, ["d", "t1", "t2"])
+             .dropDuplicates(["d", "t1", "t2", "cid"]))      # they lie so already: nothing moves
     sets = store(_sets(texts), "neardup-sets")
     links = store(_confirm(edges, sets, percent), "neardup-links")
 
@@ -267,12 +282,13 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
                          "a", F.col("cid").alias("b")).dropDuplicates(["x", "y"]))
         before = seen.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         new = store(found.join(before, ["x", "y"], "left_anti").select("a", "b"), "neardup-edges")
-        seen = seen.unionByName(new)
-        used = used.unionByName(centres.select("key", F.col("a").alias("cid")))
+        # one table each, so that no plan grows with the rounds
+        seen = store(seen.unionByName(new), "neardup-seen")
+        used = store(used.unionByName(centres.select("key", F.col("a").alias("cid"))), "neardup-used")
         found = store(_confirm(new, sets, percent), "neardup-links")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            label = store(components(links), "neardup-components")
+            links = store(links.unionByName(found), "neardup-links")
+            label = _joined(label, found)
 
     n_links = (links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid")))
                .groupBy("cid").agg(F.count(F.lit(1)).alias("n_links")))
