@@ -8,21 +8,26 @@ duplicate window covers is removed. Windows are judged on the input.
    doc_id stands for it. (The others lose everything if they have ``window``
    words, and nothing otherwise.) A group of copies, however large, goes on as
    one row.
-2. Level 1, half the length. Of the half-length windows inside each full
-   window the one with the least hash stands for them (a choice by content, so
-   equal full windows make it alike); these are about 7 % of all windows. Those
-   that occur in one class only are dropped.
-3. Level 2, twice that length: only full windows whose half-length window was
-   repeated are hashed (128 bits). Those that a class with a smaller doc_id
-   has too are duplicates. Longer windows could add no word to those that are
-   removed, so the doubling ends at the asked length.
-4. The duplicates' positions are gathered per document (never more than its
+2. Levels. The lengths are the window halved down to ``SHORTEST`` words or
+   more (50: 12, 25, 50). At each level, of the windows of that length inside
+   a full window the one with the least hash stands for it (a choice by
+   content, so equal full windows make it alike); at 12 words these are about
+   5 % of all windows. Those that occur in one class only are dropped; only
+   full windows whose representative was repeated are read at twice the length,
+   and only texts that still have one go on to the next level.
+3. The doubling ends when no candidate survives or the asked length is reached:
+   the full windows that are left are hashed (128 bits), and those that a class
+   with a smaller doc_id has too are duplicates. Longer windows could add no
+   word to those that are removed.
+4. The duplicates' positions are gathered per text (never more than its
    words), and a last pass cuts them out.
 
 Style: Arrow batches with vectorised hashes between DataFrame joins and
-aggregations. Texts are compressed before they are shuffled. Counts per hash
-are combined before the shuffle, and the join back reads written tables on
-both sides, so adaptive execution can split a hot passage.
+aggregations. Texts are compressed before they are stored and shuffled. Counts
+per hash are combined before the shuffle, and the join back reads written tables
+on both sides, so adaptive execution can split a hot passage. Texts meet what
+was found about them by (doc_id, 128-bit hash of the words), so rows without a
+doc_id, or with one doc_id, spread like others.
 
 Edge cases: a null text has no words; texts shorter than the window lose
 nothing; a null doc_id counts as larger than any other and not smaller than
@@ -38,15 +43,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import fresh, store
 from .wordhash import Slice, scan, sequence_hashes, window_starts
 
 WINDOW = 50
 LAST = (1 << 63) - 1          # stands for a null doc_id in comparisons
-CONTENT_SHIFT = 40            # positions of the c-th text of one doc_id start at c << 40
+SHORTEST = 12                 # words of the first level's windows, at least (a shorter window is its own level)
+
+
+def lengths(window: int) -> list[int]:
+    """The levels' lengths, each about twice the one before, up to ``window``."""
+    out = [window]
+    while out[0] // 2 >= SHORTEST:
+        out.insert(0, out[0] // 2)
+    return out
 
 
 def _class_keys(s: Slice) -> np.ndarray:
@@ -54,16 +68,15 @@ def _class_keys(s: Slice) -> np.ndarray:
     return np.stack([sequence_hashes(s.hashes, at[:-1], at[1:], w) for w in (0, 1)], axis=1).view(np.int64)
 
 
-def _anchors(s: Slice, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(s: Slice, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the full windows and, for each, the least hash of the
-    half-length windows in it."""
+    windows of ``length`` words in it."""
     first = window_starts(s, window)
     if not len(first):
         return first, np.zeros(0, np.uint64)
-    half = window // 2
-    starts = np.arange(len(s.hashes) - half + 1)
-    least, span = sequence_hashes(s.hashes, starts, starts + half), 1
-    inside = window - half + 1
+    starts = np.arange(len(s.hashes) - length + 1)
+    least, span = sequence_hashes(s.hashes, starts, starts + length), 1
+    inside = window - length + 1
     while span < inside:            # running minima over spans that double
         step = min(span, inside - span)
         least = np.minimum(least[:-step], least[step:])
@@ -71,108 +84,130 @@ def _anchors(s: Slice, window: int) -> tuple[np.ndarray, np.ndarray]:
     return first, least[first]
 
 
+def _unpacked(z: pa.Array) -> pa.Array:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(x) for x in z.to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+
 def _profile(docs: DataFrame, window: int) -> DataFrame:
-    """o (doc_id, null last), n, k1, k2 (128-bit hash of the words), anchors."""
-    schema = "o bigint, n bigint, k1 bigint, k2 bigint, anchors array<bigint>"
+    """rid, o (doc_id, null last), n, k1, k2 (128-bit hash of the words), anchors
+    of the first level, and the text as zstandard bytes (half as much to shuffle
+    as by the block codec)."""
+    length = lengths(window)[0]
+    schema = "o bigint, n bigint, k1 bigint, k2 bigint, anchors array<bigint>, z binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             n, keys, anchors = [], [], []
             for s in scan(batch.column(1)):
-                first, least = _anchors(s, window)
+                first, least = _anchors(s, window, length)
                 cut = np.searchsorted(first, s.bounds())
                 n.append(s.counts)
                 keys.append(_class_keys(s))
                 anchors += [np.unique(least[cut[r]:cut[r + 1]]).view(np.int64) for r in range(s.rows)]
             if n:
                 k = np.concatenate(keys)
+                z = [pack((t or "").encode()) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(np.concatenate(n), pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]),
-                     pa.array(anchors, pa.list_(pa.int64()))], names=["o", "n", "k1", "k2", "anchors"])
+                     pa.array(anchors, pa.list_(pa.int64())), pa.array(z, pa.binary())],
+                    names=["o", "n", "k1", "k2", "anchors", "z"])
 
-    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("o"), "text").mapInArrow(run, schema)
+    return (docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("o"), "text").mapInArrow(run, schema)
+            .withColumn("rid", F.monotonically_increasing_id()))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """o, text as zstandard bytes: half as much to shuffle as by the block codec."""
+def _alive(batch: pa.RecordBatch, window: int, length: int) -> Iterator[tuple[int, Slice, slice, np.ndarray]]:
+    """Of rows with ``repeated`` and ``z``: row number, its slice of texts, the
+    range of its words in there, and the starts (in the slice) of its full windows
+    whose representative at ``length`` is among ``repeated``."""
+    repeated = batch.column("repeated")
+    for s in scan(_unpacked(batch.column("z"))):
+        first, least = _anchors(s, window, length)
+        at = s.bounds()
+        cut = np.searchsorted(first, at)
+        for r in range(s.rows):
+            held = repeated[s.first + r].values.to_numpy().view(np.uint64)
+            mine = np.isin(least[cut[r]:cut[r + 1]], held)
+            yield s.first + r, s, slice(at[r], at[r + 1]), first[cut[r]:cut[r + 1]][mine]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3).compress
+def _extended(rows: DataFrame, window: int, length: int, longer: int) -> DataFrame:
+    """rid, anchors, z: the texts of rows (rid, repeated, z) with the
+    representatives, ``longer`` words, of their surviving full windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = [pack((t or "").encode()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["o", "z"])
+            anchors, known = [], None
+            for _, s, _, mine in _alive(batch, window, length):
+                if known is None or known[0] is not s:
+                    known = (s, *_anchors(s, window, longer))
+                anchors.append(np.unique(known[2][np.searchsorted(known[1], mine)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rid"), pa.array(anchors, pa.list_(pa.int64())), batch.column("z")],
+                names=["rid", "anchors", "z"])
 
-    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("o"), "text").mapInArrow(run, "o bigint, z binary")
+    return rows.select("rid", "repeated", "z").mapInArrow(run, "rid bigint, anchors array<bigint>, z binary")
 
 
-def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """h1, h2, o, pos of the full windows of rows (o, k1, k2, c, repeated, z)
-    whose half-length window is among ``repeated``."""
+def _windows(rows: DataFrame, window: int, length: int) -> DataFrame:
+    """h1, h2, o, rid, pos of the surviving full windows of rows (rid, o, repeated, z)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            o, k1, k2, c, repeated, z = (batch.column(x) for x in ("o", "k1", "k2", "c", "repeated", "z"))
-            k1, k2, c, o = (x.to_numpy() for x in (k1, k2, c, o))
-            texts = pa.array([unpack(x) for x in z.to_pylist()], pa.large_binary()).cast(pa.large_string())
-            for s in scan(texts):
-                keys, at = _class_keys(s), s.bounds()
-                first, least = _anchors(s, window)
-                cut = np.searchsorted(first, at)
-                for r in range(s.rows):
-                    i = s.first + r
-                    if keys[r, 0] != k1[i] or keys[r, 1] != k2[i]:
-                        continue
-                    mine = first[cut[r]:cut[r + 1]]
-                    held = repeated[i].values.to_numpy().view(np.uint64)
-                    mine = mine[np.isin(least[cut[r]:cut[r + 1]], held)]
-                    if len(mine):
-                        w = s.hashes[at[r]:at[r + 1]]
-                        p = mine - at[r]
-                        h = [sequence_hashes(w, p, p + window, x).view(np.int64) for x in (0, 1)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(p), o[i])),
-                             pa.array(p + (int(c[i]) << CONTENT_SHIFT))], names=["h1", "h2", "o", "pos"])
-
-    return rows.select("o", "k1", "k2", "c", "repeated", "z").mapInArrow(
-        run, "h1 bigint, h2 bigint, o bigint, pos bigint")
-
-
-def duplicate_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per doc_id that loses words: o and, for each of its texts that
-    does, a struct of the text's word hash (k1, k2) and ``starts``, the
-    positions of its duplicate windows (null: all words go)."""
-    docs = docs.select("doc_id", "text")
-    profile = store(_profile(docs, window), "substring-profile")
-    # windows are few in short texts, so classes only matter from `window` words on
-    long_ = profile.where(F.col("n") >= window)
-    classes = store(long_.groupBy("k1", "k2").agg(F.min("o").alias("o")), "substring-classes")
-    copies = (long_.select("o", "k1", "k2").join(classes.withColumnRenamed("o", "first"), ["k1", "k2"])
-              .where("o > first").select("o", "k1", "k2").distinct())
-    nth = Window.partitionBy("o").orderBy("k1", "k2")
-    reps = store(long_.join(classes, ["k1", "k2", "o"]).dropDuplicates(["k1", "k2", "o"])
-                 .withColumn("c", F.row_number().over(nth) - 1)
-                 .withColumn("rid", F.monotonically_increasing_id()), "substring-classes")
-
-    anchors = reps.select("rid", F.explode("anchors").alias("h"))
+            o, rid = batch.column("o").to_numpy(), batch.column("rid").to_numpy()
+            for i, s, span, mine in _alive(batch, window, length):
+                if len(mine):
+                    p = mine - span.start
+                    h = [sequence_hashes(s.hashes[span], p, p + window, x).view(np.int64) for x in (0, 1)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(p), o[i])),
+                         pa.array(np.full(len(p), rid[i])), pa.array(p.astype(np.int32))],
+                        names=["h1", "h2", "o", "rid", "pos"])
+
+    return rows.select("rid", "o", "repeated", "z").mapInArrow(
+        run, "h1 bigint, h2 bigint, o bigint, rid bigint, pos int")
+
+
+def _survivors(level: DataFrame, name: str) -> DataFrame:
+    """rid, repeated: the representatives of ``level`` (rid, anchors) that several
+    texts have, by text."""
+    anchors = level.select("rid", F.explode("anchors").alias("h"))
     repeated = store(anchors.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
-                     .where("lo < hi").select("h"), "substring-level1")
-    candidates = (anchors.join(repeated, "h").groupBy("rid").agg(F.collect_list("h").alias("repeated"))
-                  .join(reps.select("rid", "o", "k1", "k2", "c"), "rid").drop("rid"))
-    full = store(_windows(_packed(docs).join(store(candidates, "substring-candidates"), "o"), window),
-                 "substring-windows")
-    level2 = store(full.groupBy("h1", "h2").agg(F.min("o").alias("lo"), F.max("o").alias("hi"))
-                   .where("lo < hi").select("h1", "h2", "lo"), "substring-level2")
-    found = (full.join(level2, ["h1", "h2"]).where("o > lo")
-             .groupBy("o", F.shiftright("pos", CONTENT_SHIFT).alias("c"))
-             .agg(F.collect_set(F.col("pos").bitwiseAND(F.lit((1 << CONTENT_SHIFT) - 1)).cast("int")).alias("starts"))
-             .join(reps.select("o", "c", "k1", "k2"), ["o", "c"]).select("o", "k1", "k2", "starts"))
-    every = found.unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>")))
-    return every.groupBy("o").agg(F.collect_list(F.struct("k1", "k2", "starts")).alias("cuts"))
+                     .where("lo < hi").select("h"), f"{name}-repeated")
+    return store(anchors.join(repeated, "h").groupBy("rid").agg(F.collect_list("h").alias("repeated")), name)
+
+
+def _duplicates(profile: DataFrame, window: int) -> DataFrame:
+    """One row per text that loses words, of a stored profile: o, k1, k2 and
+    ``starts``, the positions of its duplicate windows (null: all words go)."""
+    # a text shorter than the window has none, so classes only matter from there on
+    long_ = profile.where(F.col("n") >= window)
+    classes = store(long_.groupBy("k1", "k2").agg(F.min(F.struct("o", "rid")).alias("least"))
+                    .select("k1", "k2", "least.o", "least.rid"), "substring-classes")
+    copies = (long_.select("o", "k1", "k2").join(classes.select("k1", "k2", F.col("o").alias("first")), ["k1", "k2"])
+              .where("o > first").select("o", "k1", "k2", F.lit(None).cast("array<int>").alias("starts")).distinct())
+
+    steps = lengths(window)
+    level = long_.join(classes.select("rid"), "rid", "left_semi").select("rid", "anchors", "z")
+    for length, longer in zip(steps, steps[1:] + [None]):
+        alive = _survivors(level, f"substring-{length}")
+        if longer is None or longer == window or alive.isEmpty():
+            break
+        level = store(_extended(alive.join(level.select("rid", "z"), "rid"), window, length, longer),
+                      f"substring-texts-{longer}")
+    rows = alive.join(level.select("rid", "z"), "rid").join(classes.select("rid", "o"), "rid")
+    full = store(_windows(rows, window, length), "substring-windows")
+    twice = store(full.groupBy("h1", "h2").agg(F.min("o").alias("lo"), F.max("o").alias("hi"))
+                  .where("lo < hi").select("h1", "h2", "lo"), f"substring-{window}")
+    found = (full.join(twice, ["h1", "h2"]).where("o > lo").groupBy("rid").agg(F.collect_set("pos").alias("starts"))
+             .join(classes, "rid").select("o", "k1", "k2", "starts"))
+    return found.unionByName(copies)
 
 
 def _covered(n: int, starts: np.ndarray | None, window: int) -> np.ndarray:
@@ -185,36 +220,32 @@ def _covered(n: int, starts: np.ndarray | None, window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _cuts(s: Slice, cuts: pa.Array, window: int) -> Iterator[np.ndarray | None]:
-    """Per row of the slice: which of its words go, or None if all stay."""
-    keys, at = _class_keys(s), s.bounds()
-    for r in range(s.rows):
-        mine = None
-        for x in cuts[s.first + r].as_py() or ():
-            if x["k1"] == keys[r, 0] and x["k2"] == keys[r, 1]:
-                starts = x["starts"]
-                mine = _covered(int(at[r + 1] - at[r]), None if starts is None else np.array(starts), window)
-        yield mine
+def _gone(cuts: pa.Array, i: int, n: int, window: int) -> np.ndarray | None:
+    """Which of the n words of row i go, or None if all stay; ``cuts``: struct of starts."""
+    c = cuts[i].as_py()
+    return None if c is None else _covered(n, None if c["starts"] is None else np.array(c["starts"]), window)
+
+
+def _stored_profile(docs: DataFrame, window: int) -> DataFrame:
+    return store(_profile(docs.select("doc_id", "text"), window), "substring-profile")
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    cuts = store(duplicate_windows(docs, window), "substring-cuts")
-    rows = _packed_rows(docs).join(cuts, "o", "left").select("doc_id", "z", "cuts")
+    profile = _stored_profile(docs, window)
+    cuts = store(_duplicates(profile, window), "substring-cuts").select("o", "k1", "k2", F.struct("starts").alias("cut"))
+    rows = profile.join(cuts, ["o", "k1", "k2"], "left").select(
+        F.when(F.col("o") != LAST, F.col("o")).alias("doc_id"), "z", "cut")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts = pa.array([unpack(x) for x in batch.column(1).to_pylist()], pa.large_binary()).cast(
-                pa.large_string())
             n, gone, sha = [], [], []
-            for s in scan(texts):
+            for s in scan(_unpacked(batch.column(1))):
                 at, raw = s.bounds(), s.data.tobytes()
-                for r, cut in enumerate(_cuts(s, batch.column(2), window)):
+                for r in range(s.rows):
                     a, b = at[r], at[r + 1]
-                    go = np.zeros(b - a, bool) if cut is None else cut
+                    go = _gone(batch.column(2), s.first + r, int(b - a), window)
+                    go = np.zeros(b - a, bool) if go is None else go
                     st, en = s.starts[a:b][~go].tolist(), s.ends[a:b][~go].tolist()
                     n.append(int(b - a))
                     gone.append(int(go.sum()))
@@ -226,32 +257,44 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
-def _packed_rows(docs: DataFrame) -> DataFrame:
-    """doc_id (null where it is) and packed text, keyed by o."""
-    return _packed(docs).withColumn("doc_id", F.when(F.col("o") != LAST, F.col("o")))
+def _keyed(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``docs`` and, under two more names, the hash of each text's words."""
+    at_text = [x.lower() for x in docs.columns].index("text")
+    k1, k2 = names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.zeros((0, 2), np.int64), *(_class_keys(s) for s in scan(batch.column(at_text)))]
+            k = np.concatenate(keys)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k[:, 0]), pa.array(k[:, 1])],
+                                             names=[*batch.schema.names, k1, k2])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(k1, LongType()), StructField(k2, LongType())]))
 
 
 def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the duplicate passages cut out of their texts: removed
     words go with the separators before them; a text that loses nothing stays
     as it is. All rows and columns are kept."""
-    o, c = fresh(docs, "cut_o", "cuts")
-    cuts = store(duplicate_windows(docs, window), "substring-cuts")
-    cuts = cuts.select(F.col("o").alias(o), F.col("cuts").alias(c))
-    rows = docs.join(cuts, F.coalesce("doc_id", F.lit(LAST)) == F.col(o), "left").select(*docs.columns, c)
+    o, k1, k2, c = fresh(docs, "cut_o", "cut_k1", "cut_k2", "cut")
+    cuts = store(_duplicates(_stored_profile(docs, window), window), "substring-cuts").select(
+        F.col("o").alias(o), F.col("k1").alias(k1), F.col("k2").alias(k2), F.struct("starts").alias(c))
+    keyed = _keyed(docs, [k1, k2]).withColumn(o, F.coalesce("doc_id", F.lit(LAST)))
+    rows = keyed.join(cuts, [o, k1, k2], "left").select(*docs.columns, c)
     names = docs.columns
     at_text = [x.lower() for x in names].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(at_text)
-            if batch.column(len(names)).null_count < len(batch):
+            column, cut_ = batch.column(at_text), batch.column(len(names))
+            if cut_.null_count < len(batch):
                 texts = column.to_pylist()
                 for s in scan(column):
                     where = s.bounds()
                     raw = s.data.tobytes()
                     ends_of = np.cumsum([0] + [len((t or "").encode()) for t in texts[s.first:s.first + s.rows]])
-                    for r, go in enumerate(_cuts(s, batch.column(len(names)), window)):
+                    for r in range(s.rows):
+                        go = _gone(cut_, s.first + r, int(where[r + 1] - where[r]), window)
                         if go is not None and go.any():
                             st, en = s.starts[where[r]:where[r + 1]], s.ends[where[r]:where[r + 1]]
                             keep = np.ones(int(ends_of[r + 1] - ends_of[r]), bool)

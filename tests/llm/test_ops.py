@@ -432,3 +432,61 @@ def test_pipeline_equals_its_stages(spark, edge_dir):
         assert name == "mixing" or docs.count() <= before
     last = corpus_pipeline.STAGES[-1][1](spark, docs, edge_dir).collect()
     assert rows_of(last, "doc_id", "ids_sha256") == rows_of(corpus_pipeline.run(spark, edge_dir).collect(), "doc_id", "ids_sha256")
+
+
+def brute_substring(texts, window):
+    """Words left of every text, by the definition: (doc_id, kept words)."""
+    order = lambda i: 1 << 70 if i is None else i
+    least = {}
+    for i, w in texts:
+        for k in range(len(w) - window + 1):
+            x = tuple(w[k:k + window])
+            least[x] = min(least.get(x, 1 << 80), order(i))
+    for i, w in texts:
+        gone = set()
+        for k in range(len(w) - window + 1):
+            if least[tuple(w[k:k + window])] < order(i):
+                gone.update(range(k, k + window))
+        yield i, [x for k, x in enumerate(w) if k not in gone]
+
+
+@pytest.mark.parametrize("window", [1, 7, 23, 24, 50, 100])
+def test_op3_any_window_against_brute_force_with_a_third_of_the_ids_null(spark, window):
+    import random
+
+    from quarkframe.llm.substring import digest, lengths
+
+    assert lengths(50) == [12, 25, 50] and lengths(100) == [12, 25, 50, 100] and lengths(7) == [7]
+    r = random.Random(window)
+    passages = [" ".join(r.choices("abcdefghij", k=n)) for n in (8, 13, 24, 30, 55, 120, 130)]
+    rows = []
+    for k in range(120):
+        parts = [" ".join(f"w{r.randrange(10 ** 6)}" for _ in range(r.randrange(40))), r.choice(passages),
+                 r.choice(["", *passages])]
+        rows.append((None if k % 3 == 0 else r.randrange(60), " ".join(parts)))
+    rows += [(None, "same text " * 60)] * 5 + [(None, None), (None, "")]
+    got = digest(spark.createDataFrame(rows, "doc_id bigint, text string"), window).collect()
+    want = [(i, len(kept), sha(" ".join(kept).encode())) for i, kept in brute_substring([(i, (t or "").split()) for i, t in rows], window)]
+    key = lambda t: tuple((x is None, x) for x in t)
+    assert sorted(((x.doc_id, x.n_words - x.n_removed, x.kept_sha256) for x in got), key=key) == sorted(want, key=key)
+    assert any(x.n_removed for x in got) and any(not x.n_removed for x in got)
+
+
+def test_op3_rows_without_ids_meet_their_own_cuts_only(spark, monkeypatch):
+    """600 rows, half of them without an id: no join or group of them grows beyond the rows."""
+    from quarkframe.llm import substring
+
+    seen = {}
+    real = substring.store
+
+    def counted(df, name):
+        out = real(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substring, "store", counted)
+    rows = [(None if k % 2 else k, " ".join(f"p{i}" for i in range(60)) + f" own{k} " + " ".join(f"q{i + k}" for i in range(40)))
+            for k in range(600)]
+    got = substring.digest(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got.count() == 600 and seen["substring-texts-25"] <= 600 and seen["substring-cuts"] <= 600
+    assert all(r.n_removed >= 60 for r in got.collect() if r.doc_id != 0)
