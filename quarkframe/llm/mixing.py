@@ -1,26 +1,28 @@
 """Mixing sources to target weights (native: DataFrame operations only).
 
 1. Every source's documents form one stream of words, in an order by hash;
-   the stream is packed into blocks of a fixed length (``BLOCK`` words, or
-   less in a source that would have fewer than ``LEAST_BLOCKS``).
+   the stream is packed into blocks of ``BLOCK`` words (the last holds the rest).
 2. Targets: the sources' weights share ``TOTAL`` times all words; a target
    stops at ``MOST`` times its source's words and the excess is shared by
    weight among the others (water filling, solved in one pass over the
    sources in order of words per weight).
-3. The output consists of shards of ``SHARD`` slots. Every shard draws its
-   source counts from the multinomial of the target shares by systematic
-   resampling (one uniform number per shard, equal steps through the
-   cumulated shares): expected counts are exact and no count is more than one
-   off, so even a few shards come near the targets.
+3. A source gets the slots that its target fills, a block each; the last slot
+   of its last epoch is trimmed to the words still missing, so its taken words
+   are its target but for a rounded word. The output consists of shards of
+   ``SHARD`` slots. A pseudorandom permutation of all slots deals them out to the
+   shards: the source counts of the shards are multinomial draws by the
+   targets' shares, conditioned on the sources' totals (unconditioned ones would
+   miss the targets of small sources).
 4. A source's slots, numbered through all shards, run through a pseudorandom
    permutation of its block numbers (swap-or-not: a permutation of any range
    from hashes alone), one permutation per epoch. Joining documents and slots
-   by block number gives what the mix takes of each document.
+   by block number gives what the mix takes of each document, and for which
+   shard.
 
 No document, block or source is ever collected: a document's place in its
 stream comes from sums over hashed buckets of the source (``BUCKETS``), so a
 source with a third of all rows is spread over as many tasks, and slots are
-dealt out by (shard, source) before they are expanded. Tables per source and
+expanded in two steps, dealt out to tasks before each. Tables per source and
 per bucket are small; a stream has no order but that of hashes.
 
 Edge cases: null text: size 0, taken 0; a null source is a source, last in
@@ -39,31 +41,29 @@ from .common import fresh, store, words
 WEIGHTS = (5.0, 2.0, 1.0)    # of the sources in order, repeating
 TOTAL = 1.5                  # words of the mix per word of input
 MOST = 2.0                   # times a source may be taken
-BLOCK, LEAST_BLOCKS = 128, 64
+BLOCK = 128                  # words
 SHARD = 8192                 # slots of an output shard
 TASK_SLOTS = 32_768          # slots expanded by one task
+TASK_RANGES = 4096           # ranges of so many slots that one row is expanded into
 BUCKETS = 4096               # parts of a source's stream
 ROUNDS = 20                  # of swap-or-not
 SEED = 2024
 
 
-def _uniform(*key: Column) -> Column:
-    """A pseudorandom number in [0, 1) from a key."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *key), 11) / float(1 << 53)
-
-
-def permute(x: Column, n: Column, *key: Column) -> Column:
-    """Where a pseudorandom permutation of 0..n-1, chosen by ``key``, sends x."""
+def permute(x: Column, n: Column, *key: Column, back: bool = False) -> Column:
+    """Where a pseudorandom permutation of 0..n-1, chosen by ``key``, sends x;
+    ``back``: which number it sends to x (every round is its own inverse)."""
     def swap_or_not(at: Column, r: Column) -> Column:
         mirror = F.pmod(F.pmod(F.xxhash64(F.lit(SEED), r, *key), n) - at, n)
         return F.when(F.xxhash64(F.lit(SEED), F.greatest(at, mirror), r, *key).bitwiseAND(1) == 1, mirror).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), swap_or_not)
+    rounds = F.sequence(F.lit(ROUNDS), F.lit(1), F.lit(-1)) if back else F.sequence(F.lit(1), F.lit(ROUNDS))
+    return F.aggregate(rounds, x.cast("long"), swap_or_not)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """(s, source, source_size, target, len, blocks): one row per source. s:
-    its place in order of code points, null last. ``sizes``: (source, size)."""
+    """(s, source, source_size, target, blocks): one row per source. s: its
+    place in order of code points, null last. ``sizes``: (source, size)."""
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     # one row per source: the windows below run over sources, not documents
     place = Window.orderBy(F.col("source").isNull(), "source")
@@ -82,43 +82,54 @@ def targets(sizes: DataFrame) -> DataFrame:
                                             F.struct((F.col("most") / F.col("w")).alias("at"), "s", "level"))).over(every))
     target = F.when(F.col("open").isNull(), F.col("most")).otherwise(
         F.least(F.col("open.level") * F.col("w"), F.col("most")))
-    length = F.least(F.lit(BLOCK), F.greatest(F.ceil(F.col("source_size") / LEAST_BLOCKS), F.lit(1))).cast("long")
-    return (by.withColumn("target", target).withColumn("len", length)
-            .withColumn("blocks", F.ceil(F.col("source_size") / F.col("len")).cast("long"))
-            .select("s", "source", "source_size", "target", "len", "blocks"))
-
-
-def draws(sources: DataFrame) -> DataFrame:
-    """(shard, s, from_slot, n): how many slots of each shard a source gets, and
-    the number of the first among all its slots."""
-    order = Window.orderBy("s")
+    return (by.withColumn("target", target)
+            .withColumn("blocks", F.ceil(F.col("source_size") / BLOCK).cast("long"))
+            .select("s", "source", "source_size", "target", "blocks"))
+
+
+def slot_counts(sources: DataFrame) -> DataFrame:
+    """``sources`` with, per source, how many slots it gets (``n``), how many
+    words of its last epoch are wanted (``rest``), the slot of that epoch that
+    holds the stream's short last block (``tail_at``), and the number of its first
+    slot among those of all sources (``lo``; ``all``: of all sources)."""
+    size, words_ = F.col("source_size"), F.round("target").cast("long")
+    rest = F.when(size > 0, F.pmod(words_, size)).otherwise(0).cast("long")
+    epochs = F.when(size > 0, F.floor(words_ / size)).otherwise(0).cast("long")
+    d = sources.withColumn("rest", rest).withColumn("epochs", epochs).withColumn(
+        "tail_at", F.when(F.col("blocks") > 0, permute(F.col("blocks") - 1, F.col("blocks"), F.col("s"), F.col("epochs"), back=True)))
+    full = F.ceil(F.col("rest") / BLOCK)
+    short = BLOCK * F.col("blocks") - F.col("source_size")     # words that the last block lacks
+    last = F.when(F.col("tail_at") < full, F.ceil((F.col("rest") + short) / BLOCK)).otherwise(full)
+    d = d.withColumn("short", short).withColumn("n", (F.col("epochs") * F.col("blocks") + last).cast("long")).where("n > 0")
+    order = Window.orderBy("s")            # one row per source
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    q = F.col("target") / F.col("len")
-    share = (sources.where("blocks > 0").withColumn("q", q).withColumn("all", F.sum("q").over(every))
-             .withColumn("hi", F.sum("q").over(order)).withColumn("lo", F.col("hi") - F.col("q")))
-    slots = F.greatest(F.round("all"), F.lit(1)).cast("long")
-    shards = F.ceil(slots / SHARD).cast("long")
-    shard = share.withColumn("slots", slots).withColumn("shards", shards).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    # slots are dealt to shards as evenly as can be
-    size = F.floor((F.col("shard") + 1) * F.col("slots") / F.col("shards")) - F.floor(
-        F.col("shard") * F.col("slots") / F.col("shards"))
-    u = _uniform(F.col("shard"))
-    upto = lambda c: F.floor(size * F.col(c) / F.col("all") + u)
-    shard = shard.withColumn("n", F.greatest(upto("hi") - upto("lo"), F.lit(0)).cast("long"))
-    return shard.withColumn("from_slot", F.sum("n").over(Window.partitionBy("s").orderBy("shard")) - F.col("n")).select(
-        "shard", "s", "from_slot", "n", "blocks")
-
-
-def taken_blocks(drawn: DataFrame, slots: int) -> DataFrame:
-    """(s, block, times): how often the mix takes each block that it takes.
-    Slots beyond MOST epochs of a source (rounding) stay empty. ``slots``:
-    about how many there are; they are dealt to tasks of ``TASK_SLOTS``."""
-    slots = (drawn.where("n > 0").repartition(slots // TASK_SLOTS + 1, "shard", "s")
-             .select("s", "blocks", F.explode(F.sequence("from_slot", F.col("from_slot") + F.col("n") - 1)).alias("slot"))
-             .withColumn("epoch", F.floor(F.col("slot") / F.col("blocks"))).where(F.col("epoch") < MOST))
-    return (slots.select("s", permute(F.pmod("slot", F.col("blocks")), F.col("blocks"), F.col("s"), F.col("epoch")).alias("block"))
-            .groupBy("s", "block").agg(F.count(F.lit(1)).alias("times")))
+    return d.withColumn("lo", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(every))
+
+
+def slots(counted: DataFrame, about: int) -> DataFrame:
+    """(shard, s, block, epoch, upto): one row per slot of the mix: the block it
+    takes, in which epoch of its source, and how many words of it (the first).
+    ``counted``: from ``slot_counts``; ``about``: how many slots there are."""
+    wide = TASK_SLOTS * TASK_RANGES
+    ranges = (counted.withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(wide).cast("long"))))
+              .repartition(about // wide + 1, "s", "a")
+              .withColumn("a", F.explode(F.sequence(F.col("a"), F.least(F.col("a") + wide, F.col("n")) - 1,
+                                                    F.lit(TASK_SLOTS).cast("long"))))
+              .repartition(about // TASK_SLOTS + 1, "s", "a"))
+    d = ranges.withColumn("slot", F.explode(F.sequence(F.col("a"), F.least(F.col("a") + TASK_SLOTS, F.col("n")) - 1)))
+    place = F.pmod("slot", F.col("blocks"))
+    d = (d.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")))
+         .withColumn("block", permute(place, F.col("blocks"), F.col("s"), F.col("epoch")))
+         .withColumn("shard", F.floor(permute(F.col("lo") + F.col("slot"), F.col("all"), F.lit(-1)) / SHARD)))
+    # words of the last epoch's slots before this one
+    before = BLOCK * place - F.when(place > F.col("tail_at"), F.col("short")).otherwise(0)
+    upto = F.when(F.col("epoch") < F.col("epochs"), F.lit(BLOCK)).otherwise(F.least(F.lit(BLOCK), F.col("rest") - before))
+    return d.select("shard", "s", "block", F.col("epoch").cast("int").alias("epoch"), upto.cast("int").alias("upto"))
+
+
+def draws(slots_: DataFrame) -> DataFrame:
+    """(shard, s, n): how many slots of each shard a source got."""
+    return slots_.groupBy("shard", "s").agg(F.count(F.lit(1)).alias("n"))
 
 
 def placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -133,19 +144,20 @@ def placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "h", "size", "rid")
     return (rows.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
             .join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("part")))
-            .withColumn("start", F.col("offset") + F.col("inside")).drop("of", "part", "bucket", "offset", "inside"))
+            .withColumn("start", F.col("offset") + F.col("inside")).drop("of", "part", "bucket", "offset", "inside", "blocks"))
 
 
-def pieces(at: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(rid, first, n, times): the taken runs of every row's words, by block."""
-    lo = lambda b: F.greatest(b * F.col("len"), F.col("start"))
-    cut = (at.where("size > 0").select("rid", "s", "start", "size", "len", F.explode(F.sequence(
-        F.floor(F.col("start") / F.col("len")), F.floor((F.col("start") + F.col("size") - 1) / F.col("len")))).alias("block"))
-        .select("rid", "s", "block", (lo(F.col("block")) - F.col("start")).alias("first"),
-                (F.least((F.col("block") + 1) * F.col("len"), F.col("start") + F.col("size")) - lo(F.col("block"))).alias("n")))
+def pieces(at: DataFrame, slots_: DataFrame) -> DataFrame:
+    """(rid, first, n, epoch, shard): the taken runs of every row's words, by slot."""
+    lo = lambda b: F.greatest(b * BLOCK, F.col("start"))
+    cut = (at.where("size > 0").select("rid", "s", "start", "size", F.explode(F.sequence(
+        F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))).alias("block"))
+        .select("rid", "s", "block", "start", lo(F.col("block")).alias("lo"), (F.col("start") + F.col("size")).alias("end")))
     # Spark takes the expanded slots for as small as the sources they come from
     # and would broadcast the blocks, which grow with the corpus
-    return cut.join(blocks.hint("merge"), ["s", "block"]).select("rid", "first", "n", "times")
+    n = F.least(F.col("block") * BLOCK + F.col("upto"), F.col("end")) - F.col("lo")
+    return (cut.join(slots_.hint("merge"), ["s", "block"])
+            .select("rid", (F.col("lo") - F.col("start")).alias("first"), n.alias("n"), "epoch", "shard").where("n > 0"))
 
 
 def _rows(docs: DataFrame, rid: Column) -> DataFrame:
@@ -157,16 +169,17 @@ def _plan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The placed rows and the pieces the mix takes of them."""
     sources = store(targets(rows), "mixing-sources")
     at = store(placed(rows, sources), "mixing-placed")
-    slots = sources.agg(F.sum(F.col("target") / F.col("len"))).first()[0] or 0
-    return at, pieces(at, taken_blocks(draws(sources), int(slots)))
+    counted = store(slot_counts(sources), "mixing-counts")
+    return at, pieces(at, slots(counted, counted.agg(F.sum("n")).first()[0] or 0))
 
 
 def shares(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of ``docs``."""
+    """doc_id, size, source_size, target, taken and shards (pieces that the mix
+    takes, by shard, are counted once a shard) of every row of ``docs``."""
     at, taken = _plan(store(_rows(docs, F.monotonically_increasing_id()), "mixing-rows"))
-    got = taken.groupBy("rid").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
-    return at.join(got, "rid", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    got = taken.groupBy("rid").agg(F.sum("n").alias("taken"), F.size(F.collect_set("shard")).alias("shards"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return at.join(got, "rid", "left").select("doc_id", "size", "source_size", "target", none("taken"), none("shards"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -177,10 +190,8 @@ def mix(docs: DataFrame) -> DataFrame:
     rid, got, w = fresh(docs, "mix_rid", "mix_got", "mix_words")
     kept = store(docs.withColumn(rid, F.monotonically_increasing_id()), "mixing-documents")
     _, taken = _plan(store(_rows(kept, F.col(rid)), "mixing-rows"))
-    runs = (taken
-            .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-            .groupBy("rid", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("runs"),
-                                         F.sum("n").alias("n"))
+    runs = (taken.groupBy("rid", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("runs"),
+                                              F.sum("n").alias("n"))
             .select(F.col("rid").alias(rid), F.struct("epoch", "runs", "n").alias(got)))
     d = kept.join(runs, rid).withColumn(w, words(F.col("text")))
     piece = F.array_join(F.flatten(F.transform(F.col(f"{got}.runs"), lambda r: F.slice(

@@ -150,6 +150,45 @@ def test_op2_permutation(spark):
         assert sorted(got) == list(range(n)) and (n < 10 or got != sorted(got))
 
 
+def test_op2_permutation_goes_back(spark):
+    from pyspark.sql import functions as F
+
+    from quarkframe.llm.mixing import permute
+
+    n = F.lit(101)
+    assert all(a == b for a, b in spark.range(101).select("id", permute(permute(F.col("id"), n, F.lit(3)), n, F.lit(3), back=True)).collect())
+
+
+@pytest.mark.parametrize("shares", [0.5, 1.0, 1.37, 2.0])
+@pytest.mark.parametrize("size", [1, 127, 128, 129, 5000, 12_801])
+def test_op2_slots_take_the_target_and_no_block_twice_an_epoch(spark, size, shares):
+    from quarkframe.llm.mixing import BLOCK, slot_counts, slots
+
+    target, blocks = round(size * shares), -(-size // BLOCK)
+    counted = slot_counts(spark.createDataFrame([(0, "a", size, float(target), blocks)],
+                                                "s int, source string, source_size bigint, target double, blocks bigint"))
+    got = slots(counted, 10).collect()
+    length = lambda b: min(BLOCK, size - b * BLOCK)
+    assert sum(min(length(r.block), r.upto) for r in got) == target
+    assert len({(r.block, r.epoch) for r in got}) == len(got) and all(r.upto > 0 for r in got)
+    assert sum(r.upto < length(r.block) for r in got) <= 1       # only the last slot is trimmed
+
+
+def test_op2_shards_draw_their_sources_at_random(spark, monkeypatch):
+    """Source counts of shards: the totals are kept, and they spread as draws do."""
+    from quarkframe.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD", 200)
+    rows = [(k, name, size, float(size), -(-size // 128)) for k, (name, size) in enumerate([("a", 128 * 6000), ("b", 128 * 3000), ("c", 128 * 1000)])]
+    counted = mixing.slot_counts(spark.createDataFrame(
+        rows, "s int, source string, source_size bigint, target double, blocks bigint"))
+    n = {(r.shard, r.s): r.n for r in mixing.draws(mixing.slots(counted, 10_000)).collect()}
+    assert all(sum(n.get((i, s), 0) for s in range(3)) == 200 for i in range(50))
+    assert [sum(n.get((i, s), 0) for i in range(50)) for s in range(3)] == [6000, 3000, 1000]
+    chi = sum((n.get((i, s), 0) - 200 * p) ** 2 / (200 * p) for i in range(50) for s, p in enumerate((0.6, 0.3, 0.1)))
+    assert 55 < chi < 150                                        # 98 degrees of freedom: mean 98, deviation 14
+
+
 @pytest.mark.parametrize("where", ["edge", SMALL])
 def test_op3_against_brute_force(result, docs, where):
     order = lambda i: 1 << 70 if i is None else i
