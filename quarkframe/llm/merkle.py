@@ -5,31 +5,40 @@ Leaves are the hashes of a text's paragraphs (lines). A section is a run of
 paragraphs that ends after one whose hash starts with 0 or 1 (on average
 eight), so an inserted paragraph moves section borders only nearby. A
 section's hash is that of its leaves, the root is the hash of the sections:
-equal roots mean equal texts, and going down differing branches locates an
-edit (``first_difference``).
-
-To compare texts whose paragraphs differ by a few letters, paragraphs are cut
-once more, into blocks of ``BLOCK`` characters (of ``SMALL_BLOCK`` in texts
-under ``SMALL`` characters). The fingerprint is the root followed by a
-bottom-``KEEP`` sketch of the blocks' hashes, the n-th occurrence of a block
-hashed with n; ``likeness`` estimates from two fingerprints alone which share
-of their blocks two texts have in common (Dice coefficient).
+equal roots mean equal texts. ``locate`` goes down two trees: it skips the
+sections that are equal from the front and from the back, opens only those
+between them, and skips equal paragraphs there in the same way.
+
+To compare texts whose paragraphs differ by a few letters, texts are cut once
+more, into blocks whose ends their own bytes choose: a block ends after a byte
+whose value is 3 modulo ``CUT`` (about every sixth of an English text), or after
+32 bytes without one. One rule holds for all lengths and scripts, and an
+insertion changes the blocks near it only. A shingle is a block with the one
+before it. The fingerprint is the root, a bottom-``KEEP`` sketch of the shingles'
+hashes (the n-th occurrence of a shingle hashed with n), and the branches: for
+every section 16 digits of its hash and its number of paragraphs. From two
+fingerprints alone, ``likeness`` estimates which share of their shingles two texts
+have in common (Dice coefficient), and their branches tell the sections that
+differ.
 
 Edge cases: a null text counts as empty; two empty texts are alike (1), an
 empty and a non-empty one not (0); very long texts are hashed whole; rows are
 ordered by descending doc_id, null last, then by descending text hash, so
-repeated rows follow each other; a single row is its own successor; an empty
-table gives an empty result.
+repeated rows follow each other; rows without a doc_id, or with one doc_id, are
+dealt out by text hash, equal ones at random; a single row is its own successor;
+an empty table gives an empty result; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, SMALL_BLOCK, SMALL = 8, 2, 64
+CUT = 4                      # a block ends after a byte that is 3 modulo this
 KEEP = 64
 ROWS_PER_RANGE = 5_000       # documents in a range of doc_ids, about
 MOST_RANGES = 65_536         # ranges of doc_ids at most (a bound on what reaches the driver)
@@ -41,31 +50,69 @@ def paragraphs(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.sha2(p.cast("binary"), 256))
 
 
-def sections(leaves: Column) -> Column:
-    """Hash of every section, from the leaves."""
+def tree(leaves: Column) -> Column:
+    """The sections: structs of their hash ``h`` and their leaves, comma-joined."""
     ends = lambda h: F.when(F.substring(h, 1, 1).isin("0", "1"), F.concat(h, F.lit(";"))).otherwise(h)
-    return F.transform(F.split(F.array_join(F.transform(leaves, ends), ","), ";,?"),
-                       lambda s: F.sha2(s.cast("binary"), 256))
+    parts = F.array_remove(F.split(F.array_join(F.transform(leaves, ends), ","), ";,?"), "")
+    return F.transform(parts, lambda s: F.struct(F.sha2(s.cast("binary"), 256).alias("h"), s.alias("leaves")))
+
+
+def root(sections: Column) -> Column:
+    return F.sha2(F.array_join(sections["h"], ",").cast("binary"), 256)
+
+
+def _equal_ahead(a: Column, b: Column) -> Column:
+    """In how many first elements two lists agree."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(differs > 0, differs - 1).otherwise(F.size(a)).cast("int")
 
 
-def root(sections_: Column) -> Column:
-    return F.sha2(F.array_join(sections_, ",").cast("binary"), 256)
+def _differing(a: Column, b: Column) -> tuple[Column, Column]:
+    """How many first elements of two lists agree, and how many last ones of
+    what is left."""
+    ahead = _equal_ahead(a, b)
+    behind = F.least(_equal_ahead(F.reverse(a), F.reverse(b)), F.least(F.size(a), F.size(b)) - ahead)
+    return ahead, behind
 
 
-def first_difference(a: Column, b: Column) -> Column:
-    """1-based number of the first branch (section or paragraph) in which two
-    lists of hashes differ; 0 if none does."""
-    return F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+def locate(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """``df`` with the edit that makes the tree in column ``b`` of that in
+    column ``a``: ``out``_paragraph (the first that differs, from 1; 0: equal
+    trees), ``out``_removed and ``out``_added (how many paragraphs of ``a`` are
+    replaced by how many of ``b``), ``out``_opened (sections read below their hash)."""
+    x, y = F.col(a), F.col(b)
+    ahead, behind = _differing(x["h"], y["h"])
+    df = df.withColumn("_edit", F.struct(ahead.alias("p"), behind.alias("q")))
+    p, q = F.col("_edit.p"), F.col("_edit.q")
+    middle = lambda t: F.slice(t, p + 1, F.size(t) - p - q)
+    leaves = lambda t: F.flatten(F.transform(t["leaves"], lambda s: F.split(s, ",")))
+    # a section holds one comma less than leaves, each of 64 digits
+    skipped = F.aggregate(F.slice(x["leaves"], F.lit(1), p), F.lit(0), lambda n, s: n + F.ceil(F.length(s) / 65).cast("int"))
+    df = df.withColumn("_edit", F.struct("_edit.p", "_edit.q", leaves(middle(x)).alias("a"), leaves(middle(y)).alias("b"),
+                                         skipped.alias("skipped"), (F.size(middle(x)) + F.size(middle(y))).alias("opened")))
+    la, lb = F.col("_edit.a"), F.col("_edit.b")
+    ahead, behind = _differing(la, lb)
+    df = df.withColumn("_at", F.struct(ahead.alias("p"), behind.alias("q")))
+    removed, added = (F.size(z) - F.col("_at.p") - F.col("_at.q") for z in (la, lb))
+    return (df.withColumn(f"{out}_paragraph", F.when((removed == 0) & (added == 0), 0).otherwise(
+                F.col("_edit.skipped") + F.col("_at.p") + 1).cast("long"))
+            .withColumn(f"{out}_removed", removed.cast("long")).withColumn(f"{out}_added", added.cast("long"))
+            .withColumn(f"{out}_opened", F.col("_edit.opened").cast("long")).drop("_edit", "_at"))
 
 
-def _block_hashes(text: Column) -> Column:
-    cut = lambda n: F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{n}}}\\n?|\\n"), F.lit(0))
-    blocks = F.when(F.length(text) < SMALL, cut(SMALL_BLOCK)).otherwise(cut(BLOCK))
-    return F.sort_array(F.transform(blocks, lambda x: F.xxhash64(x)))
+def _blocks(text: Column) -> Column:
+    """The text's UTF-8 bytes, one character each, cut into blocks."""
+    ends = "".join(f"\\x{b:02x}" for b in range(CUT - 1, 256, CUT))
+    raw = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.regexp_extract_all(raw, F.lit(f"[^{ends}]{{1,31}}[{ends}]?|[{ends}]"), F.lit(0))
+
+
+def _shingle_hashes(blocks: Column) -> Column:
+    return F.sort_array(F.transform(blocks, lambda x, i: F.xxhash64(F.get(blocks, i - 1), x)))
 
 
 def _occurrences(s: Column) -> Column:
-    """Hash of (block, how often it came before) for the sorted block hashes
+    """Hash of (shingle, how often it came before) for the sorted hashes
     ``s``. Equal hashes stand side by side; the number before one is found by
     halving steps, and only where the neighbour is equal."""
     steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
@@ -78,13 +125,15 @@ def _occurrences(s: Column) -> Column:
 
 
 def fingerprint_steps(text: str, out: str) -> list[tuple[str, Column]]:
-    """Columns to add one after the other: ``out``_leaves, ``out``_root and
+    """Columns to add one after the other: ``out``_tree, ``out``_root and
     ``out``_sketch of the text column ``text``."""
     t = F.coalesce(F.col(text), F.lit(""))
     return [
-        (f"{out}_leaves", paragraphs(F.col(text))),
-        (f"{out}_root", root(sections(F.col(f"{out}_leaves")))),
-        (f"{out}_sketch", _block_hashes(t)),
+        (f"{out}_tree", paragraphs(F.col(text))),
+        (f"{out}_tree", tree(F.col(f"{out}_tree"))),
+        (f"{out}_root", root(F.col(f"{out}_tree"))),
+        (f"{out}_sketch", _blocks(t)),
+        (f"{out}_sketch", _shingle_hashes(F.col(f"{out}_sketch"))),
         (f"{out}_sketch", _occurrences(F.col(f"{out}_sketch"))),
         (f"{out}_sketch", F.slice(F.array_distinct(F.sort_array(F.col(f"{out}_sketch"))), 1, KEEP)),
     ]
@@ -97,17 +146,20 @@ def _add(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
 
 
 def fingerprint(out: str) -> Column:
-    """The fingerprint as a string: root, then the sketch in hexadecimal."""
+    """The fingerprint as a string: root, sketch in hexadecimal, branches
+    (16 digits of a section's hash, "x", its number of paragraphs)."""
+    branch = lambda s: F.concat(F.substring(s["h"], 1, 16), F.lit("x"), F.ceil(F.length(s["leaves"]) / 65))
     return F.concat_ws(":", F.col(f"{out}_root"), F.array_join(
-        F.transform(F.col(f"{out}_sketch"), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""))
+        F.transform(F.col(f"{out}_sketch"), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""),
+        F.array_join(F.transform(F.col(f"{out}_tree"), branch), ","))
 
 
 def likeness(a: str, b: str) -> Column:
     """Likeness of the fingerprints ``a`` and ``b``: 1 for equal roots, else
-    the estimated Dice coefficient of their blocks."""
+    the estimated Dice coefficient of their shingles."""
     x, y = F.col(f"{a}_sketch"), F.col(f"{b}_sketch")
     union = F.sort_array(F.array_union(x, y))
-    complete = (F.size(x) < KEEP) & (F.size(y) < KEEP)     # then the sketches are all blocks
+    complete = (F.size(x) < KEEP) & (F.size(y) < KEEP)     # then the sketches are all shingles
     seen = F.when(complete, union).otherwise(F.slice(union, 1, KEEP))
     both = F.size(F.array_intersect(F.array_intersect(seen, x), y))
     j = both / F.size(seen)
@@ -128,23 +180,57 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     return F.when(i == 0, F.lit(0)).otherwise((i - 1) * step + within)
 
 
+def _quantiles(docs: DataFrame, column: str, ranges: int) -> tuple[list[int], dict[int, int]]:
+    """Bounds of about ``ranges`` equal ranges of a column, and the values that
+    two or more of them fall on, with how many."""
+    if ranges < 2:
+        return [], {}
+    at = [i / ranges for i in range(1, ranges)]
+    found = Counter(docs.agg(F.percentile_approx(column, at, 20 * ranges)).first()[0])
+    return sorted(found), {v: m + 1 for v, m in found.items() if m > 1}
+
+
+def ranged(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``key`` (doc_id, null least), ``h`` (text
+    hash) and ``range``, in the order of (key, h).
+
+    Ranges are quantiles of doc_id, of about ROWS_PER_RANGE rows. A doc_id that
+    several quantiles fall on is a range by itself, divided by ranges of text
+    hash; a text hash that several of these fall on is divided at random, as
+    its rows are equal."""
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("h", F.xxhash64("text"))
+    n = docs.agg(F.count(F.lit(1))).first()[0]
+    ranges = max(1, min(MOST_RANGES, n // ROWS_PER_RANGE))
+    bounds, hot = _quantiles(docs, "key", ranges)
+    within = {}
+    top = F.shiftright("h", 11)        # quantiles are doubles: as many bits of the hash as they hold
+    if hot:
+        rows = docs.where(F.col("key").isin(list(hot))).groupBy("key").agg(
+            F.percentile_approx(top, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("at")).collect()
+        # every ranges/m-th quantile of a key that holds m ranges
+        within = {r["key"]: Counter(r["at"][::max(1, ranges // hot[r["key"]])]) for r in rows}
+    by_hash, by_chance = F.lit(0), F.lit(0)
+    for key, at in within.items():
+        mine = F.col("key") == key
+        by_hash = F.when(mine, _range_of(top, sorted(at))).otherwise(by_hash)
+        for h, m in at.items():
+            if m > 1:
+                by_chance = F.when(mine & (top == h), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(m))
+                                   .cast("int")).otherwise(by_chance)
+    # a hot key is the least of its range
+    return docs.withColumn("range", F.struct(
+        _range_of(F.col("key"), bounds).cast("int").alias("a"), (~F.col("key").isin(list(hot))).cast("int").alias("above"),
+        by_hash.cast("int").alias("b"), by_chance.alias("c")))
+
+
 def with_next(docs: DataFrame, steps: list[tuple[str, Column]], carried: list[str]) -> DataFrame:
     """``docs`` (doc_id, text) with the columns that ``steps`` add, and
     ``next_<c>`` for text and every column ``carried``: those of the next row
     by descending doc_id; the last row's next is the first.
 
-    Rows are dealt out by ranges of doc_id (quantiles of about ROWS_PER_RANGE
-    rows) and each range is one window. The first row of the following range
+    Every range (``ranged``) is one window. The first row of the following range
     is added to a range as its last, so no window sees more than its range."""
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("h", F.xxhash64("text"))
-    n = docs.agg(F.count(F.lit(1))).first()[0]
-    ranges = max(1, min(MOST_RANGES, n // ROWS_PER_RANGE))
-    bounds = []
-    if ranges > 1:
-        at = [i / ranges for i in range(1, ranges)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("key", at, 20 * ranges)).first()[0]))
-    docs = docs.withColumn("range", _range_of(F.col("key"), bounds))
-
+    docs = ranged(docs)
     heads = docs.groupBy("range").agg(F.max(F.struct("key", "h")).alias("head"))
     # one row per range: at most MOST_RANGES in all
     every = Window.orderBy(F.desc("range"))
@@ -163,8 +249,9 @@ def with_next(docs: DataFrame, steps: list[tuple[str, Column]], carried: list[st
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next and edit_paragraph (the first paragraph in which
-    text and edited text differ; 0: equal)."""
+    near_edited, near_next and where the trees of text and edited text differ:
+    edit_paragraph (the first paragraph; 0: equal), edit_removed, edit_added
+    (paragraphs), edit_opened (sections read)."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = with_next(d, fingerprint_steps("text", "own"), ["own_root", "own_sketch"])
     d = d.withColumnsRenamed({"next_own_root": "next_root", "next_own_sketch": "next_sketch"})
@@ -172,9 +259,11 @@ def digest(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half),
                                         F.substring("next_text", F.lit(1), half))).drop("next_text")
-    d = _add(d, [("own_leaves", paragraphs(F.col("text"))), *fingerprint_steps("edited", "edited")])
+    d = _add(d, [("own_tree", paragraphs(F.col("text"))), ("own_tree", tree(F.col("own_tree"))),
+                 *fingerprint_steps("edited", "edited")])
+    d = locate(d, "own_tree", "edited_tree", "edit")
     return d.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint("own").alias("fingerprint"), fingerprint("edited").alias("edited_fingerprint"),
         likeness("own", "edited").alias("near_edited"), likeness("own", "next").alias("near_next"),
-        first_difference(F.col("own_leaves"), F.col("edited_leaves")).alias("edit_paragraph"))
+        "edit_paragraph", "edit_removed", "edit_added", "edit_opened")

@@ -450,6 +450,68 @@ def test_op8_next_rows_over_many_ranges(spark, monkeypatch, tmp_path):
     assert got == dict(zip(order, order[1:] + order[:1]))
 
 
+def likenesses(spark, pairs):
+    from quarkframe.llm import merkle
+
+    d = merkle._add(spark.createDataFrame(pairs, "a string, b string"),
+                    [*merkle.fingerprint_steps("a", "x"), *merkle.fingerprint_steps("b", "y")])
+    return [r[0] for r in d.select(merkle.likeness("x", "y")).collect()]
+
+
+def test_op8_likeness_follows_content_not_offsets(spark):
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("etaoinshrdlucmfwyp", k=r.randint(2, 9)))
+    say = lambda n: " ".join(word() for _ in range(400))[:n]
+    cjk = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(1500))
+    line, short, other = say(2000), say(66), say(2000)
+    got = likenesses(spark, [(line, "x" + line), (line[:1000], line[:500] + "y" + line[500:1000]), (short, short[:60]),
+                             (cjk, "\u4e2d" + cjk), (line, other), (line, line[:1000] + other[:1000]), ("", ""), ("", line)])
+    assert min(got[0], got[1], got[3]) >= 0.9 and got[2] >= 0.8
+    assert got[4] < 0.15 and 0.3 < got[5] < 0.7 and got[6:] == [1.0, 0.0]
+
+
+def test_op8_descent_locates_an_edit_and_opens_few_sections(spark):
+    from quarkframe.llm import merkle
+
+    lines = [f"paragraph number {i}" for i in range(400)]
+    edits = {"inserted": lines[:200] + ["new"] + lines[200:], "removed": lines[:77] + lines[80:], "equal": lines,
+             "changed": lines[:10] + ["other"] + lines[11:], "appended": lines + ["end"], "first": ["start"] + lines,
+             "all": [f"other {i}" for i in range(30)], "twice": lines[:5] + lines[4:5] + lines[5:]}
+    d = spark.createDataFrame([(k, "\n".join(lines), "\n".join(v)) for k, v in edits.items()], "k string, a string, b string")
+    d = merkle._add(d, [*merkle.fingerprint_steps("a", "x"), *merkle.fingerprint_steps("b", "y")])
+    got = {r.k: r for r in merkle.locate(d, "x_tree", "y_tree", "e").collect()}
+    where = {k: (r.e_paragraph, r.e_removed, r.e_added) for k, r in got.items()}
+    assert where == {"inserted": (201, 0, 1), "removed": (78, 3, 0), "equal": (0, 0, 0), "changed": (11, 1, 1),
+                     "appended": (401, 0, 1), "first": (1, 0, 1), "all": (1, 400, 30), "twice": (6, 0, 1)}
+    whole = len(got["all"].x_tree)
+    assert whole > 25 and all(r.e_opened <= 6 for k, r in got.items() if k != "all") and got["equal"].e_opened == 0
+
+
+def test_op8_rows_without_ids_spread_over_ranges(spark, monkeypatch, tmp_path):
+    """A third of the ids null, a third of the rows the same row: the order stays one cycle, ranges stay small."""
+    from quarkframe.llm import merkle
+
+    monkeypatch.setattr(merkle, "ROWS_PER_RANGE", 50)
+    rows = [(None, f"null {k}") for k in range(1000)] + [(5, "same")] * 1000 + [(k, f"text {k}") for k in range(6, 1006)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    whole = merkle.with_next(d, [], [])
+    got = whole.collect()
+    assert Counter(r.text for r in got) == Counter(t for _, t in rows) == Counter(r.next_text for r in got)
+    pairs = {(r.text, r.next_text) for r in got if r.text != r.next_text}
+    step = dict(pairs)
+    assert len(step) == len(pairs) == 2001                 # one cycle over the distinct texts
+    at, seen = "text 1005", set()
+    while at not in seen:
+        seen.add(at)
+        at = step[at]
+    assert len(seen) == 2001 and all(step[f"text {k}"] == f"text {k - 1}" for k in range(7, 1006))
+    sizes = [r["count"] for r in merkle.ranged(d).groupBy("range").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 150 and len(sizes) >= 40
+
+
 def test_op10_languages(spark, result):
     sf = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
