@@ -591,3 +591,16 @@ def test_op3_rows_without_ids_meet_their_own_cuts_only(spark, monkeypatch):
     got = substring.digest(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert got.count() == 600 and seen["substring-texts-25"] <= 600 and seen["substring-cuts"] <= 600
     assert all(r.n_removed >= 60 for r in got.collect() if r.doc_id != 0)
+
+
+def test_op2_mix_holds_the_words_that_shares_counts(spark):
+    from quarkframe.llm.mixing import mix, shares
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    words = Counter()
+    for r in mix(docs).select("doc_id", "text").collect():
+        words[r.doc_id] += len(WORD.findall(r.text or ""))
+    taken = Counter()
+    for r in shares(docs).collect():
+        taken[r.doc_id] += r.taken
+    assert +words == +taken and sum(words.values())
