@@ -2,19 +2,23 @@
 
 Every word of the corpus has a class. P(word | previous word) is
 P(class | previous class) * P(word | class), smoothed; exchange clustering
-chooses the classes: each unit moves to the class that raises the likelihood
-of the class bigrams most, until a round moves few.
-
-Units are the ``HEAD`` most frequent words on their own and, for all other
-words, known or not, ``TAIL`` groups by the word's last three bytes; the end
-of a text is a class of its own. So every word has a class by a bounded table,
-and unit bigrams are a bounded matrix (HEAD + TAIL squared), whatever the size
-of the corpus: they are counted over all training texts, partially aggregated
-per batch, and clustering that matrix is a few seconds of numpy on the driver.
-
-Word counts, in contrast, grow with the corpus and stay distributed: a table
-(word hash, unit, count), joined by shuffle with the rare words of the texts.
-The ``HEAD`` table is looked up locally, so no hot word is ever shuffled.
+chooses the classes: each word moves to the class that raises the likelihood
+of the class bigrams most. The end of a text is a word with a class to itself.
+
+Every training word takes part in the exchange. It starts from a bounded
+problem: the ``OWN`` most frequent words and ``TAIL`` groups of all others (by
+their last three bytes) are exchanged one after the other, a few seconds of
+numpy on a bounded matrix. Then ``ROUNDS`` rounds go over the whole vocabulary
+in Spark. A round counts, for each word of one half of the vocabulary (halves
+alternate, so that words which depend on each other seldom move together), the
+classes before and after it in all training texts; class bigrams, the only
+thing that must be known everywhere, are a CLASSES x CLASSES table; each word
+then moves to its best class, in Arrow tasks. The round with the highest
+likelihood is kept. A word that training has not seen has its ending's class.
+
+Classes and counts of the (at most) ``CACHE`` most frequent words are looked up
+in the tasks, those of all others are met by a shuffle join, in which no key is
+hot, as frequent words have left. The cache changes no result, only the way.
 
 The score of a text is the sum over its tokens of
 
@@ -27,7 +31,7 @@ same c + 1, so the logarithm splits into a part that needs the counts and a
 part that needs only classes.
 
 Style: Arrow batches with vectorised word hashes, DataFrame aggregation and
-join between them.
+joins between them.
 
 Edge cases: a null or empty text is the end token alone; a corpus without
 training rows scores every token by 1 / 1; words are 64-bit hashes (a clash of
@@ -49,28 +53,36 @@ from pyspark.sql import functions as F
 from .common import store
 from .wordhash import Slice, mix, scan
 
-HEAD = 1024        # most frequent words, units of their own
-TAIL = 512         # groups of the other words by their ending
+OWN = 1024         # words that start the exchange as units of their own
+TAIL = 512         # groups of the other words by their ending, at the start
+CACHE = 1 << 20    # most words whose count and class every task looks up (17 bytes each)
 CLASSES = 64
-ROUNDS = 12        # of exchange
+SWEEPS = 12        # of the starting exchange
+ROUNDS = 4         # over the whole vocabulary, half of it each
 LAMBDA = 0.95      # weight of the class model
 ALPHA = 0.5        # added to class bigram counts
-END = HEAD + TAIL  # unit of the end of a text
+END = OWN + TAIL   # unit of the end of a text
+SELF = 2 * CLASSES     # context codes: class before, CLASSES + class after, the word itself after
+FLUSH = 1 << 22    # contexts that a task gathers before it hands on their counts
 
 
 @dataclass
 class Model:
-    """head: sorted word hashes with their unit and count; unit_class: class
-    per unit; log_part[C', C]; end_count, tokens (N), types (V)."""
-
-    head: np.ndarray
-    head_unit: np.ndarray
-    head_count: np.ndarray
+    """words: sorted hashes of the cached words, with their counts and classes;
+    rare: table (w, c, cls) of the others; unit_class: class by starting unit, for
+    words not seen; log_part[C', C]; end_count, tokens (N), types (V);
+    likelihoods: of the class bigrams, at the start and after each round."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    classes: np.ndarray
+    rare: DataFrame
     unit_class: np.ndarray
     log_part: np.ndarray
     end_count: int
     tokens: int
     types: int
+    likelihoods: list[float]
 
 
 def _endings(s: Slice) -> np.ndarray:
@@ -80,7 +92,7 @@ def _endings(s: Slice) -> np.ndarray:
     for back in (1, 2, 3):
         b = s.data[(s.ends - back).clip(0)].astype(np.uint64)
         code = code * np.uint64(257) + np.where(length >= back, b + np.uint64(1), np.uint64(0))
-    return (mix(code) % np.uint64(TAIL)).astype(np.int64) + HEAD
+    return (mix(code) % np.uint64(TAIL)).astype(np.int64) + OWN
 
 
 def _units(s: Slice, head: np.ndarray, head_unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +154,7 @@ def unit_bigrams(texts: DataFrame, head: np.ndarray, head_unit: np.ndarray) -> D
             .groupBy("pair").agg(F.sum("n").alias("n")))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = SWEEPS) -> np.ndarray:
     """Class of each unit, by exchange clustering of a unit bigram matrix. The
     last unit (the end of a text) keeps the last class to itself."""
     units = len(bigrams)
@@ -202,96 +214,361 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return cls
 
 
-def fit(train: DataFrame) -> tuple[Model, DataFrame]:
-    """Model and table of word counts, from all rows (text)."""
-    counts = store(word_counts(train), "brown-counts")
-    top = counts.orderBy(F.desc("c"), "h").limit(HEAD).collect()
-    head = np.array([r["h"] for r in top], np.int64).view(np.uint64)
-    by = np.argsort(head)
-    head, head_unit = head[by], by.astype(np.int64)
-    head_count = np.array([r["c"] for r in top], np.int64)[by]
-
-    # at most (END + 1) squared numbers, as Arrow columns
-    pairs = unit_bigrams(train, head, head_unit).toArrow()
+def _find(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted ``words``, is it there) of each hash."""
+    at = np.searchsorted(words, hashes).clip(0, max(len(words) - 1, 0))
+    return at, words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
+
+
+def _rare_key(hashes: np.ndarray) -> np.ndarray:
+    """Keys of words outside the cache: negative; cached words go by their place."""
+    return (hashes | np.uint64(1 << 63)).view(np.int64)
+
+
+def _keys(texts: pa.Array) -> np.ndarray:
+    """The keys of all texts of a batch, one after the other."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4)
+    return np.frombuffer(data, np.int32, (at[-1] - at[0]) // 4, at[0]) if data is not None else np.zeros(0, np.int32)
+
+
+def _xlogx(v: np.ndarray) -> np.ndarray:
+    return v * np.log(np.maximum(v, 1))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Log-likelihood of class bigrams, but for the words' own counts."""
+    t = table.astype(float)
+    return float(_xlogx(t).sum() - _xlogx(t.sum(1)).sum() - _xlogx(t.sum(0)).sum())
+
+
+def best_classes(table: np.ndarray, own: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class to which each word should go, given the class bigrams and where
+    all others are. ``own``: the words' classes; (word, code, n): their contexts."""
+    size, k = len(own), len(table)
+    table = table.astype(float)
+    i = np.arange(size)
+    both = np.zeros((size, 2 * k + 1))
+    np.add.at(both, (word, code), n)
+    left, right, self_ = both[:, :k], both[:, k:2 * k], both[:, 2 * k]
+    n_left, n_right = left.sum(1), right.sum(1)
+    # class bigrams without the word: its own row, column and their crossing
+    crossing = table[own, own] - left[i, own] - right[i, own] + self_
+    left0, right0 = left.copy(), right.copy()          # contexts in other words only
+    left0[i, own] -= self_
+    right0[i, own] -= self_
+    gain = np.zeros((size, k))
+    for new, cells, mine, across in ((right0, table, right, left), (left0, table.T, left, right)):
+        w, j = np.nonzero(new)                         # the cells (b, j) for every class b
+        base = cells[:, j].T.copy()
+        at_own = j == own[w]
+        base[at_own] -= across[w[at_own]]
+        e = np.arange(len(w))
+        base[e, own[w]] = np.where(at_own, crossing[w], cells[own[w], j] - mine[w, j])
+        grown = _xlogx(base + new[w, j][:, None]) - _xlogx(base)
+        grown[e, j] = 0.0                              # the cell (b, b) comes below
+        if len(w):
+            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            gain[w[first]] += np.add.reduceat(grown, first, axis=0)
+    cell = np.broadcast_to(np.diag(table), (size, k)).copy()
+    cell[i, own] = crossing
+    gain += _xlogx(cell + left0 + right0 + self_[:, None]) - _xlogx(cell)
+    for total, mine in ((table.sum(1), n_right), (table.sum(0), n_left)):
+        rest = np.broadcast_to(total, (size, k)).copy()
+        rest[i, own] -= mine
+        gain -= _xlogx(rest + mine[:, None]) - _xlogx(rest)
+    gain = gain[:, :k - 1]                             # the last class is the end's
+    best = gain.argmax(1)
+    return np.where(gain[i, best] > gain[i, own] + 1e-9, best, own)
+
+
+class Exchange:
+    """Training texts as word keys, and the classes of the moment: ``classes`` by
+    place for cached words (and the end, last), ``rare`` (w, c, cls) for others."""
+
+    def __init__(self, texts: DataFrame, words: np.ndarray, classes: np.ndarray, rare: DataFrame) -> None:
+        self.words, self.classes, self.rare = words, classes, rare
+        end = len(words)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in scan(batch.column(0), lower=True):
+                    at, known = _find(words, s.hashes)
+                    keys = np.full(len(at) + s.rows, end, np.int32)
+                    keys[np.arange(len(at)) + s.row] = np.where(known, at, -1)
+                    raw, open_ = keys.tobytes(), np.flatnonzero(~known)
+                    ends = np.r_[0, np.cumsum(s.counts + 1)] * 4
+                    offsets = np.searchsorted(open_, s.bounds()).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([raw[i:j] for i, j in zip(ends[:-1], ends[1:])], pa.binary()),
+                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(_rare_key(s.hashes[open_])))],
+                        names=["keys", "rare"])
+
+        # a row holds a text, closed by the end
+        self.texts = store(texts.select("text").mapInArrow(run, "keys binary, rare array<bigint>"), "brown-keys")
+        self.pairs = store(self.texts.mapInArrow(self._rare_pairs(), "l bigint, r bigint"), "brown-pairs")
+
+    def _rare_pairs(self):  # noqa: ANN202
+        end = len(self.words)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                w = _keys(batch.column(0)).astype(np.int64)
+                w[w < 0] = batch.column(1).flatten().to_numpy()
+                before = np.r_[end, w[:-1]][:len(w)]
+                some = (w < 0) | (before < 0)
+                yield pa.RecordBatch.from_arrays([pa.array(before[some]), pa.array(w[some])], names=["l", "r"])
+
+        return run
+
+    def classed_pairs(self) -> DataFrame:
+        """(l, r, cl, cr): the bigrams with a rare word and their classes. Cached
+        words have no partner in the join; their rows get keys of their own."""
+        classes, spread = self.classes, F.xxhash64("l", "r").bitwiseAND(F.lit((1 << 63) - 1))
+        pairs = self.pairs.select("l", "r", *[F.when(F.col(c) < 0, F.col(c)).otherwise(spread).alias(c + "k") for c in "lr"])
+        for c in "lr":
+            side = self.rare.select(F.col("w").alias(c + "k"), F.col("cls").alias("c" + c))
+            pairs = pairs.join(side.hint("merge"), c + "k", "left")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [batch.column(0), batch.column(1)]
+                for i in (0, 1):
+                    w = batch.column(i).to_numpy()
+                    c = batch.column(i + 2).fill_null(0).to_numpy()
+                    out.append(pa.array(np.where(w < 0, c, classes[np.maximum(w, 0)]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(out, names=["l", "r", "cl", "cr"])
+
+        return store(pairs.select("l", "r", "cl", "cr").mapInArrow(run, "l bigint, r bigint, cl int, cr int"),
+                     "brown-classed")
+
+    def table(self, pairs: DataFrame) -> np.ndarray:
+        """Class bigrams of all training texts."""
+        classes, k, end = self.classes, CLASSES, len(self.words)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(k * k, np.int64)
+            for batch in batches:
+                w = _keys(batch.column(0))
+                before = np.r_[np.int32(end), w[:-1]][:len(w)]
+                c, b = classes[w].astype(np.int64), classes[before].astype(np.int64)
+                total += np.bincount((b * k + c)[(w >= 0) & (before >= 0)], minlength=k * k)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+        cells = (self.texts.select("keys").mapInArrow(run, "cell int, n bigint")
+                 .unionByName(pairs.select((F.col("cl") * k + F.col("cr")).alias("cell"), F.lit(1).cast("long").alias("n")))
+                 .groupBy("cell").agg(F.sum("n").alias("n")).collect())
+        out = np.zeros(k * k, np.int64)
+        for r in cells:
+            out[r["cell"]] = r["n"]
+        return out.reshape(k, k)
+
+    def contexts(self, pairs: DataFrame, half: int) -> DataFrame:
+        """(w, code, n) of the words of one half, counted in parts."""
+        classes, words, k, end = self.classes, self.words, CLASSES, len(self.words)
+        active = np.r_[(words >> np.uint64(20)).astype(np.int64) & 1 == half, False]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+
+            def counted() -> pa.RecordBatch:
+                key, n = np.unique(np.concatenate(held), return_counts=True)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(key // 256), pa.array((key % 256).astype(np.int32)), pa.array(n)], names=["w", "code", "n"])
+
+            for batch in batches:
+                w = _keys(batch.column(0)).astype(np.int64)
+                before = np.r_[end, w[:-1]][:len(w)]
+                some = (w >= 0) & (before >= 0)
+                w, before = w[some], before[some]
+                a, b = active[w], active[before]
+                held += [w[a] * 256 + classes[before[a]], before[b] * 256 + k + classes[w[b]],
+                         w[a & (w == before)] * 256 + SELF]
+                size += sum(len(x) for x in held[-3:])
+                if size >= FLUSH:
+                    yield counted()
+                    held, size = [], 0
+            if size:
+                yield counted()
+
+        one = F.lit(1).cast("long")
+        side = lambda w, code: F.struct(F.col(w).alias("w"), code.cast("int").alias("code"))
+        same = F.when(F.col("l") == F.col("r"), side("l", F.lit(SELF)))
+        moved = pairs.select(F.explode(F.array(side("r", F.col("cl")), side("l", F.col("cr") + k), same)).alias("x")).select("x.*")
+        hashed = F.when(F.col("w") < 0, F.shiftright("w", 20).bitwiseAND(F.lit(1)) == half)
+        rare = moved.where(hashed)
+        # contexts of cached words that have a rare neighbour
+        known = moved.where("w >= 0").mapInArrow(
+            lambda batches: (b.filter(pa.array(active[b.column(0).to_numpy()])) for b in batches), "w bigint, code int")
+        return self.texts.select("keys").mapInArrow(run, "w bigint, code int, n bigint").unionByName(
+            rare.unionByName(known).select("w", "code", one.alias("n")))
+
+    def move(self, table: np.ndarray, pairs: DataFrame, half: int) -> None:
+        """Every word of one half goes to its best class."""
+        classes = self.classes
+        # rows come counted by task, so one exchange by word is enough for both groupings
+        context = (self.contexts(pairs, half).repartition("w").groupBy("w", "code").agg(F.sum("n").alias("n"))
+                   .groupBy("w").agg(F.collect_list(F.struct("code", "n")).alias("contexts")))
+        context = context.join(self.rare.select("w", F.col("cls").alias("was")).hint("merge"), "w", "left")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for a in range(0, whole.num_rows, 2048):
+                    batch = whole.slice(a, 2048)
+                    w = batch.column(0).to_numpy()
+                    lists = batch.column(1)
+                    item = lists.flatten()
+                    word = np.repeat(np.arange(len(w)), lists.value_lengths().to_numpy())
+                    own = np.where(w < 0, batch.column(2).fill_null(0).to_numpy(), classes[np.maximum(w, 0)]).astype(np.int64)
+                    best = best_classes(table, own, word, item.field(0).to_numpy(), item.field(1).to_numpy())
+                    moves = best != own
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(w[moves]), pa.array(best[moves].astype(np.int32))], names=["w", "new"])
+
+        moves = store(context.select("w", "contexts", "was").mapInArrow(run, "w bigint, new int"), "brown-moves")
+        cached = moves.where("w >= 0").toArrow()            # at most CACHE rows
+        self.classes = classes.copy()
+        self.classes[cached.column("w").to_numpy()] = cached.column("new").to_numpy()
+        self.rare = store(self.rare.join(moves.where("w < 0").hint("merge"), "w", "left")
+                          .select("w", "c", F.coalesce("new", "cls").alias("cls")), "brown-rare")
+
+
+def _start(train: DataFrame, counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (sorted) of the words with a unit of their own, their units, and
+    the class of every unit after the starting exchange."""
+    top = np.array([r["h"] for r in counts.orderBy(F.desc("c"), "h").limit(OWN).collect()], np.int64).view(np.uint64)
+    by = np.argsort(top)
+    own, own_unit = top[by], by.astype(np.int64)
+    pairs = unit_bigrams(train, own, own_unit).toArrow()      # at most (END + 1) squared numbers
     size = END + 1
     bigrams = np.zeros(size * size, np.int64)
     bigrams[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
-    del pairs
-    bigrams = bigrams.reshape(size, size)
-    cls = exchange(bigrams)
-
-    tokens, types = bigrams.sum(0), np.zeros(size, np.int64)     # every token is the right side of one pair
-    types[:len(head)] = 1
-    types[END] = tokens[END] > 0
-    tail = counts.join(F.broadcast(counts.sparkSession.createDataFrame(
-        [(int(x),) for x in head.view(np.int64)], "h bigint")), "h", "left_anti") if len(head) else counts
-    for r in tail.groupBy("unit").agg(F.count(F.lit(1)).alias("v")).collect():
-        types[r["unit"]] = r["v"]
-
-    one = np.eye(CLASSES)[cls]
-    n_c, v_c = tokens @ one, types @ one
-    table = one.T @ bigrams @ one + ALPHA
-    transition = table / table.sum(1, keepdims=True)
-    n, v = int(tokens.sum()), int(types.sum())
+    return own, own_unit, exchange(bigrams.reshape(size, size))
+
+
+def fit(train: DataFrame) -> Model:
+    """Classes and counts of all words, from all rows (text)."""
+    counts = store(word_counts(train), "brown-counts")
+    own, own_unit, unit_class = _start(train, counts)
+
+    def classed(h: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        at, known = _find(own, h)
+        return unit_class[np.where(known, own_unit[at] if len(own) else 0, unit)]
+
+    # the cache: all words above a count that lets at most CACHE in
+    step = F.floor(F.log2("c") * 16).cast("int")
+    room, least = CACHE, 1 << 30
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        if r["n"] > room:
+            break
+        room, least = room - r["n"], r["step"]
+    cached = counts.where(step >= least).toArrow()
+    words = cached.column("h").to_numpy().view(np.uint64)
+    by = np.argsort(words)
+    words, word_counts_ = words[by], cached.column("c").to_numpy()[by]
+    classes = np.r_[classed(words, cached.column("unit").to_numpy()[by]), CLASSES - 1].astype(np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_rare_key(h)), batch.column(2), pa.array(classed(h, batch.column(1).to_numpy()).astype(np.int32))],
+                names=["w", "c", "cls"])
+
+    rare = store(counts.where(step < least).mapInArrow(run, "w bigint, c bigint, cls int"), "brown-rare")
+    work = Exchange(train, words, classes, rare)
+    best, seen = None, []
+    for k in range(ROUNDS + 1):
+        pairs = work.classed_pairs()
+        table = work.table(pairs)
+        seen.append(likelihood(table))
+        if best is None or seen[-1] > best[0]:
+            best = (seen[-1], work.classes, work.rare, table)
+        if k < ROUNDS:
+            work.move(table, pairs, k % 2)
+    _, classes, rare, table = best
+
+    n_c = table.sum(0)                                   # every token is the right side of one pair
+    v_c = np.bincount(classes[:-1], minlength=CLASSES)
+    for r in rare.groupBy("cls").agg(F.count(F.lit(1)).alias("v")).collect():
+        v_c[r["cls"]] += r["v"]
+    end_count = int(n_c[CLASSES - 1])
+    v_c[CLASSES - 1] = end_count > 0
+    transition = table + ALPHA
+    transition = transition / transition.sum(1, keepdims=True)
+    n, v = int(n_c.sum()), int(v_c.sum())
     log_part = np.log10(LAMBDA * transition / (n_c + v_c + 1) + (1 - LAMBDA) / (n + v + 1))
     if n == 0:
         log_part[:] = 0.0
-    return Model(head, head_unit, head_count, cls, log_part, int(tokens[END]), n, v), counts
+    return Model(words, word_counts_, classes[:-1], rare, unit_class, log_part, end_count, n, v, seen)
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, extra: Column) -> DataFrame:
+def score(docs: DataFrame, model: Model, extra: Column) -> DataFrame:
     """doc_id, extra, n_tokens, n_known, train_tokens, base_score, score."""
-    schema = ("doc_id bigint, extra boolean, n_tokens bigint, known bigint, counted double, classed double, "
-              "rare array<struct<h:bigint,f:int>>")
-    rare_type = pa.list_(pa.struct([("h", pa.int64()), ("f", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_count = np.log10(model.head_count + 1.0)
-        end_log = np.log10(model.end_count + 1.0)
+    words, counts, classes, unit_class, log_part = (
+        model.words, model.counts, model.classes, model.unit_class, model.log_part)
+    end_count = model.end_count
+    kind = "doc_id bigint, extra boolean, n bigint, known bigint, counted double, classes binary"
+    asked_type = pa.list_(pa.struct([("p", pa.int32()), ("w", pa.int64())]))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_count, end_log = np.log10(counts + 1.0), np.log10(end_count + 1.0)
         for batch in batches:
-            n, known, counted, classed, sizes, rare_h, rare_f = [], [], [], [], [], [], []
             for s in scan(batch.column(0), lower=True):
-                unit, is_head, at = _units(s, model.head, model.head_unit)
-                w = np.where(is_head, log_count[at] if len(log_count) else 0.0, 0.0)
-                counted.append(np.bincount(s.row, w, s.rows) + end_log)
-                known.append(np.bincount(s.row, is_head, s.rows).astype(np.int64) + (model.end_count > 0))
-                c = model.unit_class[_with_ends(s, unit)]
-                row = np.empty(len(c), np.int64)
-                row[np.arange(len(unit)) + s.row] = s.row
-                row[np.cumsum(s.counts + 1) - 1] = np.arange(s.rows)
-                part = model.log_part[np.concatenate([[CLASSES - 1], c[:-1]]), c]
-                classed.append(np.bincount(row, part, s.rows))
-                n.append(s.counts + 1)
-                # rare words of each text, once with their frequency
-                h, r = s.hashes[~is_head], s.row[~is_head]
-                order = np.lexsort((h, r))
-                h, r = h[order], r[order]
-                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])) \
-                    if len(h) else np.zeros(0, np.int64)
-                rare_h.append(h[first])
-                rare_f.append(np.diff(np.concatenate([first, [len(h)]])))
-                sizes.append(np.bincount(r[first], minlength=s.rows))
-            if not n:
-                continue
-            cat = np.concatenate
-            struct = pa.StructArray.from_arrays(
-                [pa.array(cat(rare_h).view(np.int64)), pa.array(cat(rare_f).astype(np.int32))], names=["h", "f"])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(cat(sizes))]).astype(np.int32))
+                at, known = _find(words, s.hashes)
+                c = unit_class[_endings(s)]
+                c[known] = classes[at[known]]
+                bounds = s.bounds()
+                w = np.where(known, log_count[at] if len(words) else 0.0, 0.0)
+                open_ = np.flatnonzero(~known)
+                place = open_ - bounds[s.row[open_]]
+                offsets = np.searchsorted(open_, bounds).astype(np.int32)
+                asked = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
+                    [pa.array(place.astype(np.int32)), pa.array(_rare_key(s.hashes[open_]))], names=["p", "w"]))
+                raw = c.astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).slice(s.first, s.rows), batch.column(2).slice(s.first, s.rows),
+                     pa.array((s.counts + 1).astype(np.int64)),
+                     pa.array(np.bincount(s.row, known, s.rows).astype(np.int64) + (end_count > 0)),
+                     pa.array(np.bincount(s.row, w, s.rows) + end_log),
+                     pa.array([raw[i:j] for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()), asked.cast(asked_type)],
+                    names=["doc_id", "extra", "n", "known", "counted", "classes", "asked"])
+
+    local = store(docs.select("text", "doc_id", extra.alias("extra"))
+                  .mapInArrow(look_up, kind + ", asked array<struct<p:int,w:bigint>>")
+                  .withColumn("rid", F.monotonically_increasing_id()), "brown-local")
+    # words outside the cache, by shuffle; one that training has not seen finds nothing
+    found = (local.select("rid", F.explode("asked").alias("x")).select("rid", "x.p", "x.w")
+             .join(model.rare.hint("merge"), "w")
+             .groupBy("rid").agg(F.collect_list(F.struct("p", "cls", "c")).alias("found")))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, counted = batch.column(3).to_numpy().copy(), batch.column(4).to_numpy().copy()
+            classed = np.empty(batch.num_rows)
+            lists = batch.column(6)
+            for i, raw in enumerate(batch.column(5)):
+                c = np.frombuffer(raw.as_buffer(), np.uint8)
+                if lists[i].is_valid:
+                    item = lists[i].values
+                    p = item.field(0).to_numpy()
+                    c = c.copy()
+                    c[p] = item.field(1).to_numpy()
+                    known[i] += len(p)
+                    counted[i] += np.log10(item.field(2).to_numpy()[np.argsort(p)] + 1.0).sum()
+                c = np.r_[np.uint8(CLASSES - 1), c, np.uint8(CLASSES - 1)]
+                classed[i] = log_part[c[:-1], c[1:]].sum()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array(cat(n).astype(np.int64)), pa.array(cat(known)),
-                 pa.array(cat(counted)), pa.array(cat(classed)),
-                 pa.ListArray.from_arrays(offsets, struct).cast(rare_type)],
-                names=["doc_id", "extra", "n_tokens", "known", "counted", "classed", "rare"])
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(known), pa.array(counted), pa.array(classed)],
+                names=["doc_id", "extra", "n", "known", "counted", "classed"])
 
-    local = store(docs.select("text", "doc_id", extra.alias("extra")).mapInArrow(run, schema)
-                  .withColumn("rid", F.monotonically_increasing_id()), "brown-local")
-    rare = (local.select("rid", F.explode("rare").alias("x")).select("rid", "x.h", "x.f")
-            .join(counts.select("h", "c"), "h")      # a word without count adds log10(1) = 0
-            .groupBy("rid").agg(F.sum(F.col("f") * F.log10(F.col("c") + 1.0)).alias("counted_rare"),
-                                F.sum("f").alias("known_rare")))
     base = float(np.log10(model.tokens + model.types + 1.0))
-    both = F.col("counted") + F.coalesce("counted_rare", F.lit(0.0))
-    return local.drop("rare").join(rare, "rid", "left").select(
-        "doc_id", "extra", "n_tokens", (F.col("known") + F.coalesce("known_rare", F.lit(0))).alias("n_known"),
+    done = local.drop("asked").join(found.hint("merge"), "rid", "left").select(
+        "doc_id", "extra", "n", "known", "counted", "classes", "found").mapInArrow(
+        finish, "doc_id bigint, extra boolean, n bigint, known bigint, counted double, classed double")
+    return done.select(
+        "doc_id", "extra", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (both - F.col("n_tokens") * F.lit(base)).alias("base_score"), (both + F.col("classed")).alias("score"))
+        (F.col("counted") - F.col("n") * F.lit(base)).alias("base_score"),
+        (F.col("counted") + F.col("classed")).alias("score"))

@@ -24,8 +24,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = _held_out(7, 2)
-    model, counts = brown.fit(docs.where(~held_out))
-    return brown.score(docs, model, counts, held_out).withColumnRenamed("extra", "held_out")
+    model = brown.fit(docs.where(~held_out))
+    return brown.score(docs, model, held_out).withColumnRenamed("extra", "held_out")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

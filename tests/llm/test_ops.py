@@ -4,6 +4,7 @@ small table."""
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -103,6 +104,100 @@ def test_op1_exchange_raises_the_likelihood_and_separates_two_languages():
     assert len(set(cls[:10])) == 1 and len(set(cls[10:20])) == 1 and len(set(cls)) == 3
 
 
+def test_op1_best_class_against_brute_force():
+    import numpy as np
+
+    from quarkframe.llm.brown import CLASSES, best_classes, likelihood
+
+    r = np.random.default_rng(5)
+    for words, k in ((12, 4), (30, 7)):
+        m = r.poisson(0.8, (words, words))
+        m[-1, -1] = 0
+        cls = np.r_[r.integers(0, k - 1, words - 1), k - 1]
+        table = lambda c: np.eye(k, dtype=int)[c].T @ m @ np.eye(k, dtype=int)[c]
+        one, entries = np.eye(k, dtype=int)[cls], []
+        for w in range(words - 1):
+            after, before = m[w] @ one, m[:, w] @ one
+            entries += [(w, j, before[j]) for j in range(k) if before[j]]
+            entries += [(w, k + j, after[j]) for j in range(k) if after[j]]
+            entries += [(w, 2 * k, m[w, w])] if m[w, w] else []
+        got = best_classes(table(cls), cls[:-1], *map(np.array, zip(*entries)))
+        for w in range(words - 1):
+            ll = []
+            for b in range(k - 1):
+                c = cls.copy()
+                c[w] = b
+                ll.append(likelihood(table(c)))
+            assert ll[got[w]] == pytest.approx(max(ll), abs=1e-6)
+            if got[w] != cls[w]:
+                assert ll[got[w]] > ll[cls[w]]
+    assert 2 * CLASSES < 256      # context codes share a key's low byte
+
+
+def _op1_rows(seed: int, n: int) -> list[tuple]:
+    r = random.Random(seed)
+    nouns, verbs = [f"n{i}" for i in range(1200)], [f"v{i}" for i in range(600)]
+    say = lambda: " ".join(x for _ in range(r.randint(0, 40)) for x in (r.choice(nouns), r.choice(verbs)))
+    return [(i, say()) for i in range(n)] + [(None, None), (n, ""), (n, "n1 n1 n1 v2")]
+
+
+def test_op1_every_word_is_exchanged_and_the_cache_changes_nothing(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quarkframe.llm import brown
+
+    rows = _op1_rows(4, 200)                     # more than OWN words: the others start in groups
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    n_words = len({w for _, t in rows for w in (t or "").split()})
+    assert n_words > brown.OWN
+    scores = {}
+    for cache in (1 << 20, 700):
+        monkeypatch.setattr(brown, "CACHE", cache)
+        model = brown.fit(docs)
+        rare = {r["w"]: r["cls"] for r in model.rare.collect()}
+        assert len(model.words) <= cache and len(model.words) + len(rare) == n_words
+        cls = dict(zip(brown._rare_key(model.words).tolist(), model.classes.tolist())) | rare
+        scored = brown.score(docs, model, F.lit(True)).collect()
+        scores[cache] = (cls, model.likelihoods, sorted((r.doc_id or -1, r.n_known, round(r.base_score, 6), round(r.score, 6))
+                                                     for r in scored))
+    assert scores[1 << 20] == scores[700]
+    cls, likelihoods, _ = scores[700]
+    assert max(likelihoods) > likelihoods[0]
+
+    # the likelihood and the score, from the texts and the classes alone
+    from quarkframe.llm.wordhash import scan
+    import pyarrow as pa
+
+    k = brown.CLASSES
+    table, counts = np.zeros((k, k)), Counter()
+    sequences = []
+    for s in scan(pa.array([t for _, t in rows]), lower=True):
+        keys, bounds = brown._rare_key(s.hashes).tolist(), s.bounds()
+        sequences += [keys[i:j] + [None] for i, j in zip(bounds[:-1], bounds[1:])]
+    of = lambda w: k - 1 if w is None else cls[w]
+    for seq in sequences:
+        counts.update(seq)
+        for a, b in zip([None, *seq], seq):
+            table[of(a), of(b)] += 1
+    assert max(likelihoods) == pytest.approx(brown.likelihood(table))
+    types = Counter(of(w) for w in counts)
+    tokens = sum(counts.values())
+    smooth = (table + brown.ALPHA) / (table + brown.ALPHA).sum(1, keepdims=True)
+    want = []
+    for (i, _), seq in zip(rows, sequences):
+        total = 0.0
+        for a, b in zip([None, *seq], seq):
+            c = of(b)
+            total += math.log10((counts[b] + 1) * (
+                brown.LAMBDA * smooth[of(a), c] / (table[:, c].sum() + types[c] + 1)
+                + (1 - brown.LAMBDA) / (tokens + len(counts) + 1)))
+        want.append((-1 if i is None else i, total))
+    got = sorted((r[0], r[3]) for r in scores[700][2])
+    for (i, a), (j, b) in zip(got, sorted((i or -1, t) for i, t in want)):
+        assert i == j and a == pytest.approx(b, abs=1e-4)
+
+
 @pytest.mark.parametrize("where", ["edge", SMALL])
 def test_op2_targets_and_takings(spark, result, docs, edge_dir, where):
     path = edge_dir if where == "edge" else where
