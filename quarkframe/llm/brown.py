@@ -63,6 +63,9 @@ LAMBDA = 0.95      # weight of the class model
 ALPHA = 0.5        # added to class bigram counts
 END = OWN + TAIL   # unit of the end of a text
 SELF = 2 * CLASSES     # context codes: class before, CLASSES + class after, the word itself after
+CLASS = 255        # as a context code: the word's own class, instead of a count
+ENTRY = np.dtype([("code", "u1"), ("n", "<u4")])     # a context and its count, as rows carry them
+_MOST = (1 << 32) - 1
 FLUSH = 1 << 22    # contexts that a task gathers before it hands on their counts
 
 
@@ -232,6 +235,25 @@ def _keys(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.int32, (at[-1] - at[0]) // 4, at[0]) if data is not None else np.zeros(0, np.int32)
 
 
+def _packed(w: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Contexts, sorted by word, as rows (w, entries)."""
+    entries = np.empty(len(w), ENTRY)
+    entries["code"], entries["n"] = code, n
+    first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, np.int64)
+    offsets = (np.r_[first, len(w)] * ENTRY.itemsize).astype(np.int32)
+    column = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(entries.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(w[first]), column], names=["w", "entries"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(word, entry) of the rows of a batch."""
+    _, offsets, data = batch.column(1).buffers()
+    at = np.frombuffer(offsets, np.int32, batch.num_rows + 1, batch.column(1).offset * 4)
+    size = ENTRY.itemsize
+    return (np.repeat(batch.column(0).to_numpy(), np.diff(at) // size),
+            np.frombuffer(data, ENTRY, (at[-1] - at[0]) // size, at[0]))
+
+
 def _xlogx(v: np.ndarray) -> np.ndarray:
     return v * np.log(np.maximum(v, 1))
 
@@ -365,7 +387,8 @@ class Exchange:
         return out.reshape(k, k)
 
     def contexts(self, pairs: DataFrame, half: int) -> DataFrame:
-        """(w, code, n) of the words of one half, counted in parts."""
+        """(w, entries) of the words of one half, counted in parts; rare words also
+        bring their class."""
         classes, words, k, end = self.classes, self.words, CLASSES, len(self.words)
         active = np.r_[(words >> np.uint64(20)).astype(np.int64) & 1 == half, False]
 
@@ -374,8 +397,7 @@ class Exchange:
 
             def counted() -> pa.RecordBatch:
                 key, n = np.unique(np.concatenate(held), return_counts=True)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(key // 256), pa.array((key % 256).astype(np.int32)), pa.array(n)], names=["w", "code", "n"])
+                return _packed(key >> 8, key & 255, n)
 
             for batch in batches:
                 w = _keys(batch.column(0)).astype(np.int64)
@@ -392,41 +414,66 @@ class Exchange:
             if size:
                 yield counted()
 
-        one = F.lit(1).cast("long")
-        side = lambda w, code: F.struct(F.col(w).alias("w"), code.cast("int").alias("code"))
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                w, code, n = (batch.column(i).to_numpy() for i in range(3))
+                some = np.where(w < 0, (w >> 20) & 1 == half, active[np.maximum(w, 0)])
+                by = np.argsort(w[some], kind="stable")
+                if len(by):
+                    yield _packed(w[some][by], code[some][by], n[some][by])
+
+        side = lambda w, code: F.struct(
+            F.col(w).alias("w"), code.cast("int").alias("code"), F.lit(1).alias("n"))
         same = F.when(F.col("l") == F.col("r"), side("l", F.lit(SELF)))
-        moved = pairs.select(F.explode(F.array(side("r", F.col("cl")), side("l", F.col("cr") + k), same)).alias("x")).select("x.*")
-        hashed = F.when(F.col("w") < 0, F.shiftright("w", 20).bitwiseAND(F.lit(1)) == half)
-        rare = moved.where(hashed)
-        # contexts of cached words that have a rare neighbour
-        known = moved.where("w >= 0").mapInArrow(
-            lambda batches: (b.filter(pa.array(active[b.column(0).to_numpy()])) for b in batches), "w bigint, code int")
-        return self.texts.select("keys").mapInArrow(run, "w bigint, code int, n bigint").unionByName(
-            rare.unionByName(known).select("w", "code", one.alias("n")))
+        near_rare = (pairs.select(F.explode(F.array(side("r", F.col("cl")), side("l", F.col("cr") + k), same)).alias("x"))
+                     .where("x is not null").select("x.w", "x.code", "x.n"))
+        own = self.rare.select("w", F.lit(CLASS).alias("code"), F.col("cls").alias("n"))
+        kind = "w bigint, entries binary"
+        return self.texts.select("keys").mapInArrow(run, kind).unionByName(
+            near_rare.unionByName(own).mapInArrow(pack, kind))
 
     def move(self, table: np.ndarray, pairs: DataFrame, half: int) -> None:
         """Every word of one half goes to its best class."""
         classes = self.classes
-        # rows come counted by task, so one exchange by word is enough for both groupings
-        context = (self.contexts(pairs, half).repartition("w").groupBy("w", "code").agg(F.sum("n").alias("n"))
-                   .groupBy("w").agg(F.collect_list(F.struct("code", "n")).alias("contexts")))
-        context = context.join(self.rare.select("w", F.col("cls").alias("was")).hint("merge"), "w", "left")
+        # a word's rows follow one another; only what they add up to is held
+        context = self.contexts(pairs, half).repartition("w").sortWithinPartitions("w")
+
+        def decide(w: np.ndarray, entry: np.ndarray) -> Iterator[pa.RecordBatch]:
+            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, np.int64)
+            for i in range(0, len(first), 2048):
+                starts = first[i:i + 2048]
+                stop = first[i + 2048] if i + 2048 < len(first) else len(w)
+                some, word = entry[starts[0]:stop], w[starts]
+                of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, stop]))
+                own = classes[np.maximum(word, 0)].astype(np.int64)
+                told = some["code"] == CLASS
+                own[of[told]] = some["n"][told]
+                best = best_classes(table, own, of[~told], some["code"][~told], some["n"][~told].astype(np.int64))
+                moves = best != own
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(word[moves]), pa.array(best[moves].astype(np.int32))], names=["w", "new"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for a in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(a, 2048)
-                    w = batch.column(0).to_numpy()
-                    lists = batch.column(1)
-                    item = lists.flatten()
-                    word = np.repeat(np.arange(len(w)), lists.value_lengths().to_numpy())
-                    own = np.where(w < 0, batch.column(2).fill_null(0).to_numpy(), classes[np.maximum(w, 0)]).astype(np.int64)
-                    best = best_classes(table, own, word, item.field(0).to_numpy(), item.field(1).to_numpy())
-                    moves = best != own
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(w[moves]), pa.array(best[moves].astype(np.int32))], names=["w", "new"])
-
-        moves = store(context.select("w", "contexts", "was").mapInArrow(run, "w bigint, new int"), "brown-moves")
+            last_w, last = np.zeros(0, np.int64), np.zeros(0, ENTRY)       # of the word that may go on
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                w, entry = _unpacked(batch)
+                w, entry = np.concatenate([last_w, w]), np.concatenate([last, entry])
+                cut = int(np.searchsorted(w, w[-1]))
+                yield from decide(w[:cut], entry[:cut])
+                code, at = np.unique(entry["code"][cut:], return_inverse=True)
+                total = np.bincount(at, entry["n"][cut:]).astype(np.int64)
+                # counts beyond an entry's range go on as several entries
+                parts = np.maximum(1, -(-total // _MOST))
+                last = np.empty(int(parts.sum()), ENTRY)
+                last["code"] = np.repeat(code, parts)
+                last["n"] = _MOST
+                last["n"][np.cumsum(parts) - 1] = total - (parts - 1) * _MOST
+                last_w = np.full(len(last), w[-1])
+            yield from decide(last_w, last)
+
+        moves = store(context.mapInArrow(run, "w bigint, new int"), "brown-moves")
         cached = moves.where("w >= 0").toArrow()            # at most CACHE rows
         self.classes = classes.copy()
         self.classes[cached.column("w").to_numpy()] = cached.column("new").to_numpy()
