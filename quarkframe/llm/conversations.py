@@ -17,7 +17,10 @@ other prefix there. The search ends when the stack is empty: optimality is
 proved.
 
 Scale. The first of equal texts is found by a partial aggregate over hashes,
-whose result is a mark that sorts before its row. Rows and marks are dealt out
+whose result is a mark that sorts before its row. Where a task's first row
+comes without a mark, the mark may be the last thing of the task before: that row
+makes a segment of its own, in two versions, of which the walk over the segments
+takes the right one. Rows and marks are dealt out
 by ranges of (conversation, turn, role, text, chance), not by conversation, so
 a conversation, or a row, that makes a third of all rows spreads over as many
 tasks as it needs, and texts cross one shuffle. A conversation that lies inside
@@ -65,6 +68,7 @@ LEGAL = ("su", "ua", "au")
 
 SEGMENT = 1024               # rows searched at a time
 SEGMENT_CHARS = 4_000_000    # characters of text held at a time
+ANY, LATER, FIRST = 0, 1, 2  # versions of a segment: the only one; its row repeats an earlier one, or is the first
 PREFIX = 64                  # characters of a text that decide which task gets its row
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -226,7 +230,7 @@ _TURNS = "turns array<struct<role:string,text:string>>"
 
 
 def _pieces_schema(conv: str) -> str:
-    return (f"conv_id {conv}, task int, k int, whole boolean, {_FIGURES_DDL}, gaps bigint, cost bigint, audit string, "
+    return (f"conv_id {conv}, task int, k int, version int, ends_marked boolean, whole boolean, {_FIGURES_DDL}, gaps bigint, cost bigint, audit string, "
             f"{_TURNS}, rows array<struct<role:string,text:string,forced:bigint>>, "
             "ways array<struct<start:int,goal:int,cost:bigint,audit:string>>")
 
@@ -240,17 +244,18 @@ def _walk(segment: int, segment_chars: int, emit):  # noqa: ANN001, ANN202
         return {"conv_id": conv, "task": task, "k": k, "whole": True, "gaps": p.gaps(), "cost": cost, "audit": audit,
                 "turns": apply_edits(p.rows, 0, audit)} | {f: getattr(p, f) for f in FIGURES}
 
-    def part(conv, task: int, k: int, p: Piece) -> dict:  # noqa: ANN001
+    def part(conv, task: int, k: int, p: Piece, version: int = ANY, ends_marked: bool = False) -> dict:  # noqa: ANN001
         ways = []
         for start in range(4) if p.steps else ():
             for goal in range(4):
                 if found := search(p.steps, start, {goal: (0, "")}):
                     ways.append({"start": start, "goal": goal, "cost": found[0], "audit": found[1]})
-        return {"conv_id": conv, "task": task, "k": k, "whole": False, "ways": ways,
+        return {"conv_id": conv, "task": task, "k": k, "version": version, "ends_marked": ends_marked, "whole": False,
+                "ways": ways,
                 "rows": [{"role": r, "text": t, "forced": f} for r, t, f in p.rows]} | {f: getattr(p, f) for f in FIGURES}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, now, k, edge, p, marked, size = [], (), 0, True, Piece(), False, 0
+        out, now, k, edge, p, marked, size, begun = [], (), 0, True, Piece(), False, 0, False
 
         def ready(row: dict) -> Iterator[pa.RecordBatch]:
             nonlocal out, size
@@ -275,13 +280,21 @@ def _walk(segment: int, segment_chars: int, emit):  # noqa: ANN001, ANN202
                     continue
                 if role is None:               # names its conversation
                     continue
+                if not begun and not marked:   # its mark, if it is a first one, is the last of the task before
+                    for version in (LATER, FIRST):
+                        one = Piece()
+                        one.add(turn, role, text, n, version == FIRST, blank, truncated)
+                        yield from ready(part(conv, task, k, one, version))
+                    k, edge, begun = k + 1, True, True
+                    continue
+                begun = True
                 if len(p.steps) >= segment or p.steps and p.chars + len(text) > segment_chars:
                     yield from ready(part(conv, task, k, p))
                     k, p, edge = k + 1, Piece(), True
                 p.add(turn, role, text, n, marked, blank, truncated)
                 marked = False
         if now:
-            yield from ready(part(now[0], of, k, p))
+            yield from ready(part(now[0], of, k, p, ends_marked=marked))
         if out:
             yield emit(out)
 
@@ -298,6 +311,11 @@ def _chain(emit):  # noqa: ANN001, ANN202
 
     def conversation(conv, segments: list[dict]) -> Iterator[dict]:  # noqa: ANN001
         figures, best, back = Piece(), {0: (0, 0)}, []     # state -> (cost, rank of its audit)
+        marked, every, segments = False, segments, []
+        for g in every:
+            if g["version"] == ANY or (g["version"] == FIRST) == marked:
+                segments.append(g)
+                marked = g["ends_marked"]
         for g in segments:
             figures.follow(Piece(**{f: g[f] for f in FIGURES}))
             if not g["ways"]:
@@ -326,7 +344,7 @@ def _chain(emit):  # noqa: ANN001, ANN202
         if pieces:
             pieces[-1] = (pieces[-1][0], pieces[-1][1] + rest)
         for i, (g, (start, audit)) in enumerate(zip(segments, pieces)):
-            row = {"conv_id": conv, "task": g["task"], "k": g["k"], "start": start, "edits": audit}
+            row = {"conv_id": conv, "task": g["task"], "k": g["k"], "version": g["version"], "start": start, "edits": audit}
             if i == len(pieces) - 1:
                 row |= {f: getattr(figures, f) for f in FIGURES}
                 row |= {"gaps": figures.gaps(), "cost": cost, "audit": "".join(a for _, a in pieces)}
@@ -386,8 +404,9 @@ def repair(rows: DataFrame, segment: int = SEGMENT, segment_chars: int = SEGMENT
 
     figures = ["n", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"]
     parts = pieces.where("not whole")
-    ddl = f"conv_id {conv}, task int, k int, start int, edits string, {_FIGURES_DDL}, gaps bigint, cost bigint, audit string"
-    chosen = store(parts.select("conv_id", "task", "k", *FIGURES, "ways").repartition("conv_id")
+    ddl = (f"conv_id {conv}, task int, k int, version int, start int, edits string, {_FIGURES_DDL}, gaps bigint, "
+           "cost bigint, audit string")
+    chosen = store(parts.select("conv_id", "task", "k", "version", "ends_marked", *FIGURES, "ways").repartition("conv_id")
                    .sortWithinPartitions("conv_id", "task", "k")
                    .mapInArrow(_chain(_emitter(ddl)), ddl), "conversation-edits")
 
@@ -400,7 +419,8 @@ def repair(rows: DataFrame, segment: int = SEGMENT, segment_chars: int = SEGMENT
 
     ddl = f"conv_id {conv}, task int, k int, whole boolean, {_TURNS}"
     to_turns = _emitter(ddl)
-    edited = (parts.select("conv_id", "task", "k", "rows").join(chosen.select("task", "k", "start", "edits"), ["task", "k"])
+    piece = ["task", "k", "version"]
+    edited = (parts.select("conv_id", *piece, "rows").join(chosen.select(*piece, "start", "edits"), piece)
               .select("conv_id", "task", "k", "rows", "start", "edits").mapInArrow(edit, ddl))
     whole = pieces.where("whole")
     return Repair(whole.select("conv_id", *figures).unionByName(

@@ -177,6 +177,24 @@ def test_op11_a_hot_conversation_spreads_over_tasks(spark, tmp_path):
     assert len(tasks) >= 6 and max(tasks.values()) < 0.3 * sum(tasks.values())
 
 
+def test_op11_tasks_that_begin_anywhere_change_nothing(spark, tmp_path):
+    """With many small tasks some begin between a row and the mark that it is the first of its kind."""
+    rows = conversation_rows()
+    table = spark.read.parquet(write_conversations(tmp_path, rows) + "/conversations.parquet")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "60"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        fixed = C.repair(C.damaged(table))
+        digests = C.digests(fixed.turns).withColumnRenamed("conv_id", "of")
+        got = collected(fixed.report.join(digests, fixed.report.conv_id.eqNullSafe(digests["of"])))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_conversations(rows)
+
+
 def test_op11_search_equals_uniform_cost_search():
     r = random.Random(1)
     for _ in range(400):
