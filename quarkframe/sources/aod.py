@@ -64,7 +64,7 @@ def aod_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not path_exists(spark, path + "/_SUCCESS"):
         parent, name = path.rsplit("/", 1)
         tmp = f"{parent}/_building-{name}-{uuid.uuid4().hex[:12]}"
-        rows.write.parquet(tmp)
+        rows.write.option("compression", "zstd").parquet(tmp)
         publish(spark, tmp, path)
     return spark.read.schema(rows.schema).parquet(path)
 
