@@ -318,3 +318,16 @@ def test_rows_of_a_job_label_name_its_run(spark):
     tables = _metric_rows(spark)
     rows = nested_jobs(tables | {"jobs": tables["jobs"].withColumn("label", F.concat("run", F.lit("+")))}).collect()
     assert {r.run for r in rows} == {"14_70__a+", "7_35__b+"} and len(rows) == 5
+
+
+def test_repeated_jobs_are_one_in_each_of_their_runs(spark):
+    from quarkframe.sources.metrics_json import nested_jobs
+
+    tables = _metric_rows(spark)
+    jobs = tables["jobs"].withColumn("label", F.lit("14_70__x"))
+    jobs = jobs.unionByName(jobs).unionByName(jobs.withColumn("label", F.lit("7_70__y")))
+    rows = nested_jobs(tables | {"jobs": jobs, "stages": tables["stages"].unionByName(tables["stages"])}).collect()
+    once = {(r.id, len(r.stages), sum(len(s.tasks) for s in r.stages.values())) for r in nested_jobs(tables).collect()}
+    for run in ("14_70__x", "7_70__y"):
+        got = [(r.id, len(r.stages), sum(len(s.tasks) for s in r.stages.values())) for r in rows if r.run == run]
+        assert len(got) == 5 and set(got) == once
