@@ -17,8 +17,10 @@ then moves to its best class, in Arrow tasks. The round with the highest
 likelihood is kept. A word that training has not seen has its ending's class.
 
 Classes and counts of the (at most) ``CACHE`` most frequent words are looked up
-in the tasks, those of all others are met by a shuffle join, in which no key is
-hot, as frequent words have left. The cache changes no result, only the way.
+in the tasks. Every other word is a row with its class and its neighbours in the
+cache, so that a task that reads the row knows both classes of these bigrams. Only
+bigrams of two such words are met by a shuffle join, in which no key is hot, as
+frequent words have left. The cache changes no result, only the way.
 
 The score of a text is the sum over its tokens of
 
@@ -65,6 +67,7 @@ END = OWN + TAIL   # unit of the end of a text
 SELF = 2 * CLASSES     # context codes: class before, CLASSES + class after, the word itself after
 CLASS = 255        # as a context code: the word's own class, instead of a count
 ENTRY = np.dtype([("code", "u1"), ("n", "<u4")])     # a context and its count, as rows carry them
+UNIT = np.dtype([("code", "<u2"), ("n", "<u4")])     # likewise a unit
 _MOST = (1 << 32) - 1
 FLUSH = 1 << 22    # contexts that a task gathers before it hands on their counts
 
@@ -98,22 +101,6 @@ def _endings(s: Slice) -> np.ndarray:
     return (mix(code) % np.uint64(TAIL)).astype(np.int64) + OWN
 
 
-def _units(s: Slice, head: np.ndarray, head_unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit, is a head word, its place in the head table) of every word."""
-    at = np.searchsorted(head, s.hashes).clip(0, max(len(head) - 1, 0))
-    known = head[at] == s.hashes if len(head) else np.zeros(len(s.hashes), bool)
-    unit = _endings(s)
-    unit[known] = head_unit[at[known]]
-    return unit, known, at
-
-
-def _with_ends(s: Slice, unit: np.ndarray) -> np.ndarray:
-    """Units of the slice's texts, an END after each."""
-    out = np.full(len(unit) + s.rows, END, np.int64)
-    out[np.arange(len(unit)) + s.row] = unit
-    return out
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """(h, unit, c): count of every word (by hash) with its tail unit."""
 
@@ -124,37 +111,78 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 hashes.append(s.hashes)
                 units.append(_endings(s))
             if hashes:
-                h, first, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
+                h, n = np.unique(np.concatenate(hashes), return_counts=True)
+                places, unit = Places(h), np.zeros(len(h), np.int32)
+                for some, of in zip(hashes, units):
+                    unit[places.find(some)[0]] = of
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(np.concatenate(units)[first].astype(np.int32)),
+                    [pa.array(h.view(np.int64)), pa.array(unit),
                      pa.array(n.astype(np.int64))], names=["h", "unit", "c"])
 
     return (texts.select("text").mapInArrow(run, "h bigint, unit int, c bigint")
             .groupBy("h").agg(F.first("unit").alias("unit"), F.sum("c").alias("c")))
 
 
-def unit_bigrams(texts: DataFrame, head: np.ndarray, head_unit: np.ndarray) -> DataFrame:
-    """(pair, n): pair = left unit * (END + 1) + right unit, over all texts."""
+def keyed(texts: DataFrame, words: np.ndarray, own: np.ndarray, own_unit: np.ndarray) -> DataFrame:
+    """Texts as (keys, rare, units), each closed by the end: the places of its words in
+    the sorted ``words`` (the end: behind the last), -1 for others, whose keys and
+    starting units follow in the order of the text."""
+    end = len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = END + 1
-        total = np.zeros(0, np.int64)     # sums of the task so far: bounded by the matrix
+        places, owns = Places(words), Places(own)
         for batch in batches:
             for s in scan(batch.column(0), lower=True):
-                u = _with_ends(s, _units(s, head, head_unit)[0])
-                pair = np.concatenate([[END], u[:-1]]) * size + u
-                if not len(total):
-                    total = np.zeros(size * size, np.int32)
-                at, n = np.unique(pair, return_counts=True)
+                at, known = places.find(s.hashes)
+                keys = np.full(len(at) + s.rows, end, np.int32)
+                keys[np.arange(len(at)) + s.row] = np.where(known, at, -1)
+                raw, open_ = keys.tobytes(), np.flatnonzero(~known)
+                ends = np.r_[0, np.cumsum(s.counts + 1)] * 4
+                offsets = pa.array(np.searchsorted(open_, s.bounds()).astype(np.int32))
+                units, (place, is_own) = _endings(s)[open_], owns.find(s.hashes[open_])
+                units[is_own] = own_unit[place[is_own]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([raw[i:j] for i, j in zip(ends[:-1], ends[1:])], pa.binary()),
+                     pa.ListArray.from_arrays(offsets, pa.array(_rare_key(s.hashes[open_]))),
+                     pa.ListArray.from_arrays(offsets, pa.array(units.astype(np.int16)))],
+                    names=["keys", "rare", "units"])
+
+    return texts.select("text").mapInArrow(run, "keys binary, rare array<bigint>, units array<smallint>")
+
+
+def unit_bigrams(texts: DataFrame, units: np.ndarray) -> DataFrame:
+    """(pair, n): pair = left unit * (END + 1) + right unit, over all texts (as keys).
+    ``units``: of cached words and the end, by place. Sums of a task are bounded by the
+    matrix; a left unit's row of it is summed over the tasks in one place."""
+    size = END + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int32)
+        for batch in batches:
+            w = _keys(batch.column(0))
+            u = units[w]
+            u[w < 0] = batch.column(1).flatten().to_numpy()
+            for i in range(0, len(u), 1 << 20):
+                right = u[i:i + (1 << 20)].astype(np.int32)
+                left = np.r_[np.int32(u[i - 1] if i else END), right[:-1]]
+                at, n = np.unique(left * np.int32(size) + right, return_counts=True)
                 total[at] += n.astype(np.int32)
         at = np.flatnonzero(total)
+        yield _packed(at // size, at % size, total[at], UNIT)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):      # a row is at most a row of the matrix
+                left, entry = _unpacked(batch.slice(i, 256), UNIT)
+                np.add.at(total, left * size + entry["code"], entry["n"].astype(np.int64))
+        at = np.flatnonzero(total)
         for i in range(0, len(at), 1 << 20):
             part = at[i:i + (1 << 20)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array(total[part].astype(np.int64))], names=["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["pair", "n"])
 
-    return (texts.select("text").mapInArrow(run, "pair bigint, n bigint")
-            .groupBy("pair").agg(F.sum("n").alias("n")))
+    return (texts.select("keys", "units").mapInArrow(run, "w bigint, entries binary")
+            .repartition("w").mapInArrow(add, "pair bigint, n bigint"))
 
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = SWEEPS) -> np.ndarray:
@@ -217,10 +245,28 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = SWEEPS)
     return cls
 
 
-def _find(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the sorted ``words``, is it there) of each hash."""
-    at = np.searchsorted(words, hashes).clip(0, max(len(words) - 1, 0))
-    return at, words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
+class Places:
+    """Places of hashes in the sorted ``words``, by an index of their leading bits."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        bits = max(1, len(words).bit_length())
+        self.words, self.shift = words, np.uint64(64 - bits)
+        self.index = np.searchsorted(words, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, is it there) of each hash."""
+        words = self.words
+        if not len(words):
+            return np.zeros(len(hashes), np.int32), np.zeros(len(hashes), bool)
+        last = len(words) - 1
+        at = self.index[(hashes >> self.shift).view(np.int64)].clip(0, last)
+        open_ = np.flatnonzero(words[at] < hashes)
+        while len(open_):                  # a few words share their leading bits
+            at[open_] += 1
+            open_ = open_[at[open_] <= last]
+            open_ = open_[words[at[open_]] < hashes[open_]]
+        at = at.clip(0, last)
+        return at, words[at] == hashes
 
 
 def _rare_key(hashes: np.ndarray) -> np.ndarray:
@@ -228,30 +274,33 @@ def _rare_key(hashes: np.ndarray) -> np.ndarray:
     return (hashes | np.uint64(1 << 63)).view(np.int64)
 
 
+def _offsets(column: pa.Array) -> np.ndarray:
+    """Where the values of a binary column start, and the last one's end."""
+    return np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+
+
 def _keys(texts: pa.Array) -> np.ndarray:
     """The keys of all texts of a batch, one after the other."""
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4)
+    at, data = _offsets(texts), texts.buffers()[2]
     return np.frombuffer(data, np.int32, (at[-1] - at[0]) // 4, at[0]) if data is not None else np.zeros(0, np.int32)
 
 
-def _packed(w: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _packed(w: np.ndarray, code: np.ndarray, n: np.ndarray, kind: np.dtype = ENTRY) -> pa.RecordBatch:
     """Contexts, sorted by word, as rows (w, entries)."""
-    entries = np.empty(len(w), ENTRY)
+    entries = np.empty(len(w), kind)
     entries["code"], entries["n"] = code, n
     first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, np.int64)
-    offsets = (np.r_[first, len(w)] * ENTRY.itemsize).astype(np.int32)
+    offsets = (np.r_[first, len(w)] * kind.itemsize).astype(np.int32)
     column = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(entries.tobytes())])
     return pa.RecordBatch.from_arrays([pa.array(w[first]), column], names=["w", "entries"])
 
 
-def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(batch: pa.RecordBatch, kind: np.dtype = ENTRY) -> tuple[np.ndarray, np.ndarray]:
     """(word, entry) of the rows of a batch."""
-    _, offsets, data = batch.column(1).buffers()
-    at = np.frombuffer(offsets, np.int32, batch.num_rows + 1, batch.column(1).offset * 4)
-    size = ENTRY.itemsize
+    at, data = _offsets(batch.column(1)), batch.column(1).buffers()[2]
+    size = kind.itemsize
     return (np.repeat(batch.column(0).to_numpy(), np.diff(at) // size),
-            np.frombuffer(data, ENTRY, (at[-1] - at[0]) // size, at[0]))
+            np.frombuffer(data, kind, (at[-1] - at[0]) // size, at[0]))
 
 
 def _xlogx(v: np.ndarray) -> np.ndarray:
@@ -270,8 +319,7 @@ def best_classes(table: np.ndarray, own: np.ndarray, word: np.ndarray, code: np.
     size, k = len(own), len(table)
     table = table.astype(float)
     i = np.arange(size)
-    both = np.zeros((size, 2 * k + 1))
-    np.add.at(both, (word, code), n)
+    both = np.bincount(word * (2 * k + 1) + code, n, size * (2 * k + 1)).reshape(size, 2 * k + 1)
     left, right, self_ = both[:, :k], both[:, k:2 * k], both[:, 2 * k]
     n_left, n_right = left.sum(1), right.sum(1)
     # class bigrams without the word: its own row, column and their crossing
@@ -282,92 +330,170 @@ def best_classes(table: np.ndarray, own: np.ndarray, word: np.ndarray, code: np.
     gain = np.zeros((size, k))
     for new, cells, mine, across in ((right0, table, right, left), (left0, table.T, left, right)):
         w, j = np.nonzero(new)                         # the cells (b, j) for every class b
-        base = cells[:, j].T.copy()
-        at_own = j == own[w]
-        base[at_own] -= across[w[at_own]]
+        n_new, at_own = new[w, j], j == own[w]
+        # classes other than the word's own gain by (j, count) alone
+        kinds, kind = np.unique(n_new.astype(np.int64) * k + j, return_inverse=True)
+        base = cells[:, kinds % k].T
+        grown = (_xlogx(base + (kinds // k)[:, None]) - _xlogx(base))[kind]
+        base = cells[:, j[at_own]].T - across[w[at_own]]
+        grown[at_own] = _xlogx(base + n_new[at_own][:, None]) - _xlogx(base)
         e = np.arange(len(w))
-        base[e, own[w]] = np.where(at_own, crossing[w], cells[own[w], j] - mine[w, j])
-        grown = _xlogx(base + new[w, j][:, None]) - _xlogx(base)
+        base = np.where(at_own, crossing[w], cells[own[w], j] - mine[w, j])
+        grown[e, own[w]] = _xlogx(base + n_new) - _xlogx(base)
         grown[e, j] = 0.0                              # the cell (b, b) comes below
         if len(w):
             first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
             gain[w[first]] += np.add.reduceat(grown, first, axis=0)
-    cell = np.broadcast_to(np.diag(table), (size, k)).copy()
-    cell[i, own] = crossing
-    gain += _xlogx(cell + left0 + right0 + self_[:, None]) - _xlogx(cell)
+    cell, new = np.diag(table), left0 + right0 + self_[:, None]
+    w, j = np.nonzero(new)
+    grown = np.zeros((size, k))
+    grown[w, j] = _xlogx(cell[j] + new[w, j]) - _xlogx(cell[j])
+    grown[i, own] = _xlogx(crossing + new[i, own]) - _xlogx(crossing)
+    gain += grown
     for total, mine in ((table.sum(1), n_right), (table.sum(0), n_left)):
-        rest = np.broadcast_to(total, (size, k)).copy()
-        rest[i, own] -= mine
-        gain -= _xlogx(rest + mine[:, None]) - _xlogx(rest)
+        kinds, kind = np.unique(mine, return_inverse=True)
+        grown = (_xlogx(total + kinds[:, None]) - _xlogx(total))[kind]
+        rest = total[own] - mine
+        grown[i, own] = _xlogx(rest + mine) - _xlogx(rest)
+        gain -= grown
     gain = gain[:, :k - 1]                             # the last class is the end's
     best = gain.argmax(1)
     return np.where(gain[i, best] > gain[i, own] + 1e-9, best, own)
 
 
+def _by_bytes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches of rare words, cut where their neighbours exceed ``FLUSH`` bytes."""
+    for batch in batches:
+        ends = _offsets(batch.column(column))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, int(ends[a]) + FLUSH, side="right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def _neighbours(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, is it after) of the cached neighbours of a batch of rare words."""
+    near = _keys(batch.column(column))
+    return (np.repeat(np.arange(batch.num_rows), np.diff(_offsets(batch.column(column))) // 4),
+            near >> 1, (near & 1).astype(bool))
+
+
+def _counted(keys: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows (w, entries) of contexts given as w * 256 + code, counted in the task."""
+    held, size = [], 0
+
+    def rows() -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return _packed(key >> 8, key & 255, n)
+
+    for some in keys:
+        held += some
+        size += sum(len(x) for x in some)
+        if size >= FLUSH:
+            yield rows()
+            held, size = [], 0
+    if size:
+        yield rows()
+
+
+def rare_words(texts: DataFrame, counts: DataFrame, end: int, own: np.ndarray, own_unit: np.ndarray,
+               unit_class: np.ndarray) -> DataFrame:
+    """(w, c, cls, mixed, near) of the words (h, unit, c) outside the cache. near: their
+    cached neighbours in all texts, as place * 2 + (1 if it comes after); as rare
+    words are rare, they are few. mixed: some neighbour is rare as well."""
+    told, met = -2, -1            # in place of a neighbour: the word's row, a rare neighbour
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = _keys(batch.column(0)).astype(np.int64)
+            w[w < 0] = batch.column(1).flatten().to_numpy()
+            before = np.r_[end, w[:-1]][:len(w)]
+            here, there = w < 0, before < 0
+            one, other, both = here & ~there, there & ~here, here & there
+            word = np.concatenate([w[one], before[other], w[both], before[both]])
+            at = np.concatenate([before[one] * 2, w[other] * 2 + 1, np.full(2 * int(both.sum()), met)])
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.int64())],
+                                             names=["w", "at", "n"])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns = Places(own)
+        for batch in batches:
+            w, unit, c = (batch.column(i).to_numpy() for i in range(3))
+            at, is_own = owns.find(w.view(np.uint64))
+            unit = np.where(is_own, own_unit[at] if len(own) else 0, unit)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_rare_key(w.view(np.uint64))), pa.array(np.full(len(w), told, np.int32)),
+                 pa.array(c * 256 + unit_class[unit])], names=["w", "at", "n"])
+
+    def rows(w: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, np.int64)
+        size, of = len(first), np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(w)]))
+        row, some = at == told, at >= 0
+        cls = np.zeros(size, np.int32)
+        cls[of[row]] = n[row] & 255
+        c = np.bincount(of[row], n[row] >> 8, size).astype(np.int64)
+        mixed = np.bincount(of[at == met], minlength=size) > 0
+        offsets = np.r_[0, np.cumsum(np.bincount(of[some], minlength=size))].astype(np.int32) * 4
+        near = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(at[some].tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(c), pa.array(cls), pa.array(mixed), near],
+                                          names=["w", "c", "cls", "mixed", "near"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]    # of the word that may go on
+        for batch in batches:
+            if batch.num_rows:
+                now = [np.concatenate([a, batch.column(i).fill_null(0).to_numpy()]) for i, a in enumerate(rest)]
+                cut = int(np.searchsorted(now[0], now[0][-1]))
+                yield rows(*(a[:cut] for a in now))
+                rest = [a[cut:] for a in now]
+        yield rows(*rest)
+
+    kind = "w bigint, at int, n bigint"
+    return (texts.select("keys", "rare").mapInArrow(seen, kind).unionByName(counts.mapInArrow(known, kind))
+            .repartition("w").sortWithinPartitions("w")
+            .mapInArrow(gather, "w bigint, c bigint, cls int, mixed boolean, near binary"))
+
+
 class Exchange:
     """Training texts as word keys, and the classes of the moment: ``classes`` by
-    place for cached words (and the end, last), ``rare`` (w, c, cls) for others."""
+    place for cached words (and the end, last); rare words as rows (w, c, cls, near),
+    ``alone`` if all their neighbours are cached, else ``mixed``."""
 
     def __init__(self, texts: DataFrame, words: np.ndarray, classes: np.ndarray, rare: DataFrame) -> None:
-        self.words, self.classes, self.rare = words, classes, rare
+        self.texts, self.words, self.classes = texts, words, classes
+        self.alone, self.mixed = (rare.where(c).drop("mixed") for c in ("not mixed", "mixed"))
         end = len(words)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for s in scan(batch.column(0), lower=True):
-                    at, known = _find(words, s.hashes)
-                    keys = np.full(len(at) + s.rows, end, np.int32)
-                    keys[np.arange(len(at)) + s.row] = np.where(known, at, -1)
-                    raw, open_ = keys.tobytes(), np.flatnonzero(~known)
-                    ends = np.r_[0, np.cumsum(s.counts + 1)] * 4
-                    offsets = np.searchsorted(open_, s.bounds()).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([raw[i:j] for i, j in zip(ends[:-1], ends[1:])], pa.binary()),
-                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(_rare_key(s.hashes[open_])))],
-                        names=["keys", "rare"])
-
-        # a row holds a text, closed by the end
-        self.texts = store(texts.select("text").mapInArrow(run, "keys binary, rare array<bigint>"), "brown-keys")
-        self.pairs = store(self.texts.mapInArrow(self._rare_pairs(), "l bigint, r bigint"), "brown-pairs")
-
-    def _rare_pairs(self):  # noqa: ANN202
-        end = len(self.words)
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 w = _keys(batch.column(0)).astype(np.int64)
                 w[w < 0] = batch.column(1).flatten().to_numpy()
                 before = np.r_[end, w[:-1]][:len(w)]
-                some = (w < 0) | (before < 0)
+                some = (w < 0) & (before < 0)
                 yield pa.RecordBatch.from_arrays([pa.array(before[some]), pa.array(w[some])], names=["l", "r"])
 
-        return run
+        self.pairs = store(texts.select("keys", "rare").mapInArrow(run, "l bigint, r bigint"), "brown-pairs")
+
+    def rare(self) -> DataFrame:
+        return self.alone.unionByName(self.mixed)
 
     def classed_pairs(self) -> DataFrame:
-        """(l, r, cl, cr): the bigrams with a rare word and their classes. Cached
-        words have no partner in the join; their rows get keys of their own."""
-        classes, spread = self.classes, F.xxhash64("l", "r").bitwiseAND(F.lit((1 << 63) - 1))
-        pairs = self.pairs.select("l", "r", *[F.when(F.col(c) < 0, F.col(c)).otherwise(spread).alias(c + "k") for c in "lr"])
+        """(l, r, cl, cr): the bigrams of two rare words and their classes."""
+        pairs = self.pairs
         for c in "lr":
-            side = self.rare.select(F.col("w").alias(c + "k"), F.col("cls").alias("c" + c))
-            pairs = pairs.join(side.hint("merge"), c + "k", "left")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = [batch.column(0), batch.column(1)]
-                for i in (0, 1):
-                    w = batch.column(i).to_numpy()
-                    c = batch.column(i + 2).fill_null(0).to_numpy()
-                    out.append(pa.array(np.where(w < 0, c, classes[np.maximum(w, 0)]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(out, names=["l", "r", "cl", "cr"])
-
-        return store(pairs.select("l", "r", "cl", "cr").mapInArrow(run, "l bigint, r bigint, cl int, cr int"),
-                     "brown-classed")
+            side = self.mixed.select(F.col("w").alias(c), F.col("cls").alias("c" + c))
+            pairs = pairs.join(side.hint("merge"), c)
+        return store(pairs.select("l", "r", "cl", "cr"), "brown-classed")
 
     def table(self, pairs: DataFrame) -> np.ndarray:
         """Class bigrams of all training texts."""
         classes, k, end = self.classes, CLASSES, len(self.words)
 
+        def cells(total: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(k * k, np.int64)
             for batch in batches:
@@ -375,66 +501,85 @@ class Exchange:
                 before = np.r_[np.int32(end), w[:-1]][:len(w)]
                 c, b = classes[w].astype(np.int64), classes[before].astype(np.int64)
                 total += np.bincount((b * k + c)[(w >= 0) & (before >= 0)], minlength=k * k)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+            yield cells(total)
 
-        cells = (self.texts.select("keys").mapInArrow(run, "cell int, n bigint")
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(k * k, np.int64)
+            for batch in _by_bytes(batches, 1):
+                of, place, after = _neighbours(batch, 1)
+                mine, other = batch.column(0).to_numpy()[of], classes[place].astype(np.int64)
+                total += np.bincount(np.where(after, mine * k + other, other * k + mine), minlength=k * k)
+            yield cells(total)
+
+        kind = "cell int, n bigint"
+        found = (self.texts.select("keys").mapInArrow(run, kind)
+                 .unionByName(self.rare().select("cls", "near").mapInArrow(near, kind))
                  .unionByName(pairs.select((F.col("cl") * k + F.col("cr")).alias("cell"), F.lit(1).cast("long").alias("n")))
                  .groupBy("cell").agg(F.sum("n").alias("n")).collect())
         out = np.zeros(k * k, np.int64)
-        for r in cells:
+        for r in found:
             out[r["cell"]] = r["n"]
         return out.reshape(k, k)
 
     def contexts(self, pairs: DataFrame, half: int) -> DataFrame:
-        """(w, entries) of the words of one half, counted in parts; rare words also
-        bring their class."""
+        """(w, entries) of the words of one half, counted in parts, but for those
+        alone; rare words also bring their class."""
         classes, words, k, end = self.classes, self.words, CLASSES, len(self.words)
         active = np.r_[(words >> np.uint64(20)).astype(np.int64) & 1 == half, False]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, size = [], 0
-
-            def counted() -> pa.RecordBatch:
-                key, n = np.unique(np.concatenate(held), return_counts=True)
-                return _packed(key >> 8, key & 255, n)
-
+            def keys() -> Iterator[list[np.ndarray]]:
+                for batch in batches:
+                    w = _keys(batch.column(0)).astype(np.int64)
+                    before = np.r_[end, w[:-1]][:len(w)]
+                    some = (w >= 0) & (before >= 0)
+                    w, before = w[some], before[some]
+                    a, b = active[w], active[before]
+                    yield [w[a] * 256 + classes[before[a]], before[b] * 256 + k + classes[w[b]],
+                           w[a & (w == before)] * 256 + SELF]
+
+            return _counted(keys())
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def keys() -> Iterator[list[np.ndarray]]:
+                for batch in _by_bytes(batches, 1):
+                    of, place, after = _neighbours(batch, 1)
+                    a = active[place]
+                    yield [place[a].astype(np.int64) * 256 + batch.column(0).to_numpy()[of[a]] + np.where(after[a], 0, k)]
+
+            return _counted(keys())
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _by_bytes(batches, 2):
+                w, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                some = np.flatnonzero((w >> 20) & 1 == half)
+                if len(some):
+                    of, place, after = _neighbours(batch, 2)
+                    a = (w[of] >> 20) & 1 == half
+                    row = np.r_[some, of[a]]
+                    by = np.argsort(row, kind="stable")
+                    yield _packed(w[row][by], np.r_[np.full(len(some), CLASS), classes[place[a]] + np.where(after[a], k, 0)][by],
+                                  np.r_[cls[some], np.ones(int(a.sum()), np.int64)][by])
+
+        def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                w = _keys(batch.column(0)).astype(np.int64)
-                before = np.r_[end, w[:-1]][:len(w)]
-                some = (w >= 0) & (before >= 0)
-                w, before = w[some], before[some]
-                a, b = active[w], active[before]
-                held += [w[a] * 256 + classes[before[a]], before[b] * 256 + k + classes[w[b]],
-                         w[a & (w == before)] * 256 + SELF]
-                size += sum(len(x) for x in held[-3:])
-                if size >= FLUSH:
-                    yield counted()
-                    held, size = [], 0
-            if size:
-                yield counted()
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                w, code, n = (batch.column(i).to_numpy() for i in range(3))
-                some = np.where(w < 0, (w >> 20) & 1 == half, active[np.maximum(w, 0)])
+                l, r, cl, cr = (batch.column(i).to_numpy() for i in range(4))  # noqa: E741
+                same = l[l == r]
+                w, code = np.concatenate([r, l, same]), np.concatenate([cl, cr + k, np.full(len(same), SELF)])
+                some = (w >> 20) & 1 == half
                 by = np.argsort(w[some], kind="stable")
                 if len(by):
-                    yield _packed(w[some][by], code[some][by], n[some][by])
-
-        side = lambda w, code: F.struct(
-            F.col(w).alias("w"), code.cast("int").alias("code"), F.lit(1).alias("n"))
-        same = F.when(F.col("l") == F.col("r"), side("l", F.lit(SELF)))
-        near_rare = (pairs.select(F.explode(F.array(side("r", F.col("cl")), side("l", F.col("cr") + k), same)).alias("x"))
-                     .where("x is not null").select("x.w", "x.code", "x.n"))
-        own = self.rare.select("w", F.lit(CLASS).alias("code"), F.col("cls").alias("n"))
+                    yield _packed(w[some][by], code[some][by], np.ones(len(by), np.int64))
+
         kind = "w bigint, entries binary"
-        return self.texts.select("keys").mapInArrow(run, kind).unionByName(
-            near_rare.unionByName(own).mapInArrow(pack, kind))
+        return (self.texts.select("keys").mapInArrow(run, kind)
+                .unionByName(self.rare().select("cls", "near").mapInArrow(near, kind))
+                .unionByName(self.mixed.select("w", "cls", "near").mapInArrow(own, kind))
+                .unionByName(pairs.mapInArrow(both, kind)))
 
     def move(self, table: np.ndarray, pairs: DataFrame, half: int) -> None:
         """Every word of one half goes to its best class."""
-        classes = self.classes
+        classes, k = self.classes, CLASSES
         # a word's rows follow one another; only what they add up to is held
         context = self.contexts(pairs, half).repartition("w").sortWithinPartitions("w")
 
@@ -473,35 +618,38 @@ class Exchange:
                 last_w = np.full(len(last), w[-1])
             yield from decide(last_w, last)
 
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _by_bytes(batches, 3):
+                w, cls = batch.column(0).to_numpy(), batch.column(2).to_numpy().copy()
+                of, place, after = _neighbours(batch, 3)
+                code = classes[place] + np.where(after, k, 0)
+                some = np.flatnonzero((w >> 20) & 1 == half)
+                for i in range(0, len(some), 2048):
+                    part = some[i:i + 2048]
+                    a = slice(*np.searchsorted(of, [part[0], part[-1] + 1]))
+                    here = (w[of[a]] >> 20) & 1 == half
+                    word = np.searchsorted(part, of[a][here])
+                    cls[part] = best_classes(table, cls[part].astype(np.int64), word, code[a][here], np.ones(len(word)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls), batch.column(3)],
+                                                 names=["w", "c", "cls", "near"])
+
         moves = store(context.mapInArrow(run, "w bigint, new int"), "brown-moves")
         cached = moves.where("w >= 0").toArrow()            # at most CACHE rows
+        kind = "w bigint, c bigint, cls int, near binary"
+        self.alone = store(self.alone.select("w", "c", "cls", "near").mapInArrow(alone, kind), "brown-alone")
+        self.mixed = store(self.mixed.join(moves.where("w < 0").hint("merge"), "w", "left")
+                           .select("w", "c", F.coalesce("new", "cls").alias("cls"), "near"), "brown-mixed")
         self.classes = classes.copy()
         self.classes[cached.column("w").to_numpy()] = cached.column("new").to_numpy()
-        self.rare = store(self.rare.join(moves.where("w < 0").hint("merge"), "w", "left")
-                          .select("w", "c", F.coalesce("new", "cls").alias("cls")), "brown-rare")
-
-
-def _start(train: DataFrame, counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (sorted) of the words with a unit of their own, their units, and
-    the class of every unit after the starting exchange."""
-    top = np.array([r["h"] for r in counts.orderBy(F.desc("c"), "h").limit(OWN).collect()], np.int64).view(np.uint64)
-    by = np.argsort(top)
-    own, own_unit = top[by], by.astype(np.int64)
-    pairs = unit_bigrams(train, own, own_unit).toArrow()      # at most (END + 1) squared numbers
-    size = END + 1
-    bigrams = np.zeros(size * size, np.int64)
-    bigrams[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
-    return own, own_unit, exchange(bigrams.reshape(size, size))
 
 
 def fit(train: DataFrame) -> Model:
     """Classes and counts of all words, from all rows (text)."""
     counts = store(word_counts(train), "brown-counts")
-    own, own_unit, unit_class = _start(train, counts)
-
-    def classed(h: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        at, known = _find(own, h)
-        return unit_class[np.where(known, own_unit[at] if len(own) else 0, unit)]
+    # words with a unit of their own
+    top = np.array([r["h"] for r in counts.orderBy(F.desc("c"), "h").limit(OWN).collect()], np.int64).view(np.uint64)
+    own_unit = np.argsort(top)
+    own = top[own_unit]
 
     # the cache: all words above a count that lets at most CACHE in
     step = F.floor(F.log2("c") * 16).cast("int")
@@ -514,24 +662,27 @@ def fit(train: DataFrame) -> Model:
     words = cached.column("h").to_numpy().view(np.uint64)
     by = np.argsort(words)
     words, word_counts_ = words[by], cached.column("c").to_numpy()[by]
-    classes = np.r_[classed(words, cached.column("unit").to_numpy()[by]), CLASSES - 1].astype(np.uint8)
+    units = np.r_[cached.column("unit").to_numpy()[by], END].astype(np.int16)
+    at, known = Places(own).find(words)
+    units[:-1][known] = own_unit[at[known]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_rare_key(h)), batch.column(2), pa.array(classed(h, batch.column(1).to_numpy()).astype(np.int32))],
-                names=["w", "c", "cls"])
+    texts = store(keyed(train, words, own, own_unit), "brown-keys")
+    pairs = unit_bigrams(texts, units).toArrow()              # at most (END + 1) squared numbers
+    size = END + 1
+    bigrams = np.zeros(size * size, np.int64)
+    bigrams[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
+    unit_class = exchange(bigrams.reshape(size, size))        # the starting exchange
 
-    rare = store(counts.where(step < least).mapInArrow(run, "w bigint, c bigint, cls int"), "brown-rare")
-    work = Exchange(train, words, classes, rare)
+    rest = counts.where(step < least).select("h", "unit", "c")
+    rare = store(rare_words(texts, rest, len(words), own, own_unit, unit_class), "brown-rare")
+    work = Exchange(texts, words, unit_class[units].astype(np.uint8), rare)
     best, seen = None, []
     for k in range(ROUNDS + 1):
         pairs = work.classed_pairs()
         table = work.table(pairs)
         seen.append(likelihood(table))
         if best is None or seen[-1] > best[0]:
-            best = (seen[-1], work.classes, work.rare, table)
+            best = (seen[-1], work.classes, work.rare(), table)
         if k < ROUNDS:
             work.move(table, pairs, k % 2)
     _, classes, rare, table = best
@@ -560,10 +711,10 @@ def score(docs: DataFrame, model: Model, extra: Column) -> DataFrame:
     asked_type = pa.list_(pa.struct([("p", pa.int32()), ("w", pa.int64())]))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_count, end_log = np.log10(counts + 1.0), np.log10(end_count + 1.0)
+        places, log_count, end_log = Places(words), np.log10(counts + 1.0), np.log10(end_count + 1.0)
         for batch in batches:
             for s in scan(batch.column(0), lower=True):
-                at, known = _find(words, s.hashes)
+                at, known = places.find(s.hashes)
                 c = unit_class[_endings(s)]
                 c[known] = classes[at[known]]
                 bounds = s.bounds()

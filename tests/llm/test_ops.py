@@ -198,6 +198,61 @@ def test_op1_every_word_is_exchanged_and_the_cache_changes_nothing(spark, monkey
         assert i == j and a == pytest.approx(b, abs=1e-4)
 
 
+def test_op1_only_bigrams_of_two_rare_words_are_joined(spark, monkeypatch):
+    import pyarrow as pa
+
+    from quarkframe.llm import brown
+    from quarkframe.llm.wordhash import scan
+
+    made = []
+
+    class Kept(brown.Exchange):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append((self.words, self.pairs, self.alone, self.mixed))
+
+    monkeypatch.setattr(brown, "Exchange", Kept)
+    monkeypatch.setattr(brown, "CACHE", 700)
+    monkeypatch.setattr(brown, "ROUNDS", 1)
+    rows = _op1_rows(6, 120) + [(500, "one1 one1 one1"), (501, "n1 lonely n2")]
+    brown.fit(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    (words, pairs, alone, mixed), = made
+    place = {w: i for i, w in enumerate(brown._rare_key(words).tolist())}
+    both, near, met, counts, end = Counter(), {}, set(), Counter(), len(words)
+    for s in scan(pa.array([t for _, t in rows]), lower=True):
+        keys, bounds = brown._rare_key(s.hashes).tolist(), s.bounds()
+        for i, j in zip(bounds[:-1], bounds[1:]):
+            counts.update(w for w in keys[i:j] if w not in place)
+            at = [end, *(place.get(w, w) for w in keys[i:j]), end]
+            for a, b in zip(at, at[1:]):
+                if a < 0 and b < 0:
+                    both[a, b] += 1
+                    met |= {a, b}
+                elif b < 0:
+                    near.setdefault(b, []).append(a * 2)
+                elif a < 0:
+                    near.setdefault(a, []).append(b * 2 + 1)
+    assert both and met != set(counts)
+    assert Counter((r.l, r.r) for r in pairs.collect()) == both
+    for table, here in ((alone, set(counts) - met), (mixed, met)):
+        got = {r.w: (r.c, sorted(memoryview(r.near).cast("i").tolist())) for r in table.collect()}
+        assert got == {w: (counts[w], sorted(near.get(w, []))) for w in here}
+
+
+def test_op1_places_against_a_search():
+    import numpy as np
+
+    from quarkframe.llm.brown import Places
+
+    r = np.random.default_rng(2)
+    for n in (0, 1, 5, 3000):
+        words = np.unique(np.r_[r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2),
+                                np.arange(n // 5, dtype=np.uint64), np.full(int(n > 1), (1 << 64) - 1, np.uint64)])
+        asked = np.r_[words, words + np.uint64(1), r.integers(0, 1 << 63, 500).astype(np.uint64)]
+        at, known = Places(words).find(asked)
+        assert known.tolist() == np.isin(asked, words).tolist() and (words[at[known]] == asked[known]).all()
+
+
 @pytest.mark.parametrize("where", ["edge", SMALL])
 def test_op2_targets_and_takings(spark, result, docs, edge_dir, where):
     path = edge_dir if where == "edge" else where
